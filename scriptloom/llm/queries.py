@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import ann, byte_bpe, near_dedup, token_counts, top_k
+from scriptloom.llm import ann, byte_bpe, near_dedup, substring_dedup, token_counts, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.search(vectors.filter("vec_id % 20 = 0"), vectors)
@@ -36,11 +40,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op3_byte_bpe, op5_learned_partitions, op7_near_dedup, op9_token_counts)
+    f.__name__: f for f in (op1_exact_top_k, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op7_near_dedup, op9_token_counts)
 }
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), n AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM n
+), d AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM k
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM d WHERE again
+), g2 AS (
+  SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(CASE WHEN gone IS NULL THEN array_to_string(w.w, ' ')
+    ELSE array_to_string(list_transform(list_filter(range(1, len(w.w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w.w[x]), ' ') END, '')) AS kept_sha256
+FROM w LEFT JOIN g2 ON w.doc_id = g2.doc_id""",
     "op1_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
