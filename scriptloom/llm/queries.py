@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import ann, byte_bpe, near_dedup, packing, substring_dedup, token_counts, top_k
+from scriptloom.llm import ann, byte_bpe, html_extract, near_dedup, packing, substring_dedup, token_counts, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op7_near_dedup, op8_best_fit_packing, op9_token_counts)
+    f.__name__: f for f in (op1_exact_top_k, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op7_near_dedup, op8_best_fit_packing, op9_token_counts, op10_template_extraction)
 }
 
 #: DuckDB SQL of those queries that SQL can express.
