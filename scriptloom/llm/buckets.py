@@ -21,7 +21,7 @@ PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 PACKED = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("more", pa.binary())])
 PACKED_DDL = "p int, kind int, keys binary, ids binary, more binary"
 #: Entries held by a task before it reduces and sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def _murmur(value: int) -> int:
@@ -120,48 +120,6 @@ def bucket_pairs(rows: DataFrame, expand: Expander, partitions: int, label: str)
     return common.store(pairs, label)
 
 
-def bucket_neighbours(rows: DataFrame, expand: Expander, partitions: int, label: str) -> common.Stored:
-    """Distinct pairs (u, v), u < v, of different labels that meet in a bucket; ``expand`` gives labels for ids."""
-    to = partition_keys(partitions)
-
-    def reduce_locally(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids in _chunks(batch_iter, expand):
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            keep = np.ones(len(keys), bool)
-            keep[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            keys, ids = keys[keep], ids[keep]
-            yield pa.RecordBatch.from_pylist([{"p": p, "kind": 0, "keys": keys[x].tobytes(), "ids": ids[x].tobytes(), "more": b""} for p, x in deal(keys, to)], schema=PACKED)
-
-    def meet(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for batch in batch_iter:
-            for i in range(batch.num_rows):
-                keys.append(np.frombuffer(batch.column(2)[i].as_py(), np.uint64))
-                ids.append(np.frombuffer(batch.column(3)[i].as_py(), np.int64))
-        key, label_ = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((label_, key))
-        key, label_ = key[order], label_[order]
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (label_[1:] != label_[:-1])
-        key, label_ = key[keep], label_[keep]
-        ends = np.searchsorted(key, key, side="right")
-        us, vs, size = [], [], 0
-        for i in np.flatnonzero(ends - np.arange(len(key)) > 1).tolist():
-            v = label_[i + 1 : ends[i]]
-            us.append(np.full(len(v), label_[i]))
-            vs.append(v)
-            size += len(v)
-            if size >= FLUSH:
-                yield counted(np.concatenate(us), np.concatenate(vs))
-                us, vs, size = [], [], 0
-        if us:
-            yield counted(np.concatenate(us), np.concatenate(vs))
-
-    sent = rows.mapInArrow(reduce_locally, PACKED_DDL).repartition(partitions, "p")
-    return common.store(sent.mapInArrow(meet, "u long, v long, n long").select("u", "v").distinct(), label)
-
-
 def _chunks(batch_iter: Iterator[pa.RecordBatch], expand: Expander) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0

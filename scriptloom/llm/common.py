@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at once; bounds a Python worker's memory.
-PASS_BYTES = 3 << 20
+PASS_BYTES = 1 << 20
 #: Words are runs of anything but these ASCII white space characters.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 

@@ -5,10 +5,12 @@
    Documents with equal sets form a class; only a class's smallest document goes on.
 2. Bands of the registers (empty ones borrowed from others by a fixed probing order) are bucketed.
    Every bucket is reduced to stars around pseudo-random pivots, tasks first.
-3. A member's most frequent pivots are tried: a collision-corrected Jaccard estimate from the registers
-   discards what is far off, and the full sets decide the rest. Links are contracted to components.
-4. Components that still meet in a bucket are compared exhaustively on full sets, in packed blocks, so
-   that no pair of documents that share a band is left undecided unless it is already connected.
+3. A collision-corrected Jaccard estimate from the registers discards pairs that are far off; what is
+   left connects documents to clusters. A member's most frequent pivots are verified on full sets, and
+   the links contracted to components.
+4. In a cluster that still holds several components, all members outside the largest component are
+   compared with the whole cluster on full sets, in packs spread over tasks, so that within a cluster no
+   pair is left undecided unless it is already connected.
 
 Edge cases: null or empty texts, and texts without words, have an empty set and are linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; texts of any length
@@ -18,7 +20,7 @@ with no component and is kept; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ REGISTERS, BAND, MANTISSA = 128, 4, 10
 EMPTY = np.uint16(0xFFFF)
 #: Pivots that a document is first compared with; later steps settle the rest.
 FIRST_PIVOTS = 3
-#: Bytes of shingle hashes in a packed block, and matches expanded at once when two blocks are compared.
-BLOCK_BYTES, EXPANDED = 1 << 20, 1 << 21
+#: Sets and shingles in a pack, about, and matches expanded at once when two packs are compared.
+PACK_SETS, PACK_ITEMS, EXPANDED = 128, 24_000, 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,28 +57,33 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Registers of each row: the least hash of each bucket, as leading zeros and mantissa."""
+    """Registers of each row: the least hash of each bucket."""
     out = np.full((len(first) - 1, REGISTERS), EMPTY)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     bucket = (hashes >> np.uint64(57)).astype(np.int64)
     least = np.ones(len(hashes), bool)
     least[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
-    fraction, exponent = np.frexp((hashes[least] << np.uint64(7)).astype(np.float64))
+    out[owner[least], bucket[least]] = compressed(hashes[least] << np.uint64(7))
+    return out
+
+
+def compressed(least: np.ndarray) -> np.ndarray:
+    """64-bit hashes as registers: leading zeros and mantissa."""
+    fraction, exponent = np.frexp(least.astype(np.float64))
     zeros = np.clip(64 - exponent, 0, 62)
     mantissa = np.clip((fraction * 2 - 1) * (1 << MANTISSA), 0, (1 << MANTISSA) - 1)
-    out[owner[least], bucket[least]] = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
-    return out
+    return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
 
 
 def densified(registers: np.ndarray) -> np.ndarray:
     """Empty registers take the value of the first filled one in their own probing order."""
-    out = registers.copy()
+    out, count = registers.copy(), registers.shape[1]
     row, place = np.nonzero(registers == EMPTY)
     filled = (registers != EMPTY).any(axis=1)[row]
     row, place = row[filled], place[filled]
     step = 1
     while len(row):
-        probe = (common.mix((place + REGISTERS * step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(REGISTERS)).astype(np.int64)
+        probe = (common.mix((place + count * step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(count)).astype(np.int64)
         value = registers[row, probe]
         got = value != EMPTY
         out[row[got], place[got]] = value[got]
@@ -97,7 +104,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     zeros = 2.0 ** -np.arange(0, 48)
 
     def chances(n: np.ndarray) -> np.ndarray:
-        none = (1 - zeros)[None, :] ** (np.maximum(n, 1)[:, None] / REGISTERS)
+        none = (1 - zeros)[None, :] ** (np.maximum(n, 1)[:, None] / a.shape[1])
         return np.diff(none, axis=1)
 
     chance = (chances(n_a) * chances(n_b)).sum(axis=1) / (1 << MANTISSA)
@@ -122,39 +129,43 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
 
 def packed_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, items): each document's shingle hashes, ascending."""
+    """(id, n, sketch, items): each document's sketch and its shingle hashes, ascending."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
             for i, j, data, offsets in common.text_passes(batch.column(1)):
                 hashes, first = shingles(data, offsets, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([hashes[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["id", "items"])
+                registers = sketches(hashes, first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(first)), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([hashes[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["id", "n", "sketch", "items"])
 
-    return docs.mapInArrow(run, "id long, items binary")
+    return docs.mapInArrow(run, "id long, n long, sketch binary, items binary")
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), -1)
 
 
-def _banded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def banded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys and ids of a batch (id, sketch)."""
+    if not batch.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys = band_keys(_sketch_rows(batch.column(1)))
     return keys.ravel(), np.repeat(batch.column(0).to_numpy(), keys.shape[1])
 
 
 def _hopeful(percent: int):
-    """Keeps pairs (u, v, nu, nv, su, sv) whose estimate is within five deviations of the threshold."""
+    """Keeps pairs (u, v, n, nu, nv, su, sv) whose estimate is within five deviations of the threshold."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
             if not batch.num_rows:
                 continue
-            n_u, n_v = (batch.column(i).to_numpy() for i in (2, 3))
-            near, used = estimate(_sketch_rows(batch.column(4)), _sketch_rows(batch.column(5)), n_u, n_v)
+            n_u, n_v = (batch.column(i).to_numpy() for i in (3, 4))
+            near, used = estimate(_sketch_rows(batch.column(5)), _sketch_rows(batch.column(6)), n_u, n_v)
             sized = 100 * np.minimum(n_u, n_v) >= percent * np.maximum(n_u, n_v)
             keep = sized & (near >= percent / 100 - 5 * np.sqrt(0.1875 / np.maximum(used, 1)))
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
+            yield batch.select(["u", "v", "n"]).filter(pa.array(keep))
 
     return run
 
@@ -176,106 +187,160 @@ def _verified(percent: int):
     return run
 
 
-def _blocks(rows: DataFrame, partitions: int) -> DataFrame:
-    """Sets (part, id, items) packed into blocks (part, ids, ends, items); a part of any size is cut up."""
+def _packs(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows (part, pack, id, component, items) as one row a pack: (part, pack, ids, components, ends, items)."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        part, size = None, 0
+        held: list[tuple[int, int, bytes]] = []
+        now: tuple[int, int] | None = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                ends = np.cumsum([len(x) // 8 for _, x in held])
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "ids": [np.array([i for i, _ in held], np.int64).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "items": [b"".join(x for _, x in held)]})
+                ends = np.cumsum([len(x) // 8 for _, _, x in held])
+                ids, labels = (np.array([h[k] for h in held], np.int64).tobytes() for k in (0, 1))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([now[0]], pa.int64()), "pack": pa.array([now[1]], pa.int64()), "ids": [ids], "components": [labels], "ends": [ends.astype(np.int64).tobytes()], "items": [b"".join(h[2] for h in held)]})
 
         for batch in batch_iter:
-            for p, i, x in zip(*(batch.column(k) for k in range(3)), strict=True):
-                p, i, x = p.as_py(), i.as_py(), x.as_py()
-                if held and (p != part or size + len(x) > BLOCK_BYTES):
+            for part, pack, i, label, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, pack) != now:
                     yield from flush()
-                    held, size = [], 0
-                part, size = p, size + len(x)
-                held.append((i, x))
+                    held, now = [], (part, pack)
+                held.append((i, label, x))
         yield from flush()
 
-    return rows.repartitionByRange(partitions, "part", "id").sortWithinPartitions("part", "id").mapInArrow(run, "part long, ids binary, ends binary, items binary")
+    return rows.repartition(partitions, "part", "pack").sortWithinPartitions("part", "pack").mapInArrow(run, "part long, pack long, ids binary, components binary, ends binary, items binary")
+
 
+class Pack:
+    """Sets of one pack: ids, components, and the sets one after the other."""
 
-def cross_links(ids_a: np.ndarray, ends_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, b: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """For each set of block a one similar enough set of block b, if there is one."""
-    size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-    order = np.argsort(b, kind="stable")
-    sorted_b, owner_b = b[order], np.repeat(np.arange(len(ids_b)), size_b)[order]
-    low, high = np.searchsorted(sorted_b, a, "left"), np.searchsorted(sorted_b, a, "right")
+    def __init__(self, ids: bytes, components: bytes, ends: bytes, items: bytes) -> None:
+        self.ids, self.components, self.ends = (np.frombuffer(x, np.int64) for x in (ids, components, ends))
+        self.items = np.frombuffer(items, np.uint64)
+        self.sizes = np.diff(self.ends, prepend=0)
+
+
+def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of similar sets of unequal components: for each set of ``a`` one of each component of ``b``."""
+    order = np.argsort(b.items, kind="stable")
+    items, owner = b.items[order], np.repeat(np.arange(len(b.ids)), b.sizes)[order]
+    low, high = np.searchsorted(items, a.items, "left"), np.searchsorted(items, a.items, "right")
     hits = high - low
-    per_set = np.add.reduceat(hits, ends_a - size_a) if len(a) else np.zeros(0, np.int64)
-    for i, j in common.slices(np.maximum(per_set, len(ids_b)), EXPANDED):
-        x = slice(int(ends_a[i] - size_a[i]), int(ends_a[j - 1]))
+    total = np.concatenate([[0], np.cumsum(hits)])
+    us, vs = [], []
+    for i, j in common.slices(total[a.ends] - total[a.ends - a.sizes] + len(b.ids), EXPANDED):
+        x = slice(int(a.ends[i] - a.sizes[i]), int(a.ends[j - 1]))
         n = hits[x]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[x], n)
-        mine = np.repeat(np.repeat(np.arange(j - i), size_a[i:j]), n)
-        same = np.bincount(mine * len(ids_b) + owner_b[at], minlength=(j - i) * len(ids_b)).reshape(j - i, -1)
-        near = 100 * same >= percent * (size_a[i:j, None] + size_b[None, :] - same)
-        for k in np.flatnonzero(near.any(axis=1)).tolist():
-            yield int(ids_a[i + k]), int(ids_b[near[k].argmax()])
+        mine = np.repeat(np.repeat(np.arange(j - i), a.sizes[i:j]), n)
+        same = np.bincount(mine * len(b.ids) + owner[at], minlength=(j - i) * len(b.ids)).reshape(j - i, -1)
+        near = 100 * same >= percent * (a.sizes[i:j, None] + b.sizes[None, :] - same)
+        near &= a.components[i:j, None] != b.components[None, :]
+        u, v = np.nonzero(near)
+        _, first = np.unique(np.stack([u, b.components[v]]), axis=1, return_index=True)
+        us.append(a.ids[i + u[first]])
+        vs.append(b.ids[v[first]])
+    return np.concatenate(us) if us else np.zeros(0, np.int64), np.concatenate(vs) if vs else np.zeros(0, np.int64)
 
 
 def _compared(percent: int):
+    """Links between the two packs of each (part, i, j); i = j is one pack with itself."""
+
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: tuple[tuple[int, int, int], Pack] | None = None
         for batch in batch_iter:
-            found: list[tuple[int, int]] = []
             for row in range(batch.num_rows):
-                i, j, x, k, m, y = (np.frombuffer(batch.column(c)[row].as_py(), np.uint64 if c in (2, 5) else np.int64) for c in range(6))
-                found += cross_links(i, j, x, k, m, y, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+                part, i, j, *packed = (batch.column(c)[row].as_py() for c in range(7))
+                pack = Pack(*packed)
+                if i == j:
+                    u, v = cross_links(pack, pack, percent)
+                elif waiting is not None and waiting[0] == (part, i, j):
+                    u, v = cross_links(waiting[1], pack, percent)
+                else:
+                    waiting = ((part, i, j), pack)
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
 
+def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], percent: int, label: str) -> common.Stored:
+    """(id, component) from candidate pairs (u, v, n).
+
+    ``gather`` gives (id, n, sketch, items) of the ids in a stored table. Candidates whose estimate is
+    hopeful connect ids to clusters. Members are first verified against their most frequent pivots and
+    contracted to components; then, in every cluster with more than one component, the members outside
+    its largest component are compared with all of the cluster, pack by pack.
+    """
+    spark, made = pairs.spark, [pairs]
+    tasks = common.shuffle_partitions(spark)
+
+    def kept(df: DataFrame, what: str) -> common.Stored:
+        made.append(common.store(df, f"{label}-{what}"))
+        return made[-1]
+
+    nodes = kept(pairs.read().select(F.explode(F.array("u", "v")).alias("id")).distinct(), "nodes")
+    gathered = kept(gather(nodes), "sets")
+    u = gathered.read().select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    v = gathered.read().select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    hopeful = kept(pairs.read().join(v, "v").join(u, "u").select("u", "v", "n", "nu", "nv", "su", "sv").mapInArrow(_hopeful(percent), "u long, v long, n long"), "hopeful")
+    first = hopeful.read().groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "u")), asc=False), 1, FIRST_PIVOTS).alias("x")).select("v", F.explode("x.u").alias("u"))
+    su = gathered.read().select(F.col("id").alias("u"), F.col("items").alias("iu"))
+    sv = gathered.read().select(F.col("id").alias("v"), F.col("items").alias("iv"))
+    links = kept(first.join(sv, "v").join(su, "u").select("u", "v", "iu", "iv").mapInArrow(_verified(percent), "u long, v long"), "links")
+    joined = buckets.components(spark, links.read(), f"{label}-components")
+    made.append(joined)
+
+    labelled = kept(nodes.read().join(joined.read(), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+    of_u = labelled.read().select(F.col("id").alias("u"), F.col("component").alias("cu"))
+    of_v = labelled.read().select(F.col("id").alias("v"), F.col("component").alias("cv"))
+    across = kept(hopeful.read().join(of_u, "u").join(of_v, "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "across")
+    clustered = buckets.components(spark, across.read(), f"{label}-clusters")
+    made.append(clustered)
+    meeting = across.read().select(F.explode(F.array("u", "v")).alias("component")).distinct()
+    part = meeting.join(clustered.read().select(F.col("id").alias("component"), F.col("component").alias("part")), "component", "left").select("component", F.coalesce("part", "component").alias("part"))
+    members = kept(labelled.read().join(part, "component").join(gathered.read().select("id", "n", "items"), "id").select("part", "component", "id", "n", "items"), "members")
+    sizes = members.read().groupBy("part", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("items"))
+    split = (
+        sizes.groupBy("part")
+        .agg(F.max_by("component", F.struct("docs", "component")).alias("main"), F.max(F.struct("docs", "component", "items")).alias("m"), F.sum("docs").alias("docs"), F.sum("items").alias("items"))
+        .select(
+            "part",
+            "main",
+            F.ceil(F.greatest(F.col("m.docs") / PACK_SETS, F.col("m.items") / PACK_ITEMS)).cast("long").alias("inside"),
+            F.ceil(F.greatest((F.col("docs") - F.col("m.docs")) / PACK_SETS, (F.col("items") - F.col("m.items")) / PACK_ITEMS)).cast("long").alias("outside"),
+        )
+    )
+    split = kept(split, "split").read()
+    salt = F.xxhash64("id")
+    dealt = members.read().join(split, "part").select("part", F.when(F.col("component") == F.col("main"), F.pmod(salt, "inside")).otherwise(F.col("inside") + F.pmod(salt, "outside")).alias("pack"), "id", "component", "items")
+    packs = _packs(dealt, tasks).join(split.drop("main"), "part")
+    # Packs of the largest component meet those outside it; packs outside it meet all.
+    other = F.explode(F.when(F.col("pack") < F.col("inside"), F.sequence("inside", F.col("inside") + F.col("outside") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("inside") + F.col("outside") - 1)))
+    met = packs.withColumn("other", other).select("part", F.least("pack", "other").alias("i"), F.greatest("pack", "other").alias("j"), "ids", "components", "ends", "items")
+    more = kept(met.repartition(tasks, "part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_compared(percent), "u long, v long"), "more-links")
+    stars = joined.read().select(F.col("id").alias("u"), F.col("component").alias("v"))
+    final = buckets.components(spark, stars.union(more.read()), f"{label}-final")
+    for done in made:
+        done.drop()
+    return final
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     common.tune(spark)
-    tasks = common.shuffle_partitions(spark)
     texts = common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     profile = common.store(profiles(texts, words), "near-profiles")
     linked = profile.read().filter("n > 0 and doc_id is not null")
     classes = common.store(linked.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
-    first = linked.join(classes.read().select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "sketch")
-
-    pairs = buckets.bucket_pairs(first.select("doc_id", "sketch"), _banded, tasks, "near-pairs")
-    nodes = common.store(pairs.read().select(F.explode(F.array("u", "v")).alias("id")).distinct(), "near-nodes")
-    sketch = common.store(common.semi_by_id(first.withColumnRenamed("doc_id", "id"), nodes.read(), "id"), "near-sketches")
-    sets = common.store(packed_sets(common.semi_by_id(texts.filter("doc_id is not null"), nodes.read().withColumnRenamed("id", "doc_id"), "doc_id"), words), "near-sets")
-
-    tried = pairs.read().groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "u")), asc=False), 1, FIRST_PIVOTS).alias("x")).select("v", F.explode("x.u").alias("u"))
-    u = sketch.read().select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-    v = sketch.read().select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    hopeful = tried.join(v, "v").join(u, "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_hopeful(percent), "u long, v long")
-    su = sets.read().select(F.col("id").alias("u"), F.col("items").alias("iu"))
-    sv = sets.read().select(F.col("id").alias("v"), F.col("items").alias("iv"))
-    links = common.store(hopeful.join(sv, "v").join(su, "u").select("u", "v", "iu", "iv").mapInArrow(_verified(percent), "u long, v long"), "near-links")
-    joined = buckets.components(spark, links.read(), "near-components")
-
-    labelled = common.store(nodes.read().join(joined.read(), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "near-labels")
-    meeting = buckets.bucket_neighbours(sketch.read().join(labelled.read(), "id").select("component", "sketch"), _banded, tasks, "near-neighbours")
-    sized = labelled.read().groupBy("component").agg(F.count("*").alias("size"))
-    both = meeting.read().join(sized.select(F.col("component").alias("u"), F.col("size").alias("nu")), "u").join(sized.select(F.col("component").alias("v"), F.col("size").alias("nv")), "v")
-    asked = common.store(both.select(F.when(F.expr("nu > nv or (nu = nv and u < v)"), F.col("u")).otherwise(F.col("v")).alias("part"), F.when(F.expr("nu > nv or (nu = nv and u < v)"), F.col("v")).otherwise(F.col("u")).alias("component")), "near-asked")
-    members = labelled.read().join(sets.read(), "id")
-    asking = _blocks(asked.read().join(members, "component").select("part", "id", "items"), tasks)
-    against = _blocks(members.join(asked.read().select(F.col("part").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("part"), "id", "items"), tasks)
-    crossed = (
-        asking.select("part", F.col("ids").alias("i"), F.col("ends").alias("j"), F.col("items").alias("x"))
-        .join(against.select("part", F.col("ids").alias("k"), F.col("ends").alias("m"), F.col("items").alias("y")), "part")
-        .select("i", "j", "x", "k", "m", "y")
-    )
-    more = common.store(crossed.mapInArrow(_compared(percent), "u long, v long"), "near-more-links")
-    stars = joined.read().select(F.col("id").alias("u"), F.col("component").alias("v"))
-    final = buckets.components(spark, stars.union(more.read()), "near-final")
-    for done in (pairs, sketch, sets, links, labelled, meeting, asked, nodes):
-        done.drop()
+    first = linked.select("doc_id", "sketch").join(classes.read().select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    pairs = buckets.bucket_pairs(first.select("doc_id", "sketch"), banded, common.shuffle_partitions(spark), "near-pairs")
+
+    def gather(nodes: common.Stored) -> DataFrame:
+        return packed_sets(common.semi_by_id(texts.filter("doc_id is not null"), nodes.read().withColumnRenamed("id", "doc_id"), "doc_id"), words)
 
+    final = settle(pairs, gather, percent, "near")
     named = classes.read().join(final.read().withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component_id"))
     out = profile.read().select("doc_id", "n", "a", "b").join(named, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
