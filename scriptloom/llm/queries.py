@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import ann, byte_bpe, html_extract, near_dedup, packing, substring_dedup, token_counts, top_k
+from scriptloom.llm import ann, byte_bpe, html_extract, language_id, line_dedup, near_dedup, packing, substring_dedup, token_counts, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors.filter("vec_id % 20 = 0"), vectors)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,11 @@ def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors.filter("vec_id % 20 = 0"), vectors)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(_table(spark, sf_dir, "documents"), **language_id.document_evidence())
+    return found.select("doc_id", "language", "posterior", "kept")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +57,7 @@ def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op7_near_dedup, op8_best_fit_packing, op9_token_counts, op10_template_extraction)
+    f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op6_language_id, op7_near_dedup, op8_best_fit_packing, op9_token_counts, op10_template_extraction)
 }
 
 #: DuckDB SQL of those queries that SQL can express.

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ SENT_DDL = "p int, block long, keys binary, checks binary, docs binary"
 ANSWER_DDL = "block long, kind int, p int, bits binary, docs binary"
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     """(block, rows): row batches of ``docs``, each in order of doc_id and compressed."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,36 +137,36 @@ def _steps(docs: DataFrame, words: int) -> tuple[common.Stored, common.Stored, n
     spark = docs.sparkSession
     tasks = common.shuffle_partitions(spark)
     to = buckets.partition_keys(tasks)
-    blocks = common.store(_packed(docs), "repeats-blocks")
+    blocks = common.store(packed(docs), "repeats-blocks")
 
     def seeds(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
             for block, rows in zip(batch.column(0), batch.column(1), strict=True):
                 anchors = Block(rows.as_py(), words).anchors
                 sent = [{"p": p, "block": block.as_py(), "keys": anchors[x].tobytes(), "checks": b"", "docs": b""} for p, x in buckets.deal(anchors, to)]
-                yield pa.RecordBatch.from_pylist(sent, schema=_SENT)
+                yield pa.RecordBatch.from_pylist(sent, schema=SENT)
 
-    first = common.store(blocks.read().mapInArrow(seeds, SENT_DDL).repartition(tasks, "p").mapInArrow(_meet(0), ANSWER_DDL), "repeats-minimisers")
+    first = common.store(blocks.read().mapInArrow(seeds, SENT_DDL).repartition(tasks, "p").mapInArrow(meet(0), ANSWER_DDL), "repeats-minimisers")
 
     def windows(block: Block, shared: np.ndarray, _: dict, number: int) -> Iterator[pa.RecordBatch]:
         sent = block.sent_windows(shared)
         docs_ = block.ids[block.owner(sent)]
         rows = [{"p": p, "block": number, "keys": block.keys[sent[x]].tobytes(), "checks": block.checks[sent[x]].tobytes(), "docs": np.diff(docs_[x], prepend=0).tobytes()} for p, x in buckets.deal(block.keys[sent], to)]
-        yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
+        yield pa.RecordBatch.from_pylist(rows, schema=SENT)
 
-    sent = _with_answers(blocks, [first], words, to, windows, SENT_DDL)
-    second = common.store(sent.repartition(tasks, "p").mapInArrow(_meet(1), ANSWER_DDL), "repeats-windows")
+    sent = with_answers(blocks, [first], partial(Block, words=words), to, windows, SENT_DDL)
+    second = common.store(sent.repartition(tasks, "p").mapInArrow(meet(1), ANSWER_DDL), "repeats-windows")
     answers = common.store(first.read().unionByName(second.read()), "repeats-answers")
     first.drop()
     second.drop()
     return blocks, answers, to
 
 
-_SENT = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("bits", pa.binary()), ("docs", pa.binary())])
+SENT = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
+ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("bits", pa.binary()), ("docs", pa.binary())])
 
 
-def _meet(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def meet(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Answers blocks which of their minimisers others have (0), or which windows occur earlier, and where (1)."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +197,13 @@ def _meet(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 a, end = end, end + size
                 if mark[a:end].any():
                     found = np.diff(source[a:end][mark[a:end]], prepend=0).tobytes() if kind else b""
-                    yield pa.RecordBatch.from_pylist([{"block": block, "kind": kind, "p": p, "bits": np.packbits(mark[a:end]).tobytes(), "docs": found}], schema=_ANSWER)
+                    yield pa.RecordBatch.from_pylist([{"block": block, "kind": kind, "p": p, "bits": np.packbits(mark[a:end]).tobytes(), "docs": found}], schema=ANSWER)
 
     return run
 
 
-def _with_answers(blocks: common.Stored, answers: list[common.Stored], words: int, to: np.ndarray, use: Callable, ddl: str) -> DataFrame:
-    """Brings each block together with its answers and calls ``use(block, shared, answers, number)``."""
+def with_answers(blocks: common.Stored, answers: list[common.Stored], make: Callable, to: np.ndarray, use: Callable, ddl: str | StructType) -> DataFrame:
+    """Makes each block, brings it together with its answers and calls ``use(block, shared, answers, number)``."""
     spark = blocks.spark
     none = [F.lit(None).cast("binary").alias(c) for c in ("bits", "docs")]
     rows = blocks.read().select("block", F.lit(9).alias("kind"), F.lit(0).alias("p"), *none, "rows")
@@ -217,7 +218,7 @@ def _with_answers(blocks: common.Stored, answers: list[common.Stored], words: in
                 if block != number:
                     number, got = block, ({}, {})
                 if kind == 9:
-                    full = Block(data, words)
+                    full = make(data)
                     shared = [full.anchors[x][np.unpackbits(got[0][p][0], count=len(x)).astype(bool)] for p, x in buckets.deal(full.anchors, to) if p in got[0]]
                     yield from use(full, np.concatenate(shared) if shared else np.zeros(0, np.uint64), got[1], number)
                 else:
@@ -248,7 +249,7 @@ def digests(docs: DataFrame, words: int = 20) -> DataFrame:
             kept.append(hashlib.sha256(b" ".join([data[starts[i] : ends[i]] for i in left])).hexdigest())
         yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_answers(blocks, [answers], words, to, use, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_answers(blocks, [answers], partial(Block, words=words), to, use, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def spans(docs: DataFrame, words: int = 20) -> DataFrame:
@@ -265,7 +266,7 @@ def spans(docs: DataFrame, words: int = 20) -> DataFrame:
         row = block.owner(at[head])
         yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(block.at[at[head]] - block.first[row]), pa.array(np.diff(np.append(head, len(at))) + words - 1), pa.array(source[at[head]])], names=["doc_id", "start", "length", "source_doc_id"])
 
-    return _with_answers(blocks, [answers], words, to, use, "doc_id long, start long, length long, source_doc_id long")
+    return with_answers(blocks, [answers], partial(Block, words=words), to, use, "doc_id long, start long, length long, source_doc_id long")
 
 
 def without_repeats(docs: DataFrame, words: int = 20) -> DataFrame:
@@ -288,4 +289,4 @@ def without_repeats(docs: DataFrame, words: int = 20) -> DataFrame:
         table = block.table.set_column(at, block.table.schema.field(at), pa.chunked_array([pa.array(texts, column.type)]))
         yield from table.to_batches()
 
-    return _with_answers(blocks, [answers], words, to, use, schema)
+    return with_answers(blocks, [answers], partial(Block, words=words), to, use, schema)
