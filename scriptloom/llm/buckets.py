@@ -22,6 +22,8 @@ PACKED = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary(
 PACKED_DDL = "p int, kind int, keys binary, ids binary, more binary"
 #: Entries held by a task before it reduces and sends them.
 FLUSH = 1 << 19
+#: Links that one task reduces to stars.
+TASK_EDGES = 200_000
 
 
 def _murmur(value: int) -> int:
@@ -133,13 +135,37 @@ def _chunks(batch_iter: Iterator[pa.RecordBatch], expand: Expander) -> Iterator[
         yield np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
 
 
+def forest(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (v, u) reduced to stars around the smallest id of each component that a task sees."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = parent.setdefault(x, x)
+        while parent[top] != top:
+            parent[top] = top = parent[parent[top]]
+        return top
+
+    for batch in batch_iter:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    stars = [(root(x), x) for x in parent]
+    stars = [s for s in stars if s[0] != s[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in stars], pa.int64()), pa.array([u for _, u in stars], pa.int64())], names=["v", "u"])
+
+
 def components(spark: SparkSession, links: DataFrame, label: str) -> common.Stored:
     """(id, component) of every id in ``links`` (u, v) but the components' own smallest ids.
 
-    Alternates large-star and small-star steps, each two grouped minima and joins, until nothing
-    changes: afterwards every id points to the smallest of its component.
+    Tasks first reduce their share of the links to stars. Then large-star and small-star steps, each a
+    grouped minimum and a join, alternate until nothing changes: every id points to the smallest of its
+    component.
     """
-    known = common.store(links.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), label)
+    given = common.store(links.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")), label)
+    shares = max(4, -(-given.read().count() // TASK_EDGES))
+    known = common.store(given.read().repartition(shares).mapInArrow(forest, "v long, u long").distinct(), label)
+    given.drop()
     state = None
     while True:
         edges = known.read()
