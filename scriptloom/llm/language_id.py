@@ -42,6 +42,16 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
     return (whole * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
 
 
+def _written(data: np.ndarray) -> np.ndarray:
+    """Whether each trigram is of letters and white space only: numbers, addresses and codes tell no language."""
+    good = _prose[data]
+    return good[:-2] & good[1:-1] & good[2:]
+
+
+_prose = np.zeros(256, bool)
+_prose[[*range(65, 91), *range(97, 123), *range(128, 256), *common.SPACE_BYTES]] = True
+
+
 def fit(labelled: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     """Languages, and the log chances of the trigram classes under each and under no known language."""
     languages = sorted({language for language, text in labelled if language and text})
@@ -49,7 +59,7 @@ def fit(labelled: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     for language, text in labelled:
         data = np.frombuffer((text or "").encode(), np.uint8)
         if language and len(data) > 2:
-            counts[languages.index(language)] += np.bincount(_trigrams(data), minlength=BINS)
+            counts[languages.index(language)] += np.bincount(_trigrams(data)[_written(data)], minlength=BINS)
     smooth = 0.05
     table = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BINS))
     table[-1] = -math.log(BINS)
@@ -58,15 +68,16 @@ def fit(labelled: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Log likelihood of each row's text under each class, weighted down for long texts."""
-    sizes = np.maximum(np.diff(offsets) - 2, 0)
-    out = np.zeros((len(sizes), len(table)))
+    out = np.zeros((len(offsets) - 1, len(table)))
     if len(data) < 3:
         return out
-    bins = _trigrams(data)
-    ends = np.minimum(offsets[:-1] + sizes, len(bins))
+    bins, written = _trigrams(data), _written(data)
+    first, ends = np.minimum(offsets[:-1], len(bins)), np.minimum(np.maximum(offsets[1:] - 2, offsets[:-1]), len(bins))
+    counted = np.concatenate([[0], np.cumsum(written)])
+    sizes = counted[ends] - counted[first]
     for k, row in enumerate(table):
-        total = np.concatenate([[0.0], np.cumsum(row[bins])])
-        out[:, k] = total[ends] - total[np.minimum(offsets[:-1], len(bins))]
+        total = np.concatenate([[0.0], np.cumsum(row[bins] * written)])
+        out[:, k] = total[ends] - total[first]
     return out * (np.minimum(sizes, WEIGHT) / np.maximum(sizes, 1))[:, None]
 
 
