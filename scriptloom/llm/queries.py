@@ -62,6 +62,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op7_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w WHERE len(w) > 0)
+), c AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT u, v FROM p JOIN c cu ON cu.doc_id = u JOIN c cv ON cv.doc_id = v WHERE 100 * i >= 75 * (cu.n + cv.n - i)
+), d AS (
+  SELECT u, v FROM e UNION ALL SELECT v, u FROM e
+), r AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents
+  UNION
+  SELECT d.v AS id, r.root FROM r JOIN d ON d.u = r.id
+)
+SELECT documents.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(r.root) AS component_id, documents.doc_id = min(r.root) AS kept
+FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id JOIN r ON r.id = documents.doc_id GROUP BY documents.doc_id""",
     "op4_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
