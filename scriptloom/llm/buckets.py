@@ -135,24 +135,36 @@ def _chunks(batch_iter: Iterator[pa.RecordBatch], expand: Expander) -> Iterator[
         yield np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
 
 
-def forest(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (v, u) reduced to stars around the smallest id of each component that a task sees."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Union-find over the ids that one task sees; a component's root is its smallest id."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         top = parent.setdefault(x, x)
         while parent[top] != top:
             parent[top] = top = parent[parent[top]]
         return top
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def stars(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (v, u) reduced to stars around the smallest id of each component that a task sees."""
+    forest = Forest()
     for batch in batch_iter:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    stars = [(root(x), x) for x in parent]
-    stars = [s for s in stars if s[0] != s[1]]
-    yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in stars], pa.int64()), pa.array([u for _, u in stars], pa.int64())], names=["v", "u"])
+            forest.join(a, b)
+    found = [(forest.root(x), x) for x in forest.parent]
+    found = [s for s in found if s[0] != s[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), pa.array([u for _, u in found], pa.int64())], names=["v", "u"])
 
 
 def components(spark: SparkSession, links: DataFrame, label: str) -> common.Stored:
@@ -164,7 +176,7 @@ def components(spark: SparkSession, links: DataFrame, label: str) -> common.Stor
     """
     given = common.store(links.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")), label)
     shares = max(4, -(-given.read().count() // TASK_EDGES))
-    known = common.store(given.read().repartition(shares).mapInArrow(forest, "v long, u long").distinct(), label)
+    known = common.store(given.read().repartition(shares).mapInArrow(stars, "v long, u long").distinct(), label)
     given.drop()
     state = None
     while True:

@@ -220,14 +220,15 @@ class Pack:
         self.sizes = np.diff(self.ends, prepend=0)
 
 
-def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of similar sets of unequal components: for each set of ``a`` one of each component of ``b``."""
+def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and components of similar sets of unequal components: for each set of ``a`` one of each component of ``b``."""
     order = np.argsort(b.items, kind="stable")
     items, owner = b.items[order], np.repeat(np.arange(len(b.ids)), b.sizes)[order]
     low, high = np.searchsorted(items, a.items, "left"), np.searchsorted(items, a.items, "right")
     hits = high - low
     total = np.concatenate([[0], np.cumsum(hits)])
-    us, vs = [], []
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none, none)]
     for i, j in common.slices(total[a.ends] - total[a.ends - a.sizes] + len(b.ids), EXPANDED):
         x = slice(int(a.ends[i] - a.sizes[i]), int(a.ends[j - 1]))
         n = hits[x]
@@ -238,28 +239,33 @@ def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray]
         near &= a.components[i:j, None] != b.components[None, :]
         u, v = np.nonzero(near)
         _, first = np.unique(np.stack([u, b.components[v]]), axis=1, return_index=True)
-        us.append(a.ids[i + u[first]])
-        vs.append(b.ids[v[first]])
-    return np.concatenate(us) if us else np.zeros(0, np.int64), np.concatenate(vs) if vs else np.zeros(0, np.int64)
+        u, v = i + u[first], v[first]
+        found.append((a.ids[u], b.ids[v], a.components[u], b.components[v]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _compared(percent: int):
-    """Links between the two packs of each (part, i, j); i = j is one pack with itself."""
+    """Links between the two packs of each (part, i, j); i = j is one pack with itself.
+
+    A task leaves out links between components that its earlier links have joined already.
+    """
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = buckets.Forest()
         waiting: tuple[tuple[int, int, int], Pack] | None = None
         for batch in batch_iter:
             for row in range(batch.num_rows):
                 part, i, j, *packed = (batch.column(c)[row].as_py() for c in range(7))
                 pack = Pack(*packed)
                 if i == j:
-                    u, v = cross_links(pack, pack, percent)
+                    links = cross_links(pack, pack, percent)
                 elif waiting is not None and waiting[0] == (part, i, j):
-                    u, v = cross_links(waiting[1], pack, percent)
+                    links = cross_links(waiting[1], pack, percent)
                 else:
                     waiting = ((part, i, j), pack)
                     continue
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                new = np.array([forest.join(x, y) for x, y in zip(links[2].tolist(), links[3].tolist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([pa.array(links[0][new]), pa.array(links[1][new])], names=["u", "v"])
 
     return run
 
