@@ -87,6 +87,7 @@ def _distinct_lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def _banded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    common.enter("line_dedup")
     keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for data, starts, ends, line, _, _ in _distinct_lines(batch.column(1)):
         bands = near_dedup.band_keys(sketches(*shingles(data, starts, ends)))
@@ -111,9 +112,19 @@ def _sets(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([len(x) for x in lines[a:b]])
             data = np.frombuffer(b"".join(lines[a:b]), np.uint8)
             hashes, first = shingles(data, np.concatenate([[0], ends[:-1]]), ends)
-            sets = [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            sizes = [len(np.unique(hashes[i:j])) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             registers = sketches(hashes, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "sketch", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), batch.column(1).slice(a, b - a)], names=["id", "n", "sketch", "items"])
+
+
+def _expanded(lines: list[bytes]) -> list[np.ndarray]:
+    """Shingle sets of lines: what travels is the line, a fraction of its set's size."""
+    out: list[np.ndarray] = []
+    for a, b in common.slices(np.fromiter(map(len, lines), np.int64, len(lines)), common.PASS_BYTES):
+        ends = np.cumsum([len(x) for x in lines[a:b]])
+        hashes, first = shingles(np.frombuffer(b"".join(lines[a:b]), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+        out += [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return out
 
 
 class LineBlock:
@@ -154,7 +165,7 @@ def _steps(docs: DataFrame, percent: int) -> tuple[common.Stored, common.Stored,
         found.append(common.store(lines.groupBy("id").agg(F.min(F.struct("doc_id", "number", "line")).alias("x")).select("id", "x.*"), "lines-found"))
         return found[0].read().select("id", "line").mapInArrow(_sets, "id long, n long, sketch binary, items binary")
 
-    joined = near_dedup.settle(pairs, gather, percent, "lines")
+    joined = near_dedup.settle(pairs, gather, percent, "lines", _expanded)
     placed = found[0].read().select("id", "doc_id", "number").join(joined.read(), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "number", "id")).alias("first"))
     losers = placed.join(first, "component").filter("id <> first.id").select("id")

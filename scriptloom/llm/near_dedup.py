@@ -115,6 +115,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, a, b, sketch): size, 128-bit key and sketch of each document's shingle set."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("near_dedup")
         for batch in batch_iter:
             for i, j, data, offsets in common.text_passes(batch.column(1)):
                 hashes, first = shingles(data, offsets, words)
@@ -170,14 +171,21 @@ def _hopeful(percent: int):
     return run
 
 
-def _verified(percent: int):
+#: Turns the items of many sets, as gathered, into ascending shingle hashes.
+Expand = Callable[[list[bytes]], list[np.ndarray]]
+
+
+def as_hashes(items: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in items]
+
+
+def _verified(percent: int, expand: Expand):
     """Keeps pairs (u, v, iu, iv) whose full sets are similar enough."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+            for a, b in zip(expand(batch.column(2).to_pylist()), expand(batch.column(3).to_pylist()), strict=True):
                 both = np.concatenate([a, b])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
@@ -196,7 +204,7 @@ def _packs(rows: DataFrame, partitions: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                ends = np.cumsum([len(x) // 8 for _, _, x in held])
+                ends = np.cumsum([len(x) for _, _, x in held])
                 ids, labels = (np.array([h[k] for h in held], np.int64).tobytes() for k in (0, 1))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([now[0]], pa.int64()), "pack": pa.array([now[1]], pa.int64()), "ids": [ids], "components": [labels], "ends": [ends.astype(np.int64).tobytes()], "items": [b"".join(h[2] for h in held)]})
 
@@ -214,10 +222,13 @@ def _packs(rows: DataFrame, partitions: int) -> DataFrame:
 class Pack:
     """Sets of one pack: ids, components, and the sets one after the other."""
 
-    def __init__(self, ids: bytes, components: bytes, ends: bytes, items: bytes) -> None:
-        self.ids, self.components, self.ends = (np.frombuffer(x, np.int64) for x in (ids, components, ends))
-        self.items = np.frombuffer(items, np.uint64)
-        self.sizes = np.diff(self.ends, prepend=0)
+    def __init__(self, ids: bytes, components: bytes, ends: bytes, items: bytes, expand: Expand) -> None:
+        self.ids, self.components = (np.frombuffer(x, np.int64) for x in (ids, components))
+        cuts = [0, *np.frombuffer(ends, np.int64).tolist()]
+        sets = expand([items[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.items = np.concatenate(sets)
 
 
 def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +255,7 @@ def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _compared(percent: int):
+def _compared(percent: int, expand: Expand):
     """Links between the two packs of each (part, i, j); i = j is one pack with itself.
 
     A task leaves out links between components that its earlier links have joined already.
@@ -256,7 +267,7 @@ def _compared(percent: int):
         for batch in batch_iter:
             for row in range(batch.num_rows):
                 part, i, j, *packed = (batch.column(c)[row].as_py() for c in range(7))
-                pack = Pack(*packed)
+                pack = Pack(*packed, expand)
                 if i == j:
                     links = cross_links(pack, pack, percent)
                 elif waiting is not None and waiting[0] == (part, i, j):
@@ -270,10 +281,11 @@ def _compared(percent: int):
     return run
 
 
-def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], percent: int, label: str) -> common.Stored:
+def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], percent: int, label: str, expand: Expand = as_hashes) -> common.Stored:
     """(id, component) from candidate pairs (u, v, n).
 
-    ``gather`` gives (id, n, sketch, items) of the ids in a stored table. Candidates whose estimate is
+    ``gather`` gives (id, n, sketch, items) of the ids in a stored table, and ``expand`` turns items into
+    sets where they are compared. Candidates whose estimate is
     hopeful connect ids to clusters. Members are first verified against their most frequent pivots and
     contracted to components; then, in every cluster with more than one component, the members outside
     its largest component are compared with all of the cluster, pack by pack.
@@ -293,7 +305,7 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     first = hopeful.read().groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "u")), asc=False), 1, FIRST_PIVOTS).alias("x")).select("v", F.explode("x.u").alias("u"))
     su = gathered.read().select(F.col("id").alias("u"), F.col("items").alias("iu"))
     sv = gathered.read().select(F.col("id").alias("v"), F.col("items").alias("iv"))
-    links = kept(first.join(sv, "v").join(su, "u").select("u", "v", "iu", "iv").mapInArrow(_verified(percent), "u long, v long"), "links")
+    links = kept(first.join(sv, "v").join(su, "u").select("u", "v", "iu", "iv").mapInArrow(_verified(percent, expand), "u long, v long"), "links")
     joined = buckets.components(spark, links.read(), f"{label}-components")
     made.append(joined)
 
@@ -324,7 +336,7 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     # Packs of the largest component meet those outside it; packs outside it meet all.
     other = F.explode(F.when(F.col("pack") < F.col("inside"), F.sequence("inside", F.col("inside") + F.col("outside") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("inside") + F.col("outside") - 1)))
     met = packs.withColumn("other", other).select("part", F.least("pack", "other").alias("i"), F.greatest("pack", "other").alias("j"), "ids", "components", "ends", "items")
-    more = kept(met.repartition(tasks, "part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_compared(percent), "u long, v long"), "more-links")
+    more = kept(met.repartition(tasks, "part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_compared(percent, expand), "u long, v long"), "more-links")
     stars = joined.read().select(F.col("id").alias("u"), F.col("component").alias("v"))
     final = buckets.components(spark, stars.union(more.read()), f"{label}-final")
     for done in made:

@@ -102,8 +102,8 @@ def test_cross_links_finds_each_component():
     packs = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 5], [9, 10])]
 
     def pack(ids, components, sets):
-        ends = np.cumsum([len(x) for x in sets])
-        return near_dedup.Pack(np.array(ids, np.int64).tobytes(), np.array(components, np.int64).tobytes(), ends.astype(np.int64).tobytes(), np.concatenate(sets).tobytes())
+        ends = np.cumsum([8 * len(x) for x in sets])
+        return near_dedup.Pack(np.array(ids, np.int64).tobytes(), np.array(components, np.int64).tobytes(), ends.astype(np.int64).tobytes(), np.concatenate(sets).tobytes(), near_dedup.as_hashes)
 
     a, b = pack([1], [1], packs[:1]), pack([2, 3, 4], [2, 3, 1], [packs[1], packs[2], packs[0]])
     u, v, _, _ = near_dedup.cross_links(a, b, 60)
