@@ -195,6 +195,7 @@ def digests(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str |
     """One row per document: number of ids, digest of the ids and of what they decode to."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("byte_bpe", _encoders.clear)
         coder = encoder(name, folder, pattern)
         for batch in batch_iter:
             column = batch.column(1)
@@ -223,6 +224,7 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str | N
     """One row per document with its ids."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("byte_bpe", _encoders.clear)
         coder = encoder(name, folder, pattern)
         for batch in batch_iter:
             column = batch.column(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -127,6 +127,23 @@ def text_passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+_kept: dict[str, Callable[[], None]] = {}
+_now = ""
+
+
+def enter(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by an operator's tasks: frees what other operators keep in a reused Python worker."""
+    global _now
+    if operator != _now:
+        for name, drop in _kept.items():
+            if name != operator:
+                drop()
+        _powers.clear()
+        _now = operator
+    if clear is not None:
+        _kept[operator] = clear
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -92,6 +92,7 @@ def _scored(docs: DataFrame, text_col: str, table: np.ndarray) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("language_id")
         for batch in batch_iter:
             for a, b, data, offsets in common.text_passes(batch.column(at)):
                 found = likelihoods(data, offsets, table)

@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 from scriptloom.llm import buckets, common
 
 #: Bytes of text in a block, and words of the runs whose least hash is a window's minimiser.
-BLOCK_BYTES, SEED_WORDS = 4 << 20, 8
+BLOCK_BYTES, SEED_WORDS = 2 << 20, 8
 LAST = np.iinfo(np.int64).max
 SENT_DDL = "p int, block long, keys binary, checks binary, docs binary"
 ANSWER_DDL = "block long, kind int, p int, bits binary, docs binary"
@@ -43,6 +43,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """(block, rows): row batches of ``docs``, each in order of doc_id and compressed."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("blocks")
         base, made = TaskContext.get().partitionId() << 24, 0
         held: list[pa.RecordBatch] = []
         size = 0

@@ -91,6 +91,7 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str |
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = common.vocabulary(name, folder)
+        common.enter("token_counts", _counters.clear)
         counter = _counters.get(path) or _counters.setdefault(path, Counter(path))
         for batch in batch_iter:
             column = batch.column(1)
