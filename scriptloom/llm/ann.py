@@ -34,10 +34,10 @@ SPILL, PROBES = 1, 12
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of each sample row's k nearest others by inner product, in blocks of rows."""
     out = np.zeros((len(x), k), np.int64)
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        s = x[a : a + 256] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a : a + 1024] = np.argpartition(s, len(x) - k, axis=1)[:, len(x) - k :]
+        out[a : a + 256] = np.argpartition(s, len(x) - k, axis=1)[:, len(x) - k :]
     return out
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from scriptloom.llm import block_search, common
 
 #: Rows at most that the rotation is fitted on.
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS = 4096
 
 
 def sample(vectors: DataFrame, rows: int, total: int) -> np.ndarray:
