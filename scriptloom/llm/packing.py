@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm import common
 
-#: Distinct words whose ids one worker remembers before it starts anew, and bytes encoded by one call.
-MEMO_WORDS, BATCH_BYTES = 1_000_000, 256 << 10
+#: Distinct words whose ids one worker remembers before it starts anew, bytes encoded by one call, and
+#: bytes of text whose new words are looked up together.
+MEMO_WORDS, BATCH_BYTES, PASS_BYTES = 1_000_000, 256 << 10, 6 << 20
 #: Punctuation between a letter and white space is a pre-token of its own: it is set apart, so that fewer words differ.
 _tail = re.compile(r"(?<=[^\W\d_])([.,;:!?*$#%&]+)(?=[ \n])")
 
@@ -177,11 +178,12 @@ def pieces(docs: DataFrame, size: int = 2048, name: str = "word_bpe_49k.json", f
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = common.vocabulary(name, folder)
+        common.enter("packing", _tokenizers.clear)
         coder = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         last = np.array([end_id], np.uint32)
         for batch in batch_iter:
-            for a, b, _, _ in common.text_passes(batch.column(1)):
+            for a, b, _, _ in common.text_passes(batch.column(1), PASS_BYTES):
                 doc_ids = batch.column(0).slice(a, b - a)
                 row, piece, start, length, crc, place, kept = [], [], [], [], [], [], []
                 for i, ids in enumerate(coder.encode(batch.column(1).slice(a, b - a).to_pylist())):
