@@ -1,13 +1,13 @@
 """Language identification by Bayesian fusion of evidence.
 
 The likelihood of a text under each language comes from hashed byte trigrams, fitted on a bounded sample
-of labelled documents; one more class with equal chances for all trigrams stands for no known language.
+of the distinct texts under each label; one more class with equal chances for all trigrams stands for no known language.
 Grouped sums of the texts' posteriors over all documents give the distribution of languages of each
 host, smoothed towards its address suffix's and that towards the whole corpus', and of each declared
 language. A document's posterior multiplies text likelihood, host prior and declared evidence.
 
 Edge cases: null or empty texts, and texts without letters, have no language ('und') and are rejected;
-texts of any length count in full; a null host, suffix or declared language is no evidence; a language
+texts of any length count in full; copies of a text count once in the sample; a null host, suffix or declared language is no evidence; a language
 without samples is not known; repeated rows are judged alike; ties go to the language first in the
 alphabet; an empty table gives an empty result; other columns are carried through, and columns of the
 input whose names clash with results are left out.
@@ -16,17 +16,17 @@ input whose names clash with results are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from scriptloom.llm import common
 
-#: Labelled documents in the sample at most, trigram classes, and trigrams that a text counts as at most.
+#: Distinct texts with letters in the sample of each label at most, trigram classes, and trigrams that a text counts as at most.
 SAMPLE_DOCS, BINS, WEIGHT = 1200, 1 << 16, 60.0
 #: Pseudo-documents by which a host leans on its suffix, and a suffix or declaration on the corpus.
 HOST_SMOOTHING, SMOOTHING = 5.0, 20.0
@@ -52,20 +52,62 @@ _prose = np.zeros(256, bool)
 _prose[[*range(65, 91), *range(97, 123), *range(128, 256), *common.SPACE_BYTES]] = True
 
 
-def fit(labelled: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
+def fit(labelled: Iterable[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     """Languages, and the log chances of the trigram classes under each and under no known language."""
-    languages = sorted({language for language, text in labelled if language and text})
-    counts = np.zeros((len(languages) + 1, BINS))
+    found: dict[str, np.ndarray] = {}
     for language, text in labelled:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        if language and len(data) > 2:
-            counts[languages.index(language)] += np.bincount(_trigrams(data)[_written(data)], minlength=BINS)
+        if not language or not text:
+            continue
+        counts = found.setdefault(language, np.zeros(BINS))
+        data = np.frombuffer(text.encode(), np.uint8)
+        if len(data) > 2:
+            counts += np.bincount(_trigrams(data)[_written(data)], minlength=BINS)
+    languages = sorted(found)
+    counts = np.stack([*(found[x] for x in languages), np.zeros(BINS)])
     smooth = 0.05
     table = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BINS))
     table[-1] = -math.log(BINS)
     return [*languages, UNKNOWN], table
 
 
+#: A letter as has_letters() has it.
+LETTER = r"[A-Za-z\x{C0}-\x{10FFFF}]"
+
+
+def sample(train: DataFrame, label_col: str, text_col: str) -> DataFrame:
+    """(label, text) of the ``SAMPLE_DOCS`` distinct texts with letters of least hash under each label.
+
+    Tasks send their least hashes only, and then each chosen text once.
+    """
+    most = SAMPLE_DOCS
+    keyed = train.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).filter((F.col("label") != "") & F.col("text").rlike(LETTER)).withColumn("hash", F.xxhash64("text"))
+
+    def least(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batch_iter:
+            codes = batch.column(0).dictionary_encode()
+            which, hashes = codes.indices.to_numpy(), batch.column(1).to_numpy()
+            for i, label in enumerate(codes.dictionary.to_pylist()):
+                held[label] = np.unique(np.concatenate([held.get(label, hashes[:0]), hashes[which == i]]))[:most]
+        for label, hashes in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(hashes), pa.string()), pa.array(hashes, pa.int64())], names=["label", "hash"])
+
+    def once(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batch_iter:
+            new = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    chosen = keyed.select("label", "hash").mapInArrow(least, "label string, hash long").distinct().withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    chosen = common.store(chosen, "language-sample").read()
+    hits = keyed.join(_small(chosen), ["label", "hash"]).select("label", "hash", "text")
+    return hits.mapInArrow(once, "label string, hash long, text string").groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
+
+
 def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Log likelihood of each row's text under each class, weighted down for long texts."""
     out = np.zeros((len(offsets) - 1, len(table)))
@@ -121,9 +163,7 @@ def identify(docs: DataFrame, text_col: str = "text", label_col: str | None = "l
     results = ("language", "posterior", "kept")
     none = F.lit(None).cast("string")
     train = (labelled if labelled is not None else docs).filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, SAMPLE_DOCS / max(1, train.count()))
-    picked = train.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(label_col, text_col).limit(SAMPLE_DOCS)
-    names, table = fit([(r[0], r[1]) for r in picked.toLocalIterator()])
+    names, table = fit((r[0], r[1]) for r in sample(train, label_col, text_col).toLocalIterator())
     n = len(names)
     source = docs.select(
         *[c for c in docs.columns if c not in results],

@@ -53,3 +53,15 @@ def test_page_evidence(spark):
     row = spark.createDataFrame([('<html class="a" lang="de-AT">', "https://www.x.example.at/p")], "html string, url string")
     e = language_id.page_evidence()
     assert tuple(row.select(*[F.coalesce(v, F.lit("")).alias(k) for k, v in e.items()]).first()) == ("de", "www.x.example.at", "at")
+
+
+def test_rare_languages_and_copies_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 8)
+    words = {"en": "the and of to with from that this", "fr": "le la les des une est dans pour", "de": "der die und das nicht ist mit ein"}
+    texts = [("en", " ".join(words["en"].split()[(i * i + j) % 8] for j in range(i % 50, 90))) for i in range(400)] + [("en", words["en"])] * 400
+    texts += [(x, f"{words[x]} {words[x]}") for x in ("fr", "de")] + [("en", "12 34"), ("", "x"), ("none", "567")]
+    table = spark.createDataFrame([(i, t, x, None) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+    picked = language_id.sample(table, "lang", "text").collect()
+    assert len(picked) == len(set(picked)) == 10 and [r.label for r in picked].count("en") == 8
+    found = {r.doc_id: r for r in language_id.identify(table, **language_id.document_evidence()).collect()}
+    assert [found[i].language for i in (800, 801)] == ["fr", "de"] and found[800].kept and found[801].kept
