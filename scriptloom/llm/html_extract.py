@@ -47,7 +47,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-ASIDE = frozenset("head nav aside footer form button select option svg math object canvas dialog menu audio video label".split())
+ASIDE = frozenset("head nav aside footer form button select option svg object canvas dialog menu audio video label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words in an element's class or id by which it holds something else than main text.
 NAMES = frozenset(
@@ -55,6 +55,8 @@ NAMES = frozenset(
     "newsletter subscribe subscription signup login sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
     "comment comments disqus replies respond related recommended share sharing social widget widgets search skip".split()
 )
+#: Words by which a class or id tells of a part of the page instead of being it.
+ABOUT = frozenset("no non not has have with without".split())
 COMMENTS = frozenset("comment comments disqus replies respond".split())
 PLAIN = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 
@@ -64,31 +66,36 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _apart(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds something else than main text."""
+def _apart(tag: str, attributes: str, inside: bool) -> int | None:
+    """APART if an element holds something else than main text, NAMED if only its names say so."""
     if tag in ASIDE or tag == "header" and not inside:
-        return True
+        return APART
     if not attributes:
-        return False
+        return None
     bare = attributes.lower()
     if tag not in ("html", "body") and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", bare):
-        return True
+        return APART
     names: set[str] = set()
     for key, *values in _attribute.findall(attributes):
         value = next((v for v in values if v), "")
         if key.lower() == "role" and value.lower() in ROLES:
-            return True
+            return APART
         if key.lower() in ("class", "id"):
-            names.update(x.lower() for x in _name_parts.findall(value))
+            for name in value.split():
+                parts = {x.lower() for x in _name_parts.findall(name)}
+                names |= parts if not parts & ABOUT else set()
     if tag in PLAIN:
-        return False
+        return None
     if "header" in names and not inside and not names & {"entry", "post", "article", "content"}:
-        return True
-    return bool(names & (COMMENTS if tag == "article" else NAMES))
+        return NAMED
+    if names & COMMENTS:
+        return APART
+    return NAMED if tag != "article" and names & NAMES else None
 
 
-#: Where a block stands: apart from the main text, anywhere else, in the main element, in an article.
-APART, BODY, MAIN, ARTICLE = range(4)
+#: Where a block stands: apart from the main text, or so by the names of an element only; anywhere else; in a main
+#: element or an article inside one that is apart by name, which count where there are no others; in others.
+APART, NAMED, BODY, NAMED_MAIN, NAMED_ARTICLE, MAIN, ARTICLE = range(7)
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, str]]:
@@ -139,13 +146,15 @@ def blocks(page: str) -> Iterator[tuple[str, int, str]]:
                 continue
             now = where
             if where != APART:
-                if _apart(tag, found[2], where >= MAIN):
-                    now = APART
+                apart = _apart(tag, found[2], where > BODY)
+                named = where in (NAMED, NAMED_MAIN, NAMED_ARTICLE)
+                if apart is not None:
+                    now = apart
                 elif tag == "article":
-                    now = ARTICLE
+                    now = NAMED_ARTICLE if named else ARTICLE
                 elif tag == "main" or "role" in found[2] and re.search(r"role\s*=\s*[\"']?main\b", found[2]):
-                    now = max(where, MAIN)
-            if now == APART != where:
+                    now = max(where, NAMED_MAIN if named else MAIN)
+            if now != where and (now <= NAMED or where <= NAMED):
                 yield from flush()
             if tag in BLOCKS or now != where:
                 path = f"{path}/{tag}"
@@ -166,7 +175,7 @@ def tokens(page: str) -> dict[int, int]:
     out: dict[int, int] = {}
     for path, where, text in blocks(page):
         keys = [xxhash.xxh64_intdigest(path)]
-        if where < MAIN:
+        if where <= BODY:
             keys.append(text_token(path, text))
         for key in keys:
             out[key] = out.get(key, 0) + 1
@@ -179,9 +188,9 @@ def text_token(path: str, text: str) -> int:
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     """The text of the page's main slots, a block to a line."""
-    found = [(path, where, text) for path, where, text in blocks(page) if where != APART]
+    found = [(path, where, text) for path, where, text in blocks(page) if where > NAMED]
     top = max((where for _, where, _ in found), default=BODY)
-    if top >= MAIN:
+    if top > BODY:
         return "\n".join(text for _, where, text in found if where == top)
     return "\n".join(text for path, _, text in found if text_token(path, text) not in template)
 

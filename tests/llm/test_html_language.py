@@ -65,3 +65,18 @@ def test_rare_languages_and_copies_in_the_sample(spark, monkeypatch):
     assert len(picked) == len(set(picked)) == 10 and [r.label for r in picked].count("en") == 8
     found = {r.doc_id: r for r in language_id.identify(table, **language_id.document_evidence()).collect()}
     assert [found[i].language for i in (800, 801)] == ["fr", "de"] and found[800].kept and found[801].kept
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content has-sidebar'><article><p>x</article></div>", "x"),
+        ("<div id='page-no-sidebar'><p>y<main><p>x</main></div>", "x"),
+        ("<div class='sidebarLeft'>y<article><p>x</article></div><p>z", "x"),
+        ("<article><p>x</article><div class='related'><article>y</article></div>", "x"),
+        ("<div id='comments'><article>y</article></div><p>x", "x"),
+        ("<article><p>a <math><mi>x</mi></math> b</article>", "a x b"),
+    ],
+)
+def test_names_do_not_hide_articles(page, text):
+    assert html_extract.main_text(page, set()) == text
