@@ -1,26 +1,31 @@
 """Main-text extraction by templates deduced from pages of one host.
 
-Each page is read into tokens: the paths of its elements, and the texts of blocks outside its article.
-A token's occurrence vector says how often it stands on each page of the host; grouped sums of a hash of
-(page, count) stand for the vectors, so that no host's pages are ever gathered. Tokens of one host that
-share a vector form an equivalence class; classes that recur on most of the host's pages are valid, and
-nest into the host's template by their elements' paths. Text tokens of the template are fixed text; what
-else stands between template tokens are slots. A page's main text are its slots inside the article (or
-the main element), or without either all slots that no navigation, notice, advert, form or comment
-element encloses.
+Each page is read into tokens: the paths of its elements and the texts of its blocks. A token's
+occurrence vector says how often it stands on each page of the host, where pages with equal main text
+count as one; grouped sums of a hash of (page, count) stand for the vectors, so that no host's pages are
+ever gathered. Tokens of one host that share a vector form an equivalence class. Classes on most of the
+host's pages are laid over each page, those on most pages first and texts of articles last: a class whose tokens repeat in one order
+inside one gap of the classes before nests there, and its own gaps take further classes. A class is valid
+if it has the same order and gap on most pages; a text whose class is not may still be so by itself.
+Texts of the template are fixed; what else stands between its tokens are slots. A page's main text are
+its slots inside the article (or the main element), or without either all slots that no navigation,
+notice, advert, form or comment element encloses.
 
 Edge cases: null or empty html gives an empty text; broken or unclosed markup is read as far as it
 goes; pages of any length are read whole; a page without a url belongs to the host ''; a host with fewer
-than three pages has no template; repeated rows give repeated results; an empty table gives an empty
-result; a null page_id is carried through; other columns are ignored.
+than three pages of different main text has no template; fixed text in an article or main element must
+recur on three such pages; repeated rows give repeated results; an empty table gives an empty result; a
+null page_id is carried through; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -170,37 +175,52 @@ def blocks(page: str) -> Iterator[tuple[str, int, str]]:
     yield from flush()
 
 
-def tokens(page: str) -> dict[int, int]:
-    """How often each token stands on the page: element paths of blocks, and texts outside article and main."""
-    out: dict[int, int] = {}
-    for path, where, text in blocks(page):
-        keys = [xxhash.xxh64_intdigest(path)]
-        if where <= BODY:
-            keys.append(text_token(path, text))
-        for key in keys:
-            out[key] = out.get(key, 0) + 1
-    return out
+def text_token(path: str, text: str, inside: bool) -> int:
+    """Token of a block's text; odd for those inside an article or main element."""
+    return xxhash.xxh64_intdigest(text, seed=xxhash.xxh32_intdigest(path)) & ~1 | inside
 
 
-def text_token(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(text, seed=xxhash.xxh32_intdigest(path))
+def main_blocks(page: str) -> tuple[list[tuple[str, int, str]], int]:
+    """All blocks, and where the main ones stand."""
+    found = list(blocks(page))
+    return found, max((where for _, where, _ in found if where > NAMED), default=BODY)
+
+
+def tokens(page: str) -> tuple[int, list[int]]:
+    """Hash of the main text before templates, and the page's tokens in order: 0, then each block's path and text."""
+    found, top = main_blocks(page)
+    content = xxhash.xxh64_intdigest("\n".join(text for _, where, text in found if where == top))
+    out = [0]
+    for path, where, text in found:
+        out += [xxhash.xxh64_intdigest(path) & ~1, text_token(path, text, where > BODY)]
+    return content, out
 
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     """The text of the page's main slots, a block to a line."""
-    found = [(path, where, text) for path, where, text in blocks(page) if where > NAMED]
-    top = max((where for _, where, _ in found), default=BODY)
-    if top > BODY:
-        return "\n".join(text for _, where, text in found if where == top)
-    return "\n".join(text for path, _, text in found if text_token(path, text) not in template)
+    found, top = main_blocks(page)
+    return "\n".join(text for path, where, text in found if where == top and text_token(path, text, where > BODY) not in template)
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def sequences(pages: DataFrame) -> DataFrame:
+    """(host, content, tokens): the packed tokens of one page of each main text of a host."""
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            read = [tokens(page or "") for page in batch.column(1).to_pylist()]
+            hosts = [host_of(url) for url in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([_signed(c) for c, _ in read], pa.int64()), pa.array([np.array(t, np.uint64).tobytes() for _, t in read], pa.binary())], names=["host", "content", "tokens"])
+
+    rows = pages.select("url", "html").mapInArrow(run, "host string, content long, tokens binary")
+    return rows.groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, pages): the hashed occurrence vector of each token; token 0 stands once on each page."""
+    """(host, token, vector, pages) of ``sequences()``: the hashed occurrence vector of each token; token 0 stands once on each page."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list[int]] = {}
@@ -211,17 +231,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
             return rows
 
         for batch in batch_iter:
-            for number, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                host = host_of(url)
-                for token, count in [(0, 1), *tokens(page or "").items()]:
+            for host, content, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for token, count in Counter(np.frombuffer(packed, np.uint64).tolist()).items():
                     held = sums.setdefault((host, token), [0, 0])
-                    held[0] = held[0] + xxhash.xxh64_intdigest(f"{number}:{count}") & (1 << 64) - 1
+                    held[0] = held[0] + xxhash.xxh64_intdigest(f"{content}:{count}") & (1 << 64) - 1
                     held[1] += 1
                 if len(sums) >= HELD_TOKENS:
                     yield flush()
         yield flush()
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, vector long, pages long")
+    rows = pages.select("host", "content", "tokens").mapInArrow(run, "host string, token long, vector long, pages long")
     # Vectors are sums modulo 2**64, in two halves so that no sum overflows.
     low = F.sum(F.expr("vector & 4294967295"))
     high = F.sum(F.expr("shiftrightunsigned(vector, 32)"))
@@ -229,13 +248,97 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "token").agg(vector.alias("vector"), F.sum("pages").alias("pages"))
 
 
-def classes(pages: DataFrame) -> DataFrame:
-    """(host, vector, tokens, pages): the valid equivalence classes of each host."""
-    stored = common.store(occurrences(pages), "html-occurrences").read()
+def with_host(rows: DataFrame, table: DataFrame, salt: str, how: str) -> DataFrame:
+    """``rows`` joined with a stored table of hosts: broadcast if counted small enough, else by host and salt."""
+    if table.count() <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(table), "host", how)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)
+
+
+def nested(page: list[int], classes: list[list[int]]) -> list[tuple[int, int]]:
+    """(class or token, hash of its order and gap) of the classes, and of single texts, that stand on the page as they should.
+
+    ``classes`` are in order of precedence. A class is told by its place there, from -1 downwards.
+    """
+    of = {token: i for i, c in enumerate(classes) for token in c}
+    places: dict[int, list[int]] = defaultdict(list)
+    for at, token in enumerate(page):
+        if token in of:
+            places[of[token]].append(at)
+    gap = [0] * len(page)
+    labels = [(-1, 0)]  # of each gap: the class, and after which of its tokens
+    found = []
+    for c in sorted(places):
+        at, size = places[c], len(classes[c])
+        order = [page[i] for i in at[:size]]
+        runs = [at[i : i + size] for i in range(0, len(at), size)]
+        if len(set(order)) < size or any([page[i] for i in run] != order or len({gap[i] for i in run}) > 1 for run in runs):
+            continue
+        inside = {labels[gap[run[0]]] for run in runs}
+        if len(inside) > 1:
+            continue
+        found.append((-1 - c, xxhash.xxh64_intdigest(f"{inside}{order}")))
+        for run in runs:
+            own = gap[run[0]]
+            for k, (a, b) in enumerate(zip(run, run[1:], strict=False)):
+                if b > a + 1:
+                    labels.append((c, k))
+                    for i in range(a + 1, b):
+                        if gap[i] == own:
+                            gap[i] = len(labels) - 1
+    singles: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    for at, token in enumerate(page):
+        if token in of:
+            singles[token].add(labels[gap[at]])
+    return found + [(token, xxhash.xxh64_intdigest(f"{inside}")) for token, inside in singles.items() if len(inside) == 1]
+
+
+def classes(stored: DataFrame) -> DataFrame:
+    """(host, all, classes) of stored ``occurrences()``: the host's pages, and its recurring classes by precedence, elements first."""
     hosts = stored.filter("token = 0").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
-    recurring = stored.filter("token <> 0").join(hosts, "host").filter(F.col("pages") >= F.col("all") * LEAST_SHARE)
+    recurring = stored.join(hosts, "host").filter(F.col("pages") >= F.col("all") * LEAST_SHARE).filter((F.col("token") % 2 == 0) | (F.col("pages") >= LEAST_PAGES))
     # Each page has few tokens, so those that recur on half of a host's pages are few as well.
-    return recurring.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.max("pages").alias("pages"))
+    # Texts of articles are classes of their own, laid last, lest one that moves about break a class of elements.
+    inside = F.pmod("token", F.lit(2)).alias("inside")
+    grouped = recurring.groupBy("host", "all", "vector", inside).agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.max("pages").alias("pages"))
+    listed = F.sort_array(F.collect_list(F.struct("inside", (-F.col("pages")).alias("less"), "vector", "tokens")))
+    return grouped.groupBy("host", "all").agg(F.transform(listed, lambda x: x["tokens"]).alias("classes"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template): the fixed texts of each host, those of its valid nested classes."""
+    read = common.store(sequences(pages), "html-tokens").read()
+    known = common.store(classes(common.store(occurrences(read), "html-occurrences").read()), "html-classes").read()
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, int, int, int, bool]] = Counter()
+        given: dict[str, list[list[int]]] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in counts], pa.string()), *(pa.array([k[i] for k in counts], pa.int64()) for i in (1, 2, 3)), pa.array([k[4] for k in counts], pa.bool_()), pa.array(list(counts.values()), pa.int64())],
+                names=["host", "all", "key", "place", "single", "pages"],
+            )
+            counts.clear()
+            return rows
+
+        for batch in batch_iter:
+            for i, (host, everywhere, packed) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if host not in given:
+                    given[host] = [[x & (1 << 64) - 1 for x in c] for c in batch.column(3)[i].as_py()]
+                for key, place in nested(np.frombuffer(packed, np.uint64).tolist(), given[host]):
+                    counts[(host, everywhere, key if key < 0 else _signed(key), _signed(place), key >= 0)] += 1
+                if len(counts) >= HELD_TOKENS:
+                    yield flush()
+        yield flush()
+
+    laid = with_host(read, known, "content", "inner").select("host", "all", "tokens", "classes").mapInArrow(run, "host string, all long, key long, place long, single boolean, pages long")
+    agreed = laid.groupBy("host", "all", "key", "place", "single").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= F.col("all") * LEAST_SHARE)
+    agreed = agreed.filter(~F.col("single") | (F.col("key") % 2 == 0) | (F.col("pages") >= LEAST_PAGES))
+    valid = agreed.groupBy("host").agg(F.collect_set(F.when(F.col("single"), F.col("key"))).alias("singles"), F.collect_set(F.when(~F.col("single"), F.col("key").cast("int"))).alias("numbers"))
+    members = F.flatten(F.transform("numbers", lambda x: F.get("classes", -1 - x)))
+    return known.join(valid, "host").select("host", F.array_distinct(F.concat("singles", members)).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -243,14 +346,9 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     common.tune(spark)
     source = common.spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-    templates = common.store(classes(source).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "html-templates")
+    known = common.store(templates(source), "html-templates").read()
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("url", F.lit("")), _host.pattern, 1), F.lit("")))
-    keyed = source.withColumn("host", host)
-    if templates.read().count() <= BROADCAST_HOSTS:
-        joined = keyed.join(F.broadcast(templates.read()), "host", "left")
-    else:
-        salted = templates.read().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = with_host(source.withColumn("host", host), known, "page_id", "left")
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:

@@ -80,3 +80,29 @@ def test_rare_languages_and_copies_in_the_sample(spark, monkeypatch):
 )
 def test_names_do_not_hide_articles(page, text):
     assert html_extract.main_text(page, set()) == text
+
+
+def test_templates_inside_articles(spark):
+    def page(i, body, host="h"):
+        return i, f"http://{host}.example/{i}", f"<script>{i}</script><nav><p>menu</nav><article><h1>head {body}</h1><p>Read our letter</p><p>story {body}</p><p>more {body}</p></article><footer>f</footer>"
+
+    rows = [page(i, i) for i in range(8)]
+    rows += [page(20 + i, "same", "copies") for i in range(9)] + [page(30 + i, i, "copies") for i in range(4)]
+    rows += [page(40, "same", "two"), page(41, "other", "two")]
+    # A sentence on all pages, but each time in another place between other elements, is the authors' own.
+    rows += [(60 + i, f"http://moved.example/{i}", "<article>" + "".join(f"<h{k}>part {k}</h{k}>" + (f"<p>{i} own</p><p>As said</p>" if i == k else "") for k in range(1, 7)) + "</article>") for i in range(1, 7)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[3] == "head 3\nstory 3\nmore 3"
+    assert got[25] == "head same\nstory same\nmore same" and got[31] == "head 1\nstory 1\nmore 1"
+    assert got[41] == "head other\nRead our letter\nstory other\nmore other"
+    assert got[63] == "3 own\nAs said"
+
+
+def test_nesting():
+    # 1 and 2 open and close the page, 3 and 4 an item, 5 stands in items, 7 anywhere.
+    classes = [[0, 1, 2], [3, 4], [5], [7]]
+    first = dict(html_extract.nested([0, 1, 3, 5, 4, 3, 5, 4, 7, 2], classes))
+    second = dict(html_extract.nested([0, 1, 3, 5, 7, 4, 2], classes))
+    assert [first[x] == second[x] for x in (-1, -2, -3, -4)] == [True, True, True, False]
+    assert -2 not in dict(html_extract.nested([0, 1, 3, 4, 4, 3, 2], classes))
+    assert -3 not in dict(html_extract.nested([0, 1, 3, 5, 4, 5, 2], classes))
