@@ -47,19 +47,35 @@ class HiddenMarkov:
         """The most probable states; the last is E or S."""
         if not text:
             return ""
-        best = [{s: self.start[s] + self.emit[s].get(text[0], LOWEST) for s in STATES}]
-        back: list[dict[str, str]] = []
-        for char in text[1:]:
-            now, came = {}, {}
-            for s in STATES:
-                came[s] = max(BEFORE[s], key=lambda p, s=s: best[-1][p] + self.trans[p].get(s, LOWEST))
-                now[s] = best[-1][came[s]] + self.trans[came[s]].get(s, LOWEST) + self.emit[s].get(char, LOWEST)
-            best.append(now)
-            back.append(came)
-        state = max("ES", key=best[-1].__getitem__)
+        get_b, get_e, get_m, get_s = (self.emit[s].get for s in STATES)
+        step = {p + s: self.trans[p].get(s, LOWEST) for s in STATES for p in BEFORE[s]}
+        eb, sb, mm, bm, ss, es, be, me = (step[x] for x in ("EB", "SB", "MM", "BM", "SS", "ES", "BE", "ME"))
+        b, e, m, s = (self.start[x] + self.emit[x].get(text[0], LOWEST) for x in STATES)
+        # Whether each state came from the second of those that may come before it, a bit each.
+        back = bytearray(len(text))
+        for i, char in enumerate(text):
+            if not i:
+                continue
+            came = 0
+            to_b, other = e + eb, s + sb
+            if other > to_b:
+                to_b, came = other, 1
+            to_e, other = b + be, m + me
+            if other > to_e:
+                to_e, came = other, came | 2
+            to_m, other = m + mm, b + bm
+            if other > to_m:
+                to_m, came = other, came | 4
+            to_s, other = s + ss, e + es
+            if other > to_s:
+                to_s, came = other, came | 8
+            b, e, m, s = to_b + get_b(char, LOWEST), to_e + get_e(char, LOWEST), to_m + get_m(char, LOWEST), to_s + get_s(char, LOWEST)
+            back[i] = came
+        before = [{state: BEFORE[state][came >> k & 1] for k, state in enumerate(STATES)} for came in range(16)]
+        state = "S" if s > e else "E"
         out = [state]
-        for came in reversed(back):
-            state = came[state]
+        for i in range(len(text) - 1, 0, -1):
+            state = before[back[i]][state]
             out.append(state)
         return "".join(reversed(out))
 

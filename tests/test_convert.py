@@ -1,3 +1,4 @@
+import itertools
 import unicodedata
 
 import pytest
@@ -5,6 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scriptloom import queries
 from scriptloom.functions import convert as c
 from scriptloom.functions import segment
 from scriptloom.functions.dictionary import Dictionary, MissingResource
@@ -95,3 +97,30 @@ def test_segmentation():
 
 def test_replacement_ratio(spark):
     assert run(spark, ["a�", "", "ab"], c.replacement_ratio) == [0.5, 0.0, 0.0]
+
+
+@given(st.text("乾瞭解 ", min_size=1, max_size=6))
+def test_states_are_the_most_probable(text):
+    model = segment.HiddenMarkov(
+        {"B": -0.3, "E": segment.LOWEST, "M": segment.LOWEST, "S": -1.4},
+        {"B": {"E": -0.5, "M": -0.9}, "E": {"B": -0.6, "S": -0.8}, "M": {"E": -0.33, "M": -1.26}, "S": {"B": -0.7, "S": -0.67}},
+        {"B": {"瞭": -1.0, "乾": -3.1, " ": -8.3, "解": -2.7}, "E": {"解": -1.1, "乾": -2.3, "瞭": -4.9, " ": -9.2}, "M": {"乾": -2.2, "瞭": -3.7, "解": -3.3, " ": -9.9}, "S": {"乾": -1.7, " ": -0.2, "瞭": -2.9, "解": -2.6}},
+    )
+
+    def chance(path):
+        steps = sum(model.trans[p][s] for p, s in itertools.pairwise(path))
+        return model.start[path[0]] + model.emit[path[0]][text[0]] + steps + sum(model.emit[s][x] for s, x in zip(path[1:], text[1:], strict=True))
+
+    paths = (p for p in itertools.product("BEMS", repeat=len(text)) if p[-1] in "ES" and all(a in segment.BEFORE[b] for a, b in itertools.pairwise(p)))
+    assert abs(chance(model.states(text)) - max(map(chance, paths))) < 1e-9
+
+
+def test_states_of_whole_texts(spark, tmp_path):
+    texts = ["the an", "the an er de the\nthe x", "", None, "a"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    half = -0.7
+    model = segment.HiddenMarkov({"B": half, "E": segment.LOWEST, "M": segment.LOWEST, "S": half}, {s: dict.fromkeys("BEMS", half) for s in "BEMS"}, {"B": {"瞭": -1.0}, "E": {"解": -1.0}, "M": {}, "S": {"乾": -1.0}})
+    source = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", samples.sample_text(F.col("text")).alias("text")).collect()
+    want = {r.doc_id: None if r.text is None else len(model.cut(r.text)) for r in source}
+    got = {r.doc_id: r.words for r in queries.hmm_states(spark, str(tmp_path)).collect()}
+    assert {i: n for i, n in got.items() if n not in (None, -1)} == {i: n for i, n in want.items() if n is not None} and want[1] > want[0] > 3
