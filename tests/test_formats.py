@@ -67,6 +67,13 @@ def test_encodings():
     assert encoding.decode(None) is None and encoding.decode(b"") == ""
 
 
+def test_encodings_after_a_long_preface():
+    preface = "plain words " * 400
+    for text, name in (("這是一個測試，繁體中文的文章，我們在這裏說明", "cp950"), ("简体中文的文章，我们在这里说明", "gb18030")):
+        assert encoding.detect((preface + text).encode(name)) == encoding.detect(text.encode(name)) == name
+        assert encoding.decode((preface + text).encode(name)) == preface + text
+
+
 def test_batch_and_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
