@@ -118,3 +118,14 @@ def segment_udf(cut):
             yield texts.map(lambda t: None if t is None else cut(t))
 
     return segmented
+
+
+def count_udf(cut):
+    """A number-of-words column function from a Python segmenter; holds the words of one text at a time."""
+
+    @F.pandas_udf("int")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else len(cut(t)) for t in texts], dtype="Int32")
+
+    return counted

@@ -135,8 +135,8 @@ def hmm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the whole texts by Viterbi states under a small model."""
     half = -0.7
     model = segment.HiddenMarkov({"B": half, "E": segment.LOWEST, "M": segment.LOWEST, "S": half}, {s: dict.fromkeys("BEMS", half) for s in "BEMS"}, {"B": {"瞭": -1.0}, "E": {"解": -1.0}, "M": {}, "S": {"乾": -1.0}})
-    cut = segment.segment_udf(model.cut)
-    return _texts(spark, sf_dir).select("doc_id", F.size(cut(F.col("text"))).alias("words"))
+    count = segment.count_udf(model.cut)
+    return _texts(spark, sf_dir).select("doc_id", count(F.col("text")).alias("words"))
 
 
 def max_match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
