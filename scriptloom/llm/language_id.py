@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from scriptloom.llm import common
+from scriptloom.llm import common, html_extract
 
 #: Distinct texts with letters in the sample of each label at most, trigram classes, and trigrams that a text counts as at most.
 SAMPLE_DOCS, BINS, WEIGHT = 1200, 1 << 16, 60.0
@@ -224,6 +224,21 @@ def document_evidence() -> dict[str, Column]:
     return {"declared": F.col("lang"), "host": F.col("source")}
 
 
+def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(page_id, url, language, posterior, kept) for each row of ``pages`` (page_id, url, html), by the main text as tag rules find it."""
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            texts = [html_extract.main_text(page or "", frozenset()) for page in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
+
+    common.tune(pages.sparkSession)
+    source = common.spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", *[v.alias(k) for k, v in page_evidence().items()], "html"))
+    texts = common.store(source.mapInArrow(run, "page_id long, url string, declared string, host string, suffix string, text string"), "language-pages").read()
+    found = identify(texts, declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix"), labelled=labelled)
+    return found.select("page_id", "url", "language", "posterior", "kept")
+
+
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source, ...) in a known language, columns as they are."""
     return identify(docs, **document_evidence()).filter("kept").select(*docs.columns)

@@ -56,9 +56,16 @@ def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 over all pages, by the text model of the documents and the pages' markup, hosts and suffixes."""
+    return language_id.of_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op6_language_id, op7_near_dedup, op8_best_fit_packing, op9_token_counts, op10_template_extraction)
 }
+#: Further queries of the same operators.
+MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"page_language_id": page_language_id}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {

@@ -106,3 +106,19 @@ def test_nesting():
     assert [first[x] == second[x] for x in (-1, -2, -3, -4)] == [True, True, True, False]
     assert -2 not in dict(html_extract.nested([0, 1, 3, 4, 4, 3, 2], classes))
     assert -3 not in dict(html_extract.nested([0, 1, 3, 5, 4, 5, 2], classes))
+
+
+def test_language_of_pages(spark, tmp_path):
+    import __spark_entry__
+
+    words = {"de": "der die und das nicht ist mit ein", "fr": "le la les des une est dans pour"}
+    docs = [(i, " ".join(w.split()[(i + j) % 8] for j in range(30)), lang) for lang, w in words.items() for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = '<html lang="{0}"><body><article><p>{1}</p></article>'
+    pages = [(i, f"http://h{i % 3}.example.{lang}/{i}", page.format(lang, f"{w} {w}")) for lang, w in words.items() for i in range(9)]
+    # A text of no language of the model leans on its markup, host and suffix.
+    pages += [(100, "http://h1.example.fr/x", page.format("fr", "xq")), (101, "http://h1.example.de/x", page.format("de", "xq")), (102, None, None), (102, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = __spark_entry__.queries()["page_language_id"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(pages) and all(r.language == r.url.split("/")[2][-2:] and r.kept for r in rows if r.url)
+    assert [r.kept for r in rows if r.page_id == 102] == [False] * 2
