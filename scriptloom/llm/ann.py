@@ -146,8 +146,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
 
     def blocks(rows: DataFrame, times: int, size: int, label: str, n_tasks: int) -> common.Stored:
         # Salted by the id's hash: a part of any size is cut into as many ranges as it needs.
-        spread = rows.mapInArrow(routed(times), ddl).withColumn("salt", F.xxhash64("id")).repartitionByRange(n_tasks, "part", "salt").sortWithinPartitions("part", "salt")
-        return common.store(spread.select("part", "id", "vec").mapInArrow(block_search.packer(dim, size, None), block_search.BLOCK_DDL), label)
+        spread = rows.transform(common.in_arrow, routed(times), ddl).withColumn("salt", F.xxhash64("id")).repartitionByRange(n_tasks, "part", "salt").sortWithinPartitions("part", "salt")
+        return common.store(spread.select("part", "id", "vec").transform(common.in_arrow, block_search.packer(dim, size, None), block_search.BLOCK_DDL), label)
 
     index = blocks(given, min(spill, parts), block_rows, "ann-index", tasks)
     held = blocks(asked, min(probes, parts), query_rows, "ann-queries", max(1, min(tasks, -(-n_q * probes // query_rows))))

@@ -192,4 +192,4 @@ def best_of_stripes(queries: common.Stored, candidates: common.Stored, k: int, w
             yield best.rows(asker)
 
     order = Window.partitionBy("key").orderBy(F.col("whole").desc(), F.col("score").desc(), F.col("vec_id"))
-    return items.mapInArrow(run, HITS_DDL).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return items.transform(common.in_arrow, run, HITS_DDL).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

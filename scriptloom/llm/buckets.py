@@ -117,8 +117,8 @@ def bucket_pairs(rows: DataFrame, expand: Expander, partitions: int, label: str)
         _, _, u, v = pivots(np.concatenate(keys), np.concatenate(ids))
         yield counted(u, v)
 
-    sent = rows.mapInArrow(reduce_locally, PACKED_DDL).repartition(partitions, "p")
-    pairs = sent.mapInArrow(meet, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    sent = rows.transform(common.in_arrow, reduce_locally, PACKED_DDL).repartition(partitions, "p")
+    pairs = sent.transform(common.in_arrow, meet, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
     return common.store(pairs, label)
 
 
@@ -170,16 +170,23 @@ def stars(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(spark: SparkSession, links: DataFrame, label: str) -> common.Stored:
     """(id, component) of every id in ``links`` (u, v) but the components' own smallest ids.
 
-    Tasks first reduce their share of the links to stars. Then large-star and small-star steps, each a
-    grouped minimum and a join, alternate until nothing changes: every id points to the smallest of its
-    component.
+    Tasks reduce their shares of the links to stars, again with fewer tasks while that at least halves
+    them; what fits one task's bound is settled there. Else large-star and small-star steps, each a grouped
+    minimum and a join, alternate until nothing changes: every id points to the smallest of its component.
+    (Grouped minima are partial before the exchange, and Spark's skew join splits a large component's root.)
     """
-    given = common.store(links.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")), label)
-    shares = max(4, -(-given.read().count() // TASK_EDGES))
-    known = common.store(given.read().repartition(shares).mapInArrow(stars, "v long, u long").distinct(), label)
-    given.drop()
+    known = common.store(links.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")), label)
+    n, settled = known.read().count(), False
+    while n and not settled:
+        shares = -(-n // TASK_EDGES)
+        new = common.store(known.read().repartition(shares).transform(common.in_arrow, stars, "v long, u long").distinct(), label)
+        known.drop()
+        known, before, n = new, n, new.read().count()
+        settled = shares == 1
+        if 2 * n > before:
+            break
     state = None
-    while True:
+    while not settled:
         edges = known.read()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now or not now[0]:

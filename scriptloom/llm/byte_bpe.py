@@ -27,7 +27,6 @@ from scriptloom.llm import common
 
 #: Misses remembered by one Python worker before it starts anew.
 MEMO_ENTRIES = 400_000
-HASH_BASE = 0xC2B2AE3D27D4EB4F
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -75,7 +74,7 @@ class PerfectHash:
 
     @staticmethod
     def hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return common.span_hash(common._byte_values[data], offsets[:-1], offsets[1:], HASH_BASE)
+        return common.word_hashes(data, offsets[:-1], offsets[1:])
 
     @staticmethod
     def bit(hashed: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -217,7 +216,7 @@ def digests(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str |
                 )
 
     common.tune(docs.sparkSession)
-    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).transform(common.in_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -234,7 +233,7 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str | N
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(rows, pa.list_(pa.int32()))], schema=IDS_SCHEMA)
 
     common.tune(docs.sparkSession)
-    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).transform(common.in_arrow, run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -245,4 +244,4 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str
         for batch in batch_iter:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([coder.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).transform(common.in_arrow, run, "doc_id long, decoded binary")

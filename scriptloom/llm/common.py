@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,8 +12,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy pass takes at once; bounds a Python worker's memory.
 PASS_BYTES = 1 << 20
@@ -20,9 +24,12 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names; a temporary one only in local mode, where all tasks share this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='scriptloom-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -80,6 +87,16 @@ def store(df: DataFrame, label: str) -> Stored:
     return stored
 
 
+@contextlib.contextmanager
+def collected(into: list[Stored]) -> Iterator[None]:
+    """Moves what is stored meanwhile to a list of the caller, who drops it."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        into += _open[before:]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -138,12 +155,34 @@ def enter(operator: str, clear: Callable[[], None] | None = None) -> None:
         for name, drop in _kept.items():
             if name != operator:
                 drop()
-        _powers.clear()
         _now = operator
     if clear is not None:
         _kept[operator] = clear
 
 
+def release() -> None:
+    """Gives memory that is free inside this process back to the machine: reused workers wait beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def in_arrow(df: DataFrame, run: Run, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose tasks give their memory back when they end."""
+
+    def task(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batch_iter)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -151,64 +190,108 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+GOLDEN, SECOND, THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Words longer than this are hashed one by one.
+LONG_WORD = 128
+_below = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_ink = bytes(b not in SPACE_BYTES for b in range(256))
+_lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept per worker and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 12, 1 << (n - 1).bit_length())
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = _powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+def translated(data: np.ndarray, table: bytes) -> np.ndarray:
+    """Each byte's entry in a table of 256, faster than by indexing."""
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash, mixed, of values[start:end] for many spans at once."""
-    up, down = powers(len(values) + 1, base)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def ink(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is something else than white space."""
+    return translated(data, _ink).view(bool)
 
 
-#: Odd multipliers of the polynomial hashes of words, of windows, and of windows' check value.
-WORD_BASE, WINDOW_BASE, CHECK_BASE = 0x9E6C63D0876A9A35, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_byte_values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_is_space = np.zeros(256, bool)
-_is_space[list(SPACE_BYTES)] = True
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased."""
+    return translated(data, _lower)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and the index of each row's first word (one more than rows)."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_is_space[data]
+    inside[1:-1] = ink(data)
     edge = inside[1:] != inside[:-1]
-    edge = edge.astype(np.uint8)
+    where = np.flatnonzero(edge)
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < len(data))]
     both = cut[inside[cut] & inside[cut + 1]]  # a word that ends with one row, and one that starts the next
-    edge[both] = 2
-    where = np.flatnonzero(edge)
-    where = np.repeat(where, edge[where])
+    if len(both):
+        both = np.unique(both)
+        where = np.sort(np.concatenate([where, both, both]), kind="stable")
     starts, ends = where[0::2], where[1::2]
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    return span_hash(_byte_values[_lower[data] if lower else data], starts, ends, WORD_BASE)
-
-
-def window_hashes(words: np.ndarray, first: np.ndarray, size: int, base: int = WINDOW_BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``size`` words within rows, their first word, and each row's first window."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end]: eight bytes at a time, mixed after each; other seeds give independent ones."""
+    if lower:
+        data = lowered(data)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    size, salt = ends - starts, np.uint64((seed * int(THIRD) + 1) & (1 << 64) - 1)
+    out = mix(size.astype(np.uint64) * GOLDEN + salt)
+    out = mix((out + salt) * SECOND + (eight[np.minimum(starts, len(data))] & _below[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(live):
+        out[live] = mix((out[live] + salt) * SECOND + (eight[starts[live] + at] & _below[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        out[long] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes(), seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes of data[start:end], as two columns."""
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    found = b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+
+def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * GOLDEN + b * SECOND)
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of words[i : i + size] for each i of ``at``, by doubling; no step is linear in the words."""
+    level, span, done, out = words, 1, 0, None
+    while True:
+        if size & span:
+            part = level[at + done]
+            out = part if out is None else _fold(out, part)
+            done += span
+        if done == size:
+            return mix(out + np.uint64(((seed << 32) + size) * int(GOLDEN) & (1 << 64) - 1))
+        level = _fold(level[: max(len(level) - span, 0)], level[span:])
+        span *= 2
+
+
+def window_places(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all runs of ``size`` words within rows, and each row's first run."""
     counts = np.maximum(np.diff(first) - size + 1, 0)
     rows = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=rows[1:])
-    at = np.arange(rows[-1]) + np.repeat(first[:-1] - rows[:-1], counts)
-    return span_hash(words, at, at + size, base), at, rows
+    return np.arange(rows[-1]) + np.repeat(first[:-1] - rows[:-1], counts), rows
+
+
+def distinct_in_rows(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values in ascending order without repeats within each row, and each row's first (one more than rows)."""
+    out = values.copy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a > 1:
+            out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[first[:-1][first[:-1] < len(out)]] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
 def batches(rows: Iterable[dict[str, list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -215,7 +215,7 @@ def sequences(pages: DataFrame) -> DataFrame:
             hosts = [host_of(url) for url in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([_signed(c) for c, _ in read], pa.int64()), pa.array([np.array(t, np.uint64).tobytes() for _, t in read], pa.binary())], names=["host", "content", "tokens"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, content long, tokens binary")
+    rows = pages.select("url", "html").transform(common.in_arrow, run, "host string, content long, tokens binary")
     return rows.groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
 
 
@@ -240,7 +240,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = pages.select("host", "content", "tokens").mapInArrow(run, "host string, token long, vector long, pages long")
+    rows = pages.select("host", "content", "tokens").transform(common.in_arrow, run, "host string, token long, vector long, pages long")
     # Vectors are sums modulo 2**64, in two halves so that no sum overflows.
     low = F.sum(F.expr("vector & 4294967295"))
     high = F.sum(F.expr("shiftrightunsigned(vector, 32)"))
@@ -333,7 +333,7 @@ def templates(pages: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    laid = with_host(read, known, "content", "inner").select("host", "all", "tokens", "classes").mapInArrow(run, "host string, all long, key long, place long, single boolean, pages long")
+    laid = with_host(read, known, "content", "inner").select("host", "all", "tokens", "classes").transform(common.in_arrow, run, "host string, all long, key long, place long, single boolean, pages long")
     agreed = laid.groupBy("host", "all", "key", "place", "single").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= F.col("all") * LEAST_SHARE)
     agreed = agreed.filter(~F.col("single") | (F.col("key") % 2 == 0) | (F.col("pages") >= LEAST_PAGES))
     valid = agreed.groupBy("host").agg(F.collect_set(F.when(F.col("single"), F.col("key"))).alias("singles"), F.collect_set(F.when(~F.col("single"), F.col("key").cast("int"))).alias("numbers"))
@@ -360,4 +360,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(page or "", known[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "host", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "template").transform(common.in_arrow, run, "page_id long, url string, text string, n_chars long")

@@ -37,7 +37,7 @@ UNKNOWN = "und"
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
-    low = common._lower[data].astype(np.uint32)
+    low = common.lowered(data).astype(np.uint32)
     whole = low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16)
     return (whole * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
 
@@ -102,10 +102,10 @@ def sample(train: DataFrame, label_col: str, text_col: str) -> DataFrame:
             yield batch.filter(pa.array(new, pa.bool_()))
 
     rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
-    chosen = keyed.select("label", "hash").mapInArrow(least, "label string, hash long").distinct().withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    chosen = keyed.select("label", "hash").transform(common.in_arrow, least, "label string, hash long").distinct().withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
     chosen = common.store(chosen, "language-sample").read()
     hits = keyed.join(_small(chosen), ["label", "hash"]).select("label", "hash", "text")
-    return hits.mapInArrow(once, "label string, hash long, text string").groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
+    return hits.transform(common.in_arrow, once, "label string, hash long, text string").groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ def _scored(docs: DataFrame, text_col: str, table: np.ndarray) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*part.schema.names, "_lid_text"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lid_text", ArrayType(DoubleType()))]))
+    return docs.transform(common.in_arrow, run, StructType([*docs.schema.fields, StructField("_lid_text", ArrayType(DoubleType()))]))
 
 
 def _softmax(logits: Column) -> Column:
@@ -234,7 +234,7 @@ def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
     common.tune(pages.sparkSession)
     source = common.spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", *[v.alias(k) for k, v in page_evidence().items()], "html"))
-    texts = common.store(source.mapInArrow(run, "page_id long, url string, declared string, host string, suffix string, text string"), "language-pages").read()
+    texts = common.store(source.transform(common.in_arrow, run, "page_id long, url string, declared string, host string, suffix string, text string"), "language-pages").read()
     found = identify(texts, declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix"), labelled=labelled)
     return found.select("page_id", "url", "language", "posterior", "kept")
 

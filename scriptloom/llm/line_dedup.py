@@ -1,18 +1,20 @@
 """Fuzzy line deduplication: one line stays of every component of similar lines.
 
-1. Lines (what stands between line ends, lower-cased for A-Z) become sets of 8-character shingles and
-   sketches of 64 registers; 16 bands of 4 registers find candidates from a similarity of 0.8 on with a
-   chance of 0.9998 or more.
-2. Candidates are verified by exact Jaccard similarity and joined to components as near-duplicate
-   documents are (module near_dedup), by distributed star contraction.
-3. Of each component, and of each group of equal lines, the occurrence in the smallest document, first
-   line, stays. Blocks of documents send their distinct lines and learn which ones to drop.
+1. Documents are packed into blocks (module blocks). Blocks send 128-bit hashes of their distinct lines
+   (what stands between line ends) and learn which ones stand earlier. Only the first occurrence of each
+   line goes on; a line is known by its block and its place there.
+2. Those lines, lower-cased for A-Z, become sets of 8-character shingles and sketches of 64 registers; 16
+   bands of 4 registers find candidates from a similarity of 0.8 on with a chance of 0.9998 or more.
+3. Candidates' lines are asked for from their blocks, verified by exact Jaccard similarity and joined to
+   components as near-duplicate documents are (module near_dedup), by distributed star contraction.
+4. Of each component the occurrence in the smallest document, first line, stays. Blocks learn which of
+   their lines go.
 
 Edge cases: a null text is empty; blank lines are neither compared nor removed; a line shorter than a
 shingle is one shingle; documents and lines of any length count in full; a document may lose all its
 lines and then has an empty text; rows that repeat a doc_id are ordered by their block; a row without
 a doc_id comes after all others; an empty table gives an empty result; other columns are ignored, or
-carried through by ``without_repeats``. Lines are told apart by 64-bit hashes of their bytes.
+carried through by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -22,16 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm import buckets, common, near_dedup, substring_dedup
+from scriptloom.llm import blocks, buckets, common, near_dedup
 
-#: Characters of a shingle, hash bits that choose one of 64 registers, and the similarity in hundredths.
-SHINGLE, REGISTER_BITS, PERCENT = 8, 6, 80
-LINE_BASE = 0x8CB92BA72F3D8DD7
-FIRST = -(1 << 62)
+#: Characters of a shingle (hashed by doubling, so fixed here), hash bits that choose one of 64 registers, the
+#: similarity in hundredths, and characters that are hashed at once.
+SHINGLE, REGISTER_BITS, PERCENT, CHUNK = 8, 6, 80, 1 << 15
+#: Bits of a line's id that tell its place in its block.
+LINE_BITS = 28
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,23 +45,35 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, first
 
 
-def line_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit ids of lines, and whether each has something else than white space."""
-    ink = np.concatenate([[0], np.cumsum(~common._is_space[data])])
-    return common.span_hash(common._byte_values[data], starts, ends, LINE_BASE), ink[ends] > ink[starts]
-
-
-def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of the lines, in order, and each line's first (one more than lines)."""
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    low, high = np.searchsorted(at, starts), np.searchsorted(at, ends)
-    at = np.append(at, len(data))
-    count = np.maximum(high - low - SHINGLE + 1, 1)
+    # A line is followed by as many spaces as keep shingles inside lines; those that begin in them are left out.
+    pad = b" " * (SHINGLE - 1)
+    text = pad.join(lines) + pad
+    points = np.frombuffer(text.translate(common._lower).decode().encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    if len(points) < len(text):
+        extra = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) == 0x80, dtype=np.int32)])
+        ends = np.cumsum(sizes + len(pad))
+        sizes = sizes - (extra[ends] - extra[ends - len(pad) - sizes])
+    begin = np.concatenate([[0], np.cumsum(sizes + len(pad))])[:-1]
+    out = np.empty(len(points), np.uint64)
+    for a in range(0, len(points), CHUNK):
+        c = np.zeros(min(CHUNK, len(points) - a) + SHINGLE, np.uint64)
+        part = points[a : a + len(c)]
+        c[: len(part)] = part
+        two = c[:-1] | c[1:] << np.uint64(21)
+        four = common.mix(two[:-2] * common.GOLDEN + two[2:] * common.SECOND)
+        out[a : a + CHUNK] = common.mix(four[:-4] * common.GOLDEN + four[4:] * common.THIRD)[: len(out[a : a + CHUNK])]
+    count = np.maximum(sizes - SHINGLE + 1, 1)
     first = np.concatenate([[0], np.cumsum(count)])
-    begin = np.arange(first[-1]) - np.repeat(first[:-1] - low, count)
-    stop = at[np.minimum(begin + SHINGLE, np.repeat(high, count))]
-    stop = np.minimum(stop, np.repeat(ends, count))
-    return common.span_hash(common._byte_values[common._lower[data]], at[begin], stop, common.WINDOW_BASE), first
+    edge = np.zeros(len(points) + 1, np.int8)
+    edge[begin] += 1
+    edge[begin + count] -= 1
+    found = out[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    short = np.flatnonzero(sizes < SHINGLE)
+    found[first[:-1][short]] = common.mix(found[first[:-1][short]] + sizes[short].astype(np.uint64) * common.SECOND + common.GOLDEN)
+    return found, first
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -74,159 +88,146 @@ def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.reshape(rows, buckets_)
 
 
-def _distinct_lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, starts, ends, ids, rows, line numbers) of the first occurrences of lines, pass by pass."""
-    for a, _, data, offsets in common.text_passes(column):
-        starts, ends, first = line_spans(data, offsets)
-        ids, ink = line_ids(data, starts, ends)
-        lines = np.flatnonzero(ink)
-        _, new = np.unique(ids[lines], return_index=True)
-        lines = lines[np.sort(new)]
-        row = np.searchsorted(first, lines, side="right") - 1
-        yield data, starts[lines], ends[lines], ids[lines].view(np.int64), row + a, lines - first[row]
-
-
-def _banded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    common.enter("line_dedup")
-    keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for data, starts, ends, line, _, _ in _distinct_lines(batch.column(1)):
-        bands = near_dedup.band_keys(sketches(*shingles(data, starts, ends)))
-        keys.append(bands.ravel())
-        ids.append(np.repeat(line, bands.shape[1]))
-    return np.concatenate(keys), np.concatenate(ids)
-
-
-def _listed(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batch_iter:
-        docs = batch.column(0).fill_null(substring_dedup.LAST).to_numpy(zero_copy_only=False)
-        for data, starts, ends, ids, rows, numbers in _distinct_lines(batch.column(1)):
-            raw = data.tobytes()
-            lines = pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(docs[rows]), pa.array(numbers), lines], names=["id", "doc_id", "number", "line"])
-
-
-def _sets(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batch_iter:
-        lines = batch.column(1).to_pylist()
-        for a, b in common.slices(np.fromiter(map(len, lines), np.int64, len(lines)), common.PASS_BYTES):
-            ends = np.cumsum([len(x) for x in lines[a:b]])
-            data = np.frombuffer(b"".join(lines[a:b]), np.uint8)
-            hashes, first = shingles(data, np.concatenate([[0], ends[:-1]]), ends)
-            sizes = [len(np.unique(hashes[i:j])) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            registers = sketches(hashes, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), batch.column(1).slice(a, b - a)], names=["id", "n", "sketch", "items"])
+def passes(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first line, end line, shingle hashes, each line's first) for byte-bounded runs of lines."""
+    for a, b in common.slices(np.fromiter(map(len, lines), np.int64, len(lines)), common.PASS_BYTES):
+        yield a, b, *shingles(lines[a:b])
 
 
-def _expanded(lines: list[bytes]) -> list[np.ndarray]:
+def _sets(lines: list[bytes]) -> list[np.ndarray]:
     """Shingle sets of lines: what travels is the line, a fraction of its set's size."""
     out: list[np.ndarray] = []
-    for a, b in common.slices(np.fromiter(map(len, lines), np.int64, len(lines)), common.PASS_BYTES):
-        ends = np.cumsum([len(x) for x in lines[a:b]])
-        hashes, first = shingles(np.frombuffer(b"".join(lines[a:b]), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-        out += [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    for _, _, hashes, first in passes(lines):
+        hashes, first = common.distinct_in_rows(hashes, first)
+        out += [hashes[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     return out
 
 
-class LineBlock:
-    """The lines of a packed block of documents, in order of doc_id."""
-
-    anchors = np.zeros(0, np.uint64)
+class LineBlock(blocks.Block):
+    """The lines of a packed block; ``new`` are the first occurrences in the block of all that are not blank."""
 
     def __init__(self, rows: bytes) -> None:
-        self.table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_all().combine_chunks()
-        self.docs = self.table.column("doc_id").combine_chunks().fill_null(substring_dedup.LAST).to_numpy(zero_copy_only=False)
-        self.data, offsets = common.text_buffer(self.table.column("text"))
-        self.starts, self.ends, self.first = line_spans(self.data, offsets)
-        self.ids, self.ink = line_ids(self.data, self.starts, self.ends)
-        lines = np.flatnonzero(self.ink)
-        _, new = np.unique(self.ids[lines], return_index=True)
-        self.new = lines[np.sort(new)]
+        super().__init__(rows)
+        self.starts, self.ends, self.first = line_spans(self.data, self.offsets)
+        ink = np.concatenate([[0], np.cumsum(common.ink(self.data), dtype=np.int32)])
+        self.ink = ink[self.ends] > ink[self.starts]
 
-    def removed(self, answers: dict[int, tuple[np.ndarray, np.ndarray]], to: np.ndarray) -> np.ndarray:
+    def known(self) -> None:
+        lines = np.flatnonzero(self.ink)
+        keys = common.digests(self.data, self.starts[lines], self.ends[lines])
+        _, new = np.unique(keys.view([("key", np.uint64), ("check", np.uint64)]).ravel(), return_index=True)
+        new.sort()
+        self.new, self.keys, self.checks = lines[new], np.ascontiguousarray(keys[new, 0]), np.ascontiguousarray(keys[new, 1])
+
+    def owner(self, lines: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, lines, side="right") - 1
+
+    def unseen(self, answers: dict[int, tuple], to: np.ndarray) -> np.ndarray:
+        """The lines that stand nowhere earlier."""
+        self.known()
+        new = np.ones(len(self.new), bool)
+        new[blocks.told(answers, self.keys, to)[0]] = False
+        return self.new[new]
+
+    def texts(self, lines: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts[lines].tolist(), self.ends[lines].tolist(), strict=True)]
+
+    def removed(self, answers: blocks.Answers, to: np.ndarray) -> np.ndarray:
         gone = self.ink.copy()
-        gone[self.new] = False
-        for p, x in buckets.deal(self.ids[self.new], to):
-            if p in answers:
-                gone[self.new[x][np.unpackbits(answers[p][0], count=len(x)).astype(bool)]] = True
+        gone[self.unseen(answers[0] | answers[1], to)] = False
+        gone[[x[0] for x in answers[2]]] = True
         return gone
 
 
-def _steps(docs: DataFrame, percent: int) -> tuple[common.Stored, common.Stored, np.ndarray]:
+def _steps(docs: DataFrame, percent: int) -> tuple[common.Stored, list[DataFrame], np.ndarray]:
     """The stored blocks, and the answers which of their lines go."""
-    spark = docs.sparkSession
-    tasks = common.shuffle_partitions(spark)
+    tasks = common.shuffle_partitions(docs.sparkSession)
     to = buckets.partition_keys(tasks)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pairs = buckets.bucket_pairs(texts, _banded, tasks, "lines-pairs")
+    null = F.lit(None).cast("binary")
+    made = common.store(blocks.packed(docs), "lines-blocks")
+
+    def sent(block: LineBlock, _: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        block.known()
+        yield blocks.sending(number, to, block.keys, block.checks, block.ids[block.owner(block.new)], block.new)
+
+    given = blocks.with_answers(made, [], LineBlock, sent, blocks.SENT_DDL)
+    exact = common.store(given.repartition(tasks, "p").transform(common.in_arrow, blocks.earlier(np.uint64, False), blocks.ANSWER_DDL), "lines-exact")
+
+    def banded(block: LineBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        lines = block.unseen(got[1], to)
+        for a, b, hashes, first in passes(block.texts(lines)):
+            keys = near_dedup.band_keys(sketches(hashes, first))
+            yield pa.RecordBatch.from_arrays([pa.array((number << LINE_BITS) + lines[a:b]), pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "keys"])
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if not batch.num_rows:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+        return keys, np.repeat(batch.column(0).to_numpy(), len(keys) // batch.num_rows)
+
+    pairs = buckets.bucket_pairs(blocks.with_answers(made, [exact.read()], LineBlock, banded, "id long, keys binary"), keyed, tasks, "lines-pairs")
     found: list[common.Stored] = []
 
+    def of_block(ids: DataFrame) -> DataFrame:
+        return ids.select(F.shiftright("id", LINE_BITS).alias("block"), F.lit(2).alias("kind"), F.col("id").bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("p"), F.lit(0).alias("n"), null.alias("x"), null.alias("y"), null.alias("z"))
+
+    def listed(block: LineBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        lines = np.array([x[0] for x in got[2]], np.int64)
+        texts, row = block.texts(lines), block.owner(lines)
+        for a, b, hashes, first in passes(texts):
+            registers = sketches(hashes, first)
+            _, kept = common.distinct_in_rows(hashes, first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((number << LINE_BITS) + lines[a:b]), pa.array(np.diff(kept)), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(texts[a:b], pa.binary()), pa.array(block.ids[row[a:b]]), pa.array(lines[a:b] - block.first[row[a:b]])],
+                names=["id", "n", "sketch", "items", "doc_id", "number"],
+            )
+
     def gather(nodes: common.Stored) -> DataFrame:
-        lines = common.semi_by_id(texts.mapInArrow(_listed, "id long, doc_id long, number long, line binary"), nodes.read(), "id")
-        found.append(common.store(lines.groupBy("id").agg(F.min(F.struct("doc_id", "number", "line")).alias("x")).select("id", "x.*"), "lines-found"))
-        return found[0].read().select("id", "line").mapInArrow(_sets, "id long, n long, sketch binary, items binary")
+        found.append(common.store(blocks.with_answers(made, [of_block(nodes.read())], LineBlock, listed, "id long, n long, sketch binary, items binary, doc_id long, number long"), "lines-found"))
+        return found[0].read().select("id", "n", "sketch", "items")
 
-    joined = near_dedup.settle(pairs, gather, percent, "lines", _expanded)
+    joined = near_dedup.settle(pairs, gather, percent, "lines", _sets)
     placed = found[0].read().select("id", "doc_id", "number").join(joined.read(), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "number", "id")).alias("first"))
-    losers = placed.join(first, "component").filter("id <> first.id").select("id")
-
-    def dropped(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_iter:
-            ids = batch.column(0).to_numpy().view(np.uint64)
-            rows = [{"p": p, "block": -1, "keys": ids[x].tobytes(), "checks": np.zeros(len(x), np.uint32).tobytes(), "docs": np.diff(np.full(len(x), FIRST), prepend=0).tobytes()} for p, x in buckets.deal(ids, to)]
-            yield pa.RecordBatch.from_pylist(rows, schema=substring_dedup.SENT)
-
-    blocks = common.store(substring_dedup.packed(docs), "lines-blocks")
-
-    def sent(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_iter:
-            for number, rows in zip(batch.column(0), batch.column(1), strict=True):
-                block = LineBlock(rows.as_py())
-                ids, owner = block.ids[block.new], block.docs[np.searchsorted(block.first, block.new, side="right") - 1]
-                out = [{"p": p, "block": number.as_py(), "keys": ids[x].tobytes(), "checks": np.zeros(len(x), np.uint32).tobytes(), "docs": np.diff(owner[x], prepend=0).tobytes()} for p, x in buckets.deal(ids, to)]
-                yield pa.RecordBatch.from_pylist(out, schema=substring_dedup.SENT)
-
-    everything = blocks.read().mapInArrow(sent, substring_dedup.SENT_DDL).unionByName(losers.mapInArrow(dropped, substring_dedup.SENT_DDL))
-    answers = common.store(everything.repartition(tasks, "p").mapInArrow(substring_dedup.meet(1), substring_dedup.ANSWER_DDL), "lines-answers")
+    # Both sums are partial before the exchange, and the join is by line, so a component of any size is spread out.
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "number", "id")).alias("first")).select(F.col("first.id").alias("id"))
+    losers = common.store(placed.select("id").join(first, "id", "left_anti"), "lines-losers")
     found[0].drop()
     joined.drop()
-    return blocks, answers, to
+    return made, [exact.read(), of_block(losers.read())], to
 
 
-def _kept_texts(block: LineBlock, gone: np.ndarray) -> Iterator[tuple[int, int, int, bytes | None]]:
-    """(row, lines, removed lines, text of the lines that stay) of each document; no text where all stay."""
-    raw, starts, ends = block.data.tobytes(), block.starts.tolist(), block.ends.tolist()
-    for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
-        n = int(gone[a:b].sum())
-        yield i, int(block.ink[a:b].sum()), n, b"\n".join(raw[starts[k] : ends[k]] for k in (np.flatnonzero(~gone[a:b]) + a).tolist()) if n else None
+def _kept_texts(block: LineBlock, gone: np.ndarray) -> dict[int, bytes]:
+    """Texts of the lines that stay, of the documents that lose some."""
+    raw, total = block.data.tobytes(), np.concatenate([[0], np.cumsum(gone)])[block.first]
+    out = {}
+    for i in np.flatnonzero(np.diff(total)).tolist():
+        left = np.flatnonzero(~gone[block.first[i] : block.first[i + 1]]) + block.first[i]
+        out[i] = b"\n".join([raw[a:b] for a, b in zip(block.starts[left].tolist(), block.ends[left].tolist(), strict=True)])
+    return out
 
 
 def digests(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text)."""
     common.tune(docs.sparkSession)
-    blocks, answers, to = _steps(common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), percent)
+    made, answers, to = _steps(common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), percent)
 
-    def use(block: LineBlock, _: np.ndarray, got: dict, __: int) -> Iterator[pa.RecordBatch]:
-        rows = list(_kept_texts(block, block.removed(got, to)))
-        texts = [(x or "").encode() if kept is None else kept for x, (_, _, _, kept) in zip(block.table.column("text").to_pylist(), rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
+    def use(block: LineBlock, got: blocks.Answers, _: int) -> Iterator[pa.RecordBatch]:
+        gone = block.removed(got, to)
+        lines, removed = (np.diff(np.concatenate([[0], np.cumsum(x)])[block.first]) for x in (block.ink, gone))
+        raw, kept = block.data.tobytes(), _kept_texts(block, gone)
+        shas = [hashlib.sha256(kept[i] if i in kept else raw[a:b]).hexdigest() for i, (a, b) in enumerate(zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True))]
+        yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), pa.array(lines), pa.array(removed), pa.array(shas, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    return substring_dedup.with_answers(blocks, [answers], LineBlock, to, use, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return blocks.with_answers(made, answers, LineBlock, use, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated lines cut out of ``text``; other texts stay as they are."""
     common.tune(docs.sparkSession)
-    schema = docs.schema
-    blocks, answers, to = _steps(docs, percent)
-
-    def use(block: LineBlock, _: np.ndarray, got: dict, __: int) -> Iterator[pa.RecordBatch]:
-        texts = block.table.column("text").to_pylist()
-        for i, _, n, kept in _kept_texts(block, block.removed(got, to)):
-            if n:
-                texts[i] = kept.decode()
-        at = block.table.schema.get_field_index("text")
-        table = block.table.set_column(at, block.table.schema.field(at), pa.chunked_array([pa.array(texts, block.table.schema.field(at).type)]))
-        yield from table.to_batches()
-
-    return substring_dedup.with_answers(blocks, [answers], LineBlock, to, use, schema)
+    made, answers, to = _steps(docs, percent)
+
+    def use(block: LineBlock, got: blocks.Answers, _: int) -> Iterator[pa.RecordBatch]:
+        yield from block.with_texts(_kept_texts(block, block.removed(got, to))).to_batches()
+
+    return blocks.with_answers(made, answers, LineBlock, use, docs.schema)

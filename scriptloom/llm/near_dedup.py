@@ -24,7 +24,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm import buckets, common
@@ -36,6 +37,8 @@ EMPTY = np.uint16(0xFFFF)
 FIRST_PIVOTS = 3
 #: Sets and shingles in a pack, about, and matches expanded at once when two packs are compared.
 PACK_SETS, PACK_ITEMS, EXPANDED = 128, 24_000, 1 << 20
+#: Packs that one pack meets in one task.
+MET = 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +46,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     starts, ends, first = common.word_spans(data, offsets)
     hashes = common.word_hashes(data, starts, ends, lower=True)
     n = np.diff(first)
-    out, _, rows = common.window_hashes(hashes, first, words)
-    owner = np.repeat(np.arange(len(n)), np.diff(rows))
-    short = np.flatnonzero((n > 0) & (n < words))
-    if len(short):
-        out = np.concatenate([out, common.span_hash(hashes, first[short], first[short + 1], common.WINDOW_BASE)])
-        owner = np.concatenate([owner, short])
-    order = np.lexsort((out, owner))
-    out, owner = out[order], owner[order]
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
-    return out[keep], np.searchsorted(owner[keep], np.arange(len(n) + 1))
+    at, rows = common.window_places(first, words)
+    counts = np.where(n < words, np.minimum(n, 1), n - words + 1)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(begin[-1], np.uint64)
+    out[np.arange(len(at)) + np.repeat(begin[:-1] - rows[:-1], np.diff(rows))] = common.run_hashes(hashes, at, words)
+    for size in range(1, words):
+        short = np.flatnonzero(n == size)
+        if len(short):
+            out[begin[short]] = common.run_hashes(hashes[(first[short][:, None] + np.arange(size)).ravel()], np.arange(len(short)) * size, size)
+    return common.distinct_in_rows(out, begin)
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                 registers = sketches(hashes, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(first)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "n", "a", "b", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, sketch binary")
+    return docs.transform(common.in_arrow, run, "doc_id long, n long, a long, b long, sketch binary")
 
 
 def packed_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -139,7 +141,7 @@ def packed_sets(docs: DataFrame, words: int) -> DataFrame:
                 registers = sketches(hashes, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(first)), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([hashes[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["id", "n", "sketch", "items"])
 
-    return docs.mapInArrow(run, "id long, n long, sketch binary, items binary")
+    return docs.transform(common.in_arrow, run, "id long, n long, sketch binary, items binary")
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
@@ -179,11 +181,18 @@ def as_hashes(items: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in items]
 
 
+def pieces_of(batch_iter: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the binary columns named add up to a pass at most."""
+    for batch in batch_iter:
+        for a, b in common.slices(sum(pc.binary_length(batch.column(c)).to_numpy() for c in columns), common.PASS_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def _verified(percent: int, expand: Expand):
     """Keeps pairs (u, v, iu, iv) whose full sets are similar enough."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_iter:
+        for batch in pieces_of(batch_iter, 2, 3):
             keep = []
             for a, b in zip(expand(batch.column(2).to_pylist()), expand(batch.column(3).to_pylist()), strict=True):
                 both = np.concatenate([a, b])
@@ -216,7 +225,7 @@ def _packs(rows: DataFrame, partitions: int) -> DataFrame:
                 held.append((i, label, x))
         yield from flush()
 
-    return rows.repartition(partitions, "part", "pack").sortWithinPartitions("part", "pack").mapInArrow(run, "part long, pack long, ids binary, components binary, ends binary, items binary")
+    return rows.repartition(partitions, "part", "pack").sortWithinPartitions("part", "pack").transform(common.in_arrow, run, "part long, pack long, ids binary, components binary, ends binary, items binary")
 
 
 class Pack:
@@ -227,56 +236,53 @@ class Pack:
         cuts = [0, *np.frombuffer(ends, np.int64).tolist()]
         sets = expand([items[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
         self.sizes = np.array([len(x) for x in sets], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.items = np.concatenate(sets)
+        items = np.concatenate(sets)
+        order = np.argsort(items)
+        self.items, self.owner = items[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
 
 def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids and components of similar sets of unequal components: for each set of ``a`` one of each component of ``b``."""
-    order = np.argsort(b.items, kind="stable")
-    items, owner = b.items[order], np.repeat(np.arange(len(b.ids)), b.sizes)[order]
-    low, high = np.searchsorted(items, a.items, "left"), np.searchsorted(items, a.items, "right")
-    hits = high - low
-    total = np.concatenate([[0], np.cumsum(hits)])
-    none = np.zeros(0, np.int64)
-    found = [(none, none, none, none)]
-    for i, j in common.slices(total[a.ends] - total[a.ends - a.sizes] + len(b.ids), EXPANDED):
-        x = slice(int(a.ends[i] - a.sizes[i]), int(a.ends[j - 1]))
-        n = hits[x]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[x], n)
-        mine = np.repeat(np.repeat(np.arange(j - i), a.sizes[i:j]), n)
-        same = np.bincount(mine * len(b.ids) + owner[at], minlength=(j - i) * len(b.ids)).reshape(j - i, -1)
-        near = 100 * same >= percent * (a.sizes[i:j, None] + b.sizes[None, :] - same)
-        near &= a.components[i:j, None] != b.components[None, :]
-        u, v = np.nonzero(near)
-        _, first = np.unique(np.stack([u, b.components[v]]), axis=1, return_index=True)
-        u, v = i + u[first], v[first]
-        found.append((a.ids[u], b.ids[v], a.components[u], b.components[v]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    low = np.searchsorted(b.items, a.items, "left")
+    hit = np.flatnonzero(b.items[np.minimum(low, len(b.items) - 1)] == a.items) if len(b.items) else np.zeros(0, np.int64)
+    low, mine = low[hit], a.owner[hit]
+    hits = np.searchsorted(b.items, a.items[hit], "right") - low
+    same = np.zeros(len(a.ids) * len(b.ids), np.int64)
+    for i, j in common.slices(hits, EXPANDED):
+        n = hits[i:j]
+        at = np.arange(n.sum()) + np.repeat(low[i:j] - np.cumsum(n) + n, n)
+        same += np.bincount(np.repeat(mine[i:j], n) * len(b.ids) + b.owner[at], minlength=len(same))
+    same = same.reshape(len(a.ids), -1)
+    near = 100 * same >= percent * (a.sizes[:, None] + b.sizes[None, :] - same)
+    near &= a.components[:, None] != b.components[None, :]
+    u, v = np.nonzero(near)
+    kinds, codes = np.unique(b.components, return_inverse=True)
+    _, first = np.unique(u * len(kinds) + codes[v], return_index=True)
+    u, v = u[first], v[first]
+    return a.ids[u], b.ids[v], a.components[u], b.components[v]
 
 
 def _compared(percent: int, expand: Expand):
-    """Links between the two packs of each (part, i, j); i = j is one pack with itself.
+    """Links between the first pack of each (part, i, g), its own if ``alone``, and the packs j that follow it.
 
     A task leaves out links between components that its earlier links have joined already.
     """
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = buckets.Forest()
-        waiting: tuple[tuple[int, int, int], Pack] | None = None
+        first: Pack | None = None
         for batch in batch_iter:
             for row in range(batch.num_rows):
-                part, i, j, *packed = (batch.column(c)[row].as_py() for c in range(7))
+                _, _, _, j, alone, *packed = (batch.column(c)[row].as_py() for c in range(9))
                 pack = Pack(*packed, expand)
-                if i == j:
-                    links = cross_links(pack, pack, percent)
-                elif waiting is not None and waiting[0] == (part, i, j):
-                    links = cross_links(waiting[1], pack, percent)
-                else:
-                    waiting = ((part, i, j), pack)
-                    continue
+                if j < 0:
+                    first = pack
+                    if not alone:
+                        continue
+                links = cross_links(first, pack, percent)
                 new = np.array([forest.join(x, y) for x, y in zip(links[2].tolist(), links[3].tolist(), strict=True)], bool)
-                yield pa.RecordBatch.from_arrays([pa.array(links[0][new]), pa.array(links[1][new])], names=["u", "v"])
+                if len(new):
+                    yield pa.RecordBatch.from_arrays([pa.array(links[0][new]), pa.array(links[1][new])], names=["u", "v"])
 
     return run
 
@@ -301,11 +307,12 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     gathered = kept(gather(nodes), "sets")
     u = gathered.read().select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     v = gathered.read().select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    hopeful = kept(pairs.read().join(v, "v").join(u, "u").select("u", "v", "n", "nu", "nv", "su", "sv").mapInArrow(_hopeful(percent), "u long, v long, n long"), "hopeful")
-    first = hopeful.read().groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "u")), asc=False), 1, FIRST_PIVOTS).alias("x")).select("v", F.explode("x.u").alias("u"))
+    hopeful = kept(pairs.read().join(v, "v").join(u, "u").select("u", "v", "n", "nu", "nv", "su", "sv").transform(common.in_arrow, _hopeful(percent), "u long, v long, n long"), "hopeful")
+    frequent = Window.partitionBy("v").orderBy(F.col("n").desc(), F.col("u").desc())
+    first = hopeful.read().withColumn("rank", F.row_number().over(frequent)).filter(F.col("rank") <= FIRST_PIVOTS).select("v", "u")
     su = gathered.read().select(F.col("id").alias("u"), F.col("items").alias("iu"))
     sv = gathered.read().select(F.col("id").alias("v"), F.col("items").alias("iv"))
-    links = kept(first.join(sv, "v").join(su, "u").select("u", "v", "iu", "iv").mapInArrow(_verified(percent, expand), "u long, v long"), "links")
+    links = kept(first.join(sv, "v").join(su, "u").select("u", "v", "iu", "iv").transform(common.in_arrow, _verified(percent, expand), "u long, v long"), "links")
     joined = buckets.components(spark, links.read(), f"{label}-components")
     made.append(joined)
 
@@ -333,10 +340,16 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     salt = F.xxhash64("id")
     dealt = members.read().join(split, "part").select("part", F.when(F.col("component") == F.col("main"), F.pmod(salt, "inside")).otherwise(F.col("inside") + F.pmod(salt, "outside")).alias("pack"), "id", "component", "items")
     packs = _packs(dealt, tasks).join(split.drop("main"), "part")
-    # Packs of the largest component meet those outside it; packs outside it meet all.
-    other = F.explode(F.when(F.col("pack") < F.col("inside"), F.sequence("inside", F.col("inside") + F.col("outside") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("inside") + F.col("outside") - 1)))
-    met = packs.withColumn("other", other).select("part", F.least("pack", "other").alias("i"), F.greatest("pack", "other").alias("j"), "ids", "components", "ends", "items")
-    more = kept(met.repartition(tasks, "part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_compared(percent, expand), "u long, v long"), "more-links")
+    # Packs of the largest component meet those outside it; packs outside it meet all. A pack i goes once to each
+    # group of MET packs j that it meets, and each j to the group in which i meets it.
+    packed_ = ["ids", "components", "ends", "items"]
+    last = F.col("inside") + F.col("outside") - 1
+    group = (F.col("pack") / MET).cast("long")
+    groups = F.explode(F.sequence((F.greatest("pack", "inside") / MET).cast("long"), (last / MET).cast("long")))
+    given = packs.filter("outside > 0").withColumn("g", groups).select("part", F.col("pack").alias("i"), "g", F.lit(-1).cast("long").alias("j"), ((F.col("pack") >= F.col("inside")) & (F.col("g") == group)).alias("alone"), *packed_)
+    others = packs.filter("pack >= inside and pack > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pack") - 1))).select("part", "i", group.alias("g"), F.col("pack").alias("j"), F.lit(False).alias("alone"), *packed_)
+    met = given.union(others).repartition(tasks, "part", "i", "g").sortWithinPartitions("part", "i", "g", "j")
+    more = kept(met.transform(common.in_arrow, _compared(percent, expand), "u long, v long"), "more-links")
     stars = joined.read().select(F.col("id").alias("u"), F.col("component").alias("v"))
     final = buckets.components(spark, stars.union(more.read()), f"{label}-final")
     for done in made:
@@ -350,7 +363,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     common.tune(spark)
     texts = common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     profile = common.store(profiles(texts, words), "near-profiles")
-    linked = profile.read().filter("n > 0 and doc_id is not null")
+    countable = F.expr("n > 0 and doc_id is not null")
+    linked = profile.read().filter(countable)
     classes = common.store(linked.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
     first = linked.select("doc_id", "sketch").join(classes.read().select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     pairs = buckets.bucket_pairs(first.select("doc_id", "sketch"), banded, common.shuffle_partitions(spark), "near-pairs")
@@ -360,9 +374,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
 
     final = settle(pairs, gather, percent, "near")
     named = classes.read().join(final.read().withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = profile.read().select("doc_id", "n", "a", "b").join(named, ["a", "b", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # Classes of any size are split by Spark's skew join; rows that are linked with nothing stay out of it.
+    joined = linked.select("doc_id", "n", "a", "b").join(named, ["a", "b", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = profile.read().filter(~countable | F.isnull(countable)).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:

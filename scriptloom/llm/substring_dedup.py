@@ -1,13 +1,18 @@
 """Removal of repeated word spans over a compacted de Bruijn graph of word k-mers.
 
-An edge of the graph is a window of 20 consecutive words. Documents are packed into compressed blocks.
+An edge of the graph is a window of 20 consecutive words. Documents are packed into blocks (module
+blocks); a coordinate is a block and a word's place there.
 1. As builders of compacted graphs do, every window is assigned to its minimiser (the least hash of the
    8-word runs inside it); each block sends its distinct minimisers, and learns which other blocks have
    too. Windows under a minimiser that no other block has cannot repeat outside their block.
-2. The remaining windows, each block's first occurrences only, meet by hash (96 bits). All but the
-   earliest learn that they repeat, and the document of the earliest.
-3. Joined back to the blocks, runs of consecutive repeated edges with one source compact into paths; a
-   path's words are removed, and its coordinates are those of the span in its own document.
+2. The remaining windows, each block's first occurrences only, meet by hash. All but the earliest learn
+   that they repeat, and the coordinate of the earliest, the edge's source.
+3. Edges that follow one another in a document and at their source compact into runs; a run ends where
+   the graph branches for this document. Joins by source bring the ends of all runs together: what lies
+   between two ends is a nonbranching path, passed as a whole by all documents that touch it.
+4. Joined back to the blocks of their sources, runs are verified: the words at the source coordinates
+   are compared, by 128-bit digests of their bytes, with those of the run. Only words of verified runs
+   are removed.
 Answers travel as bit maps over what a block sent, so blocks recompute instead of storing windows.
 
 Edge cases: a null or empty text has no words; texts shorter than a window keep all words; texts of any
@@ -19,275 +24,229 @@ through by ``without_repeats``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from scriptloom.llm import buckets, common
-
-#: Bytes of text in a block, and words of the runs whose least hash is a window's minimiser.
-BLOCK_BYTES, SEED_WORDS = 2 << 20, 8
-LAST = np.iinfo(np.int64).max
-SENT_DDL = "p int, block long, keys binary, checks binary, docs binary"
-ANSWER_DDL = "block long, kind int, p int, bits binary, docs binary"
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """(block, rows): row batches of ``docs``, each in order of doc_id and compressed."""
-
-    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.enter("blocks")
-        base, made = TaskContext.get().partitionId() << 24, 0
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as out:
-                out.write_table(rows)
-            return pa.RecordBatch.from_pydict({"block": pa.array([base + made], pa.int64()), "rows": [zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())]})
-
-        for batch in batch_iter:
-            _, offsets = common.text_buffer(batch.column(batch.schema.get_field_index("text")))
-            for a, b in common.slices(np.diff(offsets), BLOCK_BYTES // 4):
-                held.append(batch.slice(a, b - a))
-                size += int(offsets[b] - offsets[a])
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    held, size, made = [], 0, made + 1
-        if held:
-            yield flush()
-
-    return docs.mapInArrow(run, "block long, rows binary")
-
-
-class Block:
-    """The windows of a packed block, recomputed at each step."""
-
-    def __init__(self, rows: bytes, words: int) -> None:
-        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_all().combine_chunks()
-        self.table = table
-        self.ids = table.column("doc_id").combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False)
-        self.data, self.offsets = common.text_buffer(table.column("text"))
+
+from scriptloom.llm import blocks, buckets, common
+
+#: Words of the runs whose least hash is a window's minimiser.
+SEED_WORDS = 8
+#: Seeds of the two independent hashes of words.
+KEY, CHECK = 0, 1
+
+
+class WordBlock(blocks.Block):
+    """The words of a packed block; windows and minimisers on demand."""
+
+    def __init__(self, rows: bytes) -> None:
+        super().__init__(rows)
         self.starts, self.ends, self.first = common.word_spans(self.data, self.offsets)
-        hashes = common.word_hashes(self.data, self.starts, self.ends)
-        self.words = words
-        self.keys, self.at, self.window = common.window_hashes(hashes, self.first, words)
-        self.checks = (common.window_hashes(hashes, self.first, words, common.CHECK_BASE)[0] >> np.uint64(32)).astype(np.uint32)
-        n = len(hashes) - SEED_WORDS + 1
-        if len(self.at):
-            place = np.arange(n)
-            least = common.span_hash(hashes, place, place + SEED_WORDS, common.CHECK_BASE)
-            span, need = 1, words - SEED_WORDS + 1
-            while 2 * span <= need:
-                least = np.minimum(least[: len(least) - span], least[span:])
-                span *= 2
-            self.seeds = np.minimum(least[self.at], least[self.at + need - span])
-        else:
-            self.seeds = np.zeros(0, np.uint64)
-        self.anchors = np.unique(self.seeds)
+        self.sizes = (self.ends - self.starts).astype(np.uint32)
+
+    def minimisers(self, hashes: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+        """The least hash of a run of SEED_WORDS words in each window."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        least = common.run_hashes(hashes, np.arange(len(hashes) - SEED_WORDS + 1), SEED_WORDS)
+        span, need = 1, words - SEED_WORDS + 1
+        while 2 * span <= need:
+            least = np.minimum(least[: len(least) - span], least[span:])
+            span *= 2
+        return np.minimum(least[at], least[at + need - span])
+
+    def seeds(self, words: int) -> np.ndarray:
+        """The distinct minimisers, ascending."""
+        at, _ = common.window_places(self.first, words)
+        return np.unique(self.minimisers(common.word_hashes(self.data, self.starts, self.ends, seed=KEY), at, words))
+
+    def windows(self, words: int, answers: dict[int, tuple], to: np.ndarray) -> None:
+        """Keys and checks of all windows, repeats within the block, and what the block sends of them."""
+        hashes = common.word_hashes(self.data, self.starts, self.ends, seed=KEY)
+        self.at, self.rows = common.window_places(self.first, words)
+        self.keys = common.run_hashes(hashes, self.at, words)
+        minimisers = self.minimisers(hashes, self.at, words)
+        hashes = common.word_hashes(self.data, self.starts, self.ends, seed=CHECK)
+        self.checks = (common.run_hashes(hashes, self.at, words, CHECK) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(self.keys, kind="stable")
         k, c = self.keys[order], self.checks[order]
         again = np.zeros(len(order), bool)
         again[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-        # Equal keys of unequal check values, should they occur, may part equal windows; put them side by side.
-        if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
-            order = np.lexsort((np.arange(len(order)), self.checks, self.keys))
+        if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():  # unlike windows of one key may part equal ones
+            order = np.lexsort((self.checks, self.keys))
             k, c = self.keys[order], self.checks[order]
             again[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
         self.order, self.again = order, again
+        anchors = np.unique(minimisers)
+        new = np.zeros(len(self.keys), bool)
+        new[order[~again]] = True
+        elsewhere = anchors[blocks.told(answers, anchors, to)[0]]
+        self.sent = np.flatnonzero(new & np.isin(minimisers, elsewhere))
 
     def owner(self, windows: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.window, windows, side="right") - 1
-
-    def sent_windows(self, shared: np.ndarray) -> np.ndarray:
-        """First occurrences in this block of windows under minimisers that other blocks have too."""
-        new = np.zeros(len(self.keys), bool)
-        new[self.order[~self.again]] = True
-        return np.flatnonzero(new & np.isin(self.seeds, shared))
-
-    def removed(self, shared: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray]], to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows that occur earlier, and the document in which each first occurs."""
-        source = np.full(len(self.keys), -1, np.int64)
-        repeated = np.zeros(len(self.keys), bool)
-        sent = self.sent_windows(shared)
-        for p, x in buckets.deal(self.keys[sent], to):
-            if p in answers:
-                bits, docs = answers[p]
-                mine = sent[x][np.unpackbits(bits, count=len(x)).astype(bool)]
-                repeated[mine], source[mine] = True, docs
-        own = self.ids[self.owner(np.arange(len(self.keys)))] if len(self.keys) else source
-        here = np.where(repeated, source, own)
-        start = np.maximum.accumulate(np.where(~self.again, np.arange(len(self.order)), 0)) if len(self.order) else self.order
-        later = self.order[self.again]
-        source[later] = here[self.order[start[self.again]]]
-        repeated[later] = True
-        return repeated, source
-
-
-def _steps(docs: DataFrame, words: int) -> tuple[common.Stored, common.Stored, np.ndarray]:
-    """The stored blocks and the answers they got: (block, kind, p, bits, docs)."""
-    spark = docs.sparkSession
-    tasks = common.shuffle_partitions(spark)
+        return np.searchsorted(self.rows, windows, side="right") - 1
+
+    def sources(self, number: int, answers: dict[int, tuple], to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The coordinate (block, or -1, and place) of each window that occurs earlier."""
+        holder, place = np.full(len(self.keys), -1, np.int64), np.zeros(len(self.keys), np.int64)
+        named, holders, places = blocks.told(answers, self.keys[self.sent], to)
+        holder[self.sent[named]], place[self.sent[named]] = holders, places
+        if len(self.order):
+            start = self.order[np.maximum.accumulate(np.where(~self.again, np.arange(len(self.order)), 0))][self.again]
+            later = self.order[self.again]
+            outside = holder[start] >= 0
+            holder[later] = np.where(outside, holder[start], number)
+            place[later] = np.where(outside, place[start], self.at[start])
+        return holder, place
+
+    def digest(self, spans: list[tuple[int, int]]) -> list[bytes]:
+        """128-bit digests of the bytes of words and their lengths, for spans (first word, end)."""
+        if not hasattr(self, "ink"):
+            self.ink = self.data[common.ink(self.data)].tobytes()
+            self.ink_at = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        return [xxhash.xxh3_128_digest(self.ink[self.ink_at[a] : self.ink_at[b]] + self.sizes[a:b].tobytes()) for a, b in spans]
+
+    def kept(self, gone: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Each row's words that stay, joined by one space: bytes and offsets."""
+        stay = np.flatnonzero(~gone)
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts[stay]] += 1
+        edge[self.ends[stay]] -= 1
+        mask = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        row = np.searchsorted(self.first, stay, side="right") - 1
+        between = self.ends[stay[:-1][row[1:] == row[:-1]]] if len(stay) else stay
+        mask[between] = True
+        data = self.data.copy()
+        data[between] = 32
+        return data[mask].tobytes(), np.concatenate([[0], np.cumsum(mask)])[self.offsets]
+
+
+def repeats(docs: DataFrame, words: int) -> tuple[common.Stored, common.Stored]:
+    """The stored blocks, and the stored runs (block, at, n, source, source_at, digest) of n repeated edges."""
+    tasks = common.shuffle_partitions(docs.sparkSession)
     to = buckets.partition_keys(tasks)
-    blocks = common.store(packed(docs), "repeats-blocks")
-
-    def seeds(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_iter:
-            for block, rows in zip(batch.column(0), batch.column(1), strict=True):
-                anchors = Block(rows.as_py(), words).anchors
-                sent = [{"p": p, "block": block.as_py(), "keys": anchors[x].tobytes(), "checks": b"", "docs": b""} for p, x in buckets.deal(anchors, to)]
-                yield pa.RecordBatch.from_pylist(sent, schema=SENT)
-
-    first = common.store(blocks.read().mapInArrow(seeds, SENT_DDL).repartition(tasks, "p").mapInArrow(meet(0), ANSWER_DDL), "repeats-minimisers")
-
-    def windows(block: Block, shared: np.ndarray, _: dict, number: int) -> Iterator[pa.RecordBatch]:
-        sent = block.sent_windows(shared)
-        docs_ = block.ids[block.owner(sent)]
-        rows = [{"p": p, "block": number, "keys": block.keys[sent[x]].tobytes(), "checks": block.checks[sent[x]].tobytes(), "docs": np.diff(docs_[x], prepend=0).tobytes()} for p, x in buckets.deal(block.keys[sent], to)]
-        yield pa.RecordBatch.from_pylist(rows, schema=SENT)
-
-    sent = with_answers(blocks, [first], partial(Block, words=words), to, windows, SENT_DDL)
-    second = common.store(sent.repartition(tasks, "p").mapInArrow(meet(1), ANSWER_DDL), "repeats-windows")
-    answers = common.store(first.read().unionByName(second.read()), "repeats-answers")
+    made = common.store(blocks.packed(docs), "repeats-blocks")
+
+    def seeds(block: WordBlock, _: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        yield blocks.sending(number, to, block.seeds(words))
+
+    sent = blocks.with_answers(made, [], WordBlock, seeds, blocks.SENT_DDL)
+    first = common.store(sent.repartition(tasks, "p").transform(common.in_arrow, blocks.shared, blocks.ANSWER_DDL), "repeats-minimisers")
+
+    def windows(block: WordBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        block.windows(words, got[0], to)
+        yield blocks.sending(number, to, block.keys[block.sent], block.checks[block.sent], block.ids[block.owner(block.sent)], block.at[block.sent])
+
+    sent = blocks.with_answers(made, [first.read()], WordBlock, windows, blocks.SENT_DDL)
+    second = common.store(sent.repartition(tasks, "p").transform(common.in_arrow, blocks.earlier(np.uint32, True), blocks.ANSWER_DDL), "repeats-windows")
+
+    def runs(block: WordBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        block.windows(words, got[0], to)
+        holder, place = block.sources(number, got[1], to)
+        hit = np.flatnonzero(holder >= 0)
+        at, source, source_at, row = block.at[hit], holder[hit], place[hit], block.owner(hit)
+        new = np.ones(len(hit), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (source_at[1:] != source_at[:-1] + 1) | (row[1:] != row[:-1])
+        head = np.flatnonzero(new)
+        n = np.diff(np.append(head, len(hit)))
+        digests_ = block.digest(list(zip(at[head].tolist(), (at[head] + n + words - 1).tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(head), pa.int64()), *(pa.array(x.astype(np.int64)) for x in (at[head], n, source[head], source_at[head])), pa.array(digests_, pa.binary())], names=["block", "at", "n", "source", "source_at", "digest"])
+
+    found = common.store(blocks.with_answers(made, [first.read(), second.read()], WordBlock, runs, "block long, at long, n long, source long, source_at long, digest binary"), "repeats-runs")
     first.drop()
     second.drop()
-    return blocks, answers, to
-
-
-SENT = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
-ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("bits", pa.binary()), ("docs", pa.binary())])
-
-
-def meet(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Answers blocks which of their minimisers others have (0), or which windows occur earlier, and where (1)."""
-
-    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for batch in batch_iter:
-            for p, block, keys, checks, docs in zip(*(batch.column(i) for i in range(5)), strict=True):
-                rows.setdefault(p.as_py(), []).append((block.as_py(), np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(checks.as_py(), np.uint32), np.cumsum(np.frombuffer(docs.as_py(), np.int64))))
-        for p, sent in rows.items():
-            sent.sort(key=lambda x: x[0])
-            sizes = [len(x[1]) for x in sent]
-            keys = np.concatenate([x[1] for x in sent])
-            if kind:
-                checks, docs = np.concatenate([x[2] for x in sent]), np.concatenate([x[3] for x in sent])
-                order = np.lexsort((np.arange(len(keys)), docs, checks, keys))
-                same = (keys[order[1:]] == keys[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
-            else:
-                order = np.argsort(keys, kind="stable")
-                same = keys[order[1:]] == keys[order[:-1]]
-            mark, source = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-            mark[order[1:]] = same
-            if kind:
-                head = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
-                source[order] = docs[order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]]
-            else:
-                mark[order[:-1]] |= same
-            end = 0
-            for (block, _, _, _), size in zip(sent, sizes, strict=True):
-                a, end = end, end + size
-                if mark[a:end].any():
-                    found = np.diff(source[a:end][mark[a:end]], prepend=0).tobytes() if kind else b""
-                    yield pa.RecordBatch.from_pylist([{"block": block, "kind": kind, "p": p, "bits": np.packbits(mark[a:end]).tobytes(), "docs": found}], schema=ANSWER)
-
-    return run
-
-
-def with_answers(blocks: common.Stored, answers: list[common.Stored], make: Callable, to: np.ndarray, use: Callable, ddl: str | StructType) -> DataFrame:
-    """Makes each block, brings it together with its answers and calls ``use(block, shared, answers, number)``."""
-    spark = blocks.spark
-    none = [F.lit(None).cast("binary").alias(c) for c in ("bits", "docs")]
-    rows = blocks.read().select("block", F.lit(9).alias("kind"), F.lit(0).alias("p"), *none, "rows")
-    for stored in answers:
-        rows = rows.unionByName(stored.read().withColumn("rows", F.lit(None).cast("binary")))
-
-    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, got = -1, ({}, {})
-        for batch in batch_iter:
-            for i in range(batch.num_rows):
-                block, kind, p, bits, docs, data = (batch.column(c)[i].as_py() for c in range(6))
-                if block != number:
-                    number, got = block, ({}, {})
-                if kind == 9:
-                    full = make(data)
-                    shared = [full.anchors[x][np.unpackbits(got[0][p][0], count=len(x)).astype(bool)] for p, x in buckets.deal(full.anchors, to) if p in got[0]]
-                    yield from use(full, np.concatenate(shared) if shared else np.zeros(0, np.uint64), got[1], number)
-                else:
-                    got[kind][p] = np.frombuffer(bits, np.uint8), np.cumsum(np.frombuffer(docs, np.int64))
-
-    return rows.repartition(common.shuffle_partitions(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(run, ddl)
-
-
-def _covered(block: Block, repeated: np.ndarray) -> np.ndarray:
-    """Words that a repeated window covers."""
+    return made, found
+
+
+def paths(runs: DataFrame) -> DataFrame:
+    """(source, start, n, uses): the nonbranching paths of n edges, at their sources, and how many runs pass through each.
+
+    Runs start and end where the graph branches; between two such places of one source all runs go the
+    same way. The places of a source are no more than its block's words, however many runs share them.
+    """
+    passed = runs.groupBy("source", "source_at", "n").agg(F.count("*").alias("uses"))
+    ends = passed.select("source", F.col("source_at").alias("start"), "uses").union(passed.select("source", F.col("source_at") + F.col("n"), -F.col("uses")))
+    ordered = Window.partitionBy("source").orderBy("start")
+    cut = ends.groupBy("source", "start").agg(F.sum("uses").alias("change"))
+    swept = cut.select("source", "start", (F.lead("start").over(ordered) - F.col("start")).alias("n"), F.sum("change").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("uses"))
+    return swept.filter("uses > 0")
+
+
+def verified(made: common.Stored, runs: common.Stored, words: int) -> DataFrame:
+    """Those runs whose words are the words at their source, as answers to their blocks."""
+    asked = runs.read().select("source", "source_at", "n").distinct()
+    null = F.lit(None).cast("binary")
+
+    def told(block: str, at: str, df: DataFrame) -> DataFrame:
+        return df.select(F.col(block).alias("block"), F.lit(2).alias("kind"), F.col(at).cast("int").alias("p"), F.col("n").cast("int").alias("n"), null.alias("x"), null.alias("y"), null.alias("z"))
+
+    def digests_(block: WordBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        found = block.digest([(at, at + n + words - 1) for at, n, _ in got[2]])
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array([x[0] for x in got[2]], pa.int64()), pa.array([x[1] for x in got[2]], pa.int64()), pa.array(found, pa.binary())], names=["source", "source_at", "n", "there"])
+
+    there = common.store(blocks.with_answers(made, [told("source", "source_at", asked)], WordBlock, digests_, "source long, source_at long, n long, there binary"), "repeats-sources")
+    # A passage that a third of all documents share is one source row and many runs: Spark's skew join splits those.
+    return told("block", "at", runs.read().join(there.read(), ["source", "source_at", "n"]).filter("digest = there"))
+
+
+def _covered(block: WordBlock, spans: list[tuple[int, int, bytes]], words: int) -> np.ndarray:
+    """Words inside the runs given."""
     edge = np.zeros(len(block.starts) + 1, np.int64)
-    np.add.at(edge, block.at[repeated], 1)
-    np.add.at(edge, block.at[repeated] + block.words, -1)
+    at, n = (np.array([x[i] for x in spans], np.int64) for i in (0, 1))
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + n + words - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def digests(docs: DataFrame, words: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text)."""
     common.tune(docs.sparkSession)
-    blocks, answers, to = _steps(common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), words)
+    made, runs = repeats(common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), words)
 
-    def use(block: Block, shared: np.ndarray, got: dict, _: int) -> Iterator[pa.RecordBatch]:
-        gone = _covered(block, block.removed(shared, got, to)[0])
-        data, starts, ends, first = block.data.tobytes(), block.starts.tolist(), block.ends.tolist(), block.first
-        kept, total = [], np.concatenate([[0], np.cumsum(gone)])
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            left = (np.flatnonzero(~gone[a:b]) + a).tolist()
-            kept.append(hashlib.sha256(b" ".join([data[starts[i] : ends[i]] for i in left])).hexdigest())
-        yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def use(block: WordBlock, got: blocks.Answers, _: int) -> Iterator[pa.RecordBatch]:
+        gone = _covered(block, got[2], words)
+        total, (kept, at) = np.concatenate([[0], np.cumsum(gone)]), block.kept(gone)
+        shas = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), pa.array(np.diff(block.first)), pa.array(np.diff(total[block.first])), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_answers(blocks, [answers], partial(Block, words=words), to, use, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return blocks.with_answers(made, [verified(made, runs, words)], WordBlock, use, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def spans(docs: DataFrame, words: int = 20) -> DataFrame:
-    """(doc_id, start, length, source_doc_id): the compacted paths, in words, and where their first edge first occurs."""
+    """(doc_id, start, length, source_doc_id, source_start): the verified runs, in words, and where they stand first."""
     common.tune(docs.sparkSession)
-    blocks, answers, to = _steps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
+    made, runs = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
+    null = F.lit(None).cast("binary")
 
-    def use(block: Block, shared: np.ndarray, got: dict, _: int) -> Iterator[pa.RecordBatch]:
-        repeated, source = block.removed(shared, got, to)
-        at = np.flatnonzero(repeated)
-        new = np.ones(len(at), bool)
-        new[1:] = (block.at[at[1:]] != block.at[at[:-1]] + 1) | (source[at[1:]] != source[at[:-1]]) | (block.owner(at[1:]) != block.owner(at[:-1]))
-        head = np.flatnonzero(new)
-        row = block.owner(at[head])
-        yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(block.at[at[head]] - block.first[row]), pa.array(np.diff(np.append(head, len(at))) + words - 1), pa.array(source[at[head]])], names=["doc_id", "start", "length", "source_doc_id"])
+    def located(block: WordBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+        at = np.unique(np.array([x[0] for x in got[2]], np.int64))
+        row = np.searchsorted(block.first, at, side="right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(at), pa.int64()), pa.array(at), block.table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(at - block.first[row])], names=["block", "at", "doc_id", "start"])
 
-    return with_answers(blocks, [answers], partial(Block, words=words), to, use, "doc_id long, start long, length long, source_doc_id long")
+    good = runs.read().join(verified(made, runs, words).select("block", F.col("p").cast("long").alias("at")), ["block", "at"], "left_semi")
+    wanted = good.select("block", "at").union(good.select("source", "source_at")).distinct()
+    asked = wanted.select("block", F.lit(2).alias("kind"), F.col("at").cast("int").alias("p"), F.lit(0).alias("n"), null.alias("x"), null.alias("y"), null.alias("z"))
+    names = common.store(blocks.with_answers(made, [asked], WordBlock, located, "block long, at long, doc_id long, start long"), "repeats-names").read()
+    source = names.select(F.col("block").alias("source"), F.col("at").alias("source_at"), F.col("doc_id").alias("source_doc_id"), F.col("start").alias("source_start"))
+    return good.join(names, ["block", "at"]).join(source, ["source", "source_at"]).select("doc_id", "start", (F.col("n") + words - 1).alias("length"), "source_doc_id", "source_start")
 
 
 def without_repeats(docs: DataFrame, words: int = 20) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated spans cut out of ``text``; other texts stay as they are."""
     common.tune(docs.sparkSession)
-    schema: StructType = docs.schema
-    blocks, answers, to = _steps(docs, words)
-
-    def use(block: Block, shared: np.ndarray, got: dict, _: int) -> Iterator[pa.RecordBatch]:
-        gone = _covered(block, block.removed(shared, got, to)[0])
-        column = block.table.column("text").combine_chunks()
-        texts, data, first = column.to_pylist(), block.data.tobytes(), block.first
-        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            if not gone[a:b].any():
-                continue
-            left = np.flatnonzero(~gone[a:b]) + a
-            cuts = [*np.split(left, np.flatnonzero(np.diff(left) > 1) + 1)] if len(left) else []
-            texts[i] = b" ".join(data[block.starts[x[0]] : block.ends[x[-1]]] for x in cuts).decode()
-        at = block.table.schema.get_field_index("text")
-        table = block.table.set_column(at, block.table.schema.field(at), pa.chunked_array([pa.array(texts, column.type)]))
-        yield from table.to_batches()
-
-    return with_answers(blocks, [answers], partial(Block, words=words), to, use, schema)
+    made, runs = repeats(docs, words)
+
+    def use(block: WordBlock, got: blocks.Answers, _: int) -> Iterator[pa.RecordBatch]:
+        gone = _covered(block, got[2], words)
+        data, first, texts = block.data.tobytes(), block.first, {}
+        for i in np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(gone)])[first])).tolist():
+            left = np.flatnonzero(~gone[first[i] : first[i + 1]]) + first[i]
+            cuts = np.split(left, np.flatnonzero(np.diff(left) > 1) + 1) if len(left) else []
+            texts[i] = b" ".join(data[block.starts[x[0]] : block.ends[x[-1]]] for x in cuts)
+        yield from block.with_texts(texts).to_batches()
+
+    return blocks.with_answers(made, [verified(made, runs, words)], WordBlock, use, docs.schema)

@@ -100,4 +100,4 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str |
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], schema=SCHEMA)
 
     common.tune(docs.sparkSession)
-    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).transform(common.in_arrow, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -48,8 +48,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
         basis = np.linalg.svd(fitted, full_matrices=False)[2][: dim // 2].T if len(fitted) >= dim else None
     length = F.aggregate("vec", F.lit(0.0), lambda s, v: s + F.pow(F.floor(v * scale), 2))
     ordered = given.select(F.lit(0).alias("part"), "id", "vec", length.alias("length")).repartitionByRange(common.shuffle_partitions(spark), F.desc("length"), F.col("id")).sortWithinPartitions(F.desc("length"), F.col("id"))
-    blocks = common.store(ordered.select("part", "id", "vec").mapInArrow(block_search.packer(dim, block_rows, scale), block_search.BLOCK_DDL), "top-k-candidates")
+    blocks = common.store(ordered.select("part", "id", "vec").transform(common.in_arrow, block_search.packer(dim, block_rows, scale), block_search.BLOCK_DDL), "top-k-candidates")
     askers = asked.select(F.lit(0).alias("part"), "id", "vec").repartition(max(1, -(-n_q // query_rows)))
-    held = common.store(askers.mapInArrow(block_search.packer(dim, query_rows, scale), block_search.BLOCK_DDL), "top-k-queries")
+    held = common.store(askers.transform(common.in_arrow, block_search.packer(dim, query_rows, scale), block_search.BLOCK_DDL), "top-k-queries")
     found = block_search.best_of_stripes(held, blocks, k, True, basis)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("whole").alias("score"))

@@ -74,7 +74,9 @@ def test_estimate_corrects_collisions():
     assert abs(np.mean(errors)) < 0.02
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [200_000, 60])
+def test_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(buckets, "TASK_EDGES", task_edges)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 450)] + [(500, i) for i in range(501, 540)] + [(7, 7)]
     parent = {}
@@ -132,6 +134,10 @@ def test_substring_dedup(docs, corpus, nothing, words):
         assert " ".join(WORD.findall(r.text or "")) == kept[r.doc_id] and r.component_id == "clash"
         assert want[r.doc_id][1] or r.text == before[r.doc_id]
     spans = substring_dedup.spans(docs).collect()
+    where = dict(corpus)
+    for r in spans:  # the words at both coordinates are the same
+        own, there = (WORD.findall(where[i])[k : k + r.length] for i, k in ((r.doc_id, r.start), (r.source_doc_id, r.source_start)))
+        assert len(own) == r.length and own == there and (r.source_doc_id, r.source_start) < (r.doc_id, r.start)
     assert {r.doc_id for r in spans} == {i for i, x in want.items() if x[1]} and all(r.source_doc_id <= r.doc_id for r in spans)
     assert substring_dedup.digests(nothing).collect() == []
 
@@ -167,3 +173,50 @@ def test_line_dedup(docs, corpus, nothing, spark):
     cut = line_dedup.without_repeats(table)
     assert cut.columns == docs.columns and {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in cut.collect()} == {i: x[2] for i, x in want.items()}
     assert line_dedup.digests(nothing).collect() == []
+
+
+def thue_morse(bits):
+    a, b = "a", "b"
+    for _ in range(bits):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Words that are equal under every polynomial hash modulo 2**64 stay unlike, and so do windows of such patterns."""
+    one, other = thue_morse(10)
+    rest = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([other, *rest])), (3, f"x y {one} z t"), (4, f"x y {other} z t"), (5, f"{one}{one[::-1]}"), (6, f"{other}{one[::-1]}")]
+    pattern = [{"a": "u", "b": "v"}[c] for c in thue_morse(4)[0]]
+    rows += [(7, " ".join([*pattern, "c", "d", "e", "f"])), (8, " ".join([*({"u": "v", "v": "u"}[w] for w in pattern), "c", "d", "e", "f"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.digests(table).collect()] == [0] * 8
+    near = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()}
+    assert all(near[i] == i for i in (3, 4, 5, 6, 7, 8))
+    lines = spark.createDataFrame([(1, one * 2), (2, other * 2), (3, "q" + one), (4, "q" + other)], "doc_id long, text string")
+    sets = {r.doc_id: {r.text[i : i + 8] for i in range(len(r.text) - 7)} for r in lines.collect()}
+    component = groups(sets, 80)
+    assert {r.doc_id: r.n_removed for r in line_dedup.digests(lines).collect()} == {i: int(component[i] != i) for i in sets}
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = [(1, " ".join(a + b)), (2, " ".join(a + c)), (3, " ".join(a + b)), (4, " ".join(["z", *a[5:], "y"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    _, runs = substring_dedup.repeats(table, 20)
+    found = sorted((r.start, r.n, r.uses) for r in substring_dedup.paths(runs.read()).collect())
+    # Document 2 leaves a's path after its 21 edges; document 4 joins it 5 edges later and leaves at the same place; 3 goes on.
+    assert found == [(0, 5, 2), (5, 16, 3), (21, 40, 1)]
+    assert {r.doc_id: r.n_removed for r in substring_dedup.digests(table).collect()} == {1: 0, 2: 40, 3: 80, 4: 35}
+
+
+def test_false_matches_are_not_removed(spark):
+    """Runs are removed only if the words at their source are the same."""
+    text = " ".join(f"a{i}" for i in range(20))
+    table = spark.createDataFrame([(1, text), (2, " ".join(f"b{i}" for i in range(20))), (3, text)], "doc_id long, text string").coalesce(1)
+    made, _ = substring_dedup.repeats(table, 20)
+    number, rows = made.read().first()
+    digest = [bytearray(x) for x in substring_dedup.WordBlock(bytes(rows)).digest([(20, 40), (40, 60)])]
+    claims = [(number, 20, 1, number, 0, digest[0]), (number, 40, 1, number, 0, digest[1])]
+    runs = common.store(spark.createDataFrame(claims, "block long, at long, n long, source long, source_at long, digest binary"), "test-runs")
+    assert [r.p for r in substring_dedup.verified(made, runs, 20).collect()] == [40]
