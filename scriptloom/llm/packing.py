@@ -16,12 +16,13 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,51 @@ from scriptloom.llm import common
 
 #: Distinct words whose ids one worker remembers before it starts anew, bytes encoded by one call, and
 #: bytes of text whose new words are looked up together.
-MEMO_WORDS, BATCH_BYTES, PASS_BYTES = 1_000_000, 256 << 10, 6 << 20
-#: Punctuation between a letter and white space is a pre-token of its own: it is set apart, so that fewer words differ.
-_tail = re.compile(r"(?<=[^\W\d_])([.,;:!?*$#%&]+)(?=[ \n])")
+MEMO_WORDS, BATCH_BYTES, PASS_BYTES = 400_000, 32 << 10, 4 << 20
+#: Punctuation between an ASCII letter and a gap is a pre-token of its own: it is set apart, so that fewer words differ.
+_tail, _letter, _gap = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_tail[list(b".,;:!?*$#%&")] = True
+_letter[[*range(65, 91), *range(97, 123)]] = True
+_gap[[10, 32]] = True
+#: End of the range of characters whose words of letters alone stay whole in the library, whatever its version of Unicode.
+LATIN_END = "\u0130"
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all rows, and each row's first; words end at plain spaces, line ends, and before tails of punctuation."""
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(_gap[data], out=inside[1:-1])
+    where = np.flatnonzero(inside[1:] != inside[:-1])
+    cut = offsets[1:-1]
+    cut = np.unique(cut[(cut > 0) & (cut < len(data))])
+    cut = cut[inside[cut] & inside[cut + 1]]  # rows that meet without a gap
+    if len(cut):
+        where = np.sort(np.concatenate([where, cut, cut]), kind="stable")
+    starts, ends = where[0::2], where[1::2]
+    at = ends - 1
+    live = np.flatnonzero(_tail[data[at]])
+    while len(live):
+        at[live] -= 1
+        live = live[(at[live] >= starts[live])]
+        live = live[_tail[data[at[live]]]]
+    tails = np.flatnonzero((at < ends - 1) & (at >= starts))
+    tails = tails[_letter[data[at[tails]]]]
+    begins = np.sort(np.concatenate([starts, at[tails] + 1]), kind="stable")
+    ink = data[inside[1:-1]]
+    sizes = np.diff(np.append(np.concatenate([[0], np.cumsum(inside[1:-1])])[begins], len(ink)))
+    ends_at = np.zeros(len(begins) + 1, np.int32)
+    np.cumsum(sizes, out=ends_at[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends_at), pa.py_buffer(np.ascontiguousarray(ink))])
+    return words.dictionary_encode(), np.searchsorted(begins, offsets)
 
 
 class WordTokenizer:
-    """Ids of whole texts for a tokenizer that drops white space: each distinct word is encoded once."""
+    """Ids of whole texts for a tokenizer that drops white space: each distinct word is encoded once.
+
+    Words of Latin letters alone are one pre-token each. Where the file marks the ends of words, many of
+    them are encoded as one text and told apart by those marks; all other words are encoded one by one.
+    Words are lower-cased first (A-Z, as the library's normaliser does) unless special strings might occur.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,37 +88,67 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        model = json.loads(Path(path).read_text(encoding="utf-8"))
+        suffix = model["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.model.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ending[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.marked = bool(suffix)
+        self.lower = any(x.get("type") == "Lowercase" for x in (model.get("normalizer") or {}).get("normalizers", []))
+        self.special = [x["content"].encode() for x in model["added_tokens"]]
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, new: list[str]) -> None:
-        found: list[list[int]] = []
-        for a, b in common.slices(np.fromiter(map(len, new), np.int64, len(new)), BATCH_BYTES):
-            found += [e.ids for e in self.model.encode_batch_fast(new[a:b], add_special_tokens=False)]
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of each word."""
+        found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Words end at plain spaces and line ends; what lies between is encoded as the library does."""
-        split = [_tail.sub(r" \1", t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        distinct: set[str] = set()
-        for words in split:
-            distinct.update(words)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ending[ids])
+        if len(ends) != len(words) or len(ids) and not self.ending[ids[-1]]:
+            return self._each(words)
+        return ids, np.diff(ends, prepend=-1)
+
+    def learn(self, new: list[bytes]) -> None:
+        words = [w.decode() for w in new]
+        plain = np.array([self.marked and w.isalpha() and max(w) < LATIN_END for w in words], bool)
+        order = np.argsort(~plain, kind="stable")
+        ids, sizes = [self.ids], []
+        for which, encode in ((order[: plain.sum()], self._together), (order[plain.sum() :], self._each)):
+            part = [words[i] for i in which.tolist()]
+            for a, b in common.slices(np.fromiter(map(len, part), np.int64, len(part)), BATCH_BYTES):
+                found, n = encode(part[a:b])
+                ids.append(found)
+                sizes.append(n)
+        self.place.update(zip([new[i] for i in order.tolist()], range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.ids = np.concatenate(ids)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.first
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, and each row's first id (one more than rows)."""
+        if self.lower:
+            low = common.lowered(data)
+            raw = low.tobytes()
+            if not any(x.lower() in raw for x in self.special):
+                data = low
+        words, rows = words_of(data, offsets)
+        distinct = words.dictionary.to_pylist()
         if len(self.place) > MEMO_WORDS:
             self.clear()
-        self.learn([w for w in distinct if w not in self.place])
-        out, sizes = [], np.diff(self.first)
-        for words in split:
-            at = np.array(list(map(self.place.__getitem__, words)), np.int64)
-            size = sizes[at]
-            ends = np.cumsum(size)
-            out.append(self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + size, size)])
-        return out
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        size = self.first[at + 1] - self.first[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.first[at] - ends[:-1], size)], ends[rows]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -183,18 +252,19 @@ def pieces(docs: DataFrame, size: int = 2048, name: str = "word_bpe_49k.json", f
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         last = np.array([end_id], np.uint32)
         for batch in batch_iter:
-            for a, b, _, _ in common.text_passes(batch.column(1), PASS_BYTES):
+            for a, b, data, offsets in common.text_passes(batch.column(1), PASS_BYTES):
                 doc_ids = batch.column(0).slice(a, b - a)
                 row, piece, start, length, crc, place, kept = [], [], [], [], [], [], []
-                for i, ids in enumerate(coder.encode(batch.column(1).slice(a, b - a).to_pylist())):
-                    ids = np.concatenate([ids, last])
+                found, first = coder.encode(data, offsets)
+                for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    ids = np.concatenate([found[x:y], last])
                     for n, at in enumerate(range(0, len(ids), size)):
                         part = ids[at : at + size]
                         row.append(i)
                         piece.append(n)
                         start.append(at)
                         length.append(len(part))
-                        crc.append(zlib.crc32(part.astype("<u4").tobytes()))
+                        crc.append(zlib.crc32(part.astype("<u4", copy=False)))
                         place.append(int(seen[len(part)]))
                         seen[len(part)] += 1
                         if with_ids:
@@ -206,7 +276,7 @@ def pieces(docs: DataFrame, size: int = 2048, name: str = "word_bpe_49k.json", f
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([task] * len(row), pa.int32()), pa.array(place, pa.int64())], names=[*names, "task", "place"])
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "task int, place long"
-    return docs.mapInArrow(run, ddl)
+    return docs.transform(common.in_arrow, run, ddl)
 
 
 def pack(docs: DataFrame, size: int = 2048, name: str = "word_bpe_49k.json", folder: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -234,5 +304,5 @@ def pack(docs: DataFrame, size: int = 2048, name: str = "word_bpe_49k.json", fol
 
     kept = ["doc_id", "piece", "start", "ids_crc32", *["ids"] * with_ids]
     ddl = "doc_id long, piece int, start long, ids_crc32 long, " + "ids array<int>, " * with_ids + "length long, sequence_id long, offset long"
-    placed = ranked.select("length", "rank", *kept, F.col("length").alias("size")).mapInArrow(settle, ddl)
+    placed = ranked.select("length", "rank", *kept, F.col("length").alias("size")).transform(common.in_arrow, settle, ddl)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
