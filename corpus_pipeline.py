@@ -41,12 +41,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _after(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage gets what the one before it has written, so that one's intermediates can go."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _held:
+            _held.pop().drop()
+        with common.collected(_held):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+_held: list[common.Stored] = []
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language),
-    ("line_dedup", lines),
-    ("near_dedup", near),
-    ("substring_dedup", spans),
-    ("packing", pack),
+    ("language_id", _after(language)),
+    ("line_dedup", _after(lines)),
+    ("near_dedup", _after(near)),
+    ("substring_dedup", _after(spans)),
+    ("packing", _after(pack)),
 ]
 
 #: SQL can express neither the language model nor the tokenizer.
