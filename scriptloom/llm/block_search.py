@@ -3,6 +3,9 @@
 Vectors travel as packed matrices, a block to a row. A task gets one block of queries and a stripe of
 the candidates' blocks, streams those one at a time and keeps the best k of each query, so that its
 memory is bounded by two blocks whatever the tables' sizes. A last window merges the stripes.
+Before any of that, each block of queries meets the one block of longest vectors of its part: the k-th
+scores found there bound the length that a vector must have to matter, and only blocks that hold such
+vectors are sent to the queries (Cauchy-Schwarz).
 """
 
 from __future__ import annotations
@@ -159,18 +162,37 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array((block << 20) + self.q), pa.array(self.ids[self.q]), pa.array(self.id), pa.array(self.score if self.whole else nothing.astype(np.int64)), pa.array(nothing if self.whole else self.score)], schema=HITS)
 
 
+def block_pairs(q: DataFrame, c: DataFrame, k: int, whole: bool, basis: np.ndarray | None) -> DataFrame:
+    """(asker, block): the blocks of candidates that hold a vector long enough for some query of a block of its part."""
+    longest = c.groupBy("part").agg(F.max_by("block", F.struct("norm", "block")).alias("block"))
+    first = c.join(F.broadcast(longest.select("block")), "block", "left_semi")
+    met = q.select("part", F.col("block").alias("asker"), *[F.col(x).alias(f"q_{x}") for x in ("n", "wide", "ids", "data")]).join(first, "part")
+
+    def least(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            for row in range(batch.num_rows):
+                asker, *of = (batch.column(i)[row].as_py() for i in range(10))
+                best = Best(*unpacked(*of[:4]), k, whole, basis)
+                best.add(*unpacked(of[4], *of[6:]), of[5])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where((best.norm > 0) & np.isfinite(best.least), (best.least - 1e-9) / (best.norm * (1 + 1e-9)), -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array([asker], pa.int64()), pa.array([float(need.min()) if len(need) else np.inf])], names=["asker", "need"])
+
+    bounds = met.select("asker", "q_n", "q_wide", "q_ids", "q_data", "n", "norm", "wide", "ids", "data").transform(common.in_arrow, least, "asker long, need double")
+    askers = q.select("part", F.col("block").alias("asker")).join(bounds, "asker")
+    return c.select("part", "block", "norm").join(askers, "part").filter(F.col("norm") * (1 + 1e-9) >= F.col("need")).select("asker", "block")
+
+
 def best_of_stripes(queries: common.Stored, candidates: common.Stored, k: int, whole: bool, basis: np.ndarray | None) -> DataFrame:
     """(query_id, rank, vec_id, whole or score): the k best of each query among the candidates' blocks of its part."""
     spark = queries.spark
     q, c = queries.read(), candidates.read()
     n_q, n_c = q.count(), c.count()
     stripes = max(1, min(n_c, math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, n_q))))
-    salts = max(1, min(n_c, common.shuffle_partitions(spark)))
-    asked = q.select("part", F.col("block").alias("asker"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = common.store(block_pairs(q, c, k, whole, basis), "search-pairs").read()
     given = (
-        c.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+        c.join(pairs, "block")
         .withColumn("stripe", F.pmod(F.xxhash64("block", F.lit(1)), F.lit(stripes)).cast("int"))
-        .join(asked, ["part", "salt"])
         .select("asker", "stripe", F.col("block").alias("place"), "n", "norm", "wide", "ids", "data")
     )
     own = q.select(F.col("block").alias("asker"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(-1).cast("long").alias("place"), "n", "norm", "wide", "ids", "data")
