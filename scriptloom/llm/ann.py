@@ -3,13 +3,18 @@
 On a bounded sample: the neighbour graph is cut into balanced parts (size-constrained label
 propagation from a balanced start), then a small softmax classifier learns to tell the parts of a
 vector's neighbours. Every row is indexed under its ``spill`` most probable parts; a query is routed
-to its most probable parts, and the rows met there are ranked by the exact inner product.
+to its most probable parts, and the rows met there are ranked by the exact inner product. There are
+more parts the more rows there are, up to what the sample can tell apart. How many parts a query probes
+is measured: as few as find ``RECALL`` of the neighbours of sample rows that were held out of the fit.
+Where vectors form clusters these are few; where directions are even, no partition of any kind can
+leave out much.
 
 Edge cases: rows without an id, and null, zero, or non-finite vectors take no part; vectors of unequal
-length count as padded with zeros; rows of equal id count once in a list, with the larger score, and
-a repeated query id gets one list; ties go to the smaller id; an empty table gives an empty result;
-other columns are ignored. Parts of any size are
-split into blocks, so that a part that holds most rows is searched by many tasks.
+length count as padded with zeros; a repeated row is a candidate as often as it occurs (once, if rows are
+indexed under several parts), and a repeated query id gets one list; ties go to the smaller id; an empty
+table gives an empty result; a sample of fewer than 64 rows makes one part, which is searched whole; other
+columns are ignored. Parts of any size are split into blocks, so that a part that holds most rows is
+searched by many tasks.
 """
 
 from __future__ import annotations
@@ -25,10 +30,15 @@ from pyspark.sql import functions as F
 from scriptloom.llm import block_search, common
 from scriptloom.llm.top_k import sample
 
-#: Rows at most in the sample, neighbours in its graph, and parts.
-SAMPLE_ROWS, GRAPH_NEIGHBOURS, PARTS = 8192, 16, 16
-#: Parts that a row is indexed under, and that a query is routed to.
-SPILL, PROBES = 1, 12
+#: Rows at most in the sample, neighbours in its graph, and sample rows for each part at least.
+SAMPLE_ROWS, GRAPH_NEIGHBOURS, PART_ROWS = 8192, 16, 32
+#: Parts of small tables, of the largest, and rows for each part from which on there are more than FEW_PARTS:
+#: a query brings back a list from every part that it probes.
+FEW_PARTS, PARTS, MANY_ROWS = 64, 256, 4096
+#: Parts that a row is indexed under, and the share of held-out neighbours that probes are to find.
+SPILL, RECALL = 1, 0.94
+#: One of so many sample rows is held out, and neighbours of each that are looked for.
+HELD_OUT, LOOKED_FOR = 8, 20
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -41,14 +51,14 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.1, seed: int = 7) -> np.ndarray:
+def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 6, slack: float = 1.1, seed: int = 7) -> np.ndarray:
     """Part of each sample row: few graph edges between parts, none larger than ``slack`` times the mean."""
     rng = np.random.default_rng(seed)
     n, most = len(x), math.ceil(slack * len(x) / parts)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     centre = unit[rng.choice(n, parts, replace=False)]
     label = np.zeros(n, np.int64)
-    for _ in range(8):
+    for _ in range(5):
         label = _capped(unit @ centre.T, most)
         centre = np.stack([unit[label == p].mean(axis=0) if (label == p).any() else unit[rng.integers(n)] for p in range(parts)])
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-300)
@@ -80,7 +90,7 @@ def _capped(gain: np.ndarray, most: int) -> np.ndarray:
     return label
 
 
-def classifier(x: np.ndarray, target: np.ndarray, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def classifier(x: np.ndarray, target: np.ndarray, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression by full-batch Adam on soft targets."""
     scale = 1 / max(1e-12, float(np.sqrt((x * x).sum(axis=1).mean())))
     x = x * scale
@@ -98,9 +108,8 @@ def classifier(x: np.ndarray, target: np.ndarray, steps: int = 200, rate: float
     return w[:-1] * scale, w[-1]
 
 
-def fit(x: np.ndarray, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and offsets of the router for a sample matrix."""
-    parts = max(1, min(parts, len(x) // 32))
     if parts == 1:
         return np.zeros((x.shape[1] if x.ndim == 2 else 0, 1)), np.zeros(1)
     graph = neighbour_graph(x, min(GRAPH_NEIGHBOURS, len(x) - 1))
@@ -111,13 +120,37 @@ def fit(x: np.ndarray, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
     return classifier(x, target / target.sum(axis=1, keepdims=True))
 
 
+def curve(fitted: np.ndarray, held: np.ndarray, model: tuple[np.ndarray, np.ndarray], spill: int) -> np.ndarray:
+    """Share of the held-out rows' neighbours in the sample that 1, 2, ... probed parts find."""
+    parts = model[0].shape[1]
+    own = route(fitted, model, spill)
+    place = np.argsort(route(held, model, parts), axis=1)  # of each part among a row's most probable ones
+    found = np.zeros(parts)
+    for a in range(0, len(held), 256):
+        scores = held[a : a + 256] @ fitted.T
+        near = np.argpartition(scores, max(0, len(fitted) - LOOKED_FOR), axis=1)[:, -LOOKED_FOR:]
+        at = np.take_along_axis(place[a : a + 256][:, None, :], own[near], axis=2).min(axis=2)
+        found += np.bincount(at.ravel(), minlength=parts)
+    return np.cumsum(found) / found.sum()
+
+
+def learned(x: np.ndarray, rows: int, spill: int = SPILL, recall: float = RECALL) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The router for a sample matrix of a table of so many rows, and the parts that a query is to probe."""
+    apart = np.arange(len(x)) % HELD_OUT == 0
+    parts = max(1, min(PARTS, max(FEW_PARTS, rows // MANY_ROWS), int((~apart).sum()) // PART_ROWS)) if len(x) >= 2 * PART_ROWS else 1
+    model = fit(x[~apart] if parts > 1 else x, parts)
+    if parts == 1:
+        return model, 1
+    return model, int(np.searchsorted(curve(x[~apart], x[apart], model, min(spill, parts)), recall)) + 1
+
+
 def route(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
     """The n most probable parts of each row."""
     z = x @ model[0] + model[1]
     return np.argsort(-z, axis=1, kind="stable")[:, :n]
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS, spill: int = SPILL, probes: int = PROBES, query_rows: int = 1024, block_rows: int = 4096) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", spill: int = SPILL, probes: int | None = None, query_rows: int = 1024, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, its own id left out."""
     spark = candidates.sparkSession
     common.tune(spark)
@@ -128,7 +161,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
     dim = max(dim or 0, dim_q or 0, 1)
     fitted = sample(given, SAMPLE_ROWS, n)
     fitted = np.hstack([fitted, np.zeros((len(fitted), dim - fitted.shape[1]))])
-    model = fit(fitted, parts)
+    model, measured = learned(fitted, n, spill)
+    parts, probes = model[0].shape[1], probes or measured
+    asked = asked.groupBy("id").agg(F.min("vec").alias("vec"))
 
     def routed(times: int):
         def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +188,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
     held = blocks(asked, min(probes, parts), query_rows, "ann-queries", max(1, min(tasks, -(-n_q * probes // query_rows))))
     found = block_search.best_of_stripes(held, index, k, False, None)
     once = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    # The lists that a query got from several parts become one; a candidate met twice counts once.
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(once)).filter(F.col("rank") <= k)
+    # The lists that a query got from several parts become one; a candidate met in several parts counts once.
+    if spill > 1:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(once)).filter(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -75,6 +75,63 @@ def test_ann_recall(spark):
     assert hit / (75 * 20) >= 0.9
 
 
+def found_share(spark, m, **options):
+    """Recall of the query's own settings against brute force."""
+    table = vectors(spark, [(i, [float(x) for x in v]) for i, v in enumerate(m)])
+    m = m.astype(np.float32).astype(float)
+    got, hit = ann.search(table.filter("vec_id % 20 = 0"), table, **options).collect(), 0
+    for q in range(0, len(m), 20):
+        s = m @ m[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    return hit / (len(range(0, len(m), 20)) * 20)
+
+
+def test_probes_follow_the_data(spark):
+    """Clusters need few parts, even directions most of them; recall holds in both."""
+    rng = np.random.default_rng(4)
+    clustered = rng.normal(size=(30, 24))[np.arange(3000) % 30] * 2 + rng.normal(size=(3000, 24)) * 0.6
+    even = rng.normal(size=(3000, 24))
+    few, most = (ann.learned(x, 3000)[1] / ann.learned(x, 3000)[0][0].shape[1] for x in (clustered, even))
+    assert few < 0.2 < most < 0.8
+    assert found_share(spark, clustered) >= 0.9 and found_share(spark, even) >= 0.9
+
+
+def test_repeated_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.4, 0.0])]
+    table = vectors(spark, rows)
+    got = ann.search(table.filter("vec_id % 20 = 0"), table).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(20, 1, 1), (20, 2, 1), (20, 3, 2)]
+    got = top_k.top_k(table.filter("vec_id = 20"), table).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 2), (3, 2)]
+
+
+def test_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], 5, "a"), (1, [0.5, 0.0], 6, "b")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score string")
+    for search in (top_k.top_k, ann.search):
+        assert [(r.query_id, r.rank, r.vec_id) for r in search(table.filter("vec_id = 0"), table).collect()] == [(0, 1, 1)]
+
+
+def test_short_vectors_are_not_sent(spark):
+    """Blocks of vectors too short for any query of a block never meet it."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(2000, 8)) * (1.0 / (1 + np.arange(2000)))[:, None] * 1000
+    table = vectors(spark, [(i, [float(x) for x in v]) for i, v in enumerate(m)])
+    seen = []
+    pairs = block_search.block_pairs
+    block_search.block_pairs = lambda q, c, *rest: seen.append((q.count() * c.count(), (p := pairs(q, c, *rest)).count())) or p
+    try:
+        got = top_k.top_k(table.filter("vec_id % 20 = 0 and vec_id < 200"), table, query_rows=5, block_rows=100).collect()
+    finally:
+        block_search.block_pairs = pairs
+    assert seen[0][1] < seen[0][0] / 2
+    whole = np.floor(64 * m.astype(np.float32).astype(float))
+    for q in range(0, 200, 20):
+        best = sorted((-float(whole[q] @ v), i) for i, v in enumerate(whole) if i != q)[:20]
+        assert [(r.vec_id, float(r.score)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, -s) for s, i in best]
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(600, 8))
     label = ann.balanced_parts(x, ann.neighbour_graph(x, 8), 6)
