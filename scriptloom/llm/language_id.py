@@ -16,7 +16,7 @@ input whose names clash with results are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ HOST_SMOOTHING, SMOOTHING = 5.0, 20.0
 #: Posterior from which a document is accepted.
 ACCEPT = 0.5
 BROADCAST_KEYS = 100_000
+RESULTS = ("language", "posterior", "kept")
 UNKNOWN = "und"
 
 
@@ -52,22 +53,37 @@ _prose = np.zeros(256, bool)
 _prose[[*range(65, 91), *range(97, 123), *range(128, 256), *common.SPACE_BYTES]] = True
 
 
-def fit(labelled: Iterable[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log chances of the trigram classes under each and under no known language."""
-    found: dict[str, np.ndarray] = {}
-    for language, text in labelled:
-        if not language or not text:
-            continue
-        counts = found.setdefault(language, np.zeros(BINS))
-        data = np.frombuffer(text.encode(), np.uint8)
-        if len(data) > 2:
-            counts += np.bincount(_trigrams(data)[_written(data)], minlength=BINS)
-    languages = sorted(found)
-    counts = np.stack([*(found[x] for x in languages), np.zeros(BINS)])
-    smooth = 0.05
+def table_of(counts: np.ndarray) -> np.ndarray:
+    """Log chances of the trigram classes under each language, and last under no known one."""
+    counts, smooth = np.vstack([counts, np.zeros(BINS)]), 0.05
     table = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BINS))
     table[-1] = -math.log(BINS)
-    return [*languages, UNKNOWN], table
+    return table
+
+
+def fit(sampled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages, and the log chances of the trigram classes under each and under no known language.
+
+    Tasks count the trigrams of (label, text); what reaches the driver is BINS numbers for each language.
+    """
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batch_iter:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held, data = counts.setdefault(label, np.zeros(BINS, np.int64)), np.frombuffer(text.encode(), np.uint8)
+                if len(data) > 2:
+                    held += np.bincount(_trigrams(data)[_written(data)], minlength=BINS)
+        for label, held in counts.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * (len(at) + 1), pa.string()), pa.array([*at.tolist(), 0], pa.int32()), pa.array([*held[at].tolist(), 0], pa.int64())], names=["label", "bin", "n"])
+
+    found = sampled.transform(common.in_arrow, run, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    labels = found.column("label").to_pylist()
+    languages = sorted(set(labels))
+    counts, of = np.zeros((len(languages), BINS)), {x: i for i, x in enumerate(languages)}
+    counts[[of[x] for x in labels], found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    return [*languages, UNKNOWN], table_of(counts)
 
 
 #: A letter as has_letters() has it.
@@ -160,13 +176,12 @@ def identify(docs: DataFrame, text_col: str = "text", label_col: str | None = "l
     """``docs`` with language, posterior and kept. ``labelled`` (``docs`` if none) has ``label_col`` and ``text_col``."""
     spark = docs.sparkSession
     common.tune(spark)
-    results = ("language", "posterior", "kept")
     none = F.lit(None).cast("string")
     train = (labelled if labelled is not None else docs).filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    names, table = fit((r[0], r[1]) for r in sample(train, label_col, text_col).toLocalIterator())
+    names, table = fit(sample(train, label_col, text_col))
     n = len(names)
     source = docs.select(
-        *[c for c in docs.columns if c not in results],
+        *[c for c in docs.columns if c not in RESULTS],
         (host if host is not None else none).cast("string").alias("_lid_host"),
         (suffix if suffix is not None else none).cast("string").alias("_lid_suffix"),
         (declared if declared is not None else none).cast("string").alias("_lid_declared"),
@@ -209,7 +224,7 @@ def identify(docs: DataFrame, text_col: str = "text", label_col: str | None = "l
     language = F.coalesce(F.get(named, F.array_position("_lid_post", best).cast("int") - 1), F.lit(UNKNOWN))
     out = judged.withColumn("language", language).withColumn("posterior", F.coalesce(best, F.lit(0.0)))
     out = out.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("posterior") >= accept))
-    return out.select(*[c for c in docs.columns if c not in results], *results)
+    return out.select(*[c for c in docs.columns if c not in RESULTS], *RESULTS)
 
 
 def page_evidence() -> dict[str, Column]:
@@ -220,8 +235,8 @@ def page_evidence() -> dict[str, Column]:
 
 
 def document_evidence() -> dict[str, Column]:
-    """Evidence of rows with ``lang`` (what the document declares) and ``source`` (in a host's place)."""
-    return {"declared": F.col("lang"), "host": F.col("source")}
+    """Evidence of rows with ``source``, which stands in a host's place; their ``lang`` is the label only, and no evidence."""
+    return {"host": F.col("source")}
 
 
 def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -241,4 +256,6 @@ def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source, ...) in a known language, columns as they are."""
-    return identify(docs, **document_evidence()).filter("kept").select(*docs.columns)
+    own = {c: f"_lid_own_{c}" for c in docs.columns if c in RESULTS}
+    found = identify(docs.withColumnsRenamed(own), **document_evidence()).filter("kept")
+    return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -122,3 +122,44 @@ def test_language_of_pages(spark, tmp_path):
     rows = __spark_entry__.queries()["page_language_id"](spark, str(tmp_path)).collect()
     assert len(rows) == len(pages) and all(r.language == r.url.split("/")[2][-2:] and r.kept for r in rows if r.url)
     assert [r.kept for r in rows if r.page_id == 102] == [False] * 2
+
+
+def test_evidence_against_held_out_labels(spark):
+    """Accuracy on documents that the model has not seen: hosts decide short texts that the text alone cannot tell."""
+    import random
+
+    rng = random.Random(3)
+    own = {"aa": "bora tili venka solu mira".split(), "bb": "krast drumb shtek glorf mivz".split()}
+    shared = "uno duo tres".split()
+
+    def text(lang, n):
+        return " ".join(rng.choice(shared if n == 1 else own[lang] + shared) for _ in range(n))
+
+    known = [(i, text(lang, 30), lang, f"{lang}{i % 3}") for i, lang in enumerate(["aa", "bb"] * 40)]
+    unseen = [(1000 + i, text(lang, 1 if i % 2 else 12), lang, f"{lang}{i % 3}") for i, lang in enumerate(["aa"] * 60 + ["bb"] * 60)]
+    ddl = "doc_id long, text string, lang string, source string"
+    labelled, truth = spark.createDataFrame(known, ddl), {r[0]: r[2] for r in unseen}
+    docs = spark.createDataFrame(known + [(i, t, None, s) for i, t, _, s in unseen], ddl)
+
+    def accuracy(**evidence):
+        found = language_id.identify(docs, labelled=labelled, **evidence).filter("doc_id >= 1000").collect()
+        return sum(r.language == truth[r.doc_id] for r in found) / len(truth)
+
+    alone, fused = accuracy(), accuracy(**language_id.document_evidence())
+    assert alone < 0.8 and fused > 0.95
+
+
+def test_accepted_keeps_columns_of_the_same_names(spark):
+    rows = [(i, "der die das und nicht mit ein " * 5, "de", "s", f"l{i}", "yes", 2 * i) for i in range(4)] + [(9, "12", "de", "s", "l", "no", 1)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, language string, kept string, posterior int")
+    got = language_id.accepted(table)
+    assert got.dtypes == table.dtypes
+    assert sorted((r.doc_id, r.language, r.kept, r.posterior) for r in got.collect()) == [(i, f"l{i}", "yes", 2 * i) for i in range(4)]
+
+
+def test_hosts_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(i, "der die das und nicht mit ein " * 3, "de", f"s{i % 3}") for i in range(9)] + [(20, "le la les des une est", "fr", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = sorted(map(tuple, language_id.identify(table, **language_id.document_evidence()).select("doc_id", "language", "kept").collect()))
+    monkeypatch.setattr(language_id, "BROADCAST_KEYS", -1)
+    assert sorted(map(tuple, language_id.identify(table, **language_id.document_evidence()).select("doc_id", "language", "kept").collect())) == want
