@@ -137,9 +137,9 @@ def matcher_udf(chain: Sequence[Dictionary]):
     return converted
 
 
-def tagged(column: Column, tag: str, convert: Convert) -> Column:
-    """Text with protected spans: what matches ``tag`` stays, each gap between is converted on its own."""
-    pieces = F.regexp_extract_all(column, F.lit(f"(?s){tag}|(?:(?!{tag}).)+"), F.lit(0))
+def tagged(column: Column, tag: str, opener: str, convert: Convert) -> Column:
+    """Text with protected spans: what matches ``tag``, which begins with ``opener``, stays; each gap is converted on its own."""
+    pieces = F.regexp_extract_all(column, F.lit(f"(?s){tag}|(?:[^{opener}]+|(?!{tag}){opener})+"), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"(?s)\\A{tag}\\z"), p).otherwise(convert(p))), "")
 
 
@@ -154,6 +154,26 @@ def replacement_ratio(column: Column) -> Column:
     return F.when(F.length(column) > 0, bad / F.length(column)).otherwise(F.lit(0.0))
 
 
+def segmented_udf(cut: Callable[[str], list[str]], steps: Sequence[Sequence[Dictionary]]):
+    """Conversion in which no match runs across the end of a segment, step after step."""
+    tables = [_chain_tables(chain) for chain in steps]
+
+    @F.pandas_udf(StringType())
+    def converted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matchers = [Matcher(t) for t in tables]
+
+        def whole(text: str) -> str:
+            parts = cut(text)
+            for matcher in matchers:
+                parts = [matcher.convert(p) for p in parts]
+            return "".join(parts)
+
+        for texts in batches:
+            yield texts.map(lambda t: whole(t) if t else t, na_action="ignore")
+
+    return converted
+
+
 def register(spark, name: str, chain: Sequence[Dictionary]) -> None:
     """A SQL function ``name(text)`` for a chain."""
     spark.udf.register(name, matcher_udf(chain))

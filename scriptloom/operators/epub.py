@@ -25,8 +25,12 @@ def local_name(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def _by_extension(names: list[str]) -> list[str]:
+    return [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]
+
+
 def document_paths(archive: zipfile.ZipFile) -> list[str]:
-    """Entries of the manifest's documents in order; by extension where the manifest cannot be read."""
+    """Entries of the manifest's documents in order; by extension where the manifest cannot be read or names none."""
     names = archive.namelist()
     folded = {n.lower(): n for n in names}
     try:
@@ -34,15 +38,15 @@ def document_paths(archive: zipfile.ZipFile) -> list[str]:
         package = next(e.attrib["full-path"] for e in container.iter() if local_name(e.tag) == "rootfile")
         root = ElementTree.fromstring(archive.read(package))
     except (KeyError, StopIteration, ElementTree.ParseError):
-        return [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]
+        return _by_extension(names)
     base, found = posixpath.dirname(package), []
     for item in root.iter():
-        if local_name(item.tag) == "item" and item.get("media-type", "").lower() in MEDIA_TYPES:
+        if local_name(item.tag) == "item" and item.get("media-type", "").strip().lower() in MEDIA_TYPES:
             path = posixpath.normpath(posixpath.join(base, unquote(item.get("href", "").partition("#")[0])))
             name = path if path in names else folded.get(path.lower())
             if name and name not in found:
                 found.append(name)
-    return found
+    return found or _by_extension(names)
 
 
 def convert_markup(text: str, convert: Text) -> str:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions.convert import Convert, tagged
 
-#: Protected spans: style overrides in braces, and numbers in angle brackets of lyrics.
-BRACE_TAG, NUMBER_TAG = r"\{[^}]*\}", r"<\d+>"
+#: Protected spans and how they open: style overrides in braces, and numbers in angle brackets of lyrics (fixed values).
+BRACE_TAG, NUMBER_TAG = (r"\{[^}]*\}", r"\{"), (r"<\d+>", "<")
 #: ID tags of lyrics whose content is text (fixed values).
 ID_TAGS = ("ti", "ar", "al", "by", "re", "ve", "offset")
 _DIGIT = r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
@@ -42,7 +42,7 @@ def convert_srt(text: Column, convert: Convert) -> Column:
     def block(b: Column) -> Column:
         lines = F.split(b, "\n")
         cue = F.get(lines, 0).rlike(rf"\A{_BLANK}*{_DIGIT}+{_BLANK}*\z") & F.coalesce(F.get(lines, 1).contains("-->"), F.lit(False))
-        done = F.transform(lines, lambda x, i: F.when(i < 2, x).otherwise(tagged(x, BRACE_TAG, convert)))
+        done = F.transform(lines, lambda x, i: F.when(i < 2, x).otherwise(tagged(x, *BRACE_TAG, convert)))
         return F.when(cue, F.array_join(done, "\n")).otherwise(b)
 
     return F.array_join(F.transform(blocks, block), "\n")
@@ -51,7 +51,7 @@ def convert_srt(text: Column, convert: Convert) -> Column:
 def convert_ass_line(line: Column, convert: Convert) -> Column:
     """A line of the events section: field ten of Dialogue and Comment, if there are ten fields."""
     pattern = r"(?is)\A((?:Dialogue|Comment):(?:[^,]*,){9})(.*)\z"
-    return F.when(line.rlike(pattern), F.concat(F.regexp_extract(line, pattern, 1), tagged(F.regexp_extract(line, pattern, 2), BRACE_TAG, convert))).otherwise(line)
+    return F.when(line.rlike(pattern), F.concat(F.regexp_extract(line, pattern, 1), tagged(F.regexp_extract(line, pattern, 2), *BRACE_TAG, convert))).otherwise(line)
 
 
 def convert_ass(text: Column, convert: Convert) -> Column:
@@ -65,19 +65,27 @@ def convert_ass(text: Column, convert: Convert) -> Column:
     return F.array_join(F.transform(sections, section), "\n")
 
 
-def convert_lrc_line(line: Column, convert: Convert) -> Column:
-    bare = F.regexp_replace(line, rf"\A{_BLANK}+|{_BLANK}+\z", "")
+_IDENT = r"\A\[([a-zA-Z]+):(.+)\]\z"
+_TIMED = r"\A((?:\[\d+:\d+(?:\.\d+)?\])+)(.*)\z"
+
+
+def _lyric_parts(line: Column) -> Column:
+    """A line with what its white space encloses, named once: each use of an expression would evaluate it again."""
+    return F.struct(line.alias("line"), F.regexp_replace(line, rf"\A{_BLANK}+|{_BLANK}+\z", "").alias("bare"))
+
+
+def _lyric(x: Column, convert: Convert) -> Column:
+    line, bare = x["line"], x["bare"]
     indent = F.regexp_extract(line, rf"\A({_BLANK}*)", 1)
-    ident = r"\A\[([a-zA-Z]+):(.+)\]\z"
-    timed = r"\A((?:\[\d+:\d+(?:\.\d+)?\])+)(.*)\z"
-    known = F.lower(F.regexp_extract(bare, ident, 1)).isin(*ID_TAGS)
-    whole = F.concat(indent, F.lit("["), F.regexp_extract(bare, ident, 1), F.lit(":"), convert(F.regexp_extract(bare, ident, 2)), F.lit("]"))
-    lyric = F.concat(indent, F.regexp_extract(bare, timed, 1), tagged(F.regexp_extract(bare, timed, 2), NUMBER_TAG, convert))
-    return F.when(bare == "", line).when(bare.rlike(ident), F.when(known, whole).otherwise(line)).when(bare.rlike(timed), lyric).otherwise(line)
+    known = F.lower(F.regexp_extract(bare, _IDENT, 1)).isin(*ID_TAGS)
+    whole = F.concat(indent, F.lit("["), F.regexp_extract(bare, _IDENT, 1), F.lit(":"), convert(F.regexp_extract(bare, _IDENT, 2)), F.lit("]"))
+    lyric = F.concat(indent, F.regexp_extract(bare, _TIMED, 1), tagged(F.regexp_extract(bare, _TIMED, 2), *NUMBER_TAG, convert))
+    return F.when(bare == "", line).when(bare.rlike(_IDENT), F.when(known, whole).otherwise(line)).when(bare.rlike(_TIMED), lyric).otherwise(line)
 
 
 def convert_lrc(text: Column, convert: Convert) -> Column:
-    return F.array_join(F.transform(F.split(unix_lines(text), "\n"), lambda x: convert_lrc_line(x, convert)), "\n")
+    lines = F.transform(F.split(unix_lines(text), "\n"), _lyric_parts)
+    return F.array_join(F.transform(lines, lambda x: _lyric(x, convert)), "\n")
 
 
 #: Converters of text formats by extension.

@@ -16,8 +16,8 @@ from collections.abc import Callable
 from scriptloom.functions.convert import Matcher
 
 _gate = re.compile("[一-鿿]")
-_paragraph = re.compile(r"<w:p(?:\s[^>]*)?>(?:(?!<w:p[\s>]).)*?</w:p>", re.S)
-_text = re.compile(r"(<w:t(?:\s[^>]*)?>)([^<]*)(</w:t>)")
+_piece = re.compile(r"(<w:p(?:\s[^>]*)?(?<!/)>)|(</w:p>)|(<w:t(?:\s[^>]*)?(?<!/)>)([^<]*)</w:t>")
+_text = re.compile(r"(<w:t(?:\s[^>]*)?(?<!/)>)([^<]*)(</w:t>)")
 #: Parts of a document: body, headers and footers by paragraph; notes by run.
 _body = re.compile(r"word/(?:document|header\d*|footer\d*)\.xml")
 _notes = re.compile(r"word/(?:footnotes|endnotes)\.xml")
@@ -42,8 +42,8 @@ def convert_runs(texts: list[str], matcher: Matcher, keep_format: bool = True) -
     if not full.strip() or not _gate.search(full):
         return texts
     if not keep_format:
-        target = next((i for i, t in enumerate(texts) if t.strip()), 0)
-        return [matcher.convert(full) if i == target else "" for i in range(len(texts))]
+        new, target = matcher.convert(full), next((i for i, t in enumerate(texts) if t.strip()), 0)
+        return texts if new == full else [new if i == target else "" for i in range(len(texts))]
     ends, total = [], 0
     for t in texts:
         total += len(t)
@@ -51,18 +51,35 @@ def convert_runs(texts: list[str], matcher: Matcher, keep_format: bool = True) -
     return spread(list(matcher.tokens(full)), ends)
 
 
-def _rewrite(xml: str, change: Callable[[list[str]], list[str]]) -> str:
-    found = _text.findall(xml)
-    if not found:
-        return xml
-    new = iter(change([html.unescape(t) for _, t, _ in found]))
+def _put(start: str, text: str) -> str:
+    start = start if "xml:space" in start or text == text.strip() else start[:-1] + ' xml:space="preserve">'
+    return start + html.escape(text, quote=False) + "</w:t>"
 
-    def put(m: re.Match) -> str:
-        text = next(new)
-        start = m[1] if "xml:space" in m[1] or text == text.strip() else m[1][:-1] + ' xml:space="preserve">'
-        return start + html.escape(text, quote=False) + m[3]
 
-    return _text.sub(put, xml)
+def _rewrite(xml: str, change: Callable[[list[str]], list[str]]) -> str:
+    """All texts of a part changed as one list."""
+    new = iter(change([html.unescape(t) for _, t, _ in _text.findall(xml)]))
+    return _text.sub(lambda m: _put(m[1], next(new)), xml)
+
+
+def _by_paragraph(xml: str, change: Callable[[list[str]], list[str]]) -> str:
+    """Each paragraph's own texts changed as one list; those of paragraphs inside it (text boxes) are apart."""
+    open_: list[list[tuple[int, int, str, str]]] = []
+    done: list[tuple[int, int, str]] = []
+    for m in _piece.finditer(xml):
+        if m[1]:
+            open_.append([])
+        elif m[2] and open_:
+            own = open_.pop()
+            new = change([html.unescape(t) for _, _, _, t in own])
+            done += [(a, b, _put(start, text)) for (a, b, start, _), text in zip(own, new, strict=True)]
+        elif m[3] and open_:
+            open_[-1].append((m.start(), m.end(), m[3], m[4]))
+    out, at = [], 0
+    for a, b, text in sorted(done):
+        out += [xml[at:a], text]
+        at = b
+    return "".join([*out, xml[at:]])
 
 
 def convert_docx(content: bytes, matcher: Matcher, keep_format: bool = True, notes: bool = True) -> bytes:
@@ -75,7 +92,7 @@ def convert_docx(content: bytes, matcher: Matcher, keep_format: bool = True, not
         for entry in source.infolist():
             raw = source.read(entry)
             if _body.fullmatch(entry.filename):
-                raw = _paragraph.sub(lambda m: _rewrite(m[0], lambda t: convert_runs(t, matcher, keep_format)), raw.decode()).encode()
+                raw = _by_paragraph(raw.decode(), lambda t: convert_runs(t, matcher, keep_format)).encode()
             elif notes and _notes.fullmatch(entry.filename):
                 raw = _rewrite(raw.decode(), by_run).encode()
             out.writestr(entry, raw)

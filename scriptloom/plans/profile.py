@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 
 from scriptloom.functions import convert as c
+from scriptloom.functions import segment
 from scriptloom.functions.dictionary import Dictionary, MissingResource
 
 #: Suffixes of profile names by segmentation mode (fixed values).
@@ -21,7 +22,14 @@ class Profile:
     normalization: tuple[str, ...]
     segmentation: str | None
     resources: tuple[str, ...]
-    chain: tuple[str, ...]
+    #: Names of the segmenter's resources with their files.
+    named: tuple[tuple[str, str], ...]
+    #: Files of each step of the chain; those of one step are tried in order at every place, steps follow one another.
+    steps: tuple[tuple[str, ...], ...]
+
+    @property
+    def chain(self) -> tuple[str, ...]:
+        return tuple(f for step in self.steps for f in step)
 
     @classmethod
     def parse(cls, text: str) -> Profile:
@@ -39,7 +47,8 @@ class Profile:
             tuple(f for step in data.get("normalization", ()) for f in files(step["dict"])),
             segmentation.get("type"),
             tuple(named),
-            tuple(f for step in data.get("conversion_chain", ()) for f in files(step["dict"])),
+            tuple((segmentation.get("resources") or {}).items()),
+            tuple(tuple(files(step["dict"])) for step in data.get("conversion_chain", ())),
         )
 
     def missing(self, exists: Callable[[str], bool]) -> list[str]:
@@ -52,9 +61,38 @@ class Profile:
                 raise MissingResource(f"{name}: compiled dictionaries are not read; give the text form")
         return [Dictionary.load(spark, f"{folder}/{name}") for name in self.chain]
 
-    def column(self, text: Column, chain: list[Dictionary]) -> Column:
-        """Normalization, then the chain."""
-        return c.convert_chain(c.normalize_compat(text) if self.normalization else text, chain)
+    def cut(self, lines: Callable[[str], list[str]]) -> Callable[[str], list[str]] | None:
+        """The profile's segmenter, its resources read by ``lines(file)``; none where it names none.
+
+        ``mmseg`` matches the longest words of its dictionary. ``jieba`` takes the best path through the words
+        of a frequency dictionary and a user dictionary, and leaves runs of single characters to its model.
+        """
+        if not self.segmentation:
+            return None
+        if self.segmentation == "mmseg":
+            words = {k for f in self.resources for k in Dictionary.parse(f, lines(f)).entries}
+            return lambda text: segment.max_match(text, words)
+        if self.segmentation != "jieba":
+            raise ValueError(f"unknown segmentation: {self.segmentation}")
+        named = dict(self.named)
+        frequency = {x[0]: int(x[1]) for line in lines(named["dict_path"]) if len(x := line.split()) > 1}
+        own = [line.split()[0] for line in lines(named["user_dict_path"]) if line.strip()] if "user_dict_path" in named else []
+        frequency |= {w: max(frequency.get(w, 0), max(frequency.values(), default=1)) for w in own}
+        model = segment.HiddenMarkov.parse(lines(named["model_path"])) if "model_path" in named else None
+        return lambda text: segment.graph_cut(text, frequency, model)
+
+    def column(self, text: Column, chain: list[Dictionary], cut: Callable[[str], list[str]] | None = None) -> Column:
+        """Normalization, then segmentation by ``cut`` if the profile has one, then the steps of the chain."""
+        if self.segmentation and cut is None:
+            raise MissingResource(f"{self.name}: the profile names a segmentation; give the segmenter made by cut()")
+        text = c.normalize_compat(text) if self.normalization else text
+        given = iter(chain)
+        steps = [[next(given) for _ in step] for step in self.steps]
+        if self.segmentation:
+            return c.segmented_udf(cut, steps)(text)
+        for step in steps:
+            text = c.convert_chain(text, step)
+        return text
 
 
 def profile_name(base: str, mode: str = "none") -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from scriptloom.functions import convert as c
 from scriptloom.functions import dictionary as d
 from scriptloom.functions import segment
-from scriptloom.operators import epub, subtitles, word
-from scriptloom.plans import batch, samples
+from scriptloom.operators import subtitles
+from scriptloom.plans import batch, profile, samples
 from scriptloom.sources import encoding, files
 
 
@@ -72,32 +74,36 @@ def changed_docs_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).groupBy("lang").agg(F.count_if(new != F.col("text")).alias("changed"), F.sum(F.length(new)).alias("chars"), F.count("*").alias("docs"))
 
 
+def _phrases(text: Column) -> Column:
+    return c.convert_chain(text, [samples.dictionary("simple_phrases"), samples.dictionary("standard_chars_keep")])
+
+
 def _as_srt(text: Column) -> Column:
     lines = F.split(text, "\n")
-    cues = F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n{\\i1}"), x, F.lit("{\\i0}\n")))
+    cues = F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n{\\i1}"), F.replace(x, F.lit("瞭"), F.lit("瞭{\\b1}")), F.lit("{\\i0}\n")))
     return F.array_join(cues, "\n")
 
 
 def srt_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
-    return texts.select("doc_id", F.md5(subtitles.convert_srt(_as_srt(F.col("text")), _converted("new_glyphs"))).alias("converted_md5"))
+    return texts.select("doc_id", F.md5(subtitles.convert_srt(_as_srt(F.col("text")), _phrases)).alias("converted_md5"))
 
 
 def ass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "[Script Info]\nTitle: 奧\n[Events]\n"
     lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("Dialogue: 0,a,b,奧,,0,0,0,,{\\b1}"), x))
     source = F.concat(F.lit(head), F.array_join(lines, "\n"))
-    return _texts(spark, sf_dir).select("doc_id", F.md5(subtitles.convert_ass(source, _converted("new_glyphs"))).alias("converted_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(subtitles.convert_ass(source, _phrases)).alias("converted_md5"))
 
 
 def lrc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("[00:01.23]<1>"), x))
     source = F.concat(F.lit("[ti:奧]\n[xx:奧]\n"), F.array_join(lines, "\n"))
-    return _texts(spark, sf_dir).select("doc_id", F.md5(subtitles.convert_lrc(source, _converted("new_glyphs"))).alias("converted_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(subtitles.convert_lrc(source, _phrases)).alias("converted_md5"))
 
 
 def txt_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("doc_id", F.md5(subtitles.convert_txt_by_line(F.col("text"), _converted("new_glyphs"))).alias("converted_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(subtitles.convert_txt_by_line(F.col("text"), _phrases)).alias("converted_md5"))
 
 
 def run_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +131,7 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("binary")
     def written(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, ids in batches:
-            yield pd.Series([t.encode(names[i % 2]) for t, i in zip(texts, ids, strict=True)])
+            yield pd.Series([None if t is None else t.encode(names[i % 2]) for t, i in zip(texts, ids, strict=True)])
 
     raw = _texts(spark, sf_dir).withColumn("raw", written("text", "doc_id"))
     return raw.select("doc_id", encoding.encoding_of(F.col("raw")).alias("encoding"), (encoding.decoded(F.col("raw")) == F.col("text")).alias("same"))
@@ -163,27 +169,71 @@ def make_docx(runs: list[str]) -> bytes:
     return sink.getvalue()
 
 
-def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an EPUB or a DOCX file, converted; status and size of the text inside."""
+def _in_containers(spark: SparkSession, sf_dir: str, make: Callable[[str], bytes], ext: str, read: Callable[[bytes], str]) -> DataFrame:
+    """Every document as a file of one kind, converted in a batch; the text inside, read back."""
 
     @F.pandas_udf("binary")
-    def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import html
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([make(t or "") for t in texts])
 
-        for texts, ids in batches:
-            yield pd.Series([make_epub(html.escape(t)) if i % 2 else make_docx([html.escape(t[:9]), html.escape(t[9:])]) for t, i in zip(texts, ids, strict=True)])
+    @F.pandas_udf("string")
+    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
+            yield pd.Series([None if x is None else read(x) for x in contents])
+
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(ext))
+    found = _texts(spark, sf_dir).select(path.alias("path"), made("text").alias("content"))
+    done = batch.convert_files(found, [samples.dictionary("simple_phrases"), samples.dictionary("standard_chars_keep")])
+    return done.select("output_name", "status", F.md5(inside("content")).alias("converted_md5"))
+
+
+def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def read(content: bytes) -> str:
+        page = zipfile.ZipFile(io.BytesIO(content)).read("o/c 1.xhtml").decode()
+        return html.unescape(page.partition("<p>")[2].partition("</p><script>奧</script>")[0])
+
+    return _in_containers(spark, sf_dir, lambda t: make_epub(html.escape(t)), ".epub", read)
 
-    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 1, ".epub").otherwise(".docx"))
-    found = _texts(spark, sf_dir).select(path.alias("path"), made("text", "doc_id").alias("content"))
-    done = batch.convert_files(found, [samples.dictionary("new_glyphs")])
-    return done.select("output_name", "status", (F.length("content") > 0).alias("has_content"))
+
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text in runs of nine characters: phrases that cross runs are found, and runs keep their formatting."""
+
+    def read(content: bytes) -> str:
+        return html.unescape("".join(re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>", zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode())))
+
+    return _in_containers(spark, sf_dir, lambda t: make_docx([html.escape(t[i : i + 9]) for i in range(0, len(t), 9)]), ".docx", read)
+
+
+def batch_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of a batch of files by document source: converted, of how many, and in a word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.get(F.array(*map(F.lit, _NAMES)), F.pmod("doc_id", F.lit(len(_NAMES))).cast("int"))
+    done = files.route(name).isin("text", "epub", "docx")
+    sums = docs.groupBy("source").agg(F.count_if(done).alias("success_count"), F.count("*").alias("total_files"))
+    word_ = F.when(F.col("success_count") == F.col("total_files"), "ok").when(F.col("success_count") > 0, "partial").otherwise("error")
+    return sums.withColumn("message", word_)
+
+
+#: A profile as users write them: segments by the longest words, then phrases and characters.
+SEGMENTED = """{"name": "segmented", "segmentation": {"type": "mmseg", "dict": {"type": "text", "file": "words"}},
+"conversion_chain": [{"dict": {"type": "group", "match_policy": "short_circuit", "dicts": [{"type": "text", "file": "simple_phrases"}, {"type": "text", "file": "standard_chars_keep"}]}}]}"""
+#: Some are phrases, others end inside phrases, so that segmentation changes what is converted (fixed values).
+WORDS = ("乾乾", "老態龍鍾", "不瞭", "鍾一目", "瞭解", "情有獨鍾")
+
+
+def convert_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = profile.Profile.parse(SEGMENTED)
+    cut = plan.cut(lambda _: [f"{w}\t{w}" for w in WORDS])
+    text = plan.column(F.col("text"), [samples.dictionary(x) for x in plan.chain], cut)
+    return _texts(spark, sf_dir).select("doc_id", F.md5(text).alias("converted_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         convert_chars_new_glyphs, convert_chars_keep, convert_phrases, convert_phrases_matcher, compat_normalize, cjk_gate, changed_char_stats, dictionary_coverage, changed_docs_by_lang,
-        srt_cues, ass_events, lrc_lines, txt_by_line, run_offsets, extension_router, encodings, hmm_states, max_match_words, container_files,
+        srt_cues, ass_events, lrc_lines, txt_by_line, run_offsets, extension_router, encodings, hmm_states, max_match_words, epub_files, docx_files, batch_tally, convert_segments,
     )
 }
 
@@ -199,23 +249,42 @@ def _char_sql(text: str, name: str) -> str:
     return sql
 
 
-def _phrase_sql() -> str:
+def _phrase_sql(text: str = "", protect: str = "", shown: str = "doc_id, md5(coalesce(g.s, documents.text)) AS converted_md5") -> str:
+    """The phrase chain; what ``protect`` (alternatives that end in a bar) matches is one token and stays."""
     phrases, chars = samples.dictionary("simple_phrases").first(), samples.dictionary("standard_chars_keep").first()
     keys = "|".join(sorted(phrases, key=lambda k: (-len(k), k)))
     values = ", ".join(f"('{k}', '{v}')" for k, v in {**chars, **phrases}.items())
     return f"""
 WITH d(k, v) AS (VALUES {values}),
-t AS (SELECT doc_id, regexp_extract_all({samples.sample_sql()}, '(?s){keys}|.') AS x FROM documents),
+t AS (SELECT doc_id, regexp_extract_all({text or samples.sample_sql()}, '(?s){protect}{keys}|.') AS x FROM documents),
 u AS (SELECT doc_id, unnest(x) AS tok, unnest(range(len(x))) AS pos FROM t),
 j AS (SELECT doc_id, pos, coalesce(d.v, u.tok) AS tok FROM u LEFT JOIN d ON d.k = u.tok),
 g AS (SELECT doc_id, string_agg(tok, '' ORDER BY pos) AS s FROM j GROUP BY doc_id)
-SELECT documents.doc_id, md5(coalesce(g.s, documents.text)) AS converted_md5 FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id"""
+SELECT documents.{shown} FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id"""
+
 
+def _lines_sql(before: str, joint: str, head: str = "''", line: str = "x", after: str = "''", protect: str = "") -> str:
+    """The phrase chain over lines put into a format, where the format's own parts hold nothing to convert or are protected."""
+    lines = f"list_transform(string_split({samples.sample_sql()}, chr(10)), lambda x, i: {before} || {line} || {after})"
+    return _phrase_sql(f"({head} || array_to_string({lines}, {joint}))", protect)
 
-def _lines_sql(prefix: str, suffix: str, joint: str, head: str, numbered: bool = False) -> str:
-    number = "CAST(i + 1 AS VARCHAR) || " if numbered else ""
-    lines = f"list_transform(string_split({samples.sample_sql()}, chr(10)), lambda x, i: {number.replace('i + 1', 'i')}{prefix} || {_char_sql('x', 'new_glyphs')}{suffix})"
-    return f"SELECT doc_id, md5({head}array_to_string({lines}, {joint})) AS converted_md5 FROM documents"
+
+def _segment_sql() -> str:
+    """Words are cut out first; phrases are then found inside words and single characters only."""
+    phrases, chars = samples.dictionary("simple_phrases").first(), samples.dictionary("standard_chars_keep").first()
+    inside = {**chars, **{k: v for k, v in phrases.items() if k in WORDS or len(k) == 1}}
+    whole = ", ".join(f"'{k}'" for k in inside)
+    values = ", ".join(f"('{k}', '{v}')" for k, v in inside.items())
+    keys = "|".join(sorted(WORDS, key=lambda k: (-len(k), k)))
+    return f"""
+WITH d(k, v) AS (VALUES {values}),
+t AS (SELECT doc_id, regexp_extract_all({samples.sample_sql()}, '(?s){keys}|.') AS x FROM documents),
+u AS (SELECT doc_id, unnest(x) AS seg, unnest(range(len(x))) AS pos FROM t),
+c AS (SELECT doc_id, pos, CASE WHEN seg IN ({whole}) THEN [seg] ELSE string_split(seg, '') END AS s FROM u),
+p AS (SELECT doc_id, pos, unnest(s) AS tok, unnest(range(len(s))) AS sub FROM c),
+j AS (SELECT doc_id, pos, sub, coalesce(d.v, p.tok) AS tok FROM p LEFT JOIN d ON d.k = p.tok),
+g AS (SELECT doc_id, string_agg(tok, '' ORDER BY pos, sub) AS s FROM j GROUP BY doc_id)
+SELECT documents.doc_id, md5(coalesce(g.s, documents.text)) AS converted_md5 FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id"""
 
 
 def _oracle() -> dict[str, str]:
@@ -227,7 +296,8 @@ def _oracle() -> dict[str, str]:
     return {
         "convert_chars_new_glyphs": f"SELECT doc_id, md5({_char_sql(samples.sample_sql(), 'new_glyphs')}) AS converted_md5 FROM documents",
         "convert_chars_keep": f"SELECT doc_id, md5({_char_sql(samples.sample_sql(), 'new_glyphs_keep')}) AS converted_md5 FROM documents",
-        "txt_by_line": f"SELECT doc_id, md5({_char_sql(samples.sample_sql(), 'new_glyphs')}) AS converted_md5 FROM documents",
+        # Line ends are tokens of their own, and no phrase holds one.
+        "txt_by_line": _phrase_sql(),
         "convert_phrases": _phrase_sql(),
         "convert_phrases_matcher": _phrase_sql(),
         "compat_normalize": f"SELECT doc_id, md5(translate(text, '{samples.LETTERS}', nfc_normalize('{''.join(compat)}'))) AS normalized_md5 FROM documents",
@@ -235,9 +305,17 @@ def _oracle() -> dict[str, str]:
         "changed_char_stats": f"WITH d(key, value) AS (VALUES {values}), u AS ({used}) SELECT lang, u.key, any_value(value) AS value, count(*) AS uses FROM u JOIN d ON d.key = u.key GROUP BY lang, u.key",
         "dictionary_coverage": f"WITH d(key, value) AS (VALUES {values}), u AS ({used}) SELECT d.key, count(u.key) AS uses FROM d LEFT JOIN u ON d.key = u.key GROUP BY d.key",
         "changed_docs_by_lang": f"WITH t AS (SELECT lang, {samples.sample_sql()} AS a FROM documents), n AS (SELECT lang, a, {_char_sql('a', 'new_glyphs')} AS b FROM t) SELECT lang, count(*) FILTER (WHERE a <> b) AS changed, CAST(sum(length(b)) AS BIGINT) AS chars, count(*) AS docs FROM n GROUP BY lang",
-        "srt_cues": _lines_sql("chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || '{\\i1}'", " || '{\\i0}' || chr(10)", "chr(10)", "", True),
-        "ass_events": _lines_sql("'Dialogue: 0,a,b,奧,,0,0,0,,{\\b1}'", "", "chr(10)", "'[Script Info]' || chr(10) || 'Title: 奧' || chr(10) || '[Events]' || chr(10) || "),
-        "lrc_lines": _lines_sql("'[00:01.23]<1>'", "", "chr(10)", "'[ti:奥]' || chr(10) || '[xx:奧]' || chr(10) || "),
+        "srt_cues": _lines_sql("i || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || '{\\i1}'", "chr(10)", line="replace(x, '瞭', '瞭{\\b1}')", after="'{\\i0}' || chr(10)", protect="\\{[^}]*\\}|"),
+        "ass_events": _lines_sql("'Dialogue: 0,a,b,奧,,0,0,0,,{\\b1}'", "chr(10)", "'[Script Info]' || chr(10) || 'Title: 奧' || chr(10) || '[Events]' || chr(10)"),
+        "lrc_lines": _lines_sql("'[00:01.23]<1>'", "chr(10)", "'[ti:奧]' || chr(10) || '[xx:奧]' || chr(10)"),
+        "convert_segments": _segment_sql(),
+        "epub_files": f"SELECT 'convert_' || doc_id || '.epub' AS output_name, 'ok' AS status, converted_md5 FROM ({_phrase_sql()})",
+        "max_match_words": f"SELECT doc_id, CAST(len(regexp_extract_all({samples.sample_sql()}, '(?s){'|'.join(sorted(samples.dictionary('simple_phrases').entries, key=lambda k: (-len(k), k)))}|.')) AS INTEGER) AS words FROM documents",
+        "encodings": f"SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND regexp_matches({samples.sample_sql()}, '[^\\x00-\\x7f]') THEN 'gb18030' ELSE 'utf-8' END AS encoding, true AS same FROM documents",
+        "batch_tally": f"""
+WITH r AS (SELECT source, ([{names}])[doc_id % {len(_NAMES)} + 1] NOT IN ('g.doc', 'h.pdf', 'noext') AS ok FROM documents),
+s AS (SELECT source, count(*) FILTER (WHERE ok) AS success_count, count(*) AS total_files FROM r GROUP BY source)
+SELECT source, success_count, total_files, CASE WHEN success_count = total_files THEN 'ok' WHEN success_count > 0 THEN 'partial' ELSE 'error' END AS message FROM s""",
         "run_offsets": 'SELECT conv_id, turn, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS "start", CAST(sum(length(text)) OVER w AS BIGINT) AS "end" FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)',
         "extension_router": f"""
 WITH n AS (SELECT ([{names}])[doc_id % {len(_NAMES)} + 1] AS n FROM documents),
@@ -248,3 +326,4 @@ SELECT CASE WHEN e IN ('txt', 'srt', 'ass', 'ssa', 'lrc') THEN 'text' WHEN e = '
 
 
 ORACLE_SQL = _oracle()
+ORACLE_SQL["docx_files"] = ORACLE_SQL["epub_files"].replace(".epub", ".docx")

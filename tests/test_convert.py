@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from scriptloom import queries
 from scriptloom.functions import convert as c
 from scriptloom.functions import segment
+from scriptloom.functions.convert import Matcher, convert_chain, tagged
 from scriptloom.functions.dictionary import Dictionary, MissingResource
+from scriptloom.operators import subtitles
 from scriptloom.plans import samples
 from scriptloom.plans.profile import Profile, profile_name
 
@@ -82,7 +84,11 @@ def test_profile(spark, tmp_path):
     (tmp_path / "p.txt").write_text("乾元\t乾元\n", encoding="utf-8")
     (tmp_path / "q.txt").write_text("乾\t干\n", encoding="utf-8")
     chain = p.dictionaries(spark, str(tmp_path))
-    assert run(spark, ["乾元乾豈"], lambda x: p.column(x, chain)) == ["乾元干豈"]
+    cut = p.cut(lambda name: {"w": ["乾元 5"]}[name])
+    assert cut("乾元乾豈") == ["乾元", "乾", "豈"]
+    assert run(spark, ["乾元乾豈"], lambda x: p.column(x, chain, cut)) == ["乾元干豈"]
+    with pytest.raises(MissingResource):
+        p.column(F.col("text"), chain)
     assert profile_name("s2t", "ancient") == "s2t_jieba_traditional"
 
 
@@ -124,3 +130,42 @@ def test_states_of_whole_texts(spark, tmp_path):
     want = {r.doc_id: None if r.text is None else len(model.cut(r.text)) for r in source}
     got = {r.doc_id: r.words for r in queries.hmm_states(spark, str(tmp_path)).collect()}
     assert {i: n for i, n in got.items() if n not in (None, -1)} == {i: n for i, n in want.items() if n is not None} and want[1] > want[0] > 3
+
+
+def test_steps_follow_one_another(spark):
+    step = '{{"dict": {{"type": "text", "file": "{}"}}}}'
+    p = Profile.parse('{"name": "n", "conversion_chain": [' + step.format("a") + "," + step.format("b") + "]}")
+    chain = [Dictionary.parse("a", ["彔\t录"]), Dictionary.parse("b", ["录\t録"])]
+    assert p.steps == (("a",), ("b",)) and run(spark, ["彔录"], lambda x: p.column(x, chain)) == ["録録"]
+    group = Profile.parse('{"conversion_chain": [{"dict": {"type": "group", "dicts": [{"file": "a"}, {"file": "b"}]}}]}')
+    assert group.steps == (("a", "b"),) and run(spark, ["彔录"], lambda x: group.column(x, chain)) == ["录録"]
+
+
+def test_segments_end_matches(spark):
+    p = Profile.parse('{"segmentation": {"type": "mmseg", "dict": {"type": "text", "file": "w"}}, "conversion_chain": [{"dict": {"file": "d"}}]}')
+    chain = [Dictionary.parse("d", ["乾乾淨淨\t干干净净", "一目瞭然\t一目了然"])]
+    cut = p.cut(lambda _: ["乾乾\tx", "一目瞭然\tx"])
+    assert run(spark, ["乾乾淨淨一目瞭然", "", None], lambda x: p.column(x, chain, cut)) == ["乾乾淨淨一目了然", "", None]
+
+
+@pytest.mark.parametrize("tag", [subtitles.BRACE_TAG, subtitles.NUMBER_TAG])
+def test_tags_by_brute_force(spark, tag):
+    import random
+    import re
+
+    rng = random.Random(9)
+    chain = [Dictionary.parse("d", ["乾淨\t干净", "乾\t干"])]
+    texts = ["".join(rng.choice("乾淨{}<>1a\n") for _ in range(rng.randint(0, 14))) for _ in range(800)]
+    matcher, pattern = Matcher([chain[0].first()]), re.compile(f"({tag[0]})")
+    want = ["".join(x if k % 2 else matcher.convert(x) for k, x in enumerate(pattern.split(t))) for t in texts]
+    assert run(spark, texts, lambda x: tagged(x, *tag, lambda y: convert_chain(y, chain))) == want
+
+
+def test_many_characters_and_phrases(spark):
+    """Thousands of characters and hundreds of phrases: the expression equals the matcher."""
+    chars = {chr(0x4E00 + i): chr(0x6E00 + i) for i in range(3000)}
+    phrases = {chr(0x4E00 + i) + chr(0x4E00 + (7 * i) % 500) + "x" * (i % 3): f"<{i}>" for i in range(500)}
+    chain = [Dictionary("p", {k: (v,) for k, v in phrases.items()}), Dictionary("c", {k: (v,) for k, v in chars.items()})]
+    texts = ["".join(chr(0x4E00 + (31 * i * j + j) % 3200) + "x" * (j % 2) for j in range(200)) for i in range(60)] + list(phrases)
+    matcher = Matcher([d.first() for d in chain])
+    assert run(spark, texts, lambda x: convert_chain(x, chain)) == [matcher.convert(t) for t in texts]

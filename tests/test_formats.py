@@ -98,3 +98,43 @@ def test_batch_and_stream(spark, tmp_path):
 def test_names(spark):
     rows = run(spark, ["/x/a.Epub", "/x/b", "/x/c.doc"], lambda x: F.concat_ws("|", files.route(x), files.output_name(x)))
     assert rows == ["epub|convert_a.Epub", "skipped|convert_b", "unsupported_doc|convert_c.doc"]
+
+
+def test_text_around_a_text_box():
+    """A paragraph inside another (a text box) is converted apart from what stands around it."""
+    from scriptloom.functions.convert import Matcher
+    from scriptloom.operators import word
+
+    box = "<w:p><w:r><w:t>奧A</w:t></w:r><w:r><w:txbxContent><w:p><w:t>奧B</w:t></w:p><w:p/></w:txbxContent></w:r><w:r><w:t>奧</w:t><w:t/></w:r></w:p><w:p/><w:p><w:t>奧</w:t></w:p>"
+    matcher = Matcher([{"奧": "奥", "A奧": "Z"}])
+    done = word._by_paragraph(box, lambda t: word.convert_runs(t, matcher))
+    assert done == box.replace("奧A", "奥Z").replace("奧B", "奥B").replace("<w:t>奧</w:t><w:t/>", "<w:t></w:t><w:t/>").replace("<w:t>奧</w:t>", "<w:t>奥</w:t>")
+    assert word.convert_runs(["x", "乾"], matcher, keep_format=False) == ["x", "乾"]
+    assert word.convert_runs([" ", "乾", "奧"], matcher, keep_format=False) == ["", " 乾奥", ""]
+
+
+def test_manifests_without_documents():
+    import io
+    import zipfile
+
+    from scriptloom.operators import epub
+
+    def paths(item):
+        sink = io.BytesIO()
+        with zipfile.ZipFile(sink, "w") as out:
+            out.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+            out.writestr("p.opf", f"<package><manifest>{item}</manifest></package>")
+            out.writestr("a.html", "x")
+            out.writestr("b.XHTML", "x")
+        return epub.document_paths(zipfile.ZipFile(sink))
+
+    assert paths('<item href="x.css" media-type="text/css"/>') == ["a.html", "b.XHTML"]
+    assert paths('<item href="a.html" media-type=" Text/HTML "/>') == ["a.html"]
+
+
+def test_null_texts(spark, tmp_path):
+    from scriptloom import queries
+
+    spark.createDataFrame([(1, None, "en", "s"), (2, "the one", "en", "s"), (3, "", None, None)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("encodings", "epub_files", "docx_files", "hmm_states", "max_match_words", "convert_segments", "srt_cues", "ass_events", "lrc_lines", "txt_by_line"):
+        assert len(queries.QUERIES[name](spark, str(tmp_path)).collect()) == 3, name
