@@ -231,15 +231,20 @@ def _packs(rows: DataFrame, partitions: int) -> DataFrame:
 class Pack:
     """Sets of one pack: ids, components, and the sets one after the other."""
 
-    def __init__(self, ids: bytes, components: bytes, ends: bytes, items: bytes, expand: Expand) -> None:
+    def __init__(self, ids: bytes, components: bytes, ends: bytes, items: bytes, expand: Expand | None, sets: list[np.ndarray] | None = None) -> None:
         self.ids, self.components = (np.frombuffer(x, np.int64) for x in (ids, components))
-        cuts = [0, *np.frombuffer(ends, np.int64).tolist()]
-        sets = expand([items[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        if sets is None:
+            sets = expand(self.cut(ends, items))
         self.sizes = np.array([len(x) for x in sets], np.int64)
         items = np.concatenate(sets)
         order = np.argsort(items)
         self.items, self.owner = items[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
+    @staticmethod
+    def cut(ends: bytes, items: bytes) -> list[bytes]:
+        cuts = [0, *np.frombuffer(ends, np.int64).tolist()]
+        return [items[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 def cross_links(a: Pack, b: Pack, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids and components of similar sets of unequal components: for each set of ``a`` one of each component of ``b``."""
@@ -271,10 +276,13 @@ def _compared(percent: int, expand: Expand):
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = buckets.Forest()
         first: Pack | None = None
-        for batch in batch_iter:
-            for row in range(batch.num_rows):
-                _, _, _, j, alone, *packed = (batch.column(c)[row].as_py() for c in range(9))
-                pack = Pack(*packed, expand)
+        for batch in pieces_of(batch_iter, 8):
+            # Most clusters are small: the sets of all packs of a batch are made at once.
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            sets, end = expand([x for row in rows for x in Pack.cut(*row[7:])]), 0
+            for _, _, _, j, alone, *packed in rows:
+                begin, end = end, end + len(packed[0]) // 8
+                pack = Pack(*packed, None, sets[begin:end])
                 if j < 0:
                     first = pack
                     if not alone:
