@@ -347,7 +347,7 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     split = kept(split, "split").read()
     salt = F.xxhash64("id")
     dealt = members.read().join(split, "part").select("part", F.when(F.col("component") == F.col("main"), F.pmod(salt, "inside")).otherwise(F.col("inside") + F.pmod(salt, "outside")).alias("pack"), "id", "component", "items")
-    packs = _packs(dealt, tasks).join(split.drop("main"), "part")
+    packs = kept(_packs(dealt, tasks), "packs").read().join(split.drop("main"), "part")
     # Packs of the largest component meet those outside it; packs outside it meet all. A pack i goes once to each
     # group of MET packs j that it meets, and each j to the group in which i meets it.
     packed_ = ["ids", "components", "ends", "items"]
