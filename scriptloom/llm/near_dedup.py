@@ -5,7 +5,8 @@
    Documents with equal sets form a class; only a class's smallest document goes on.
 2. Bands of the registers (empty ones borrowed from others by a fixed probing order) are bucketed.
    Every bucket is reduced to stars around pseudo-random pivots, tasks first.
-3. A collision-corrected Jaccard estimate from the registers discards pairs that are far off; what is
+3. A collision-corrected Jaccard estimate from the registers discards pairs that are far off. The members
+   of pivots that lose some are bucketed once more, by bands of other registers, and estimated. What is
    left connects documents to clusters. A member's most frequent pivots are verified on full sets, and
    the links contracted to components.
 4. In a cluster that still holds several components, all members outside the largest component are
@@ -93,9 +94,12 @@ def densified(registers: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket key for each band of each row."""
-    packed = np.ascontiguousarray(densified(registers)).view(np.uint64)
+def band_keys(registers: np.ndarray, crossed: bool = False) -> np.ndarray:
+    """A 64-bit bucket key for each band of each row; crossed bands take registers that stand far apart."""
+    registers = densified(registers)
+    if crossed:
+        registers = registers.reshape(len(registers), BAND, -1).swapaxes(1, 2).reshape(len(registers), -1)
+    packed = np.ascontiguousarray(registers).view(np.uint64)
     return common.mix(common.mix(packed) + np.arange(packed.shape[1], dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -149,16 +153,21 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), -1)
 
 
-def banded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def banded(batch: pa.RecordBatch, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys and ids of a batch (id, sketch)."""
     if not batch.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = band_keys(_sketch_rows(batch.column(1)))
+    keys = band_keys(_sketch_rows(batch.column(1)), cross)
     return keys.ravel(), np.repeat(batch.column(0).to_numpy(), keys.shape[1])
 
 
+def crossed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """As ``banded``, by crossed bands."""
+    return banded(batch, True)
+
+
 def _hopeful(percent: int):
-    """Keeps pairs (u, v, n, nu, nv, su, sv) whose estimate is within five deviations of the threshold."""
+    """Says of pairs (u, v, n, nu, nv, su, sv) whether the estimate is within five deviations of the threshold."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
@@ -168,7 +177,7 @@ def _hopeful(percent: int):
             near, used = estimate(_sketch_rows(batch.column(5)), _sketch_rows(batch.column(6)), n_u, n_v)
             sized = 100 * np.minimum(n_u, n_v) >= percent * np.maximum(n_u, n_v)
             keep = sized & (near >= percent / 100 - 5 * np.sqrt(0.1875 / np.maximum(used, 1)))
-            yield batch.select(["u", "v", "n"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keep)], names=["u", "v", "n", "near"])
 
     return run
 
@@ -300,7 +309,8 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
 
     ``gather`` gives (id, n, sketch, items) of the ids in a stored table, and ``expand`` turns items into
     sets where they are compared. Candidates whose estimate is
-    hopeful connect ids to clusters. Members are first verified against their most frequent pivots and
+    hopeful, of the pairs given or those that crossed bands find among the members of pivots unlike some,
+    connect ids to clusters. Members are first verified against their most frequent pivots and
     contracted to components; then, in every cluster with more than one component, the members outside
     its largest component are compared with all of the cluster, pack by pack.
     """
@@ -315,7 +325,19 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     gathered = kept(gather(nodes), "sets")
     u = gathered.read().select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     v = gathered.read().select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    hopeful = kept(pairs.read().join(v, "v").join(u, "u").select("u", "v", "n", "nu", "nv", "su", "sv").transform(common.in_arrow, _hopeful(percent), "u long, v long, n long"), "hopeful")
+
+    def judged(candidates: common.Stored, what: str) -> DataFrame:
+        both = candidates.read().join(v, "v").join(u, "u").select("u", "v", "n", "nu", "nv", "su", "sv")
+        return kept(both.transform(common.in_arrow, _hopeful(percent), "u long, v long, n long, near boolean"), what).read()
+
+    met = judged(pairs, "judged")
+    # Where some members are unlike their pivot, as texts are that share a passage, those of all its buckets may be
+    # near one another and have met in none: they are bucketed once more, by crossed bands and among themselves.
+    unlike = met.filter("not near").select("u").distinct()
+    anew = kept(met.join(unlike, "u", "left_semi").select(F.explode(F.array("u", "v")).alias("id")).distinct(), "anew")
+    again = buckets.bucket_pairs(gathered.read().select("id", "sketch").join(anew.read(), "id", "left_semi"), crossed, tasks, f"{label}-again")
+    made.append(again)
+    hopeful = kept(met.union(judged(again, "judged-again")).filter("near").groupBy("u", "v").agg(F.sum("n").alias("n")), "hopeful")
     frequent = Window.partitionBy("v").orderBy(F.col("n").desc(), F.col("u").desc())
     first = hopeful.read().withColumn("rank", F.row_number().over(frequent)).filter(F.col("rank") <= FIRST_PIVOTS).select("v", "u")
     su = gathered.read().select(F.col("id").alias("u"), F.col("items").alias("iu"))
@@ -356,8 +378,8 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     groups = F.explode(F.sequence((F.greatest("pack", "inside") / MET).cast("long"), (last / MET).cast("long")))
     given = packs.filter("outside > 0").withColumn("g", groups).select("part", F.col("pack").alias("i"), "g", F.lit(-1).cast("long").alias("j"), ((F.col("pack") >= F.col("inside")) & (F.col("g") == group)).alias("alone"), *packed_)
     others = packs.filter("pack >= inside and pack > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pack") - 1))).select("part", "i", group.alias("g"), F.col("pack").alias("j"), F.lit(False).alias("alone"), *packed_)
-    met = given.union(others).repartition(tasks, "part", "i", "g").sortWithinPartitions("part", "i", "g", "j")
-    more = kept(met.transform(common.in_arrow, _compared(percent, expand), "u long, v long"), "more-links")
+    meetings = given.union(others).repartition(tasks, "part", "i", "g").sortWithinPartitions("part", "i", "g", "j")
+    more = kept(meetings.transform(common.in_arrow, _compared(percent, expand), "u long, v long"), "more-links")
     stars = joined.read().select(F.col("id").alias("u"), F.col("component").alias("v"))
     final = buckets.components(spark, stars.union(more.read()), f"{label}-final")
     for done in made:

@@ -220,3 +220,16 @@ def test_false_matches_are_not_removed(spark):
     claims = [(number, 20, 1, number, 0, digest[0]), (number, 40, 1, number, 0, digest[1])]
     runs = common.store(spark.createDataFrame(claims, "block long, at long, n long, source long, source_at long, digest binary"), "test-runs")
     assert [r.p for r in substring_dedup.verified(made, runs, 20).collect()] == [40]
+
+
+def test_near_texts_that_met_only_unlike_pivots(spark):
+    """2 and 3 are near, and were in the same buckets as the unlike 1 only; 4, like 1, is near none."""
+    rng = np.random.default_rng(3)
+    base, other = (np.sort(rng.integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2)) for _ in range(2))
+    sets = {1: base, 2: other, 3: np.sort(np.concatenate([other[:90], base[:5]])), 4: np.sort(np.concatenate([base[:70], other[90:]]))}
+    rows = []
+    for i, items in sets.items():
+        rows.append((i, len(items), bytearray(near_dedup.sketches(items, np.array([0, len(items)]))[0].tobytes()), bytearray(items.tobytes())))
+    gathered = spark.createDataFrame(rows, "id long, n long, sketch binary, items binary")
+    pairs = common.store(spark.createDataFrame([(1, 2, 3), (1, 3, 3), (1, 4, 3)], "u long, v long, n long"), "test-pairs")
+    assert [(r.id, r.component) for r in near_dedup.settle(pairs, lambda _: gathered, 75, "test").read().collect()] == [(3, 2)]
