@@ -338,6 +338,9 @@ def settle(pairs: common.Stored, gather: Callable[[common.Stored], DataFrame], p
     again = buckets.bucket_pairs(gathered.read().select("id", "sketch").join(anew.read(), "id", "left_semi"), crossed, tasks, f"{label}-again")
     made.append(again)
     hopeful = kept(met.union(judged(again, "judged-again")).filter("near").groupBy("u", "v").agg(F.sum("n").alias("n")), "hopeful")
+    for done in made:
+        if done is not nodes and done is not gathered and done is not hopeful:
+            done.drop()
     frequent = Window.partitionBy("v").orderBy(F.col("n").desc(), F.col("u").desc())
     first = hopeful.read().withColumn("rank", F.row_number().over(frequent)).filter(F.col("rank") <= FIRST_PIVOTS).select("v", "u")
     su = gathered.read().select(F.col("id").alias("u"), F.col("items").alias("iu"))
