@@ -163,3 +163,23 @@ def test_hosts_beyond_a_broadcast(spark, monkeypatch):
     want = sorted(map(tuple, language_id.identify(table, **language_id.document_evidence()).select("doc_id", "language", "kept").collect()))
     monkeypatch.setattr(language_id, "BROADCAST_KEYS", -1)
     assert sorted(map(tuple, language_id.identify(table, **language_id.document_evidence()).select("doc_id", "language", "kept").collect())) == want
+
+
+def test_ties_repeated_rows_and_long_texts(spark):
+    same, german = "uno duo tres quattro cinque ", "der die das und nicht mit ein "
+    rows = [(i, same * (1 + i % 3), lang, "s") for i, lang in enumerate(["bb", "aa"] * 6)]
+    rows += [(50, german * 3, "de", "s")] * 2 + [(60, "12 " * 500_000 + german * 50_000, None, "t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = language_id.identify(table, **language_id.document_evidence()).collect()
+    assert len(out) == len(rows)
+    assert {r.language for r in out if r.doc_id < 12} == {"aa"}  # both languages are as likely: the first in the alphabet
+    assert len({(r.language, r.posterior, r.kept) for r in out if r.doc_id == 50}) == 1
+    assert {(r.language, r.kept) for r in out if r.doc_id >= 50} == {("de", True)}
+
+
+def test_long_pages_and_clashing_columns(spark):
+    many, long = [f"line {i}" for i in range(20_000)], "word " * 400_000
+    rows = [(1, "http://a.example/1", f"<article><p>{'<p>'.join(many)}</article>", "own", "x"), (2, "http://b.example/2", f"<article><p>{long}</article>", None, None), (3, None, "", "", "")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(table).collect()}
+    assert got == {1: ("\n".join(many), len("\n".join(many))), 2: (long.strip(), len(long) - 1), 3: ("", 0)}
