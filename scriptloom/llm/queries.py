@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import ann, byte_bpe, html_extract, language_id, line_dedup, near_dedup, packing, substring_dedup, token_counts, top_k
+from scriptloom.llm import ann, annulus, byte_bpe, html_extract, language_id, line_dedup, merkle, near_dedup, packing, prefix_bpe, substring_dedup, token_counts, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +56,30 @@ def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6 over all pages, by the text model of the documents and the pages' markup, hosts and suffixes."""
     return language_id.of_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op6_language_id, op7_near_dedup, op8_best_fit_packing, op9_token_counts, op10_template_extraction)
-}
+    f.__name__: f
+    for f in (
+        op1_exact_top_k, op2_line_dedup, op3_byte_bpe, op4_substring_dedup, op5_learned_partitions, op6_language_id, op7_near_dedup, op8_best_fit_packing, op9_token_counts, op10_template_extraction,
+        op11_annulus_clusters, op12_prefix_bpe, op13_merkle_manifest,
+    )
+}
 #: Further queries of the same operators.
 MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"page_language_id": page_language_id}
 
@@ -119,4 +135,6 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_annulus_clusters": annulus.oracle_sql(),
+    "op13_merkle_manifest": merkle.oracle_sql(),
 }

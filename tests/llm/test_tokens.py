@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ tiktoken = pytest.importorskip("tiktoken")
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
 
-from scriptloom.llm import byte_bpe, common, packing, token_counts  # noqa: E402
+from scriptloom.llm import byte_bpe, common, packing, prefix_bpe, token_counts  # noqa: E402
 
 TEXT = st.text("ab \n\t1é中'<|>.́ sT", max_size=60)
 
@@ -80,17 +81,89 @@ def test_safe_parts():
     check()
 
 
-def test_words_equal_library():
-    ours, model = packing.WordTokenizer(P.path("word_bpe_49k.json")), tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+#: Special strings, also in other case, and pieces of them.
+ODD = st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|end", "don't", "A.B,", "x!!", "\u00c9t\u00e9", "e\u0301", "\u0130", "\u4e2d\u6587", "12", "\t", " ", "\n", "\u00a0", "aaaa", "the", "\U0001f642"]), max_size=12).map("".join)
 
+
+@pytest.fixture(scope="module")
+def words():
+    model = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    return {"packing": packing.WordTokenizer(P.path("word_bpe_49k.json")), "prefixes": prefix_bpe.PrefixTokenizer(P.path("word_bpe_49k.json")), "library": model}
+
+
+def encoded(ours, texts):
+    """Ids of all texts, encoded in one pass."""
+    ids, first = ours.encode(*common.text_buffer(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+@pytest.mark.parametrize("kind", ["packing", "prefixes"])
+def test_words_equal_library(words, kind):
     @settings(max_examples=200, deadline=None)
-    @given(TEXT)
-    def check(text):
-        assert ours.encode([text])[0].tolist() == model.encode(text, add_special_tokens=False).ids
+    @given(st.lists(TEXT | ODD, min_size=1, max_size=6))
+    def check(texts):
+        assert encoded(words[kind], texts) == [e.ids for e in words["library"].encode_batch(texts, add_special_tokens=False)]
 
     check()
 
 
+@pytest.mark.parametrize("kind", ["packing", "prefixes"])
+def test_random_words_equal_library(words, kind):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab" if i % 2 else "etaoinshrdlu\u00e9") for _ in range(rng.randint(1, 70))) for i in range(3000)] + ["a" * n for n in range(130)] + ["", None, "\u4e2d" * 5000]
+    assert encoded(words[kind], texts) == [e.ids for e in words["library"].encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_tokens_stay_whole_and_pairs_hold(words):
+    """One word alone and many in step give the same; every word of the vocabulary is one token; neighbours in an encoding may stand side by side."""
+    bpe = words["prefixes"].bpe
+    ends = [(i, t[:-4]) for t, i in words["library"].get_vocab().items() if t.endswith("</w>")][::7]
+    value = {c: b for b, c in enumerate(prefix_bpe.byte_characters())}
+    spelled = [bytes(value[c] for c in t) for _, t in ends]
+    ids, sizes, order = bpe.encode(spelled)
+    assert (sizes == 1).all() and ids.tolist() == [ends[k][0] for k in order.tolist()]
+    rng = random.Random(3)
+    for _ in range(300):
+        word = bytes(rng.choice(b"abcdeinorst") for _ in range(rng.randint(2, 30)))
+        alone = bpe.one(word)
+        many, _, _ = bpe.encode([word])
+        assert alone == many.tolist() and all(bpe._beside(a, b) for a, b in zip(alone, alone[1:], strict=False))
+
+
+def test_two_merges_for_one_token_are_refused():
+    letters = {c: i for i, c in enumerate(prefix_bpe.byte_characters())}
+    with pytest.raises(ValueError):
+        prefix_bpe.PrefixBPE(letters | {"ab": 256, "bc": 257, "abc": 258}, [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")], "")
+
+
+def test_vocabulary_without_word_ends():
+    letters = {c: i for i, c in enumerate(prefix_bpe.byte_characters())}
+    bpe = prefix_bpe.PrefixBPE(letters | {"ab": 256, "cd": 257, "bcd": 258}, [("a", "b"), ("c", "d"), ("b", "cd")], "")
+    assert bpe.one(b"abcd") == [256, 257] and bpe.one(b"xbcd") == [letters["x"], 258] and bpe.encode([b"abcd"])[0].tolist() == [256, 257]
+
+
+def test_prefix_digests_and_round_trip(spark, docs, corpus, nothing, words):
+    model = words["library"]
+    got = {r.doc_id: r for r in prefix_bpe.digests(docs).collect()}
+    for i, text in corpus:
+        ids = model.encode(text or "", add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(model.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    decoded = {r.doc_id: r.decoded for r in prefix_bpe.decode(prefix_bpe.encode(docs)).collect()}
+    assert decoded == {i: model.decode(model.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t in corpus}
+    assert prefix_bpe.digests(nothing).collect() == []
+
+
+def test_prefix_edges(spark, words):
+    """Repeated rows, null ids, columns named like results, special strings, odd ids to decode."""
+    rows = [(1, "a <|endoftext|> b", 7, "x"), (1, "a <|endoftext|> b", 7, "x"), (None, "c", 7, "y"), (2, None, None, None), (3, "", 1, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids_sha256 string")
+    got = sorted(((r.doc_id, r.n_tokens) for r in prefix_bpe.digests(table).collect()), key=str)
+    assert got == [(1, 3), (1, 3), (2, 0), (3, 0), (None, 1)]
+    odd = spark.createDataFrame([(1, [320, 49407, -1, 10**6, None]), (2, None)], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in prefix_bpe.decode(odd).collect()} == {1: words["library"].decode([320, 49407], skip_special_tokens=False), 2: ""}
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(2)
     for _ in range(200):
