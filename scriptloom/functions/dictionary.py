@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of a dictionary up to which it is broadcast.
+BROADCAST_KEYS = 1_000_000
+
 
 class MissingResource(FileNotFoundError):
     """A profile names a dictionary that cannot be found; nothing is made up in its place."""
@@ -37,7 +41,9 @@ class Dictionary:
         """Read by Spark, so that a path in any store works; a dictionary is configuration and fits the driver."""
         try:
             rows = spark.read.text(path).collect()
-        except Exception as error:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise MissingResource(path) from error
         return cls.parse(path.rsplit("/", 1)[-1], (r.value for r in rows))
 
@@ -65,4 +71,6 @@ def coverage(texts: DataFrame, text_col: str, dictionary: Dictionary) -> DataFra
     spark = texts.sparkSession
     used = texts.select(F.explode(F.split(text_col, "")).alias("key")).groupBy("key").agg(F.count("*").alias("uses"))
     keys = dictionary.frame(spark).filter(F.length("key") == 1).select("key")
-    return F.broadcast(keys).join(used, "key", "left").select("key", F.coalesce("uses", F.lit(0)).alias("uses"))
+    # The texts' characters are reduced to the dictionary's before they meet it; no side is larger than the dictionary.
+    found = used.join(F.broadcast(keys), "key", "left_semi") if len(dictionary.entries) <= BROADCAST_KEYS else used
+    return keys.join(found, "key", "left").select("key", F.coalesce("uses", F.lit(0)).alias("uses"))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from scriptloom.functions.convert import Matcher
+from scriptloom.functions import trie
+from scriptloom.functions.dictionary import BROADCAST_KEYS
 
 LOWEST = -3.14e100
 STATES = "BEMS"
@@ -19,8 +24,8 @@ BEFORE = {"B": "ES", "M": "MB", "S": "SE", "E": "BM"}
 
 
 def max_match(text: str, words: Sequence[str] | set[str]) -> list[str]:
-    """Greedy longest words; characters that start none stand alone."""
-    return [source for source, _ in Matcher([{w: w for w in words}]).tokens(text)]
+    """Greedy longest words of one text; characters that start none stand alone."""
+    return trie.MaxMatch(words)(text)
 
 
 @dataclass(frozen=True)
@@ -43,19 +48,44 @@ class HiddenMarkov:
             emit[s] = {k: float(v) for k, _, v in pairs if k}
         return cls(start, trans, emit)
 
+    def _steps(self) -> tuple[float, ...]:
+        return tuple(self.trans[p].get(s, LOWEST) for p, s in ("EB", "SB", "BE", "ME", "MM", "BM", "SS", "ES"))
+
+    def _known(self) -> re.Pattern:
+        """Runs of characters that some state can emit."""
+        if not hasattr(self, "_runs"):
+            known = sorted({k for s in STATES for k in self.emit[s] if len(k) == 1})
+            object.__setattr__(self, "_runs", re.compile("[" + "".join(map(re.escape, known)) + "]+" if known else "(?!)"))
+        return self._runs
+
     def states(self, text: str) -> str:
-        """The most probable states; the last is E or S."""
+        """The most probable states; the last is E or S.
+
+        A few characters that no state can emit make all states equally improbable, and so each of the
+        following ones takes the first of the states that may come before: such runs are passed over.
+        """
         if not text:
             return ""
         get_b, get_e, get_m, get_s = (self.emit[s].get for s in STATES)
-        step = {p + s: self.trans[p].get(s, LOWEST) for s in STATES for p in BEFORE[s]}
-        eb, sb, mm, bm, ss, es, be, me = (step[x] for x in ("EB", "SB", "MM", "BM", "SS", "ES", "BE", "ME"))
+        eb, sb, be, me, mm, bm, ss, es = self._steps()
         b, e, m, s = (self.start[x] + self.emit[x].get(text[0], LOWEST) for x in STATES)
+        small = max(map(abs, (eb, sb, be, me, mm, bm, ss, es))) < 1e80
         # Whether each state came from the second of those that may come before it, a bit each.
-        back = bytearray(len(text))
-        for i, char in enumerate(text):
-            if not i:
-                continue
+        back, known, size = bytearray(len(text)), self._known(), len(text)
+        passed: list[tuple[int, int]] = []
+        i, unknown_to = 1, 0
+        while i < size:
+            char = text[i]
+            if small and b == e == m == s and b < -1e90:
+                if i >= unknown_to:
+                    found = known.search(text, i)
+                    unknown_to = found.start() if found else size
+                if i < unknown_to:
+                    b += LOWEST * (unknown_to - i)
+                    passed.append((i, unknown_to))
+                    e = m = s = b
+                    i = unknown_to
+                    continue
             came = 0
             to_b, other = e + eb, s + sb
             if other > to_b:
@@ -71,42 +101,209 @@ class HiddenMarkov:
                 to_s, came = other, came | 8
             b, e, m, s = to_b + get_b(char, LOWEST), to_e + get_e(char, LOWEST), to_m + get_m(char, LOWEST), to_s + get_s(char, LOWEST)
             back[i] = came
+            i += 1
         before = [{state: BEFORE[state][came >> k & 1] for k, state in enumerate(STATES)} for came in range(16)]
         state = "S" if s > e else "E"
-        out = [state]
-        for i in range(len(text) - 1, 0, -1):
+        out, i = [state], size - 1
+        while i > 0:
+            if passed and i == passed[-1][1] - 1:
+                first, end = passed.pop()
+                n = end - first
+                run = state * n if state in "MS" else (BEFORE[state][0] + state) * (n // 2 + 1)
+                out.append(run[:n])
+                state = state if state in "MS" or n % 2 == 0 else BEFORE[state][0]
+                i = first - 1
+                continue
             state = before[back[i]][state]
             out.append(state)
-        return "".join(reversed(out))
+            i -= 1
+        return "".join(out)[::-1]
 
     def cut(self, text: str) -> list[str]:
-        words, held = [], ""
-        for char, state in zip(text, self.states(text), strict=True):
-            held += char
-            if state in "ES":
-                words.append(held)
-                held = ""
-        return [*words, held] if held else words
+        ends = [i for i, state in enumerate(self.states(text), 1) if state in "ES"]
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def count(self, text: str) -> int:
+        """How many words ``cut`` makes."""
+        states = self.states(text)
+        return states.count("E") + states.count("S")
+
+
+class Viterbi:
+    """The same model over many runs of characters in step, in numpy."""
+
+    def __init__(self, model: HiddenMarkov) -> None:
+        chars = sorted({k for s in STATES for k in model.emit[s] if len(k) == 1})
+        self.place = np.zeros(trie.CODES, np.int32)
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.emit = np.full((len(chars) + 1, 4), LOWEST)
+        for k, s in enumerate(STATES):
+            for c, v in model.emit[s].items():
+                if len(c) == 1:
+                    self.emit[self.place[ord(c)], k] = v
+        self.start = np.array([model.start[s] for s in STATES])
+        # For each state, the two that may come before it, and the steps from them.
+        self.first, self.second = ([STATES.index(BEFORE[s][k]) for s in STATES] for k in (0, 1))
+        self.step = [np.array([model.trans[BEFORE[s][k]].get(s, LOWEST) for s in STATES]) for k in (0, 1)]
+
+    def breaks(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
+        """Marks in ``out`` where a word starts inside each run of places."""
+        if not len(starts):
+            return
+        order = np.argsort(starts - ends, kind="stable")
+        starts, size = starts[order], (ends - starts)[order]
+        now = self.start + self.emit[self.place[codes[starts]]]
+        back = [np.zeros((0, 4), bool)]
+        for n in range(1, int(size[0])):
+            live = int(np.searchsorted(-size, -n, side="left"))
+            held = now[:live]
+            one, two = held[:, self.first] + self.step[0], held[:, self.second] + self.step[1]
+            later = two > one
+            back.append(later)
+            now = now.copy()
+            now[:live] = np.where(later, two, one) + self.emit[self.place[codes[starts[:live] + n]]]
+        state = np.where(now[:, 3] > now[:, 1], 3, 1)
+        first, second = np.array(self.first), np.array(self.second)
+        for n in range(int(size[0]) - 1, 0, -1):
+            live = len(back[n])
+            held = state[:live]
+            state[:live] = np.where(back[n][np.arange(live), held], second[held], first[held])
+            ended = (state[:live] == 1) | (state[:live] == 3)
+            out[starts[:live][ended] + n] = True
+        out[starts] = True
+
+
+class GraphCut:
+    """The most probable path through the words of a frequency dictionary, for whole batches; built once.
+
+    At each place the words that begin there are found by one walk of a trie. A stretch that words tie
+    together is settled from its end, all stretches of a batch in step; between stretches nothing depends on
+    anything. Single characters in a row go to the model, if there is one. Ties go to the longer word.
+    """
+
+    def __init__(self, frequency: dict[str, int], model: HiddenMarkov | None = None) -> None:
+        words = [w for w in frequency if w]
+        self.trie = trie.Trie(words)
+        total = math.log(max(1, sum(frequency.values())))
+        self.chance = np.array([math.log(frequency[w] or 1) - total for w in words] or [0.0])
+        self.lone = math.log(1) - total
+        self.model = Viterbi(model) if model is not None else None
+
+    def cut(self, batch: trie.Batch) -> None:
+        """Sets the breaks of a batch."""
+        codes, n = batch.codes, len(batch.codes)
+        if not n:
+            return
+        single, longer = np.full(n, self.lone), []
+        tied = np.zeros(n + 1, np.int32)
+        for depth, at, found in self.trie.walk(codes, batch.breaks):
+            if depth == 1:
+                single[at] = self.chance[found]
+            else:
+                longer.append((depth, at, self.chance[found]))
+                tied[:n] += np.bincount(at + 1, minlength=n + 1)[:n].astype(np.int32)
+                tied -= np.bincount(at + depth, minlength=n + 1).astype(np.int32)
+        # A stretch starts wherever no word runs across; most are single characters.
+        stretch = np.cumsum(tied[:n]) == 0
+        begin = np.flatnonzero(stretch)
+        stop = np.append(begin[1:], n)
+        size = np.ones(n, np.int32)
+        many = stop - begin > 1
+        begin, stop = begin[many], stop[many]
+        if len(begin):
+            order = np.argsort(begin - stop, kind="stable")
+            stop, width = stop[order], (stop - begin)[order]
+            # Words by the place they start at, shortest first.
+            depth = np.concatenate([np.full(len(at), d) for d, at, _ in longer])
+            at = np.concatenate([x for _, x, _ in longer])
+            chance = np.concatenate([x for _, _, x in longer])
+            by = np.lexsort((depth, at))
+            depth, at, chance = depth[by], at[by], chance[by]
+            first = np.searchsorted(at, np.arange(n + 1))
+            best = np.zeros(n + 1)
+            for step in range(1, int(width[0]) + 1):
+                place = stop[: int(np.searchsorted(-width, -step, side="right"))] - step
+                value, length = single[place] + (best[place + 1] if step > 1 else 0.0), np.ones(len(place), np.int32)
+                count, k = first[place + 1] - first[place], 0
+                live = np.flatnonzero(count > 0)
+                while len(live):
+                    word = first[place[live]] + k
+                    other = chance[word] + np.where(depth[word] == step, 0.0, best[place[live] + depth[word]])
+                    better = other >= value[live]
+                    value[live[better]], length[live[better]] = other[better], depth[word[better]]
+                    k += 1
+                    live = live[count[live] > k]
+                best[place], size[place] = value, length
+        start = np.zeros(n, bool)
+        self._follow(start, size, stretch)
+        if self.model is not None:
+            self._settle(codes, start, size, stretch, batch.breaks)
+        batch.breaks = start
+
+    def __call__(self, text: str) -> list[str]:
+        return trie.cut_one(self, text)
+
+    @staticmethod
+    def _follow(start: np.ndarray, size: np.ndarray, stretch: np.ndarray) -> None:
+        """Marks the words of the best paths, all stretches in step."""
+        at = np.flatnonzero(stretch)
+        n = len(start)
+        while len(at):
+            start[at] = True
+            at = at + size[at]
+            at = at[at < n]
+            at = at[~stretch[at]]
+
+    def _settle(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, stretch: np.ndarray, breaks: np.ndarray) -> None:
+        """Runs of words of one character become words by the model."""
+        place = np.flatnonzero(start & (size == 1))
+        if not len(place):
+            return
+        new = np.ones(len(place), bool)
+        new[1:] = (np.diff(place) > 1) | breaks[place[1:]]
+        first = np.flatnonzero(new)
+        begin, end = place[first], place[np.append(first[1:], len(place)) - 1] + 1
+        many = end - begin > 1
+        start[place] = False
+        start[begin] = True
+        self.model.breaks(codes, begin[many], end[many], start)
 
 
 def graph_cut(text: str, frequency: dict[str, int], model: HiddenMarkov | None = None) -> list[str]:
-    """The most probable path through the words of a frequency dictionary; runs of single characters go to the model."""
-    total = math.log(max(1, sum(frequency.values())))
-    longest = max(map(len, frequency), default=1)
-    best: list[tuple[float, int]] = [(0.0, len(text))] * (len(text) + 1)
-    for i in range(len(text) - 1, -1, -1):
-        ends = [j for j in range(i + 1, min(len(text), i + longest) + 1) if j == i + 1 or text[i:j] in frequency]
-        best[i] = max((math.log(frequency.get(text[i:j], 0) or 1) - total + best[j][0], j) for j in ends)
-    words, at, single = [], 0, ""
-    while at < len(text):
-        end = best[at][1]
-        if end - at == 1 and model is not None:
-            single += text[at]
-        else:
-            words += (model.cut(single) if single and model else []) + [text[at:end]]
-            single = ""
-        at = end
-    return words + (model.cut(single) if single and model else [])
+    """The words of one text by ``GraphCut``."""
+    return GraphCut(frequency, model)(text)
+
+
+def words_udf(cutter):
+    """An array-of-words column function from a batch cutter (``trie.MaxMatch``, ``GraphCut``), sent to tasks as it is."""
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def segmented(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(_whole(texts, cutter, lambda batch: batch.words()), pa.list_(pa.string()))
+
+    return segmented
+
+
+def word_count_udf(cutter):
+    """A number-of-words column function from a batch cutter."""
+
+    @F.arrow_udf("int")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(_whole(texts, cutter, lambda batch: batch.counts().tolist()), pa.int32())
+
+    return counted
+
+
+def _whole(texts: pa.Array, cutter, read: Callable[[trie.Batch], list]) -> list:
+    """What ``read`` gives for each text once cut, in passes of bounded size; null stays null."""
+    out: list = []
+    for part in trie.passes(texts.fill_null("").to_pylist()):
+        batch = trie.Batch(part)
+        cutter.cut(batch)
+        out += read(batch)
+    return [x if ok else None for x, ok in zip(out, texts.is_valid().to_pylist(), strict=True)] if texts.null_count else out
 
 
 def segment_udf(cut):
@@ -120,12 +317,33 @@ def segment_udf(cut):
     return segmented
 
 
-def count_udf(cut):
-    """A number-of-words column function from a Python segmenter; holds the words of one text at a time."""
+def count_udf(count: Callable[[str], int]):
+    """A number-of-words column function from a function that counts those of one text."""
 
     @F.pandas_udf("int")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([None if t is None else len(cut(t)) for t in texts], dtype="Int32")
+            yield pd.Series([None if t is None else count(t) for t in texts], dtype="Int32")
 
     return counted
+
+
+def document_frequencies(texts: DataFrame, text_col: str, cutter, stop_words: Iterable[str] = ()) -> DataFrame:
+    """(word, uses, texts): how often each word that is no stop word occurs, and in how many texts.
+
+    Words are counted within each text before they are exchanged. Stop words are taken away by an anti join,
+    broadcast if they are few enough; null texts have no words.
+    """
+    spark = texts.sparkSession
+    cut = texts.select(F.monotonically_increasing_id().alias("text"), words_udf(cutter)(F.col(text_col)).alias("words"))
+    words = cut.select("text", F.explode("words").alias("word"))
+    stops = sorted(set(stop_words))
+    if stops:
+        table = spark.createDataFrame([(w,) for w in stops], "word string")
+        words = words.join(F.broadcast(table) if len(stops) <= BROADCAST_KEYS else table, "word", "left_anti")
+    return words.groupBy("word", "text").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("uses"), F.count("*").alias("texts"))
+
+
+def read_stop_words(spark: SparkSession, path: str) -> list[str]:
+    """A file with a stop word on each line, read by Spark; white space around a word is no part of it."""
+    return [w for r in spark.read.text(path).collect() if (w := r.value.strip())]

@@ -1,4 +1,12 @@
-"""EPUB conversion, bytes to bytes: text nodes of the documents that the manifest names."""
+"""EPUB conversion: text nodes of the documents that a book's manifest names.
+
+A book is a list of entries. Those that are documents are converted, each on its own, and a book is written
+from its entries in order: the ``mimetype`` entry first, stored and without extra fields, as readers of the
+format ask for, all others compressed, with dates, comments and attributes as they were. ``convert_epub``
+does so in one call. ``convert_books`` does it over a table: a table function makes a row of each entry, the
+rows of all books are dealt out, and a sort by book and entry brings them back, so that a large book keeps
+many tasks busy and no task holds more of it than its archive.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +15,16 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scriptloom.functions.trie import Converter
 from scriptloom.sources import encoding
 
 #: Media types of documents, and elements whose own text stays (fixed values).
@@ -19,45 +33,66 @@ KEPT = {"script", "style", "svg", "math"}
 _pieces = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<(/?)([^\s/>]+)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _void = frozenset("area base br col embed hr img input link meta source track wbr".split())
 Text = Callable[[str], str]
+ENTRY_DDL = "ordinal int, name string, document boolean, year int, month int, day int, hour int, minute int, second int, comment binary, extra binary, attributes long, origin int, raw binary, error string"
+
+
+class Entry(NamedTuple):
+    """A file of a book, with what the archive says of it; ``error`` says why a book or an entry could not be read or converted."""
+
+    ordinal: int
+    name: str | None
+    document: bool
+    year: int
+    month: int
+    day: int
+    hour: int
+    minute: int
+    second: int
+    comment: bytes
+    extra: bytes
+    attributes: int
+    origin: int
+    raw: bytes | None
+    error: str | None
 
 
 def local_name(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _by_extension(names: list[str]) -> list[str]:
-    return [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]
+def _manifest(archive: zipfile.ZipFile) -> Iterator[str]:
+    """Paths of the items of document types; raises where container or package cannot be read."""
+    container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+    package = next(e.attrib["full-path"] for e in container.iter() if local_name(e.tag) == "rootfile")
+    folder = posixpath.dirname(package)
+    for item in ElementTree.fromstring(archive.read(package)).iter():
+        if local_name(item.tag) == "item" and item.get("media-type", "").strip().lower() in MEDIA_TYPES:
+            href = item.get("href", "").partition("#")[0]
+            yield posixpath.normpath(posixpath.join(folder, unquote(href)))
 
 
 def document_paths(archive: zipfile.ZipFile) -> list[str]:
     """Entries of the manifest's documents in order; by extension where the manifest cannot be read or names none."""
-    names = archive.namelist()
-    folded = {n.lower(): n for n in names}
+    names = dict.fromkeys(archive.namelist())
+    by_case = {n.lower(): n for n in names}
     try:
-        container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
-        package = next(e.attrib["full-path"] for e in container.iter() if local_name(e.tag) == "rootfile")
-        root = ElementTree.fromstring(archive.read(package))
-    except (KeyError, StopIteration, ElementTree.ParseError):
-        return _by_extension(names)
-    base, found = posixpath.dirname(package), []
-    for item in root.iter():
-        if local_name(item.tag) == "item" and item.get("media-type", "").strip().lower() in MEDIA_TYPES:
-            path = posixpath.normpath(posixpath.join(base, unquote(item.get("href", "").partition("#")[0])))
-            name = path if path in names else folded.get(path.lower())
-            if name and name not in found:
-                found.append(name)
-    return found or _by_extension(names)
+        named = [path if path in names else by_case.get(path.lower()) for path in _manifest(archive)]
+    except (KeyError, StopIteration, RuntimeError, ElementTree.ParseError):
+        named = []
+    return list(dict.fromkeys(filter(None, named))) or [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]
 
 
-def convert_markup(text: str, convert: Text) -> str:
+def convert_markup(text: str, convert: Text | Converter) -> str:
     """Markup stays byte for byte; text is converted unless its own parent is one of the kept elements."""
-    out, open_, at = [], [], 0
+    out: list[str] = []
+    gaps: list[int] = []
+    open_: list[str] = []
+    at = 0
 
-    def plain(piece: str) -> str:
-        if not piece.strip() or open_ and open_[-1] in KEPT:
-            return piece
-        done = convert(html.unescape(piece)) if "&" in piece else convert(piece)
-        return html.escape(done, quote=False) if "&" in piece else done
+    def plain(piece: str) -> None:
+        if piece.strip() and not (open_ and open_[-1] in KEPT):
+            gaps.append(len(out))
+        out.append(piece)
 
     while at < len(text):
         if open_ and open_[-1] in ("script", "style"):
@@ -68,7 +103,7 @@ def convert_markup(text: str, convert: Text) -> str:
             if not end:
                 break
         found = _pieces.search(text, at)
-        out.append(plain(text[at : found.start() if found else len(text)]))
+        plain(text[at : found.start() if found else len(text)])
         if not found:
             break
         out.append(found[0])
@@ -80,10 +115,14 @@ def convert_markup(text: str, convert: Text) -> str:
                     del open_[len(open_) - 1 - open_[::-1].index(name) :]
             elif not found[0].endswith("/>") and name not in _void:
                 open_.append(name)
+    shown = [html.unescape(out[k]) if "&" in out[k] else out[k] for k in gaps]
+    done = convert(shown) if isinstance(convert, Converter) else map(convert, shown)
+    for k, new in zip(gaps, done, strict=True):
+        out[k] = html.escape(new, quote=False) if "&" in out[k] else new
     return "".join(out)
 
 
-def convert_document(raw: bytes, convert: Text) -> bytes:
+def convert_document(raw: bytes, convert: Text | Converter) -> bytes:
     mark = b"\xef\xbb\xbf" if raw.startswith(b"\xef\xbb\xbf") else b""
     raw = raw[len(mark) :]
     try:
@@ -93,22 +132,100 @@ def convert_document(raw: bytes, convert: Text) -> bytes:
     return mark + convert_markup(text, convert).encode()
 
 
-def convert_epub(content: bytes, convert: Text) -> tuple[bytes, list[str]]:
-    """The rewritten archive, and what could not be converted (those entries stay as they were)."""
-    source, sink, problems = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO(), []
-    documents = set(document_paths(source))
+def entries(content: bytes) -> Iterator[Entry]:
+    """The entries of a book, in the order in which they are written."""
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    documents = set(document_paths(archive))
+    infos = archive.infolist()
+    first = [i for i in infos if i.filename == "mimetype"]
+    for n, info in enumerate([*first, *(i for i in infos if i.filename != "mimetype")]):
+        yield Entry(n, info.filename, info.filename in documents, *info.date_time, info.comment, info.extra, info.external_attr, info.create_system, archive.read(info), None)
+
+
+def converted(entry: Entry, convert: Text | Converter) -> Entry:
+    """A document converted; what cannot be converted stays as it was, with an error."""
+    if not entry.document:
+        return entry
+    try:
+        return entry._replace(raw=convert_document(entry.raw, convert))
+    except (ValueError, LookupError) as error:
+        return entry._replace(error=f"{entry.name}: {error}")
+
+
+def written(book: Iterable[Entry]) -> tuple[bytes, list[str]]:
+    """The archive of entries in order, and their errors."""
+    sink, problems = io.BytesIO(), []
     with zipfile.ZipFile(sink, "w") as out:
-        for entry in sorted(source.infolist(), key=lambda e: e.filename != "mimetype"):
-            raw = source.read(entry)
-            if entry.filename in documents:
-                try:
-                    raw = convert_document(raw, convert)
-                except (ValueError, LookupError) as error:
-                    problems.append(f"{entry.filename}: {error}")
-            copy = zipfile.ZipInfo(entry.filename, entry.date_time)
-            copy.comment, copy.external_attr, copy.create_system = entry.comment, entry.external_attr, entry.create_system
-            first = entry.filename == "mimetype"
-            copy.extra = b"" if first else entry.extra
-            copy.compress_type = zipfile.ZIP_STORED if first else zipfile.ZIP_DEFLATED
-            out.writestr(copy, raw)
+        for e in book:
+            plain = e.name == "mimetype"
+            info = zipfile.ZipInfo(e.name, (e.year, e.month, e.day, e.hour, e.minute, e.second))
+            info.compress_type = zipfile.ZIP_STORED if plain else zipfile.ZIP_DEFLATED
+            info.comment, info.extra, info.external_attr, info.create_system = e.comment, b"" if plain else e.extra, e.attributes, e.origin
+            out.writestr(info, e.raw)
+            problems += [e.error] if e.error else []
     return sink.getvalue(), problems
+
+
+def convert_epub(content: bytes, convert: Text | Converter) -> tuple[bytes, list[str]]:
+    """The rewritten archive, and what could not be converted (those entries stay as they were)."""
+    return written(converted(e, convert) for e in entries(content))
+
+
+class _Entries:
+    """A table function: the entries of a book, or one row that says why it cannot be read; none for a null."""
+
+    def eval(self, content):
+        if content is None:
+            return
+        try:
+            none = True
+            for entry in entries(bytes(content)):
+                none = False
+                yield entry
+            if none:
+                yield Entry(-1, None, False, 0, 0, 0, 0, 0, 0, b"", b"", 0, 0, None, None)
+        except Exception as error:  # one broken book is a row with an error, never a failed job
+            yield Entry(-1, None, False, 0, 0, 0, 0, 0, 0, b"", b"", 0, 0, None, f"{type(error).__name__}: {error}")
+
+
+def convert_books(found: DataFrame, convert: Converter) -> DataFrame:
+    """(path, content, error) for (path, content) rows of books, each path once; the same bytes as ``convert_epub``."""
+    rows = found.select("path", "content").lateralJoin(F.udtf(_Entries, returnType=ENTRY_DDL)(F.col("content").outer())).drop("content")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["path", *Entry._fields]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = row.pop("path")
+                yield pa.RecordBatch.from_pylist([{"path": path, **converted(Entry(**row), convert)._asdict()}], schema=batch.schema)
+
+    def books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+        def rows_() -> Iterator[tuple[str, Entry]]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    yield row.pop("path"), Entry(**row)
+
+        held = rows_()
+        ahead = next(held, None)
+        while ahead is not None:
+            path = ahead[0]
+
+            def one() -> Iterator[Entry]:
+                nonlocal ahead
+                while ahead is not None and ahead[0] == path:  # noqa: B023
+                    entry, ahead = ahead[1], next(held, None)
+                    yield entry
+
+            if ahead[1].ordinal < 0:
+                problems = [e.error for e in one() if e.error]
+                content = None if problems else written([])[0]
+            else:
+                content, problems = written(one())
+            yield pa.RecordBatch.from_pylist([{"path": path, "content": content, "error": "; ".join(problems) or None}], schema=schema)
+
+    spread = rows.select(*order).repartition(n, "path", "ordinal").mapInArrow(each, f"path string, {ENTRY_DDL}")
+    return spread.repartition(n, "path").sortWithinPartitions("path", "ordinal").mapInArrow(books, "path string, content binary, error string")

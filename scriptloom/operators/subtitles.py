@@ -1,5 +1,8 @@
 """Subtitles and lyrics as column expressions over whole files; no shuffle, no row per line.
 
+A format cuts a file into parts, each a fixed text and a text to convert; all texts of a file are then
+converted at once, by an expression or by one call of the matcher, and put together.
+
 SRT: a cue is a line of digits, a line with ``-->`` and text lines up to a blank line or another line of
 digits; only those text lines are converted. ASS and SSA: the tenth field of Dialogue and Comment lines
 of the [Events] section. LRC: the contents of some ID tags, and what follows leading time tags. Style
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptloom.functions.convert import Convert, tagged
+from scriptloom.functions.convert import Convert, assembled, part, parts
 
 #: Protected spans and how they open: style overrides in braces, and numbers in angle brackets of lyrics (fixed values).
 BRACE_TAG, NUMBER_TAG = (r"\{[^}]*\}", r"\{"), (r"<\d+>", "<")
@@ -25,6 +28,10 @@ def unix_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def txt_parts(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.array(part(F.lit(""), text)))
+
+
 def convert_txt(text: Column, convert: Convert) -> Column:
     """The whole text at once."""
     return convert(text)
@@ -32,39 +39,61 @@ def convert_txt(text: Column, convert: Convert) -> Column:
 
 def convert_txt_by_line(text: Column, convert: Convert) -> Column:
     """Line by line: no match runs across a line end."""
-    return F.array_join(F.transform(F.split(text, "\n"), convert), "\n")
+    return assembled(F.transform(F.split(text, "\n"), lambda x, i: part(_joint(i), x)), convert)
 
 
-def convert_srt(text: Column, convert: Convert) -> Column:
+def _joint(i: Column) -> Column:
+    """The line end before every line but the first. (A function within a function must not use the outer one's variables, or Python functions cannot take the result.)"""
+    return F.when(i > 0, "\n").otherwise("")
+
+
+def _fixed(text: Column) -> Column:
+    return F.array(part(text))
+
+
+def srt_parts(text: Column) -> Column:
     # Blocks begin at blank lines and at lines of digits; the text lines of a cue are the rest of one block.
     blocks = F.split(unix_lines(text), rf"\n(?={_BLANK}*{_DIGIT}*{_BLANK}*(?:\n|\z))")
 
-    def block(b: Column) -> Column:
+    def block(b: Column, j: Column) -> Column:
         lines = F.split(b, "\n")
         cue = F.get(lines, 0).rlike(rf"\A{_BLANK}*{_DIGIT}+{_BLANK}*\z") & F.coalesce(F.get(lines, 1).contains("-->"), F.lit(False))
-        done = F.transform(lines, lambda x, i: F.when(i < 2, x).otherwise(tagged(x, *BRACE_TAG, convert)))
-        return F.when(cue, F.array_join(done, "\n")).otherwise(b)
+        texts = F.flatten(F.transform(lines, lambda x, i: F.when(i < 2, _fixed(F.concat(_joint(i), x))).otherwise(F.concat(_fixed(F.lit("\n")), parts(x, *BRACE_TAG)))))
+        return F.concat(_fixed(_joint(j)), F.when(cue, texts).otherwise(_fixed(b)))
 
-    return F.array_join(F.transform(blocks, block), "\n")
+    return F.flatten(F.transform(blocks, block))
 
 
-def convert_ass_line(line: Column, convert: Convert) -> Column:
-    """A line of the events section: field ten of Dialogue and Comment, if there are ten fields."""
+def convert_srt(text: Column, convert: Convert) -> Column:
+    return assembled(srt_parts(text), convert)
+
+
+def _ass_line(line: Column) -> Column:
+    """Parts of a line of the events section: field ten of Dialogue and Comment, if there are ten fields."""
     pattern = r"(?is)\A((?:Dialogue|Comment):(?:[^,]*,){9})(.*)\z"
-    return F.when(line.rlike(pattern), F.concat(F.regexp_extract(line, pattern, 1), tagged(F.regexp_extract(line, pattern, 2), *BRACE_TAG, convert))).otherwise(line)
+    return F.when(line.rlike(pattern), F.concat(_fixed(F.regexp_extract(line, pattern, 1)), parts(F.regexp_extract(line, pattern, 2), *BRACE_TAG))).otherwise(_fixed(line))
 
 
-def convert_ass(text: Column, convert: Convert) -> Column:
+def convert_ass_line(line: Column, convert: Convert) -> Column:
+    return assembled(_ass_line(line), convert)
+
+
+def ass_parts(text: Column) -> Column:
     sections = F.split(unix_lines(text), rf"\n(?={_BLANK}*\[[^\n]*\]{_BLANK}*(?:\n|\z))")
     events = rf"(?is)\A{_BLANK}*\[events\]{_BLANK}*(?:\n|\z)"
 
-    def section(s: Column) -> Column:
-        lines = F.transform(F.split(s, "\n"), lambda x: convert_ass_line(x, convert))
-        return F.when(s.rlike(events), F.array_join(lines, "\n")).otherwise(s)
+    def section(s: Column, j: Column) -> Column:
+        lines = F.flatten(F.transform(F.split(s, "\n"), lambda x, i: F.concat(_fixed(_joint(i)), _ass_line(x))))
+        return F.concat(_fixed(_joint(j)), F.when(s.rlike(events), lines).otherwise(_fixed(s)))
+
+    return F.flatten(F.transform(sections, section))
 
-    return F.array_join(F.transform(sections, section), "\n")
 
+def convert_ass(text: Column, convert: Convert) -> Column:
+    return assembled(ass_parts(text), convert)
 
+
+# The forms of ID tags and of time tags in lyrics.
 _IDENT = r"\A\[([a-zA-Z]+):(.+)\]\z"
 _TIMED = r"\A((?:\[\d+:\d+(?:\.\d+)?\])+)(.*)\z"
 
@@ -74,19 +103,24 @@ def _lyric_parts(line: Column) -> Column:
     return F.struct(line.alias("line"), F.regexp_replace(line, rf"\A{_BLANK}+|{_BLANK}+\z", "").alias("bare"))
 
 
-def _lyric(x: Column, convert: Convert) -> Column:
+def _lyric(x: Column) -> Column:
     line, bare = x["line"], x["bare"]
     indent = F.regexp_extract(line, rf"\A({_BLANK}*)", 1)
     known = F.lower(F.regexp_extract(bare, _IDENT, 1)).isin(*ID_TAGS)
-    whole = F.concat(indent, F.lit("["), F.regexp_extract(bare, _IDENT, 1), F.lit(":"), convert(F.regexp_extract(bare, _IDENT, 2)), F.lit("]"))
-    lyric = F.concat(indent, F.regexp_extract(bare, _TIMED, 1), tagged(F.regexp_extract(bare, _TIMED, 2), *NUMBER_TAG, convert))
-    return F.when(bare == "", line).when(bare.rlike(_IDENT), F.when(known, whole).otherwise(line)).when(bare.rlike(_TIMED), lyric).otherwise(line)
+    whole = F.array(part(F.concat(indent, F.lit("["), F.regexp_extract(bare, _IDENT, 1), F.lit(":")), F.regexp_extract(bare, _IDENT, 2)), part(F.lit("]")))
+    lyric = F.concat(_fixed(F.concat(indent, F.regexp_extract(bare, _TIMED, 1))), parts(F.regexp_extract(bare, _TIMED, 2), *NUMBER_TAG))
+    return F.when(bare == "", _fixed(line)).when(bare.rlike(_IDENT), F.when(known, whole).otherwise(_fixed(line))).when(bare.rlike(_TIMED), lyric).otherwise(_fixed(line))
 
 
-def convert_lrc(text: Column, convert: Convert) -> Column:
+def lrc_parts(text: Column) -> Column:
     lines = F.transform(F.split(unix_lines(text), "\n"), _lyric_parts)
-    return F.array_join(F.transform(lines, lambda x: _lyric(x, convert)), "\n")
+    return F.flatten(F.transform(lines, lambda x, i: F.concat(_fixed(_joint(i)), _lyric(x))))
+
+
+def convert_lrc(text: Column, convert: Convert) -> Column:
+    return assembled(lrc_parts(text), convert)
 
 
-#: Converters of text formats by extension.
+#: Parts and converters of text formats by extension.
+PARTS = {"txt": txt_parts, "srt": srt_parts, "ass": ass_parts, "ssa": ass_parts, "lrc": lrc_parts}
 TEXT_FORMATS = {"txt": convert_txt, "srt": convert_srt, "ass": convert_ass, "ssa": convert_ass, "lrc": convert_lrc}

@@ -12,8 +12,10 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
+from itertools import accumulate
 
 from scriptloom.functions.convert import Matcher
+from scriptloom.functions.trie import Converter
 
 _gate = re.compile("[一-鿿]")
 _piece = re.compile(r"(<w:p(?:\s[^>]*)?(?<!/)>)|(</w:p>)|(<w:t(?:\s[^>]*)?(?<!/)>)([^<]*)</w:t>")
@@ -36,19 +38,30 @@ def spread(pieces: list[tuple[str, str]], ends: list[int]) -> list[str]:
     return out
 
 
-def convert_runs(texts: list[str], matcher: Matcher, keep_format: bool = True) -> list[str]:
+def convert_runs(texts: list[str], matcher: Matcher | Converter, keep_format: bool = True) -> list[str]:
     """Texts of a paragraph's runs; without CJK characters nothing changes."""
-    full = "".join(texts)
-    if not full.strip() or not _gate.search(full):
-        return texts
-    if not keep_format:
-        new, target = matcher.convert(full), next((i for i, t in enumerate(texts) if t.strip()), 0)
-        return texts if new == full else [new if i == target else "" for i in range(len(texts))]
-    ends, total = [], 0
-    for t in texts:
-        total += len(t)
-        ends.append(total)
-    return spread(list(matcher.tokens(full)), ends)
+    return convert_paragraphs([texts], matcher, keep_format)[0]
+
+
+def convert_paragraphs(paragraphs: list[list[str]], matcher: Matcher | Converter, keep_format: bool = True) -> list[list[str]]:
+    """The runs of many paragraphs, converted together: equal lengths are cut where the runs end, others dealt out by piece."""
+    full = ["".join(texts) for texts in paragraphs]
+    live = [k for k, text in enumerate(full) if text.strip() and _gate.search(text)]
+    given = [full[k] for k in live]
+    if isinstance(matcher, Converter):
+        new, uneven = matcher.with_lengths(given)
+    else:
+        new, uneven = [matcher.convert(t) for t in given], [True] * len(given)
+    out = list(paragraphs)
+    for k, text, odd in zip(live, new, uneven, strict=True):
+        texts = paragraphs[k]
+        if not keep_format:
+            target = next((i for i, t in enumerate(texts) if t.strip()), 0)
+            out[k] = texts if text == full[k] else [text if i == target else "" for i in range(len(texts))]
+            continue
+        ends = list(accumulate(map(len, texts)))
+        out[k] = spread(list(matcher.tokens(full[k])), ends) if odd else [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return out
 
 
 def _put(start: str, text: str) -> str:
@@ -63,18 +76,23 @@ def _rewrite(xml: str, change: Callable[[list[str]], list[str]]) -> str:
 
 
 def _by_paragraph(xml: str, change: Callable[[list[str]], list[str]]) -> str:
-    """Each paragraph's own texts changed as one list; those of paragraphs inside it (text boxes) are apart."""
+    """Each paragraph's own texts changed as one list."""
+    return _paragraphs(xml, lambda all_: [change(own) for own in all_])
+
+
+def _paragraphs(xml: str, change: Callable[[list[list[str]]], list[list[str]]]) -> str:
+    """All paragraphs changed at once, each by its own texts; those of paragraphs inside it (text boxes) are apart."""
     open_: list[list[tuple[int, int, str, str]]] = []
-    done: list[tuple[int, int, str]] = []
+    closed: list[list[tuple[int, int, str, str]]] = []
     for m in _piece.finditer(xml):
         if m[1]:
             open_.append([])
         elif m[2] and open_:
-            own = open_.pop()
-            new = change([html.unescape(t) for _, _, _, t in own])
-            done += [(a, b, _put(start, text)) for (a, b, start, _), text in zip(own, new, strict=True)]
+            closed.append(open_.pop())
         elif m[3] and open_:
             open_[-1].append((m.start(), m.end(), m[3], m[4]))
+    new = change([[html.unescape(t) for _, _, _, t in own] for own in closed])
+    done = [(a, b, _put(start, text)) for own, texts in zip(closed, new, strict=True) for (a, b, start, _), text in zip(own, texts, strict=True)]
     out, at = [], 0
     for a, b, text in sorted(done):
         out += [xml[at:a], text]
@@ -82,17 +100,21 @@ def _by_paragraph(xml: str, change: Callable[[list[str]], list[str]]) -> str:
     return "".join([*out, xml[at:]])
 
 
-def convert_docx(content: bytes, matcher: Matcher, keep_format: bool = True, notes: bool = True) -> bytes:
+def convert_docx(content: bytes, matcher: Matcher | Converter, keep_format: bool = True, notes: bool = True) -> bytes:
     source, sink = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
 
     def by_run(texts: list[str]) -> list[str]:
-        return [matcher.convert(t) if _gate.search(t) else t for t in texts]
+        if not isinstance(matcher, Converter):
+            return [matcher.convert(t) if _gate.search(t) else t for t in texts]
+        live = [k for k, t in enumerate(texts) if _gate.search(t)]
+        found = dict(zip(live, matcher([texts[k] for k in live]), strict=True))
+        return [found.get(k, t) for k, t in enumerate(texts)]
 
     with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as out:
         for entry in source.infolist():
             raw = source.read(entry)
             if _body.fullmatch(entry.filename):
-                raw = _by_paragraph(raw.decode(), lambda t: convert_runs(t, matcher, keep_format)).encode()
+                raw = _paragraphs(raw.decode(), lambda t: convert_paragraphs(t, matcher, keep_format)).encode()
             elif notes and _notes.fullmatch(entry.filename):
                 raw = _rewrite(raw.decode(), by_run).encode()
             out.writestr(entry, raw)

@@ -1,34 +1,40 @@
-"""Whole batches of files: scan, route, decode, convert, and hand on to a sink."""
+"""Whole batches of files: list, route, read, decode, convert, and hand on to a sink.
+
+A batch has two phases. Listing gives paths and lengths without opening a file; files that nothing converts
+end there. The others are read by one scan, and one pass over its rows converts every kind: texts by
+column expressions or one call of the matcher, containers by one Arrow function.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.functions.convert import Matcher, compat_table, convert_chain, normalize_compat
+from scriptloom.functions.convert import Conversion, assembled
 from scriptloom.functions.dictionary import Dictionary
+from scriptloom.functions.trie import Converter
 from scriptloom.operators import epub, subtitles, word
 from scriptloom.sources import encoding, files
 
 
-def _container_udf(kind: str, tables: list[dict[str, str]], normalize: bool):
-    schema = "content binary, error string"
-
-    @F.pandas_udf(schema)
-    def converted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher([*tables, compat_table()] if normalize else tables)
-        for contents in batches:
+def _container_udf(converter: Converter, keep_format: bool, notes: bool):
+    @F.pandas_udf("content binary, error string")
+    def converted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for contents, kinds in batches:
             rows = []
-            for raw in contents:
+            for raw, kind in zip(contents, kinds, strict=True):
+                if raw is None:
+                    rows.append((None, None))
+                    continue
                 try:
                     if kind == "epub":
-                        new, problems = epub.convert_epub(raw, matcher.convert)
+                        new, problems = epub.convert_epub(raw, converter)
                         rows.append((new, "; ".join(problems) or None))
                     else:
-                        rows.append((word.convert_docx(raw, matcher), None))
+                        rows.append((word.convert_docx(raw, converter, keep_format, notes), None))
                 except Exception as error:  # one broken file is a row with an error, never a failed job
                     rows.append((None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["content", "error"])
@@ -36,24 +42,37 @@ def _container_udf(kind: str, tables: list[dict[str, str]], normalize: bool):
     return converted
 
 
-def convert_files(found: DataFrame, chain: Sequence[Dictionary], normalize: bool = True, force_encoding: str = "auto") -> DataFrame:
-    """(path, output_name, status, error, content) for (path, content) rows; one row for every input."""
-    tables = [d.first() for d in chain]
-
-    def convert(text: Column) -> Column:
-        return convert_chain(normalize_compat(text) if normalize else text, chain)
-
-    kind, ext = files.route(F.col("path")), files.extension(F.col("path"))
-    routed = found.select("path", "content", kind.alias("kind"), ext.alias("ext"))
-    texts = routed.filter("kind = 'text'").withColumn("text", encoding.decoded(F.col("content"), force_encoding))
-    done = F.lit(None).cast("string")
-    for name, operator in subtitles.TEXT_FORMATS.items():
-        done = F.when(F.col("ext") == name, operator(F.col("text"), convert)).otherwise(done)
-    shape = ["path", files.output_name(F.col("path")).alias("output_name")]
-    out = texts.select(*shape, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), F.encode(done, "UTF-8").alias("content"))
-    for name in ("epub", "docx"):
-        made = routed.filter(F.col("kind") == name).withColumn("made", _container_udf(name, tables, normalize)(F.col("content")))
-        status = F.when(F.col("made.content").isNotNull(), "ok").otherwise("error")
-        out = out.unionByName(made.select(*shape, status.alias("status"), F.col("made.error").alias("error"), F.col("made.content").alias("content")))
-    rest = routed.filter(~F.col("kind").isin("text", "epub", "docx"))
-    return out.unionByName(rest.select(*shape, F.col("kind").alias("status"), F.lit("unsupported extension").alias("error"), F.lit(None).cast("binary").alias("content")))
+def convert_files(found: DataFrame, chain: Sequence[Dictionary], normalize: bool = True, force_encoding: str = "auto", keep_format: bool = True, notes: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, output_name, status, error, content) for (path, content) rows; one row for every input, read once.
+
+    ``keep_format`` keeps the formatting of Word runs, ``notes`` converts foot and end notes; the columns
+    ``keep`` are carried along.
+    """
+    conversion = Conversion(chain, normalize)
+    path, content = F.col("path"), F.col("content")
+    routed = found.select(*keep, "path", "content", files.route(path).alias("kind"), files.extension(path).alias("ext"))
+    # What is not of a kind is null for the functions of that kind, and costs nothing there.
+    held = routed.select(
+        *keep, "path", "kind", "ext",
+        encoding.decoded(F.when(F.col("kind") == "text", content), force_encoding).alias("text"),
+        _container_udf(conversion.converter(), keep_format, notes)(F.when(F.col("kind").isin("epub", "docx"), content), F.col("kind")).alias("made"),
+    )
+    text = F.col("text")
+    pieces: Column = F.lit(None)
+    for name, parts in subtitles.PARTS.items():
+        pieces = F.when(F.col("ext") == name, parts(text)).otherwise(pieces)
+    done = F.encode(assembled(pieces, conversion), "UTF-8")
+    opened = F.col("kind").isin("epub", "docx")
+    status = F.when(F.col("kind") == "text", "ok").when(opened & F.col("made.content").isNotNull(), "ok").when(opened, "error").otherwise(F.col("kind"))
+    error = F.when(F.col("kind") == "text", F.lit(None)).when(opened, F.col("made.error")).otherwise("unsupported extension")
+    return held.select(*keep, "path", files.output_name(path).alias("output_name"), status.alias("status"), error.cast("string").alias("error"), F.when(F.col("kind") == "text", done).otherwise(F.col("made.content")).alias("content"))
+
+
+def convert_paths(spark: SparkSession, paths: str | list[str], chain: Sequence[Dictionary], **options) -> DataFrame:
+    """The same for files and folders: what nothing converts is listed and never opened."""
+    listed = files.list_files(spark, paths)
+    kind = files.route(F.col("path"))
+    rest = listed.filter(~kind.isin(*files.CONVERTED)).select(
+        "path", files.output_name(F.col("path")).alias("output_name"), kind.alias("status"), F.lit("unsupported extension").alias("error"), F.lit(None).cast("binary").alias("content")
+    )
+    return convert_files(files.read_converted(spark, paths), chain, **options).unionByName(rest)

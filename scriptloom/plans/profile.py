@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 
 from scriptloom.functions import convert as c
-from scriptloom.functions import segment
+from scriptloom.functions import segment, trie
 from scriptloom.functions.dictionary import Dictionary, MissingResource
 
 #: Suffixes of profile names by segmentation mode (fixed values).
@@ -61,27 +61,29 @@ class Profile:
                 raise MissingResource(f"{name}: compiled dictionaries are not read; give the text form")
         return [Dictionary.load(spark, f"{folder}/{name}") for name in self.chain]
 
-    def cut(self, lines: Callable[[str], list[str]]) -> Callable[[str], list[str]] | None:
+    def cut(self, lines: Callable[[str], list[str]]) -> trie.MaxMatch | segment.GraphCut | None:
         """The profile's segmenter, its resources read by ``lines(file)``; none where it names none.
 
         ``mmseg`` matches the longest words of its dictionary. ``jieba`` takes the best path through the words
         of a frequency dictionary and a user dictionary, and leaves runs of single characters to its model.
+        Either is built once, cuts a text when called, and goes to tasks as it is.
         """
         if not self.segmentation:
             return None
         if self.segmentation == "mmseg":
             words = {k for f in self.resources for k in Dictionary.parse(f, lines(f)).entries}
-            return lambda text: segment.max_match(text, words)
+            return trie.MaxMatch(words)
         if self.segmentation != "jieba":
             raise ValueError(f"unknown segmentation: {self.segmentation}")
         named = dict(self.named)
         frequency = {x[0]: int(x[1]) for line in lines(named["dict_path"]) if len(x := line.split()) > 1}
         own = [line.split()[0] for line in lines(named["user_dict_path"]) if line.strip()] if "user_dict_path" in named else []
-        frequency |= {w: max(frequency.get(w, 0), max(frequency.values(), default=1)) for w in own}
+        highest = max(frequency.values(), default=1)
+        frequency |= dict.fromkeys(own, highest)
         model = segment.HiddenMarkov.parse(lines(named["model_path"])) if "model_path" in named else None
-        return lambda text: segment.graph_cut(text, frequency, model)
+        return segment.GraphCut(frequency, model)
 
-    def column(self, text: Column, chain: list[Dictionary], cut: Callable[[str], list[str]] | None = None) -> Column:
+    def column(self, text: Column, chain: list[Dictionary], cut: trie.MaxMatch | segment.GraphCut | None = None) -> Column:
         """Normalization, then segmentation by ``cut`` if the profile has one, then the steps of the chain."""
         if self.segmentation and cut is None:
             raise MissingResource(f"{self.name}: the profile names a segmentation; give the segmenter made by cut()")
@@ -95,5 +97,13 @@ class Profile:
         return text
 
 
+    def converter(self, chain: list[Dictionary], cut: trie.MaxMatch | segment.GraphCut | None = None) -> Callable[[list[str]], list[str]]:
+        """The whole profile over lists of texts, for ``convert.register_all``."""
+        if self.segmentation and cut is None:
+            raise MissingResource(f"{self.name}: the profile names a segmentation; give the segmenter made by cut()")
+        given = iter(chain)
+        return c.in_steps([[next(given) for _ in step] for step in self.steps], bool(self.normalization), cut if self.segmentation else None)
+
+
 def profile_name(base: str, mode: str = "none") -> str:
     return base + MODES[mode]

@@ -6,6 +6,8 @@ frequent letter groups become whole phrases, then letters become characters.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,54 @@ def sample_sql(text: str = "text") -> str:
     for group, phrase in GROUPS:
         text = f"replace({text}, '{group}', '{phrase}')"
     return f"translate({text}, '{LETTERS}', '{CHARACTERS}')"
+
+
+# Dictionaries of real size, made by rule: two Latin letters in a row become one of 676 CJK characters.
+FIRST = 0x4E00
+#: Letter pairs that are frequent in the tables' languages; phrases are made of their characters.
+FREQUENT = "th he in er an re on at en nd ti es or te of ed is it al ar st to".split()
+
+
+def paired(a: str) -> int:
+    """The number of a letter pair's character."""
+    return 26 * (ord(a[0]) - 97) + ord(a[1]) - 97
+
+
+def many_characters() -> Dictionary:
+    """3,600 characters, each to another one; every fiftieth to two."""
+    return Dictionary("many_characters", {chr(FIRST + n): (chr(FIRST + (7 * n + 5) % 3600) + "々" * (n % 50 == 0),) for n in range(3600)})
+
+
+def many_phrases() -> Dictionary:
+    """548 phrases of two and three characters; every fourth guards its characters, every fifth of the others grows."""
+    keys = [*product(FREQUENT, repeat=2), *product(FREQUENT[:4], repeat=3)]
+    out = {}
+    for n, key in enumerate(keys):
+        word = "".join(chr(FIRST + paired(x)) for x in key)
+        out[word] = (word if n % 4 == 0 else word[::-1] + "〇" * (n % 5 == 0),)
+    return Dictionary("many_phrases", out)
+
+
+def many_words() -> list[str]:
+    """40,000 words of two characters: the first among 200, the second among 200 others."""
+    return [chr(FIRST + a) + chr(FIRST + b) for a in range(80, 280) for b in range(330, 530)]
+
+
+def frequencies() -> dict[str, int]:
+    """Words with frequencies by rule: the phrases, the words, and half of the characters."""
+    keys = [*many_phrases().entries, *many_words(), *(chr(FIRST + n) for n in range(0, 676, 2))]
+    return {k: 1 + (7919 * n) % 9973 for n, k in enumerate(keys)}
+
+
+def paired_text(text: Column) -> Column:
+    """Text whose letter pairs are CJK characters; everything else stays."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s)[a-z]{2}|(?:(?![a-z]{2}).)+"), F.lit(0))
+    place = lambda p, n: F.ascii(F.substring(p, n, 1)) - 97
+    made = lambda p: F.decode(F.unhex(F.hex((FIRST + 26 * place(p, 1) + place(p, 2)).cast("long"))), "UTF-16BE")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("\\A[a-z]{2}\\z"), made(p)).otherwise(p)), "")
+
+
+def paired_sql(text: str = "text") -> str:
+    """The same in SQL."""
+    made = f"chr(CAST({FIRST} + 26 * (ascii(p[1]) - 97) + ascii(p[2]) - 97 AS INTEGER))"
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '(?s)[a-z][a-z]|.'), lambda p: CASE WHEN length(p) = 2 THEN {made} ELSE p END), '')"

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import convert as c
 from scriptloom.functions import dictionary as d
-from scriptloom.functions import segment
-from scriptloom.operators import subtitles
+from scriptloom.functions import segment, trie
+from scriptloom.operators import epub, subtitles
 from scriptloom.plans import batch, profile, samples
 from scriptloom.sources import encoding, files
 
@@ -48,10 +48,11 @@ def convert_phrases_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compat_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = c.compat_table()
-    keys, values = "".join(list(table)[:26]), samples.LETTERS
+    """Each text with every compatibility character behind it, so that all entries take part."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.md5(c.normalize_compat(F.translate("text", values, keys))).alias("normalized_md5"))
+    keys = "".join(c.compat_table())
+    given = F.concat(F.translate("text", samples.LETTERS, keys[:26]), F.lit(keys))
+    return docs.select("doc_id", F.md5(c.normalize_compat(given)).alias("normalized_md5"))
 
 
 def cjk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +142,13 @@ def hmm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the whole texts by Viterbi states under a small model."""
     half = -0.7
     model = segment.HiddenMarkov({"B": half, "E": segment.LOWEST, "M": segment.LOWEST, "S": half}, {s: dict.fromkeys("BEMS", half) for s in "BEMS"}, {"B": {"瞭": -1.0}, "E": {"解": -1.0}, "M": {}, "S": {"乾": -1.0}})
-    count = segment.count_udf(model.cut)
+    count = segment.count_udf(model.count)
     return _texts(spark, sf_dir).select("doc_id", count(F.col("text")).alias("words"))
 
 
 def max_match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = set(samples.dictionary("simple_phrases").entries)
-    cut = segment.segment_udf(lambda t: segment.max_match(t, words))
-    return _texts(spark, sf_dir).select("doc_id", F.size(cut(F.col("text"))).alias("words"))
+    return _texts(spark, sf_dir).select("doc_id", segment.word_count_udf(trie.MaxMatch(words))(F.col("text")).alias("words"))
 
 
 def make_epub(body: str) -> bytes:
@@ -206,13 +206,107 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of a batch of files by document source: converted, of how many, and in a word."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Outcome of a batch of files of all kinds by document source: converted, of how many, and in a word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", samples.sample_text(F.col("text")))
     name = F.get(F.array(*map(F.lit, _NAMES)), F.pmod("doc_id", F.lit(len(_NAMES))).cast("int"))
-    done = files.route(name).isin("text", "epub", "docx")
-    sums = docs.groupBy("source").agg(F.count_if(done).alias("success_count"), F.count("*").alias("total_files"))
-    word_ = F.when(F.col("success_count") == F.col("total_files"), "ok").when(F.col("success_count") > 0, "partial").otherwise("error")
-    return sums.withColumn("message", word_)
+
+    @F.pandas_udf("binary")
+    def written(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        make = {"epub": lambda t: make_epub(html.escape(t)), "docx": lambda t: make_docx([html.escape(t)])}
+        for texts, exts in batches:
+            yield pd.Series([make.get(e, str.encode)(t or "") for t, e in zip(texts, exts, strict=True)])
+
+    found = docs.select("source", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), written("text", files.extension(name)).alias("content"))
+    chain = [samples.dictionary("simple_phrases"), samples.dictionary("standard_chars_keep")]
+    return files.tallies(batch.convert_files(found, chain, keep=["source"]), "source")
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", samples.paired_text(F.col("text")).alias("text"))
+
+
+def convert_real_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionaries of 3,600 characters and 548 phrases."""
+    conversion = c.Conversion([samples.many_phrases(), samples.many_characters()])
+    return _paired(spark, sf_dir).select("doc_id", F.md5(conversion(F.col("text"))).alias("converted_md5"))
+
+
+def srt_real_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitles by the same dictionaries: all texts of a file go through the matcher at once."""
+    conversion = c.Conversion([samples.many_phrases(), samples.many_characters()])
+    return _paired(spark, sf_dir).select("doc_id", F.md5(subtitles.convert_srt(_as_srt(F.col("text")), conversion)).alias("converted_md5"))
+
+
+def max_match_real_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest words of a dictionary of 40,000."""
+    count = segment.word_count_udf(trie.MaxMatch(samples.many_words()))
+    return _paired(spark, sf_dir).select("doc_id", count(F.col("text")).alias("words"))
+
+
+#: A profile that segments by frequencies and a user dictionary.
+GRAPH = """{"name": "graph", "segmentation": {"type": "jieba", "resources": {"dict_path": "words", "user_dict_path": "own"}},
+"conversion_chain": [{"dict": {"type": "group", "match_policy": "short_circuit", "dicts": [{"type": "text", "file": "many_phrases"}, {"type": "text", "file": "many_characters"}]}}]}"""
+
+
+def graph_cutter() -> segment.GraphCut:
+    lines = {"words": [f"{w} {n} x" for w, n in samples.frequencies().items()], "own": samples.many_words()[::997]}
+    return profile.Profile.parse(GRAPH).cut(lines.__getitem__)
+
+
+def convert_graph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same dictionaries within the words of the most probable paths, and how many words there are."""
+    plan, cut = profile.Profile.parse(GRAPH), graph_cutter()
+    text = plan.column(F.col("text"), [samples.many_phrases(), samples.many_characters()], cut)
+    return _paired(spark, sf_dir).select("doc_id", segment.word_count_udf(cut)(F.col("text")).alias("words"), F.md5(text).alias("converted_md5"))
+
+
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of two characters and more but stop words, how often they occur, and in how many documents."""
+    found = segment.document_frequencies(_paired(spark, sf_dir), "text", trie.MaxMatch(samples.many_words()), samples.many_words()[::7])
+    return found.filter(F.length("word") > 1)
+
+
+def convert_text_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL statement with a profile as an argument."""
+    plain = profile.Profile.parse(GRAPH.replace('"segmentation"', '"unused"'))
+    chain = [samples.many_phrases(), samples.many_characters()]
+    c.register_all(spark, {"plain": plain.converter(chain), "characters": c.in_steps([[samples.many_characters()]])})
+    docs = _paired(spark, sf_dir)
+    return spark.sql("SELECT doc_id, md5(convert_text(text, 'plain')) AS plain_md5, md5(convert_text(text, 'characters')) AS characters_md5 FROM {docs}", docs=docs)
+
+
+def make_book(chapters: list[str]) -> bytes:
+    sink = io.BytesIO()
+    with zipfile.ZipFile(sink, "w") as out:
+        out.writestr("mimetype", "application/epub+zip")
+        out.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        out.writestr("p.opf", "<package><manifest>" + "".join(f'<item href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in range(len(chapters))) + "</manifest></package>")
+        for n, body in enumerate(chapters):
+            out.writestr(f"{n}.xhtml", f"<html><body><p>{html.escape(body)}</p></body></html>")
+    return sink.getvalue()
+
+
+def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a book with a chapter for each line, its entries converted as rows of their own."""
+
+    @F.pandas_udf("binary")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([make_book((t or "").split("\n")) for t in texts])
+
+    @F.pandas_udf("string")
+    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
+            out = []
+            for content in contents:
+                book = zipfile.ZipFile(io.BytesIO(content))
+                pages = [book.read(f"{n}.xhtml").decode() for n in range(len(book.namelist()) - 3)]
+                out.append("\n".join(html.unescape(p.partition("<p>")[2].removesuffix("</p></body></html>")) for p in pages))
+            yield pd.Series(out)
+
+    found = _texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), made("text").alias("content"))
+    chain = c.Conversion([samples.dictionary("simple_phrases"), samples.dictionary("standard_chars_keep")])
+    return epub.convert_books(found, chain.converter()).select(F.col("path").cast("long").alias("doc_id"), F.md5(inside("content")).alias("converted_md5"))
 
 
 #: A profile as users write them: segments by the longest words, then phrases and characters.
@@ -234,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         convert_chars_new_glyphs, convert_chars_keep, convert_phrases, convert_phrases_matcher, compat_normalize, cjk_gate, changed_char_stats, dictionary_coverage, changed_docs_by_lang,
         srt_cues, ass_events, lrc_lines, txt_by_line, run_offsets, extension_router, encodings, hmm_states, max_match_words, epub_files, docx_files, batch_tally, convert_segments,
+        convert_real_size, srt_real_size, max_match_real_size, convert_graph_segments, word_frequencies, convert_text_function, epub_books,
     )
 }
 
@@ -249,20 +344,27 @@ def _char_sql(text: str, name: str) -> str:
     return sql
 
 
-def _phrase_sql(text: str = "", protect: str = "", shown: str = "doc_id, md5(coalesce(g.s, documents.text)) AS converted_md5") -> str:
+def _phrase_sql(text: str = "", protect: str = "", shown: str = "doc_id, md5(coalesce(g.s, documents.text)) AS converted_md5", phrases: dict[str, str] | None = None, chars: dict[str, str] | None = None) -> str:
     """The phrase chain; what ``protect`` (alternatives that end in a bar) matches is one token and stays."""
-    phrases, chars = samples.dictionary("simple_phrases").first(), samples.dictionary("standard_chars_keep").first()
+    phrases = samples.dictionary("simple_phrases").first() if phrases is None else phrases
+    chars = samples.dictionary("standard_chars_keep").first() if chars is None else chars
     keys = "|".join(sorted(phrases, key=lambda k: (-len(k), k)))
     values = ", ".join(f"('{k}', '{v}')" for k, v in {**chars, **phrases}.items())
     return f"""
 WITH d(k, v) AS (VALUES {values}),
-t AS (SELECT doc_id, regexp_extract_all({text or samples.sample_sql()}, '(?s){protect}{keys}|.') AS x FROM documents),
+t AS (SELECT doc_id, regexp_extract_all({text or samples.sample_sql()}, '(?s){protect}{keys + "|" if keys else ""}.') AS x FROM documents),
 u AS (SELECT doc_id, unnest(x) AS tok, unnest(range(len(x))) AS pos FROM t),
 j AS (SELECT doc_id, pos, coalesce(d.v, u.tok) AS tok FROM u LEFT JOIN d ON d.k = u.tok),
 g AS (SELECT doc_id, string_agg(tok, '' ORDER BY pos) AS s FROM j GROUP BY doc_id)
 SELECT documents.{shown} FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id"""
 
 
+def _srt_sql(text: str) -> str:
+    cue = "i || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || '{\\i1}'"
+    lines = f"list_transform(string_split({text}, chr(10)), lambda x, i: {cue} || replace(x, '瞭', '瞭{{\\b1}}') || '{{\\i0}}' || chr(10))"
+    return f"array_to_string({lines}, chr(10))"
+
+
 def _lines_sql(before: str, joint: str, head: str = "''", line: str = "x", after: str = "''", protect: str = "") -> str:
     """The phrase chain over lines put into a format, where the format's own parts hold nothing to convert or are protected."""
     lines = f"list_transform(string_split({samples.sample_sql()}, chr(10)), lambda x, i: {before} || {line} || {after})"
@@ -291,7 +393,7 @@ def _oracle() -> dict[str, str]:
     table = samples.dictionary("new_glyphs").first()
     values = ", ".join(f"('{k}', '{v}')" for k, v in table.items())
     names = ", ".join(f"'{n}'" for n in _NAMES)
-    compat = list(c.compat_table())[:26]
+    compat = list(c.compat_table())
     used = f"SELECT lang, unnest(string_split({samples.sample_sql()}, '')) AS key FROM documents"
     return {
         "convert_chars_new_glyphs": f"SELECT doc_id, md5({_char_sql(samples.sample_sql(), 'new_glyphs')}) AS converted_md5 FROM documents",
@@ -300,7 +402,7 @@ def _oracle() -> dict[str, str]:
         "txt_by_line": _phrase_sql(),
         "convert_phrases": _phrase_sql(),
         "convert_phrases_matcher": _phrase_sql(),
-        "compat_normalize": f"SELECT doc_id, md5(translate(text, '{samples.LETTERS}', nfc_normalize('{''.join(compat)}'))) AS normalized_md5 FROM documents",
+        "compat_normalize": f"SELECT doc_id, md5(translate(text, '{samples.LETTERS}', nfc_normalize('{''.join(compat[:26])}')) || nfc_normalize('{''.join(compat)}')) AS normalized_md5 FROM documents",
         "cjk_gate": "SELECT lang, count(*) FILTER (WHERE regexp_matches(translate(text, 'qx', '乾㑇'), '[一-鿿]')) AS with_cjk, count(*) AS docs FROM documents GROUP BY lang",
         "changed_char_stats": f"WITH d(key, value) AS (VALUES {values}), u AS ({used}) SELECT lang, u.key, any_value(value) AS value, count(*) AS uses FROM u JOIN d ON d.key = u.key GROUP BY lang, u.key",
         "dictionary_coverage": f"WITH d(key, value) AS (VALUES {values}), u AS ({used}) SELECT d.key, count(u.key) AS uses FROM d LEFT JOIN u ON d.key = u.key GROUP BY d.key",
@@ -325,5 +427,24 @@ SELECT CASE WHEN e IN ('txt', 'srt', 'ass', 'ssa', 'lrc') THEN 'text' WHEN e = '
     }
 
 
-ORACLE_SQL = _oracle()
+def _real_sql() -> dict[str, str]:
+    """The queries over dictionaries of real size."""
+    phrases, chars, text = samples.many_phrases().first(), samples.many_characters().first(), samples.paired_sql()
+    base = samples.FIRST
+    word = f"[{chr(base + 80)}-{chr(base + 279)}][{chr(base + 330)}-{chr(base + 529)}]"
+    stops = ", ".join(f"'{w}'" for w in samples.many_words()[::7])
+    plain, single = _phrase_sql(text, phrases=phrases, chars=chars), _phrase_sql(text, phrases={}, chars=chars)
+    return {
+        "convert_real_size": plain,
+        "srt_real_size": _phrase_sql(f"({_srt_sql(text)})", "\\{[^}]*\\}|", phrases=phrases, chars=chars),
+        "max_match_real_size": f"SELECT doc_id, CAST(len(regexp_extract_all({text}, '(?s){word}|.')) AS INTEGER) AS words FROM documents",
+        "word_frequencies": f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all({text}, '(?s){word}|.')) AS word FROM documents)
+SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS texts FROM w WHERE length(word) > 1 AND word NOT IN ({stops}) GROUP BY word""",
+        "convert_text_function": f"SELECT a.doc_id, a.converted_md5 AS plain_md5, b.converted_md5 AS characters_md5 FROM ({plain}) a JOIN ({single}) b ON a.doc_id = b.doc_id",
+        "epub_books": _phrase_sql(shown="doc_id, md5(coalesce(g.s, '')) AS converted_md5"),
+    }
+
+
+ORACLE_SQL = _oracle() | _real_sql()
 ORACLE_SQL["docx_files"] = ORACLE_SQL["epub_files"].replace(".epub", ".docx")

@@ -1,17 +1,25 @@
-"""Files in and out: listing, routing by extension, output names, collisions, sinks and tallies."""
+"""Files in and out: listing, routing by extension, output names, collisions, sinks and tallies.
+
+Spark's listing leaves out files of no bytes; an empty file has nothing to convert.
+"""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from scriptloom.sources import sink
+
 #: Extensions that are converted (fixed values); .doc needs an office program and is only reported.
 EXTENSIONS = ("docx", "doc", "txt", "srt", "ass", "ssa", "lrc", "epub")
 
 
+#: Routes of the files that are converted.
+CONVERTED = ("text", "epub", "docx")
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -32,9 +40,8 @@ def route(path: Column) -> Column:
 
 
 def output_name(path: Column) -> Column:
-    """convert_<basename>; an EPUB name always ends in .epub."""
-    name = F.concat(F.lit("convert_"), basename(path))
-    return F.when((extension(path) == "epub") & ~F.lower(name).endswith(".epub"), F.concat(name, F.lit(".epub"))).otherwise(name)
+    """convert_<basename>; a file is routed as EPUB by that extension alone, so the name of a book already ends in it."""
+    return F.concat(F.lit("convert_"), basename(path))
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -42,9 +49,25 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths)
 
 
+def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, modificationTime, length) of the same files; none is opened."""
+    return read_files(spark, paths).drop("content")
+
+
+def _glob(extensions: Sequence[str]) -> str:
+    """A pattern of file names by extension in either case; Spark applies it while it lists, before anything is read."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in extensions) + "}"
+
+
+def read_converted(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``read_files`` of what is converted; other files are neither opened nor planned for."""
+    extensions = [e for e in EXTENSIONS if e != "doc"]
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _glob(extensions)).load(paths)
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """The supported files directly in a folder; their contents are read only after the filter."""
-    return read_files(spark, path).filter(supported(F.col("path")))
+    """The supported files directly in a folder; no other file is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _glob(EXTENSIONS)).load(path)
 
 
 def collisions(files: DataFrame) -> DataFrame:
@@ -53,31 +76,28 @@ def collisions(files: DataFrame) -> DataFrame:
 
 
 def write_files(converted: DataFrame, folder: str) -> DataFrame:
-    """Write (output_name, content) rows into a folder that all executors share; (output_name, written) rows."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            sizes = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = os.path.join(folder, name)
-                part = f"{target}.{os.getpid()}.part"
-                with open(part, "wb") as out:
-                    out.write(content or b"")
-                os.replace(part, target)  # a task that runs twice leaves one whole file
-                sizes.append(len(content or b""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["output_name", "written"])
+    """Write (output_name, content) rows as files of a folder in any store; (output_name, written) of the files there.
 
+    The files appear when the whole job has succeeded (see ``sink``); names that collide are refused before.
+    """
     twice = converted.groupBy("output_name").count().filter("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"several inputs would write {twice[0].output_name}")
-    return converted.select("output_name", "content").mapInArrow(run, "output_name string, written long")
+    spark = converted.sparkSession
+    sink.register(spark)
+    names = converted.select("output_name", "content")
+    names.write.format(sink.NAME).option("path", folder).mode("append").save()
+    return list_files(spark, folder).select(basename(F.col("path")).alias("output_name"), F.col("length").alias("written"))
+
+
+def tallies(results: DataFrame, *keys: str) -> DataFrame:
+    """(keys, success_count, total_files, message): outcomes of rows with a status; a group of no rows is an error."""
+    counts = results.groupBy(*keys).agg(F.count_if(F.col("status") == "ok").alias("success_count"), F.count("*").alias("total_files"))
+    done, total = F.col("success_count"), F.col("total_files")
+    return counts.withColumn("message", F.when((total > 0) & (done == total), "ok").when(done > 0, "partial").otherwise("error"))
 
 
 def tally(results: DataFrame) -> Row:
-    """(success, message, success_count, total_files) of rows with a status."""
-    done, total = results.agg(F.count_if(F.col("status") == "ok"), F.count("*")).first()
-    message = "ok" if total and done == total else "partial" if done else "error"
-    return Row(success=bool(total) and done == total, message=message, success_count=done, total_files=total)
+    """(success, message, success_count, total_files) of a batch."""
+    row = tallies(results).first()
+    return Row(success=row.message == "ok", message=row.message, success_count=row.success_count, total_files=row.total_files)
