@@ -9,7 +9,9 @@ inside one gap of the classes before nests there, and its own gaps take further
 if it has the same order and gap on most pages; a text whose class is not may still be so by itself.
 Texts of the template are fixed; what else stands between its tokens are slots. A page's main text are
 its slots inside the article (or the main element), or without either all slots that no navigation,
-notice, advert, form or comment element encloses.
+notice, advert, form or comment element encloses. Headings and labels of articles recur as their authors'
+own words, and are never fixed. Inside an article an element's class or id says that it is apart only if it
+is as a whole the name of such a part ("share-bar", not "share-price").
 
 Edge cases: null or empty html gives an empty text; broken or unclosed markup is read as far as it
 goes; pages of any length are read whole; a page without a url belongs to the host ''; a host with fewer
@@ -35,8 +37,8 @@ from scriptloom.llm import common
 
 #: Pages that a host needs for a template, and the share of them on which a valid class recurs.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
-#: Hosts whose templates are broadcast; beyond, templates are joined by host and salt.
-BROADCAST_HOSTS, SALTS = 20_000, 16
+#: Hosts whose templates are broadcast, and tokens in them (eight bytes each); beyond, templates are joined by host and salt.
+BROADCAST_HOSTS, BROADCAST_TOKENS, SALTS = 20_000, 1_000_000, 16
 #: Token sums that a task holds before it sends them.
 HELD_TOKENS = 200_000
 
@@ -52,7 +54,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-ASIDE = frozenset("head nav aside footer form button select option svg object canvas dialog menu audio video label".split())
+ASIDE = frozenset("head nav aside footer form button select option svg object canvas dialog menu audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words in an element's class or id by which it holds something else than main text.
 NAMES = frozenset(
@@ -60,10 +62,17 @@ NAMES = frozenset(
     "newsletter subscribe subscription signup login sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
     "comment comments disqus replies respond related recommended share sharing social widget widgets search skip".split()
 )
+#: Words that add nothing to such a name: "share-bar" is a share bar, "share-price" is not.
+GENERAL = frozenset(
+    "area article articles bar block bottom box button buttons container content count footer form group header heading icon icons inline inner item items left link links list "
+    "module outer panel post posts right row section slot stories story thread title toggle tools top unit wrap wrapper".split()
+)
 #: Words by which a class or id tells of a part of the page instead of being it.
 ABOUT = frozenset("no non not has have with without".split())
 COMMENTS = frozenset("comment comments disqus replies respond".split())
 PLAIN = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+#: Elements that name what follows them: in an article their text recurs as the author's own, and is never fixed.
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 th dt caption legend summary figcaption label".split())
 
 
 def host_of(url: str | None) -> str:
@@ -88,7 +97,9 @@ def _apart(tag: str, attributes: str, inside: bool) -> int | None:
         if key.lower() in ("class", "id"):
             for name in value.split():
                 parts = {x.lower() for x in _name_parts.findall(name)}
-                names |= parts if not parts & ABOUT else set()
+                # Inside an article a name must as a whole be that of a notice, advert, share bar or the like.
+                if not parts & ABOUT and (not inside or parts <= NAMES | GENERAL):
+                    names |= parts
     if tag in PLAIN:
         return None
     if "header" in names and not inside and not names & {"entry", "post", "article", "content"}:
@@ -175,6 +186,11 @@ def blocks(page: str) -> Iterator[tuple[str, int, str]]:
     yield from flush()
 
 
+def labelling(path: str, where: int) -> bool:
+    """Whether a block is a heading or label of an article or main element."""
+    return where > BODY and path.rpartition("/")[2] in LABELS
+
+
 def text_token(path: str, text: str, inside: bool) -> int:
     """Token of a block's text; odd for those inside an article or main element."""
     return xxhash.xxh64_intdigest(text, seed=xxhash.xxh32_intdigest(path)) & ~1 | inside
@@ -192,14 +208,16 @@ def tokens(page: str) -> tuple[int, list[int]]:
     content = xxhash.xxh64_intdigest("\n".join(text for _, where, text in found if where == top))
     out = [0]
     for path, where, text in found:
-        out += [xxhash.xxh64_intdigest(path) & ~1, text_token(path, text, where > BODY)]
+        out.append(xxhash.xxh64_intdigest(path) & ~1)
+        if not labelling(path, where):
+            out.append(text_token(path, text, where > BODY))
     return content, out
 
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     """The text of the page's main slots, a block to a line."""
     found, top = main_blocks(page)
-    return "\n".join(text for path, where, text in found if where == top and text_token(path, text, where > BODY) not in template)
+    return "\n".join(text for path, where, text in found if where == top and (labelling(path, where) or text_token(path, text, where > BODY) not in template))
 
 
 def _signed(value: int) -> int:
@@ -248,9 +266,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "token").agg(vector.alias("vector"), F.sum("pages").alias("pages"))
 
 
-def with_host(rows: DataFrame, table: DataFrame, salt: str, how: str) -> DataFrame:
-    """``rows`` joined with a stored table of hosts: broadcast if counted small enough, else by host and salt."""
-    if table.count() <= BROADCAST_HOSTS:
+def with_host(rows: DataFrame, table: DataFrame, salt: str, how: str, held: str | None = None) -> DataFrame:
+    """``rows`` joined with a stored table of hosts: broadcast if its hosts and what they hold are counted small enough, else by host and salt."""
+    hosts, tokens_ = table.agg(F.count("*"), F.coalesce(F.sum(F.expr(held)), F.lit(0)) if held else F.lit(0)).first()
+    if hosts <= BROADCAST_HOSTS and tokens_ <= BROADCAST_TOKENS:
         return rows.join(F.broadcast(table), "host", how)
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)
@@ -296,8 +315,10 @@ def nested(page: list[int], classes: list[list[int]]) -> list[tuple[int, int]]:
 
 def classes(stored: DataFrame) -> DataFrame:
     """(host, all, classes) of stored ``occurrences()``: the host's pages, and its recurring classes by precedence, elements first."""
-    hosts = stored.filter("token = 0").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
-    recurring = stored.join(hosts, "host").filter(F.col("pages") >= F.col("all") * LEAST_SHARE).filter((F.col("token") % 2 == 0) | (F.col("pages") >= LEAST_PAGES))
+    hosts = common.store(stored.filter("token = 0").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES), "html-hosts").read()
+    # What recurs on too few pages of the smallest host goes before the join.
+    likely = stored.filter(F.col("pages") >= LEAST_PAGES * LEAST_SHARE)
+    recurring = with_host(likely, hosts, "token", "inner").filter(F.col("pages") >= F.col("all") * LEAST_SHARE).filter((F.col("token") % 2 == 0) | (F.col("pages") >= LEAST_PAGES))
     # Each page has few tokens, so those that recur on half of a host's pages are few as well.
     # Texts of articles are classes of their own, laid last, lest one that moves about break a class of elements.
     inside = F.pmod("token", F.lit(2)).alias("inside")
@@ -333,7 +354,7 @@ def templates(pages: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    laid = with_host(read, known, "content", "inner").select("host", "all", "tokens", "classes").transform(common.in_arrow, run, "host string, all long, key long, place long, single boolean, pages long")
+    laid = with_host(read, known, "content", "inner", "size(flatten(classes))").select("host", "all", "tokens", "classes").transform(common.in_arrow, run, "host string, all long, key long, place long, single boolean, pages long")
     agreed = laid.groupBy("host", "all", "key", "place", "single").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= F.col("all") * LEAST_SHARE)
     agreed = agreed.filter(~F.col("single") | (F.col("key") % 2 == 0) | (F.col("pages") >= LEAST_PAGES))
     valid = agreed.groupBy("host").agg(F.collect_set(F.when(F.col("single"), F.col("key"))).alias("singles"), F.collect_set(F.when(~F.col("single"), F.col("key").cast("int"))).alias("numbers"))
@@ -348,7 +369,7 @@ def extract(pages: DataFrame) -> DataFrame:
     source = common.spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
     known = common.store(templates(source), "html-templates").read()
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("url", F.lit("")), _host.pattern, 1), F.lit("")))
-    joined = with_host(source.withColumn("host", host), known, "page_id", "left")
+    joined = with_host(source.withColumn("host", host), known, "page_id", "left", "size(template)")
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:

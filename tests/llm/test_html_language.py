@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,7 +97,66 @@ def test_templates_inside_articles(spark):
     assert got[3] == "head 3\nstory 3\nmore 3"
     assert got[25] == "head same\nstory same\nmore same" and got[31] == "head 1\nstory 1\nmore 1"
     assert got[41] == "head other\nRead our letter\nstory other\nmore other"
-    assert got[63] == "3 own\nAs said"
+    assert got[63] == "part 1\npart 2\npart 3\n3 own\nAs said\npart 4\npart 5\npart 6"
+
+
+def test_articles_keep_their_headings_and_named_parts(spark):
+    """Headings that recur between slots, and names that only begin like those of notices."""
+    body = "<article><h1>Dish {0}</h1><h2>Ingredients</h2><ul><li>item {0}</ul><h2>Method</h2><p>Stir {0} times</p><table><tr><th>Time</th><td>{0} min</td></tr></table></article>"
+    rows = [(i, f"http://food.example/{i}", f"<nav>x</nav>{body.format(i)}<footer>f</footer>") for i in range(8)]
+    parts = '<article><p>a</p><div class="share-price">b</div><section id="related-work">c</section><p class="notice-period">d</p><label>e</label><div class="share-bar">no</div><div class="related-posts">no</div><p class="notice">no</p><div id="ad-slot">no</div><section class="article-comments">no</section><ul class="socialShare"><li>no</ul></article>'
+    rows.append((100, "http://parts.example/", parts))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Dish {i}\nIngredients\nitem {i}\nMethod\nStir {i} times\nTime\n{i} min" for i in range(8))
+    assert got[100] == "a\nb\nc\nd\ne"
+
+
+def test_vectors_and_classes_by_brute_force(spark):
+    """Classes are the tokens that occur equally often on each page of different main text, on at least half of the pages."""
+    from collections import Counter, defaultdict
+
+    rng = random.Random(4)
+    hosts: dict[str, list[str]] = {"a": [], "b": [], "few": []}
+    for host, pages in hosts.items():
+        for i in range(2 if host == "few" else 9):
+            parts = [f"<div><p>{rng.choice(['alpha', 'beta', 'gamma'])}</p></div>" * rng.randint(0, 2) for _ in range(4)]
+            pages.append(f"<div>top</div><div><p>own {i}</p></div>{''.join(parts)}<article><h2>head</h2><p>{rng.choice(['often', 'seldom'])}</p><p>{i}</p></article><div>end</div>")
+        pages += pages[:2]  # copies count once
+    rows = [(f"http://{host}.example/{i}", page) for host, pages in hosts.items() for i, page in enumerate(pages)]
+    table = spark.createDataFrame(rows, "url string, html string").repartition(3)
+    stored = html_extract.common.store(html_extract.occurrences(html_extract.sequences(table)), "test-occurrences").read()
+    vectors = defaultdict(dict)
+    for url, page in rows:
+        content, tokens = html_extract.tokens(page)
+        vectors[html_extract.host_of(url)][content] = Counter(tokens)
+    want = {}
+    for host, pages in vectors.items():
+        every = {t for held in pages.values() for t in held}
+        vector = {t: tuple(held[t] for held in pages.values()) for t in every}
+        on = {t: sum(n > 0 for n in v) for t, v in vector.items()}
+        got = {r.token & (1 << 64) - 1: (r.vector, r.pages) for r in stored.filter(F.col("host") == host).collect()}
+        assert {t: n for t, (_, n) in got.items()} == on
+        groups = defaultdict(set)
+        for t in every:
+            groups[got[t][0]].add(t)
+            if len(pages) >= 3 and on[t] >= len(pages) / 2 and (t % 2 == 0 or on[t] >= 3):
+                want.setdefault(host, defaultdict(set))[vector[t], t % 2].add(t)
+        same = defaultdict(set)
+        for t in every:
+            same[vector[t]].add(t)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, same.values()))
+    found = {r.host: sorted(sorted(x & (1 << 64) - 1 for x in c) for c in r.classes) for r in html_extract.classes(stored).collect()}
+    assert found == {host: sorted(map(sorted, classes.values())) for host, classes in want.items()} and set(found) == {"a.example", "b.example"}
+
+
+def test_pages_that_the_template_changes(spark):
+    """Hosts without landmarks, with notices that recur: the template decides on all of their pages, and on no other."""
+    rows = [(i, f"http://plain.example/{i}", f"<div>Name</div><div><p>Notice to all</p></div><div><p>story {i}</p></div><div>Rights</div>") for i in range(12)]
+    rows += [(50 + i, f"http://other.example/{i}", f"<article><h2>Part</h2><p>story {i}</p></article><div>Rights</div>") for i in range(12)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = {i: html_extract.main_text(page, set()) for i, _, page in rows}
+    got = {r.page_id: r.text for r in html_extract.extract(table).collect()}
+    assert {i for i in got if got[i] != alone[i]} == set(range(12)) and all(got[i] == f"story {i}" for i in range(12))
 
 
 def test_nesting():
