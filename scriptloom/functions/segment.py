@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,6 +27,11 @@ def max_match(text: str, words: Sequence[str] | set[str]) -> list[str]:
     return trie.MaxMatch(words)(text)
 
 
+#: The same by the bits that say which of the two it was.
+_BEFORE = [STATES.index(BEFORE[state][came >> k & 1]) for came in range(16) for k, state in enumerate(STATES)]
+_LETTER = STATES.encode() + bytes(252)
+
+
 @dataclass(frozen=True)
 class HiddenMarkov:
     """Log chances of the four positions of a character in its word."""
@@ -51,41 +55,50 @@ class HiddenMarkov:
     def _steps(self) -> tuple[float, ...]:
         return tuple(self.trans[p].get(s, LOWEST) for p, s in ("EB", "SB", "BE", "ME", "MM", "BM", "SS", "ES"))
 
-    def _known(self) -> re.Pattern:
-        """Runs of characters that some state can emit."""
-        if not hasattr(self, "_runs"):
-            known = sorted({k for s in STATES for k in self.emit[s] if len(k) == 1})
-            object.__setattr__(self, "_runs", re.compile("[" + "".join(map(re.escape, known)) + "]+" if known else "(?!)"))
-        return self._runs
+    def _classes(self) -> np.ndarray:
+        """For each character, which states can emit it, a bit each."""
+        if not hasattr(self, "_emitted"):
+            masks = np.zeros(trie.CODES, np.uint8)
+            for k, s in enumerate(STATES):
+                masks[[ord(c) for c in self.emit[s] if len(c) == 1]] |= 1 << k
+            object.__setattr__(self, "_emitted", masks)
+            # Numbers of distances, and for each and each mask the next one's number and the bits, or -1.
+            object.__setattr__(self, "_numbers", {})
+            object.__setattr__(self, "_moves", [])
+        return self._emitted
+
+    def _number(self, behind: tuple[int, ...]) -> int:
+        if behind not in self._numbers:
+            self._numbers[behind] = len(self._moves)
+            self._moves.extend([-1] * 16)
+        return self._numbers[behind]
+
+    def _move(self, number: int, mask: int) -> int:
+        """How many impossible steps each state is behind the best one after a character, and whether it came from the second state before it."""
+        b, e, m, s = next(k for k, v in self._numbers.items() if v == number)
+        came = (s < e) | (m < b) << 1 | (b < m) << 2 | (e < s) << 3
+        new = [least + (not mask >> k & 1) for k, least in enumerate((min(e, s), min(b, m), min(m, b), min(s, e)))]
+        found = self._number(tuple(x - min(new) for x in new)) | came
+        self._moves[number | mask] = found
+        return found
 
     def states(self, text: str) -> str:
         """The most probable states; the last is E or S.
 
-        A few characters that no state can emit make all states equally improbable, and so each of the
-        following ones takes the first of the states that may come before: such runs are passed over.
+        Once no state is possible any more, chances are whole numbers of impossible steps: what is small is
+        lost beside them. From there on the states' distances are all that counts; there are few of them, and
+        their moves are looked up.
         """
         if not text:
             return ""
         get_b, get_e, get_m, get_s = (self.emit[s].get for s in STATES)
         eb, sb, be, me, mm, bm, ss, es = self._steps()
         b, e, m, s = (self.start[x] + self.emit[x].get(text[0], LOWEST) for x in STATES)
-        small = max(map(abs, (eb, sb, be, me, mm, bm, ss, es))) < 1e80
+        absorbing = max(map(abs, (eb, sb, be, me, mm, bm, ss, es))) < 1e80
         # Whether each state came from the second of those that may come before it, a bit each.
-        back, known, size = bytearray(len(text)), self._known(), len(text)
-        passed: list[tuple[int, int]] = []
-        i, unknown_to = 1, 0
-        while i < size:
+        back, size, i = bytearray(len(text)), len(text), 1
+        while i < size and not (absorbing and max(b, e, m, s) < -1e99):
             char = text[i]
-            if small and b == e == m == s and b < -1e90:
-                if i >= unknown_to:
-                    found = known.search(text, i)
-                    unknown_to = found.start() if found else size
-                if i < unknown_to:
-                    b += LOWEST * (unknown_to - i)
-                    passed.append((i, unknown_to))
-                    e = m = s = b
-                    i = unknown_to
-                    continue
             came = 0
             to_b, other = e + eb, s + sb
             if other > to_b:
@@ -102,22 +115,28 @@ class HiddenMarkov:
             b, e, m, s = to_b + get_b(char, LOWEST), to_e + get_e(char, LOWEST), to_m + get_m(char, LOWEST), to_s + get_s(char, LOWEST)
             back[i] = came
             i += 1
-        before = [{state: BEFORE[state][came >> k & 1] for k, state in enumerate(STATES)} for came in range(16)]
-        state = "S" if s > e else "E"
-        out, i = [state], size - 1
-        while i > 0:
-            if passed and i == passed[-1][1] - 1:
-                first, end = passed.pop()
-                n = end - first
-                run = state * n if state in "MS" else (BEFORE[state][0] + state) * (n // 2 + 1)
-                out.append(run[:n])
-                state = state if state in "MS" or n % 2 == 0 else BEFORE[state][0]
-                i = first - 1
-                continue
-            state = before[back[i]][state]
-            out.append(state)
+        last = "S" if s > e else "E"
+        if i < size:
+            masks = self._classes()[trie.code_points(text[i:])].tobytes()
+            steps = [round(x / LOWEST) for x in (b, e, m, s)]
+            number = self._number(tuple(x - min(steps) for x in steps))
+            moves = self._moves
+            for i, mask in enumerate(masks, i):  # noqa: B020
+                found = moves[number | mask]
+                if found < 0:
+                    found = self._move(number, mask)
+                back[i] = found & 15
+                number = found & ~15
+            behind = next(k for k, v in self._numbers.items() if v == number)
+            last = "S" if behind[3] < behind[1] else "E"
+        out, before, state = bytearray(size), _BEFORE, STATES.index(last)
+        out[-1] = state
+        i = size - 1
+        while i:
+            state = before[back[i] << 2 | state]
             i -= 1
-        return "".join(out)[::-1]
+            out[i] = state
+        return out.translate(_LETTER).decode()
 
     def cut(self, text: str) -> list[str]:
         ends = [i for i, state in enumerate(self.states(text), 1) if state in "ES"]
