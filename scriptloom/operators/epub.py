@@ -126,7 +126,7 @@ def convert_document(raw: bytes, convert: Text | Converter) -> bytes:
     mark = b"\xef\xbb\xbf" if raw.startswith(b"\xef\xbb\xbf") else b""
     raw = raw[len(mark) :]
     try:
-        text = raw.decode(encoding.detect(raw))
+        text = raw.decode(encoding.detect(raw, utf8_least=0.8))
     except UnicodeDecodeError:
         text = raw.decode("utf-8", "replace")
     return mark + convert_markup(text, convert).encode()

@@ -138,6 +138,35 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("doc_id", encoding.encoding_of(F.col("raw")).alias("encoding"), (encoding.decoded(F.col("raw")) == F.col("text")).alias("same"))
 
 
+#: Frequent characters for the letters a to z, in both scripts, and one that only the Hong Kong set has (fixed values).
+TRADITIONAL, SIMPLIFIED, HONG_KONG = "的一是不了人我在有他這中大來上國個到說們為子和你地出", "的一是不了人我在有他这中大来上国个到说们为子和你地出", "嘅"
+#: Ways in which files are written.
+WRITTEN = ("utf-8", "gb18030", "cp950", "big5-hkscs", "utf-16", "mixed")
+
+
+def encodings_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in six encodings, one of them with bytes that do not fit: what is detected, how surely, and whether the text comes back."""
+
+    def of(text: str | None, i: int) -> str:
+        plain = re.sub("[^\x00-\x7f]", "", text or "") + samples.LETTERS * 4
+        name = WRITTEN[i % len(WRITTEN)]
+        letters = SIMPLIFIED if name in ("gb18030", "mixed") else TRADITIONAL
+        return plain.translate(str.maketrans(samples.LETTERS, letters.replace("了", HONG_KONG) if name == "big5-hkscs" else letters))
+
+    @F.pandas_udf("text string, raw binary")
+    def written(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, ids in batches:
+            rows = []
+            for text, i in zip(texts, ids, strict=True):
+                new, name = of(text, i), WRITTEN[i % len(WRITTEN)]
+                rows.append((new, new.encode("gb18030") + b"\xff" if name == "mixed" else new.encode(name)))
+            yield pd.DataFrame(rows, columns=["text", "raw"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", written("text", "doc_id").alias("file"))
+    raw = F.col("file.raw")
+    return docs.select("doc_id", encoding.encoding_of(raw).alias("encoding"), (encoding.guesses(raw)["confidence"] > 0.5).alias("sure"), (encoding.decoded(raw) == F.col("file.text")).alias("same"))
+
+
 def hmm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the whole texts by Viterbi states under a small model."""
     half = -0.7
@@ -328,7 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         convert_chars_new_glyphs, convert_chars_keep, convert_phrases, convert_phrases_matcher, compat_normalize, cjk_gate, changed_char_stats, dictionary_coverage, changed_docs_by_lang,
         srt_cues, ass_events, lrc_lines, txt_by_line, run_offsets, extension_router, encodings, hmm_states, max_match_words, epub_files, docx_files, batch_tally, convert_segments,
-        convert_real_size, srt_real_size, max_match_real_size, convert_graph_segments, word_frequencies, convert_text_function, epub_books,
+        encodings_mixed, convert_real_size, srt_real_size, max_match_real_size, convert_graph_segments, word_frequencies, convert_text_function, epub_books,
     )
 }
 
@@ -435,6 +464,7 @@ def _real_sql() -> dict[str, str]:
     stops = ", ".join(f"'{w}'" for w in samples.many_words()[::7])
     plain, single = _phrase_sql(text, phrases=phrases, chars=chars), _phrase_sql(text, phrases={}, chars=chars)
     return {
+        "encodings_mixed": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'utf-8' WHEN 2 THEN 'cp950' WHEN 3 THEN 'big5-hkscs' WHEN 4 THEN 'utf-16' ELSE 'gb18030' END AS encoding, true AS sure, true AS same FROM documents",
         "convert_real_size": plain,
         "srt_real_size": _phrase_sql(f"({_srt_sql(text)})", "\\{[^}]*\\}|", phrases=phrases, chars=chars),
         "max_match_real_size": f"SELECT doc_id, CAST(len(regexp_extract_all({text}, '(?s){word}|.')) AS INTEGER) AS words FROM documents",

@@ -1,8 +1,11 @@
-"""Character encodings of Chinese text files, by strict decoding in a fixed order.
-
-No statistical detector is used: a byte order mark decides first, then strict UTF-8, then strict GB18030
-and Big5 variants where the decoded text holds CJK characters or punctuation, the one with more common
-characters first; last GB18030 with few replacements. An encoding forced by the caller always holds.
+"""Character encodings of Chinese text files: a guess with a confidence, and the rules that act on it.
+
+``guess`` reads a file as each encoding's own state machine does (the codecs report what does not fit) and
+looks at what characters come out: each national standard lists its frequent characters first, so the share
+of a standard's first level tells encodings apart that accept each other's bytes. Its confidence grows with
+that share and with the number of characters, and falls with every byte that does not fit. ``detect`` then
+decides in a fixed order: an encoding that the caller forces, byte order marks, and rules by confidence that
+prefer GB 18030 wherever it reads the whole file. Valid UTF-8 is UTF-8, and ASCII counts as such.
 """
 
 from __future__ import annotations
@@ -16,48 +19,103 @@ from pyspark.sql import functions as F
 
 #: Encodings that a caller may force (fixed values).
 CHOICES = ("auto", "gb18030", "gbk", "gb2312", "utf-8", "cp950", "big5-hkscs")
+#: Share of replacement characters below which a lossy decoding is taken, and the confidences that the rules ask for (fixed values).
+LOSSY, SURE, LIKELY, UTF8_LEAST, DOUBTFUL = 0.005, 0.95, 0.7, 0.9, 0.5
 _cjk = re.compile("[一-鿿㐀-䶿　-〿＀-￯]")
-#: Share of replacement characters below which a lossy decoding is taken.
-LOSSY = 0.005
+#: Runs of other characters than ASCII.
+_foreign = re.compile("[^\x00-\x7f]+")
+#: Share of the first level in ordinary text, and how much one misfit in a hundred characters takes away.
+USUAL, MISFIT = 0.75, 0.4
 
 
-#: Runs of other characters than ASCII, and of those of the first half of GB 2312.
-_foreign = re.compile("[^\x00-\x7f]+")
-_frequent = re.compile("[" + "".join(bytes((a, b)).decode("gb2312", "ignore") for a in range(0xA1, 0xD8) for b in range(0xA1, 0xFF)) + "]+")
+def _level(codec: str, leads: range, trails: list[int]) -> re.Pattern:
+    """Runs of the symbols and first-level characters of a standard: those of some first bytes."""
+    return re.compile("[" + re.escape("".join(bytes((a, b)).decode(codec, "ignore") for a in leads for b in trails)) + "]+")
 
 
-def _common(text: str) -> float:
-    """Share of the first half of GB 2312 in all characters but ASCII, by which mixed-up encodings are told apart."""
-    return sum(map(len, _frequent.findall(text))) / max(1, sum(map(len, _foreign.findall(text))))
+#: Rows 1 to 55 of GB 2312; the symbols and frequently used characters of Big5 (fixed values of those standards).
+LEVELS = {
+    "gb2312": ("gb18030", _level("gb2312", range(0xA1, 0xD8), [*range(0xA1, 0xFF)])),
+    "big5": ("cp950", _level("cp950", range(0xA1, 0xC7), [*range(0x40, 0x7F), *range(0xA1, 0xFF)])),
+}
 
 
-def detect(raw: bytes | None, force: str = "auto") -> str:
-    if force != "auto":
-        if force not in CHOICES:
-            raise ValueError(f"unknown encoding: {force}")
-        return force
-    raw = raw or b""
+def _length(runs: list[str]) -> int:
+    return sum(map(len, runs))
+
+
+def _confidence(text: str, level: re.Pattern | None) -> float:
+    """Of a text that an encoding gave, misfits as replacement characters."""
+    foreign = _length(_foreign.findall(text))
+    bad = text.count("\ufffd")
+    good = foreign - bad
+    if good <= 0:
+        return 0.0
+    share = _length(level.findall(text)) / good if level is not None else 1.0
+    return 0.99 * min(1.0, share / USUAL) * max(0.0, 1 - 100 * MISFIT * bad / foreign) * good / (good + 2)
+
+
+def guess(raw: bytes) -> tuple[str | None, float]:
+    """(label, confidence) of a file: ascii, utf-8, utf-16, gb2312, big5, big5-hkscs or iso-8859-1; no label for no bytes."""
+    if not raw:
+        return None, 0.0
     if raw.startswith(b"\xef\xbb\xbf"):
-        return "utf-8"
+        return "utf-8", 1.0
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "utf-16"
+        return "utf-16", 1.0
+    if raw.isascii():
+        return "ascii", 1.0
     try:
-        raw.decode("utf-8")
-        return "utf-8"
+        # Of bytes in another encoding hardly any are valid as UTF-8, and fewer with every character.
+        return "utf-8", 1 - 0.1 ** min(20, _length(_foreign.findall(raw.decode("utf-8"))))
     except UnicodeDecodeError:
-        pass
-    found = []
-    for name in ("gb18030", "cp950", "big5-hkscs"):
+        found = [(_confidence(raw.decode("utf-8", "replace"), None), "utf-8")]
+    for label, (codec, level) in LEVELS.items():
+        found.append((_confidence(raw.decode(codec, "replace"), level), label))
+    hkscs = raw.decode("big5-hkscs", "replace")
+    # Its further characters replace what the plain standard cannot read.
+    if hkscs.count("\ufffd") < raw.decode("cp950", "replace").count("\ufffd"):
+        found.append((_confidence(hkscs, LEVELS["big5"][1]), "big5-hkscs"))
+    confidence, label = max(found, key=lambda x: x[0])
+    return (label, confidence) if confidence > 0.2 else ("iso-8859-1", 0.2)
+
+
+def _reads(raw: bytes, *codecs: str) -> str | None:
+    """The first of some encodings that reads the whole file and finds CJK characters or punctuation."""
+    for codec in codecs:
         try:
-            text = raw.decode(name)
+            if _cjk.search(raw.decode(codec)):
+                return codec
         except UnicodeDecodeError:
             continue
-        if _cjk.search(text):
-            found.append((-_common(text), len(found), name))
-    if found:
-        return min(found)[2]
-    text = raw.decode("gb18030", "replace")
-    return "gb18030" if text.count("�") < LOSSY * len(text) else "utf-8"
+    return None
+
+
+def detect(raw: bytes | None, force: str = "auto", utf8_least: float = UTF8_LEAST) -> str:
+    """The encoding to read a file by. EPUB documents take UTF-8 from a confidence (``utf8_least``) of 0.8 on."""
+    if force != "auto":
+        if force not in CHOICES:
+            raise ValueError(f"unknown encoding: {force}")
+        return force
+    label, confidence = guess(raw or b"")
+    if label in (None, "ascii", "utf-16"):
+        return label if label == "utf-16" else "utf-8"
+    if label == "gb2312" and confidence < SURE and _reads(raw, "gb18030"):
+        return "gb18030"
+    if confidence < LIKELY or label == "iso-8859-1":
+        if codec := _reads(raw, "gb18030", "gbk", "gb2312"):
+            return codec
+        for codec in ("gb18030", "gbk"):
+            text = raw.decode(codec, "replace")
+            if text.count("\ufffd") < LOSSY * len(text):
+                return codec
+    if label == "utf-8" and confidence < utf8_least and _reads(raw, "gb18030"):
+        return "gb18030"
+    if label == "gb2312" or confidence < DOUBTFUL and label not in ("utf-8", "iso-8859-1"):
+        return "gb18030"
+    if label == "iso-8859-1":  # what nothing fits is read as UTF-8, without what does not
+        return "utf-8"
+    return "cp950" if label == "big5" else label
 
 
 def decode(raw: bytes | None, force: str = "auto") -> str | None:
@@ -76,6 +134,17 @@ def decode(raw: bytes | None, force: str = "auto") -> str | None:
     return ""
 
 
+def guesses(content: Column) -> Column:
+    """struct(label, confidence) of each file."""
+
+    @F.pandas_udf("label string, confidence double")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for raw in batches:
+            yield pd.DataFrame([(None, None) if x is None else guess(x) for x in raw], columns=["label", "confidence"])
+
+    return found(content)
+
+
 def encoding_of(content: Column, force: str = "auto") -> Column:
     @F.pandas_udf("string")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
