@@ -117,8 +117,13 @@ def sample(train: DataFrame, label_col: str, text_col: str) -> DataFrame:
                 seen.add(key)
             yield batch.filter(pa.array(new, pa.bool_()))
 
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
-    chosen = keyed.select("label", "hash").transform(common.in_arrow, least, "label string, hash long").distinct().withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    # A label's least hashes are first taken in each of many buckets, so that no task ranks what all tasks have sent of it.
+    bucket = F.pmod(F.xxhash64("hash"), F.lit(common.shuffle_partitions(train.sparkSession)))
+    chosen = keyed.select("label", "hash").transform(common.in_arrow, least, "label string, hash long").distinct().withColumn("bucket", bucket)
+    for by in (["label", "bucket"], ["label"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("hash"))
+        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    chosen = chosen.drop("bucket")
     chosen = common.store(chosen, "language-sample").read()
     hits = keyed.join(_small(chosen), ["label", "hash"]).select("label", "hash", "text")
     return hits.transform(common.in_arrow, once, "label string, hash long, text string").groupBy("label", "hash").agg(F.min("text").alias("text")).select("label", "text")
@@ -200,24 +205,26 @@ def identify(docs: DataFrame, text_col: str = "text", label_col: str | None = "l
     world /= world.sum()
     everywhere = F.array(*[F.lit(float(x)) for x in world])
 
-    def smoothed(parent: Column, weight: float) -> Column:
-        total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
-        return F.array(*[(F.col(f"s{i}") + weight * F.get(parent, i)) / (total + weight) for i in range(n)])
+    # A row's own text is no evidence of what its host's, suffix's or declaration's texts are: it is left out of their sums.
+    own = F.coalesce(_softmax(F.col("_lid_text")), F.array_repeat(F.lit(0.0), n))
 
-    by_suffix = totals("_lid_suffix").filter("_lid_suffix is not null").select("_lid_suffix", smoothed(everywhere, SMOOTHING).alias("_lid_by_suffix"))
-    by_host = (
-        totals("_lid_host", "_lid_suffix")
-        .filter("_lid_host is not null")
-        .join(by_suffix, "_lid_suffix", "left")
-        .select("_lid_host", F.coalesce("_lid_suffix", F.lit("")).alias("_lid_of"), smoothed(F.coalesce("_lid_by_suffix", everywhere), HOST_SMOOTHING).alias("_lid_by_host"))
-    )
-    by_declared = totals("_lid_declared").filter("_lid_declared is not null").select("_lid_declared", smoothed(everywhere, SMOOTHING).alias("_lid_by_declared"))
-    scored = _scored(source, text_col, table).withColumn("_lid_of", F.coalesce("_lid_suffix", F.lit("")))
+    def smoothed(sums_: Column, parent: Column, weight: float) -> Column:
+        others = F.zip_with(sums_, F.col("_lid_own"), lambda s, x: F.greatest(s - x, F.lit(0.0)))
+        total = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(others, parent, lambda s, p: (s + F.lit(weight) * p) / (total + F.lit(weight)))
+
+    each = F.array(*[f"s{i}" for i in range(n)])
+    by_suffix = totals("_lid_suffix").filter("_lid_suffix is not null").select("_lid_suffix", each.alias("_lid_in_suffix"))
+    by_host = totals("_lid_host", "_lid_suffix").filter("_lid_host is not null").select("_lid_host", F.coalesce("_lid_suffix", F.lit("")).alias("_lid_of"), each.alias("_lid_in_host"))
+    by_declared = totals("_lid_declared").filter("_lid_declared is not null").select("_lid_declared", each.alias("_lid_in_declared"))
+    scored = _scored(source, text_col, table).withColumn("_lid_of", F.coalesce("_lid_suffix", F.lit(""))).withColumn("_lid_own", own)
     hosts = common.store(by_host, "language-hosts").read()
     joined = scored.join(_small(hosts), ["_lid_host", "_lid_of"], "left").join(_small(by_suffix), "_lid_suffix", "left").join(_small(by_declared), "_lid_declared", "left")
-    prior = F.coalesce("_lid_by_host", "_lid_by_suffix", everywhere)
-    said = F.coalesce("_lid_by_declared", everywhere)
-    logits = F.array(*[F.get("_lid_text", i) + F.log(F.get(prior, i)) + F.log(F.get(said, i)) - F.lit(math.log(world[i])) for i in range(n)])
+    joined = joined.withColumn("_lid_by_suffix", F.coalesce(smoothed(F.col("_lid_in_suffix"), everywhere, SMOOTHING), everywhere))
+    joined = joined.withColumn("_lid_prior", F.coalesce(smoothed(F.col("_lid_in_host"), F.col("_lid_by_suffix"), HOST_SMOOTHING), F.col("_lid_by_suffix")))
+    joined = joined.withColumn("_lid_said", F.coalesce(smoothed(F.col("_lid_in_declared"), everywhere, SMOOTHING), everywhere))
+    evidence = F.arrays_zip(F.col("_lid_text").alias("t"), F.col("_lid_prior").alias("p"), F.col("_lid_said").alias("d"), everywhere.alias("w"))
+    logits = F.transform(evidence, lambda x: x["t"] + F.log(x["p"]) + F.log(x["d"]) - F.log(x["w"]))
     judged = joined.withColumn("_lid_post", F.when(F.col("_lid_text").isNotNull(), _softmax(logits)))
     best = F.array_max("_lid_post")
     named = F.array(*[F.lit(x) for x in names])

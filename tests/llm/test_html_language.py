@@ -210,6 +210,16 @@ def test_evidence_against_held_out_labels(spark):
     assert alone < 0.8 and fused > 0.95
 
 
+def test_a_row_is_no_evidence_for_itself(spark):
+    """The only text of a host gets the prior of a row without a host; other texts of the host do count."""
+    words = {"en": "the and of to with from that this have which", "fr": "le la les des une est dans pour avec sur"}
+    train = [(i, " ".join(words[x].split()[(i + j) % 10] for j in range(12)), x, None) for i, x in enumerate(["en", "fr"] * 60)]
+    short = [(1000, "de", None, "alone"), (1001, "de", None, None), (1002, "de", None, "french")] + [(1100 + i, words["fr"], None, "french") for i in range(40)]
+    table = spark.createDataFrame(train + short, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language_id.identify(table, **language_id.document_evidence()).collect()}
+    assert abs(got[1000].posterior - got[1001].posterior) < 1e-9 and got[1002].language == "fr" and got[1002].posterior > got[1001].posterior
+
+
 def test_accepted_keeps_columns_of_the_same_names(spark):
     rows = [(i, "der die das und nicht mit ein " * 5, "de", "s", f"l{i}", "yes", 2 * i) for i in range(4)] + [(9, "12", "de", "s", "l", "no", 1)] * 2
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, language string, kept string, posterior int")
