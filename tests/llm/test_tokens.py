@@ -81,6 +81,21 @@ def test_safe_parts():
     check()
 
 
+def test_safe_parts_of_sentencepiece():
+    """Boundaries hold for odd texts, marks for spaces among them; batches are balanced by bytes."""
+    model = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    counter = token_counts.Counter(P.path("piece_bpe_32k.model"))
+    assert not counter.whole
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abé \n\t中\u0301\ufb01<s>/1\u2581 ,.") for _ in range(rng.randint(0, 40))) for _ in range(8000)] + ["a b " * 3000, " ", "", None, "\u2581"]
+    assert counter.count(texts) == [len(model.encode(t or "")) for t in texts]
+    seen = []
+    counter.lengths = lambda texts: seen.append(sum(len(t.encode()) for t in texts)) or [1] * len(texts)
+    counter.memo.clear()
+    counter.count(["中" * 50_000 + str(i) for i in range(6)])
+    assert max(seen) <= token_counts.BATCH_BYTES
+
+
 #: Special strings, also in other case, and pieces of them.
 ODD = st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|end", "don't", "A.B,", "x!!", "\u00c9t\u00e9", "e\u0301", "\u0130", "\u4e2d\u6587", "12", "\t", " ", "\n", "\u00a0", "aaaa", "the", "\U0001f642"]), max_size=12).map("".join)
 
