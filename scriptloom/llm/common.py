@@ -105,9 +105,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BROADCAST_IDS = 1_000_000
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
+def semi_by_id(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int | None = None) -> DataFrame:
     """``df`` joined with a stored table of ids: broadcast if counted small enough, else a shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, how)
+    return df.join(F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if limit is None else limit) else ids, key, how)
 
 
 def slices(sizes: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:

@@ -12,7 +12,7 @@ blocks); a coordinate is a block and a word's place there.
    between two ends is a nonbranching path, passed as a whole by all documents that touch it.
 4. Joined back to the blocks of their sources, runs are verified: the words at the source coordinates
    are compared, by 128-bit digests of their bytes, with those of the run. Only words of verified runs
-   are removed.
+   are removed; a run that is refuted is verified edge by edge.
 Answers travel as bit maps over what a block sent, so blocks recompute instead of storing windows.
 
 Edge cases: a null or empty text has no words; texts shorter than a window keep all words; texts of any
@@ -176,21 +176,38 @@ def paths(runs: DataFrame) -> DataFrame:
     return swept.filter("uses > 0")
 
 
-def verified(made: common.Stored, runs: common.Stored, words: int) -> DataFrame:
-    """Those runs whose words are the words at their source, as answers to their blocks."""
-    asked = runs.read().select("source", "source_at", "n").distinct()
+def _told(df: DataFrame, block: str = "block", at: str = "at") -> DataFrame:
+    """Places and lengths as answers to their blocks."""
     null = F.lit(None).cast("binary")
+    return df.select(F.col(block).alias("block"), F.lit(2).alias("kind"), F.col(at).cast("int").alias("p"), F.col("n").cast("int").alias("n"), null.alias("x"), null.alias("y"), null.alias("z"))
+
 
-    def told(block: str, at: str, df: DataFrame) -> DataFrame:
-        return df.select(F.col(block).alias("block"), F.lit(2).alias("kind"), F.col(at).cast("int").alias("p"), F.col("n").cast("int").alias("n"), null.alias("x"), null.alias("y"), null.alias("z"))
+def _digests_at(made: common.Stored, asked: DataFrame, words: int, label: str) -> DataFrame:
+    """(source, source_at, n, there): digests of the words of n edges at each place asked for."""
 
-    def digests_(block: WordBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
+    def run(block: WordBlock, got: blocks.Answers, number: int) -> Iterator[pa.RecordBatch]:
         found = block.digest([(at, at + n + words - 1) for at, n, _ in got[2]])
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array([x[0] for x in got[2]], pa.int64()), pa.array([x[1] for x in got[2]], pa.int64()), pa.array(found, pa.binary())], names=["source", "source_at", "n", "there"])
 
-    there = common.store(blocks.with_answers(made, [told("source", "source_at", asked)], WordBlock, digests_, "source long, source_at long, n long, there binary"), "repeats-sources")
+    return common.store(blocks.with_answers(made, [_told(asked, "source", "source_at")], WordBlock, run, "source long, source_at long, n long, there binary"), label).read()
+
+
+def verified(made: common.Stored, runs: common.Stored, words: int) -> DataFrame:
+    """Those runs whose words are the words at their source, as answers to their blocks; of others the edges for which that holds."""
+    there = _digests_at(made, runs.read().select("source", "source_at", "n").distinct(), words, "repeats-sources")
     # A passage that a third of all documents share is one source row and many runs: Spark's skew join splits those.
-    return told("block", "at", runs.read().join(there.read(), ["source", "source_at", "n"]).filter("digest = there"))
+    judged = common.store(runs.read().join(there, ["source", "source_at", "n"]).withColumn("same", F.col("digest") == F.col("there")).drop("digest", "there"), "repeats-judged").read()
+    good, refuted = judged.filter("same"), judged.filter("not same")
+    if refuted.isEmpty():
+        return _told(good)
+    # Unlike words of one hash: each edge of such a run stands for itself.
+    k = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k")
+    edges = refuted.select("block", "at", "source", "source_at", k).select("block", (F.col("at") + F.col("k")).alias("at"), "source", (F.col("source_at") + F.col("k")).alias("source_at"), F.lit(1).cast("long").alias("n"))
+    places = edges.select("source", "source_at", "n").union(edges.select("block", "at", "n")).distinct()
+    found = _digests_at(made, places, words, "repeats-edges")
+    own = found.select(F.col("source").alias("block"), F.col("source_at").alias("at"), F.col("there").alias("here"))
+    same = edges.join(own, ["block", "at"]).join(found, ["source", "source_at", "n"]).filter("here = there")
+    return _told(good).unionByName(_told(same))
 
 
 def _covered(block: WordBlock, spans: list[tuple[int, int, bytes]], words: int) -> np.ndarray:
@@ -227,7 +244,7 @@ def spans(docs: DataFrame, words: int = 20) -> DataFrame:
         row = np.searchsorted(block.first, at, side="right") - 1
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(at), pa.int64()), pa.array(at), block.table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(at - block.first[row])], names=["block", "at", "doc_id", "start"])
 
-    good = runs.read().join(verified(made, runs, words).select("block", F.col("p").cast("long").alias("at")), ["block", "at"], "left_semi")
+    good = runs.read().join(verified(made, runs, words).select("block", F.col("p").cast("long").alias("at"), F.col("n").cast("long").alias("n")), ["block", "at", "n"], "left_semi")
     wanted = good.select("block", "at").union(good.select("source", "source_at")).distinct()
     asked = wanted.select("block", F.lit(2).alias("kind"), F.col("at").cast("int").alias("p"), F.lit(0).alias("n"), null.alias("x"), null.alias("y"), null.alias("z"))
     names = common.store(blocks.with_answers(made, [asked], WordBlock, located, "block long, at long, doc_id long, start long"), "repeats-names").read()

@@ -222,6 +222,27 @@ def test_false_matches_are_not_removed(spark):
     assert [r.p for r in substring_dedup.verified(made, runs, 20).collect()] == [40]
 
 
+def test_refuted_runs_are_verified_edge_by_edge(spark):
+    """A run of three edges of which the last does not repeat: the others go, and no more."""
+    words = [f"a{i}" for i in range(22)]
+    other = [*words[:-1], "unlike"]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string").coalesce(1)
+    made, _ = substring_dedup.repeats(table, 20)
+    number, rows = made.read().first()
+    block = substring_dedup.WordBlock(bytes(rows))
+    claim = [(number, 22, 3, number, 0, bytearray(block.digest([(22, 44)])[0]))]
+    runs = common.store(spark.createDataFrame(claim, "block long, at long, n long, source long, source_at long, digest binary"), "test-runs")
+    assert sorted((r.p, r.n) for r in substring_dedup.verified(made, runs, 20).collect()) == [(22, 1), (23, 1)]
+
+
+@pytest.mark.parametrize("limit", [-1])
+def test_joins_without_broadcasts(spark, docs, corpus, monkeypatch, limit):
+    """Every broadcast limit below any count: the same results by shuffles."""
+    want = sorted(map(tuple, near_dedup.near_duplicates(docs).collect())), sorted(r.doc_id for r in near_dedup.keep_one_of_each(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_IDS", limit)
+    assert (sorted(map(tuple, near_dedup.near_duplicates(docs).collect())), sorted(r.doc_id for r in near_dedup.keep_one_of_each(docs).collect())) == want
+
+
 def test_near_texts_that_met_only_unlike_pivots(spark):
     """2 and 3 are near, and were in the same buckets as the unlike 1 only; 4, like 1, is near none."""
     rng = np.random.default_rng(3)
