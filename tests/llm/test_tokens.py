@@ -195,6 +195,48 @@ def test_plan_uses_every_piece_once():
         assert (used == counts).all()
 
 
+def test_plan_is_near_the_optimum():
+    """Against the least number of bins, by trying all ways, on small instances: exact complements find it nearly always."""
+
+    def least(items, size):
+        best = len(items)
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(items):
+                best = len(bins)
+                return
+            for i in range(len(bins)):
+                if bins[i] >= items[k] and bins[i] not in bins[:i]:
+                    place(k + 1, [*bins[:i], bins[i] - items[k], *bins[i + 1 :]])
+            place(k + 1, [*bins, size - items[k]])
+
+        place(0, [])
+        return best
+
+    rng, extra = random.Random(11), []
+    for _ in range(150):
+        size = rng.randint(8, 40)
+        items = sorted((rng.randint(1, size) for _ in range(rng.randint(1, 9))), reverse=True)
+        used = sum(times for times, _ in packing.plan(np.bincount(items, minlength=size + 1), size))
+        extra.append(used - least(items, size))
+    assert min(extra) >= 0 and max(extra) <= 1 and sum(extra) <= 8
+
+
+def test_repeats_and_clashing_columns(spark, words):
+    """Rows that repeat an id or each other, and input columns named like results, in ops 3, 8, 9 and 12."""
+    schema = "doc_id long, text string, n_tokens string, piece double, length string, n_bytes string, ids_sha256 int, offset int, start string"
+    rows = [(i, t, "x", 1.0, "x", "x", 1, 2, "x") for i, t in [(1, "a b"), (1, "a b"), (1, "other"), (None, "c"), (2, None)]]
+    table = spark.createDataFrame(rows, schema).repartition(2)
+    for counted in (byte_bpe.digests(table), token_counts.count_tokens(table), prefix_bpe.digests(table)):
+        assert sorted(((r.doc_id, r.n_tokens) for r in counted.collect()), key=str) == sorted([(1, 2), (1, 2), (1, 1), (None, 1), (2, 0)], key=str)
+    packed = packing.pack(table, 16).collect()
+    assert sorted(((r.doc_id, r.piece, r.length) for r in packed), key=str) == sorted([(1, 0, 3), (1, 0, 3), (1, 0, 2), (None, 0, 2), (2, 0, 1)], key=str)
+    assert len({r.sequence_id for r in packed}) == 1 and sorted(r.offset for r in packed)[0] == 0
+
+
 def test_plan_fills_exactly():
     counts = np.zeros(101, np.int64)
     counts[[60, 40, 30, 10, 50, 25, 15]] = [3, 1, 1, 1, 1, 1, 2]

@@ -142,3 +142,26 @@ def test_matrix_pads(spark):
     import pyarrow as pa
 
     assert block_search.matrix(pa.array([[1.0], [2.0, 3.0], []]), 2).tolist() == [[1, 0], [2, 3], [0, 0]]
+
+
+def test_recall_on_the_given_vectors(spark):
+    """The query as it is registered, against brute force over the table."""
+    import os
+
+    from scriptloom.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{folder}/embeddings.parquet"):
+        pytest.skip("the tables are not here")
+    rows = [r for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32).astype(float)
+    found = {}
+    for r in queries.op5_learned_partitions(spark, folder).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for q, v in zip(ids, m, strict=True):
+        if q % 20 == 0:
+            s = np.where(ids == q, -np.inf, m @ v)
+            best = set(ids[np.argsort(-s, kind="stable")[:20]].tolist())
+            hit, total = hit + len(best & found[q]), total + len(best)
+    assert hit / total >= 0.9
