@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptloom import session
 from scriptloom.functions import convert as c
 from scriptloom.functions import dictionary as d
 from scriptloom.functions import segment, trie
@@ -250,6 +251,41 @@ def batch_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.tallies(batch.convert_files(found, chain, keep=["source"]), "source")
 
 
+#: Extensions of the files that documents become.
+_KINDS = (".txt", ".epub", ".TXT", ".pdf", ".docx", ".doc")
+
+
+def files_in_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a file by the sink; the folder listed, what is converted read once and converted, and what comes of each file."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", samples.sample_text(F.col("text")))
+
+    @F.pandas_udf("binary")
+    def written(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        make = {"epub": lambda t: make_epub(html.escape(t)), "docx": lambda t: make_docx([html.escape(t)])}
+        for texts, exts in batches:
+            yield pd.Series([make.get(e, str.encode)(t or "") for t, e in zip(texts, exts, strict=True)])
+
+    @F.pandas_udf("string")
+    def inside(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def read(content: bytes, name: str) -> str:
+            if name.endswith(".epub"):
+                page = zipfile.ZipFile(io.BytesIO(content)).read("o/c 1.xhtml").decode()
+                return html.unescape(page.partition("<p>")[2].partition("</p><script>")[0])
+            if name.endswith(".docx"):
+                page = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode()
+                return html.unescape("".join(re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>", page)))
+            return content.decode()
+
+        for contents, names in batches:
+            yield pd.Series([None if c_ is None else read(c_, n) for c_, n in zip(contents, names, strict=True)])
+
+    name = F.concat(F.col("doc_id").cast("string"), F.get(F.array(*map(F.lit, _KINDS)), F.pmod("doc_id", F.lit(len(_KINDS))).cast("int")))
+    folder = session.shared_folder(spark, "files")
+    files.write_files(docs.select(name.alias("output_name"), written("text", files.extension(name)).alias("content")), folder)
+    done = batch.convert_paths(spark, folder, [samples.dictionary("simple_phrases"), samples.dictionary("standard_chars_keep")])
+    return done.select("output_name", "status", F.md5(inside("content", "output_name")).alias("converted_md5"))
+
+
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", samples.paired_text(F.col("text")).alias("text"))
 
@@ -357,7 +393,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         convert_chars_new_glyphs, convert_chars_keep, convert_phrases, convert_phrases_matcher, compat_normalize, cjk_gate, changed_char_stats, dictionary_coverage, changed_docs_by_lang,
         srt_cues, ass_events, lrc_lines, txt_by_line, run_offsets, extension_router, encodings, hmm_states, max_match_words, epub_files, docx_files, batch_tally, convert_segments,
-        encodings_mixed, convert_real_size, srt_real_size, max_match_real_size, convert_graph_segments, word_frequencies, convert_text_function, epub_books,
+        files_in_folder, encodings_mixed, convert_real_size, srt_real_size, max_match_real_size, convert_graph_segments, word_frequencies, convert_text_function, epub_books,
     )
 }
 
@@ -464,6 +500,11 @@ def _real_sql() -> dict[str, str]:
     stops = ", ".join(f"'{w}'" for w in samples.many_words()[::7])
     plain, single = _phrase_sql(text, phrases=phrases, chars=chars), _phrase_sql(text, phrases={}, chars=chars)
     return {
+        # A file of no bytes is not listed.
+        "files_in_folder": f"""
+WITH c AS ({_phrase_sql()}), k AS (SELECT doc_id, coalesce(text, '') AS text, ([{', '.join(f"'{k}'" for k in _KINDS)}])[doc_id % {len(_KINDS)} + 1] AS ext FROM documents)
+SELECT 'convert_' || k.doc_id || ext AS output_name, CASE ext WHEN '.pdf' THEN 'skipped' WHEN '.doc' THEN 'unsupported_doc' ELSE 'ok' END AS status,
+  CASE WHEN ext NOT IN ('.pdf', '.doc') THEN coalesce(converted_md5, md5('')) END AS converted_md5 FROM k JOIN c ON c.doc_id = k.doc_id WHERE text <> '' OR ext IN ('.epub', '.docx')""",
         "encodings_mixed": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'utf-8' WHEN 2 THEN 'cp950' WHEN 3 THEN 'big5-hkscs' WHEN 4 THEN 'utf-16' ELSE 'gb18030' END AS encoding, true AS sure, true AS same FROM documents",
         "convert_real_size": plain,
         "srt_real_size": _phrase_sql(f"({_srt_sql(text)})", "\\{[^}]*\\}|", phrases=phrases, chars=chars),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +37,28 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
     return session
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; below a temporary one only in local mode. It goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='scriptloom-files-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, folder)
+    return folder
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the application has already ended
+        return
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor (once per application).
 

@@ -135,3 +135,13 @@ def test_retried_tasks_leave_one_file(tmp_path):
         done = subprocess.run([sys.executable, "-c", script, str(out), str(mark)], stdout=log, stderr=log, timeout=120)
     assert done.returncode == 0, (tmp_path / "log").read_text()[-2000:]
     assert mark.exists() and {n: (out / n).read_text() for n in sorted(os.listdir(out))} == {f"f{i}": str(i) for i in range(8)}
+
+
+def test_documents_as_files(spark, tmp_path):
+    """The query over the whole way: a null text is an empty file, which is not listed; every other document comes back once."""
+    rows = [(i, t) for i, t in enumerate(["the one", None, "", "on\nthe", None, "an", "<&>", "the"] * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.output_name: r for r in queries.files_in_folder(spark, str(tmp_path)).collect()}
+    kinds = queries._KINDS
+    want = {f"convert_{i}{kinds[i % 6]}" for i, t in rows if t or kinds[i % 6] in (".epub", ".docx")}
+    assert set(got) == want and {r.status for r in got.values()} == {"ok", "skipped", "unsupported_doc"}
