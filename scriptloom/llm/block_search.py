@@ -1,8 +1,8 @@
 """Inner-product search between packed blocks of queries and of candidates.
 
-Vectors travel as packed matrices, a block to a row. A task gets one block of queries and a stripe of
-the candidates' blocks, streams those one at a time and keeps the best k of each query, so that its
-memory is bounded by two blocks whatever the tables' sizes. A last window merges the stripes.
+Vectors travel as packed matrices, a block to a row. A task gets some blocks of queries of one part and a
+stripe of the candidates' blocks, streams those one at a time and keeps the best k of each query, so that
+its memory is bounded by a few blocks whatever the tables' sizes. A last window merges the stripes.
 Before any of that, each block of queries meets the one block of longest vectors of its part: the k-th
 scores found there bound the length that a vector must have to matter, and only blocks that hold such
 vectors are sent to the queries (Cauchy-Schwarz).
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm import common
 
+#: Blocks of queries that a task holds, about.
+GROUP = 8
 BLOCK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("norm", pa.float64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary())])
 BLOCK_DDL = "block long, part int, n int, norm double, wide boolean, ids binary, data binary"
 HITS = pa.schema([("key", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("whole", pa.int64()), ("score", pa.float64())])
@@ -184,34 +186,47 @@ def block_pairs(q: DataFrame, c: DataFrame, k: int, whole: bool, basis: np.ndarr
 
 
 def best_of_stripes(queries: common.Stored, candidates: common.Stored, k: int, whole: bool, basis: np.ndarray | None) -> DataFrame:
-    """(query_id, rank, vec_id, whole or score): the k best of each query among the candidates' blocks of its part."""
+    """(query_id, rank, vec_id, whole or score): the k best of each query among the candidates' blocks of its part.
+
+    A task holds up to about GROUP blocks of queries of one part, so that a block of candidates is sent once to
+    all of them that need it.
+    """
     spark = queries.spark
     q, c = queries.read(), candidates.read()
-    n_q, n_c = q.count(), c.count()
-    stripes = max(1, min(n_c, math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, n_q))))
+    n_q, parts = q.agg(F.count("*"), F.count_distinct("part")).first()
+    n_c = c.count()
+    groups = max(1, math.ceil(n_q / (GROUP * max(1, parts))))
+    stripes = max(1, min(n_c, math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, groups * parts))))
+    slot = F.pmod(F.xxhash64("asker"), F.lit(groups)).cast("int").alias("slot")
     pairs = common.store(block_pairs(q, c, k, whole, basis), "search-pairs").read()
+    needed = pairs.select("block", "asker", slot).groupBy("block", "slot").agg(F.collect_list("asker").alias("askers"))
     given = (
-        c.join(pairs, "block")
+        c.join(needed, "block")
         .withColumn("stripe", F.pmod(F.xxhash64("block", F.lit(1)), F.lit(stripes)).cast("int"))
-        .select("asker", "stripe", F.col("block").alias("place"), "n", "norm", "wide", "ids", "data")
+        .select("part", "slot", "stripe", F.col("block").alias("place"), "askers", "n", "norm", "wide", "ids", "data")
+    )
+    own = q.withColumn("asker", F.col("block")).select(
+        "part", slot, F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(-1).cast("long").alias("place"), F.array("asker").alias("askers"), "n", "norm", "wide", "ids", "data"
     )
-    own = q.select(F.col("block").alias("asker"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(-1).cast("long").alias("place"), "n", "norm", "wide", "ids", "data")
-    items = own.unionByName(given).repartition(max(common.shuffle_partitions(spark), min(n_q * stripes, 4096)), "asker", "stripe").sortWithinPartitions("asker", "stripe", "place")
+    tasks = max(common.shuffle_partitions(spark), min(groups * parts * stripes, 4096))
+    items = own.unionByName(given).repartition(tasks, "part", "slot", "stripe").sortWithinPartitions("part", "slot", "stripe", "place")
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, asker = None, -1
+        held: dict[int, Best] = {}
+        now = None
         for batch in batch_iter:
             for row in range(batch.num_rows):
-                who, _, place, n, norm, wide, ids, data = (batch.column(i)[row].as_py() for i in range(8))
+                *group, place, askers, n, norm, wide, ids, data = (batch.column(i)[row].as_py() for i in range(10))
                 block = unpacked(n, wide, ids, data)
                 if place == -1:
-                    if best is not None:
-                        yield best.rows(asker)
-                    best, asker = Best(*block, k, whole, basis), who
+                    if group != now:
+                        yield from (best.rows(asker) for asker, best in held.items())
+                        held, now = {}, group
+                    held[askers[0]] = Best(*block, k, whole, basis)
                 else:
-                    best.add(*block, norm)
-        if best is not None:
-            yield best.rows(asker)
+                    for asker in askers:
+                        held[asker].add(*block, norm)
+        yield from (best.rows(asker) for asker, best in held.items())
 
     order = Window.partitionBy("key").orderBy(F.col("whole").desc(), F.col("score").desc(), F.col("vec_id"))
     return items.transform(common.in_arrow, run, HITS_DDL).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
