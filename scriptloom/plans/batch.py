@@ -9,35 +9,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions.convert import Conversion, assembled
 from scriptloom.functions.dictionary import Dictionary
+from scriptloom.functions.pieces import by_row
 from scriptloom.functions.trie import Converter
 from scriptloom.operators import epub, subtitles, word
 from scriptloom.sources import encoding, files
 
 
 def _container_udf(converter: Converter, keep_format: bool, notes: bool):
-    @F.pandas_udf("content binary, error string")
-    def converted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for contents, kinds in batches:
-            rows = []
-            for raw, kind in zip(contents, kinds, strict=True):
-                if raw is None:
-                    rows.append((None, None))
-                    continue
-                try:
-                    if kind == "epub":
-                        new, problems = epub.convert_epub(raw, converter)
-                        rows.append((new, "; ".join(problems) or None))
-                    else:
-                        rows.append((word.convert_docx(raw, converter, keep_format, notes), None))
-                except Exception as error:  # one broken file is a row with an error, never a failed job
-                    rows.append((None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["content", "error"])
+    def one(raw: bytes | None, kind: str) -> dict[str, object]:
+        if raw is None:
+            return {}
+        try:
+            if kind == "epub":
+                new, problems = epub.convert_epub(raw, converter)
+                return {"content": new, "error": "; ".join(problems) or None}
+            return {"content": word.convert_docx(raw, converter, keep_format, notes)}
+        except Exception as error:  # one broken file is a row with an error, never a failed job
+            return {"error": f"{type(error).__name__}: {error}"}
+
+    @F.arrow_udf("content binary, error string")
+    def converted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return by_row(batches, one, pa.struct([("content", pa.binary()), ("error", pa.string())]))
 
     return converted
 
