@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from scriptloom.functions.dictionary import Dictionary
+from scriptloom.functions.pieces import piecewise, pieces
 from scriptloom.functions.trie import Batch, Converter, passes, union
 
 Convert = Callable[[Column], Column]
@@ -180,8 +181,7 @@ def converter_udf(convert: Converter):
 
     @F.arrow_udf(StringType())
     def converted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield _converted(texts, convert)
+        return piecewise(batches, lambda texts: _converted(texts, convert))
 
     return converted
 
@@ -189,14 +189,17 @@ def converter_udf(convert: Converter):
 def assembling_udf(convert: Converter):
     """The same for arrays of parts, put together."""
 
+    def joined(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0)
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+        inner = lists.flatten()
+        fixed, gaps = (pc.struct_field(inner, name) for name in ("fixed", "gap"))
+        whole = pc.binary_join_element_wise(fixed, _converted(gaps, convert), "")
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, whole, mask=lists.is_null() if lists.null_count else None), "")
+
     @F.arrow_udf(StringType())
     def converted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            sizes = pc.fill_null(pc.list_value_length(lists), 0)
-            offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
-            fixed, gaps = (lists.flatten().field(name) for name in ("fixed", "gap"))
-            whole = pc.binary_join_element_wise(fixed, _converted(gaps, convert), "")
-            yield pc.binary_join(pa.ListArray.from_arrays(offsets, whole, mask=lists.is_null() if lists.null_count else None), "")
+        return piecewise(batches, joined)
 
     return converted
 
@@ -260,6 +263,10 @@ def register_all(spark, converters: Mapping[str, Callable[[list[str]], list[str]
 
     @F.arrow_udf(StringType())
     def converted(texts: pa.Array, profiles: pa.Array) -> pa.Array:
+        # A function with two arguments in SQL takes whole batches; only the result is held whole, as Arrow's bytes.
+        return pa.concat_arrays([one(*piece) for piece in pieces((texts, profiles))])
+
+    def one(texts: pa.Array, profiles: pa.Array) -> pa.Array:
         out = pa.nulls(len(texts), pa.string())
         for profile in pc.unique(profiles).drop_null().to_pylist():
             if profile not in converters:
