@@ -66,6 +66,11 @@ def convert_files(found: DataFrame, chain: Sequence[Dictionary], normalize: bool
     return held.select(*keep, "path", files.output_name(path).alias("output_name"), status.alias("status"), error.cast("string").alias("error"), F.when(F.col("kind") == "text", done).otherwise(F.col("made.content")).alias("content"))
 
 
+def convert_spread(spark: SparkSession, folder: str, chain: Sequence[Dictionary], **options) -> DataFrame:
+    """The same for files spread over the folders below one: tasks list them and read what is converted, in one pass."""
+    return convert_files(files.read_spread(spark, folder), chain, **options)
+
+
 def convert_paths(spark: SparkSession, paths: str | list[str], chain: Sequence[Dictionary], **options) -> DataFrame:
     """The same for files and folders: what nothing converts is listed and never opened."""
     listed = files.list_files(spark, paths)

@@ -5,11 +5,14 @@ Spark's listing leaves out files of no bytes; an empty file has nothing to conve
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from scriptloom.functions import pieces
 from scriptloom.sources import sink
 
 #: Extensions that are converted (fixed values); .doc needs an office program and is only reported.
@@ -80,14 +83,65 @@ def write_files(converted: DataFrame, folder: str) -> DataFrame:
 
     The files appear when the whole job has succeeded (see ``sink``); names that collide are refused before.
     """
+    _write(converted, folder, spread=False)
+    return list_files(converted.sparkSession, folder).select(basename(F.col("path")).alias("output_name"), F.col("length").alias("written"))
+
+
+def write_spread(converted: DataFrame, folder: str) -> None:
+    """The same into folders below ``folder``, for more files than one listing should hold; ``read_spread`` reads them."""
+    _write(converted, folder, spread=True)
+
+
+def _write(converted: DataFrame, folder: str, spread: bool) -> None:
     twice = converted.groupBy("output_name").count().filter("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"several inputs would write {twice[0].output_name}")
     spark = converted.sparkSession
     sink.register(spark)
     names = converted.select("output_name", "content")
-    names.write.format(sink.NAME).option("path", folder).mode("append").save()
-    return list_files(spark, folder).select(basename(F.col("path")).alias("output_name"), F.col("length").alias("written"))
+    names.write.format(sink.NAME).option("path", folder).option("spread", str(spread).lower()).mode("append").save()
+
+
+def _shown(name: str) -> bool:
+    return not name.startswith(("_", "."))
+
+
+def read_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content) of the files in the folders below a folder; what nothing converts is listed, not opened, and has no content.
+
+    The driver lists the folders; tasks list what is in them and read it. As in Spark's listing, files of no bytes and
+    hidden ones are left out.
+    """
+    store, root = sink.place(folder.rstrip("/"))
+    inner = [f"{folder.rstrip('/')}/{f.base_name}" for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.Directory and _shown(f.base_name)]
+    opened = tuple(f".{e}" for e in EXTENSIONS if e != "doc")
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for place in batch.column("folder").to_pylist():
+                own, at = sink.place(place)
+                for f in own.get_file_info(fs.FileSelector(at)):
+                    if f.type != fs.FileType.File or not f.size or not _shown(f.base_name):
+                        continue
+                    content = None
+                    if f.base_name.lower().endswith(opened):
+                        with own.open_input_stream(f.path) as source:
+                            content = source.read()
+                        held += len(content)
+                    rows.append({"path": f"{place}/{f.base_name}", "length": f.size, "content": content})
+                    if held >= pieces.PIECE_BYTES or len(rows) >= sink.FOLDER_FILES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    # A few folders for each task, and a task for each folder while there are few.
+    n = max(1, min(len(inner), 16 * spark.sparkContext.defaultParallelism))
+    named = spark.createDataFrame([(i, x) for i, x in enumerate(inner)], "n long, folder string")
+    dealt = named.repartitionByRange(n, "n") if inner else named
+    return dealt.mapInArrow(read, "path string, length long, content binary")
 
 
 def tallies(results: DataFrame, *keys: str) -> DataFrame:

@@ -145,3 +145,23 @@ def test_documents_as_files(spark, tmp_path):
     kinds = queries._KINDS
     want = {f"convert_{i}{kinds[i % 6]}" for i, t in rows if t or kinds[i % 6] in (".epub", ".docx")}
     assert set(got) == want and {r.status for r in got.values()} == {"ok", "skipped", "unsupported_doc"}
+
+
+def test_spread_files_are_moved_and_listed_by_folder(spark, tmp_path, monkeypatch):
+    """Neither the commit nor the listing does anything for each file on the driver."""
+    rows = [(f"{n}{('.txt', '.pdf', '.TXT')[n % 3]}", b"" if n == 6 else "瞭解".encode()) for n in range(2500)]
+    table = spark.createDataFrame(rows, "output_name string, content binary").coalesce(1)
+    files.write_spread(table, f"file://{tmp_path}/out")
+    folders = sorted(p for p in (tmp_path / "out").iterdir())
+    assert [p.is_dir() for p in folders] == [True] * 3 and max(len(list(p.iterdir())) for p in folders) == 1000
+    (folders[0] / ".hidden.txt").write_text("x")
+    monkeypatch.setattr(files, "list_files", None)
+    found = files.read_spread(spark, f"file://{tmp_path}/out")
+    got = {files_row.path.rpartition("/")[2]: files_row for files_row in found.collect()}
+    assert found.rdd.getNumPartitions() == 3 and set(got) == {n for n, _ in rows} - {"6.txt"}
+    assert got["1.pdf"].content is None and got["1.pdf"].length == 6 and got["2.TXT"].content.decode() == "瞭解"
+    done = {r.output_name: r.status for r in batch.convert_spread(spark, f"file://{tmp_path}/out", [D]).collect()}
+    assert len(done) == 2499 and done["convert_1.pdf"] == "skipped" and done["convert_0.txt"] == "ok"
+    with pytest.raises(ValueError, match="several inputs"):
+        files.write_spread(table.unionByName(table.limit(1)), str(tmp_path / "out"))
+    assert files.read_spread(spark, str(tmp_path / "none")).count() == 0
