@@ -6,8 +6,9 @@ import pytest
 from scriptloom.functions import convert as c
 from scriptloom.functions import pieces, segment
 from scriptloom.functions.trie import MaxMatch
+from scriptloom.operators import epub
 from scriptloom.plans import batch, samples
-from scriptloom.queries import make_docx
+from scriptloom.queries import make_book, make_docx
 from scriptloom.sources import encoding
 
 
@@ -63,3 +64,18 @@ def test_containers_and_encodings_by_pieces(spark, monkeypatch):
 def test_max_match_counts_stay(spark, monkeypatch):
     monkeypatch.setattr(pieces, "PIECE_BYTES", 10)
     assert [x for part in segment.word_count_udf(MaxMatch(["ab"])).func(iter([pa.array(["abab", None, "xab"])])) for x in part.to_pylist()] == [2, None, 2]
+
+
+def test_books_convert_documents_of_many_entries_at_once(spark, monkeypatch):
+    """The matcher is called for a piece of the rows, not for each entry."""
+    calls = []
+    whole = epub._convert_cut
+    monkeypatch.setattr(epub, "_convert_cut", lambda cuts, convert: calls.append(len(cuts)) or whole(cuts, convert))
+    convert = c.Conversion([samples.dictionary("simple_phrases")]).converter()
+    entries = list(epub.entries(make_book(["瞭解", "x & 瞭解"] * 50)))
+    names, documents, raws = [e.name for e in entries], [e.document for e in entries], [e.raw for e in entries]
+    got, errors = epub._converted(names, documents, list(raws), [None] * len(raws), convert)
+    assert calls == [100] and got == [epub.converted(e, convert).raw for e in entries] and errors == [None] * len(raws)
+    bad = raws[:3] + [b"\xff\xfe\x00"] + raws[4:]
+    got, errors = epub._converted(names, documents, list(bad), [None] * len(raws), convert)
+    assert [(g, e) for g, e in zip(got, errors, strict=True)] == [(n.raw, n.error) for n in (epub.converted(e._replace(raw=r), convert) for e, r in zip(entries, bad, strict=True))]
