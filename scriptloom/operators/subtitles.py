@@ -7,14 +7,22 @@ SRT: a cue is a line of digits, a line with ``-->`` and text lines up to a blank
 digits; only those text lines are converted. ASS and SSA: the tenth field of Dialogue and Comment lines
 of the [Events] section. LRC: the contents of some ID tags, and what follows leading time tags. Style
 tags stay, and no match runs across one. Line ends become ``\\n``.
+
+Given a ``Conversion``, a format cuts files in an Arrow function instead, by the same patterns, and all texts of a
+piece of a batch go through the matcher together; with any other function the parts are expressions.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptloom.functions.convert import Convert, assembled, part, parts
+from scriptloom.functions.convert import Conversion, Convert, assembled, part, parts
+from scriptloom.functions.pieces import piecewise
 
 #: Protected spans and how they open: style overrides in braces, and numbers in angle brackets of lyrics (fixed values).
 BRACE_TAG, NUMBER_TAG = (r"\{[^}]*\}", r"\{"), (r"<\d+>", "<")
@@ -24,6 +32,119 @@ _DIGIT = r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
 _BLANK = r"[\s\x{85}\x{A0}\x{1C}-\x{1F}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+# The same patterns for files cut in tasks; a dot and a digit mean there what they mean in expressions.
+_B = "[ \t-\r\x85\xa0\x1c-\x1f\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_D = r"[\d\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089]"
+_dot = "[^\n\r\x85\u2028\u2029]"
+_ends, _brace, _number = re.compile("\r\n?"), re.compile(r"(\{[^}]*\})"), re.compile("(<[0-9]+>)")
+_block, _cue = re.compile(rf"\n(?={_B}*{_D}*{_B}*(?:\n|\Z))"), re.compile(rf"{_B}*{_D}+{_B}*\Z")
+_section, _events = re.compile(rf"\n(?={_B}*\[[^\n]*\]{_B}*(?:\n|\Z))"), re.compile(rf"{_B}*\[(?ai:events)\]{_B}*(?:\n|\Z)")
+_event = re.compile(r"((?ai:Dialogue|Comment):(?:[^,]*,){9})(.*)\Z", re.S)
+_edge, _around = re.compile(rf"{_B}*"), re.compile(rf"\A{_B}+|{_B}+\Z")
+_ident, _timed = re.compile(rf"\[([a-zA-Z]+):({_dot}+)\]\Z"), re.compile(rf"((?:\[[0-9]+:[0-9]+(?:\.[0-9]+)?\])+)({_dot}*)\Z")
+
+
+class Cut:
+    """A file in order, and which of its strings are texts to convert."""
+
+    def __init__(self) -> None:
+        self.out: list[str] = []
+        self.gaps: list[int] = []
+
+    def fixed(self, text: str) -> None:
+        self.out.append(text)
+
+    def gap(self, text: str) -> None:
+        if text:
+            self.gaps.append(len(self.out))
+            self.out.append(text)
+
+    def tagged(self, text: str, tag: re.Pattern) -> None:
+        for i, piece in enumerate(tag.split(text)):
+            (self.fixed if i % 2 else self.gap)(piece)
+
+
+def cut_lines(text: str) -> Cut:
+    cut = Cut()
+    for i, line in enumerate(text.split("\n")):
+        cut.fixed("\n" if i else "")
+        cut.gap(line)
+    return cut
+
+
+def cut_srt(text: str) -> Cut:
+    cut = Cut()
+    for j, block in enumerate(_block.split(_ends.sub("\n", text))):
+        cut.fixed("\n" if j else "")
+        lines = block.split("\n")
+        if len(lines) < 2 or "-->" not in lines[1] or not _cue.match(lines[0]):
+            cut.fixed(block)
+            continue
+        cut.fixed("\n".join(lines[:2]))
+        for line in lines[2:]:
+            cut.fixed("\n")
+            cut.tagged(line, _brace)
+    return cut
+
+
+def cut_ass(text: str) -> Cut:
+    cut = Cut()
+    for j, section in enumerate(_section.split(_ends.sub("\n", text))):
+        cut.fixed("\n" if j else "")
+        if not _events.match(section):
+            cut.fixed(section)
+            continue
+        for i, line in enumerate(section.split("\n")):
+            cut.fixed("\n" if i else "")
+            if found := _event.match(line):
+                cut.fixed(found[1])
+                cut.tagged(found[2], _brace)
+            else:
+                cut.fixed(line)
+    return cut
+
+
+def cut_lrc(text: str) -> Cut:
+    cut = Cut()
+    for i, line in enumerate(_ends.sub("\n", text).split("\n")):
+        cut.fixed("\n" if i else "")
+        bare, indent = _around.sub("", line), _edge.match(line)[0]
+        if found := _ident.match(bare):
+            if found[1].lower() in ID_TAGS:
+                cut.fixed(f"{indent}[{found[1]}:")
+                cut.gap(found[2])
+                cut.fixed("]")
+            else:
+                cut.fixed(line)
+        elif found := _timed.match(bare):
+            cut.fixed(indent + found[1])
+            cut.tagged(found[2], _number)
+        else:
+            cut.fixed(line)
+    return cut
+
+
+def _applied(text: Column, convert: Convert, cut: Callable[[str], Cut], pieces: Callable[[Column], Column]) -> Column:
+    if not isinstance(convert, Conversion):
+        return assembled(pieces(text), convert)
+    converter = convert.converter()
+
+    def whole(texts: pa.Array) -> pa.Array:
+        cuts = [None if t is None else cut(t) for t in texts.to_pylist()]
+        live = [c for c in cuts if c is not None]
+        done = iter(converter([c.out[k] for c in live for k in c.gaps]))
+        for c in live:
+            for k in c.gaps:
+                c.out[k] = next(done)
+        return pa.array([None if c is None else "".join(c.out) for c in cuts], pa.string())
+
+    @F.arrow_udf("string")
+    def converted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return piecewise(batches, whole)
+
+    return converted(text)
+
+
 def unix_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
@@ -39,7 +160,7 @@ def convert_txt(text: Column, convert: Convert) -> Column:
 
 def convert_txt_by_line(text: Column, convert: Convert) -> Column:
     """Line by line: no match runs across a line end."""
-    return assembled(F.transform(F.split(text, "\n"), lambda x, i: part(_joint(i), x)), convert)
+    return _applied(text, convert, cut_lines, lambda t: F.transform(F.split(t, "\n"), lambda x, i: part(_joint(i), x)))
 
 
 def _joint(i: Column) -> Column:
@@ -65,7 +186,7 @@ def srt_parts(text: Column) -> Column:
 
 
 def convert_srt(text: Column, convert: Convert) -> Column:
-    return assembled(srt_parts(text), convert)
+    return _applied(text, convert, cut_srt, srt_parts)
 
 
 def _ass_line(line: Column) -> Column:
@@ -90,7 +211,7 @@ def ass_parts(text: Column) -> Column:
 
 
 def convert_ass(text: Column, convert: Convert) -> Column:
-    return assembled(ass_parts(text), convert)
+    return _applied(text, convert, cut_ass, ass_parts)
 
 
 # The forms of ID tags and of time tags in lyrics.
@@ -118,7 +239,7 @@ def lrc_parts(text: Column) -> Column:
 
 
 def convert_lrc(text: Column, convert: Convert) -> Column:
-    return assembled(lrc_parts(text), convert)
+    return _applied(text, convert, cut_lrc, lrc_parts)
 
 
 #: Parts and converters of text formats by extension.

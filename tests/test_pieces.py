@@ -1,12 +1,14 @@
 """Functions over Arrow batches hold a piece of a batch as Python objects, not all of it."""
 
+import random
+
 import pyarrow as pa
 import pytest
 
 from scriptloom.functions import convert as c
 from scriptloom.functions import pieces, segment
 from scriptloom.functions.trie import MaxMatch
-from scriptloom.operators import epub
+from scriptloom.operators import epub, subtitles
 from scriptloom.plans import batch, samples
 from scriptloom.queries import make_book, make_docx
 from scriptloom.sources import encoding
@@ -79,3 +81,19 @@ def test_books_convert_documents_of_many_entries_at_once(spark, monkeypatch):
     bad = raws[:3] + [b"\xff\xfe\x00"] + raws[4:]
     got, errors = epub._converted(names, documents, list(bad), [None] * len(raws), convert)
     assert [(g, e) for g, e in zip(got, errors, strict=True)] == [(n.raw, n.error) for n in (epub.converted(e._replace(raw=r), convert) for e, r in zip(entries, bad, strict=True))]
+
+
+@pytest.mark.parametrize("kind", ["srt", "ass", "lrc", "by line"])
+def test_formats_cut_in_tasks_as_expressions_cut_them(spark, kind):
+    """Random files of what the formats look for: one function for a piece of files, the same text as by expressions."""
+    rng = random.Random(3)
+    bits = ["1", "２", "²", "12", "00:01 --> 00:02", "\n", "\n\n", "\r\n", "\r", " ", "　", " ", "\x85", "\x1c", "{\\i1}", "{", "}", "{\n}", "瞭解", "乾乾淨淨", "乾", "[Events]", "[EventS] ", "[eventſ]", "[x]", "[ti:瞭解]", "[TI:乾 ]", "[xx:乾]", "[00:01.2]", "[00:01]", "[0٣:01]", "<1>", "<٣>", "<", "Dialogue: 0,a,b,奧,,0,0,0,,", "comment:,,,,,,,,,", "\nDialogue:,", ",", "-->", "x"]
+    rows = [(n, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for n in range(1500)]
+    rows += [(1500, None), (1501, ""), (1502, "1\n00:00 --> 00:01\n瞭{\\b1}解 瞭解\n\n2\n-->\n"), (1503, "[Events]\nDialogue: 0,a,b,奧,,0,0,0,,{\\b1}瞭{x}解瞭解"), (1504, "[ti:瞭解]\n[00:01.23]<1>瞭解<2>\n  [00:01]瞭解  ")]
+    table = spark.createDataFrame(rows, "n int, text string").coalesce(1)
+    chain = [samples.dictionary("simple_phrases"), samples.dictionary("standard_chars_keep")]
+    function = subtitles.convert_txt_by_line if kind == "by line" else subtitles.TEXT_FORMATS[kind]
+    both = table.select("n", "text", function(table.text, c.Conversion(chain)).alias("a"), function(table.text, lambda x: c.convert_chain(x, chain)).alias("b"))
+    assert "ArrowEvalPython" in both._jdf.queryExecution().executedPlan().toString()
+    got = both.collect()
+    assert [(r.text, r.a) for r in got] == [(r.text, r.b) for r in got] and any(r.a != r.text for r in got)
